@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def held_out(id_col: str, mod: int, is_out: int) -> Column:
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of the batch with at most limit bytes of text each, or a single longer row."""
     text = batch.column(column)
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)
     first = total = 0
     for i, n in enumerate(lengths.tolist()):
         if i > first and total + n > limit:
@@ -84,7 +85,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
 
 def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary column (null: none), and where each row starts and the last ends."""
-    text = pa.compute.fill_null(text.cast(pa.large_binary()), b"")
+    text = pc.fill_null(text.cast(pa.large_binary()), b"")
     _, offsets, data = text.buffers()
     off = np.frombuffer(offsets, dtype=np.int64)[text.offset : text.offset + len(text) + 1]
     buf = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def quantise(vec: Column, scale: int) -> Column:
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = np.asarray(pa.compute.list_value_length(column))
+    lengths = np.asarray(pc.list_value_length(column))
     out = np.zeros((len(column), width), dtype=np.int64)
     out[np.arange(width) < lengths[:, None]] = np.asarray(column.flatten())
     return out
