@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, mixing, quality, search
+from tidemark.llm import automaton, langid, mixing, quality, rules, search, suffix_array
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,12 +34,16 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op5_quality_classifier, op6_mix_sources, op10_exact_topk)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op9_substring_dedup, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
