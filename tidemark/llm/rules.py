@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
 
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
+SYMBOL = r"[#*$%&|<>]"
+#: A character of a word.
+INSIDE = r"[^\x20\x09-\x0D]"
 #: The transformed statistics whose outliers are rejected.
 VECTOR = ("word_length", "symbol_share", "line_repeats", "word_repeats")
 
@@ -32,16 +33,17 @@ def _covered(grams: Column, n: int) -> Column:
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", window: int = 3) -> DataFrame:
-    """id, lang, source and the counts of each whole text; the heavy path is taken only by texts with a repeated window."""
+    """id, lang, source and the counts of each whole text; the heavy path is taken only by texts with a repeated window.
+    Windows of a text are compared by 64-bit hashes."""
     text = F.coalesce("text", F.lit(""))
     split = docs.select(id_col, F.col("lang"), F.col("source"), text.alias("t"), F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"))
     words = F.col("words")
-    grams = F.transform(F.slice(words, 1, F.greatest(F.size(words) - (window - 1), F.lit(0))), lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, window)]))
-    lines = F.filter(F.split("t", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
+    grams = F.transform(F.slice(words, 1, F.greatest(F.size(words) - (window - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *[F.get(words, i + j) for j in range(1, window)]))
+    lines = F.filter(F.split("t", "\n"), lambda line: line.rlike(INSIDE))
     stats = split.select(
         id_col, "lang", "source", F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         lines.alias("lines"), grams.alias("grams"),
     )
     return stats.select(
@@ -53,7 +55,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", window: int = 3) ->
 
 def _vector(stats: DataFrame) -> DataFrame:
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
-    return stats.withColumns({"word_length": F.log1p(share("word_chars", "n_words")), "symbol_share": F.log1p(100 * share("n_symbols", "word_chars")), "line_repeats": F.log1p(100 * share("n_dup_lines", "n_lines")), "word_repeats": F.log1p(100 * share("n_repeat_words", "n_words"))})
+    return stats.withColumns({"word_length": F.log1p(share("word_chars", "n_words")), "symbol_share": F.log1p(100 * share("n_symbols", "word_chars")), "line_repeats": F.sqrt(share("n_dup_lines", "n_lines")), "word_repeats": F.sqrt(share("n_repeat_words", "n_words"))})
 
 
 def _same_group(a: str, b: str) -> Column:
@@ -96,7 +98,7 @@ def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     return joined.select("r.*", squares.alias("d2"))
 
 
-def robust_outliers(stats: DataFrame, use: Column, share: float = 0.75, steps: int = 3, cutoff: float = 30.0, floor: float = 0.01) -> DataFrame:
+def robust_outliers(stats: DataFrame, use: Column, share: float = 0.75, steps: int = 3, cutoff: float = 40.0, floor: float = 0.02) -> DataFrame:
     """stats with d2 and inlier: the minimum-covariance-determinant estimate per (lang, source) over rows where use holds.
 
     The start is each group's median and scaled quartile range; each concentration step keeps the share of rows
