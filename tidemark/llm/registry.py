@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, langid, mixing, quality, rules, search, suffix_array
+from tidemark.llm import automaton, langid, mixing, pieces, quality, rules, search, suffix_array
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.digest(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op9_substring_dedup, op10_exact_topk)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op9_substring_dedup, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
