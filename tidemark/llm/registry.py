@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, langid, mixing, pieces, quality, rules, search, suffix_array
+from tidemark.llm import automaton, langid, mixing, pieces, quality, rules, search, suffix_array, toolcalls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.digest(table(spark, sf_dir, "conversations"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.digest(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op9_substring_dedup, op10_exact_topk)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op8_tool_calls, op9_substring_dedup, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.ORACLE_SQL, "op10_exact_topk": search.ORACLE_SQL}
+    return {"op6_mix_sources": mixing.ORACLE_SQL, "op8_tool_calls": toolcalls.ORACLE_SQL, "op10_exact_topk": search.ORACLE_SQL}
