@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, langid, mixing, pieces, quality, rules, search, suffix_array, toolcalls
+from tidemark.llm import automaton, jaccard, langid, mixing, pieces, quality, rules, search, suffix_array, toolcalls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_digest(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op8_tool_calls, op9_substring_dedup, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op8_tool_calls, op9_substring_dedup, op10_exact_topk)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -76,7 +76,7 @@ class Repeats:
         return row, begin - first[row], end - begin, keys[anchor[new]], anchor[new] - begin, span_hash(prefix, begin, end)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
     """rid and the compressed text, so that shuffles of whole texts stay small."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +90,15 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(pack, f"{schema}, z binary")
 
 
-def _texts(column: pa.Array) -> pa.Array:
+def unpacked(column: pa.Array) -> pa.Array:
     expand = zstandard.ZstdDecompressor().decompress
     return pa.array([None if x is None else expand(x) for x in column.to_pylist()], pa.large_binary())
 
 
-def _by_bytes(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def by_bytes(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Parts of a batch with their texts, with about limit bytes of text each."""
     for part in slices(batch, "z", limit // 4):
-        yield part, _texts(part.column("z"))
+        yield part, unpacked(part.column("z"))
 
 
 def _found(docs: DataFrame, how: Repeats) -> DataFrame:
@@ -116,13 +116,13 @@ def _found(docs: DataFrame, how: Repeats) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(find, "rid long, loc long, key long, seg long, offset int")
 
 
-def _segment_texts(wanted: DataFrame, packed: DataFrame, how: Repeats) -> DataFrame:
+def _segment_texts(wanted: DataFrame, packed_docs: DataFrame, how: Repeats) -> DataFrame:
     """wanted (key, seg, n, nd, offset, rid, loc) with the bytes of each segment, read from its document."""
     per = wanted.groupBy("rid").agg(F.collect_list(F.struct("key", "seg", "n", "nd", "offset", "loc")).alias("segs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _by_bytes(batch):
+            for part, texts in by_bytes(batch):
                 buf, off = text_bytes(texts)
                 _, first, starts, ends = how.units(buf, off)
                 raw, out = buf.tobytes(), []
@@ -135,7 +135,7 @@ def _segment_texts(wanted: DataFrame, packed: DataFrame, how: Repeats) -> DataFr
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "seg", "n", "nd", "offset", "text"])
 
-    return packed.join(per, "rid").mapInArrow(cut, "key long, seg long, n long, nd long, offset int, text binary")
+    return packed_docs.join(per, "rid").mapInArrow(cut, "key long, seg long, n long, nd long, offset int, text binary")
 
 
 def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
@@ -194,7 +194,7 @@ def repeated_spans(docs: DataFrame, how: Repeats, index: Index) -> DataFrame:
     distinct = shared.where("not alike").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc", "offset")).alias("at"))
     sizes = distinct.groupBy("key").agg(F.count("*").alias("nd"))
     wanted = distinct.join(sizes, "key").select("key", "seg", "n", "nd", "at.*")
-    segments = written(_segment_texts(wanted, _packed(docs.select("rid", "text")), how))
+    segments = written(_segment_texts(wanted, packed_texts(docs.select("rid", "text")), how))
     spans = _indexed(segments.where(F.col("nd") <= how.group), how, index).unionByName(_counted(segments.where(F.col("nd") > how.group), how))
     placed = shared.where("not alike").join(spans.where("size(spans) > 0"), "seg").select("rid", F.explode("spans").alias("s"), first.alias("first"))
     partial = placed.select("rid", ((F.col("first") + F.shiftright("s", 16)) * 16777216 + F.col("s").bitwiseAND(65535) - F.shiftright("s", 16)).alias("span"))
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, keep: list[str], how: Repeats, index: Index,
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _by_bytes(batch):
+            for part, texts in by_bytes(batch):
                 buf, off = text_bytes(texts)
                 _, first, starts, ends = how.units(buf, off)
                 out = []
@@ -231,5 +231,5 @@ def remove_repeats(docs: DataFrame, keep: list[str], how: Repeats, index: Index,
 
     kinds = {"long": pa.int64(), "string": pa.string()}
     kinds = {n: kinds[x.split()[1]] for n, x in zip(names, schema.split(","), strict=True)}
-    joined = _packed(rows.select("rid", "kept", "text")).join(spans, "rid", "left")
+    joined = packed_texts(rows.select("rid", "kept", "text")).join(spans, "rid", "left")
     return joined.mapInArrow(apply, f"kept {rows.schema['kept'].dataType.simpleString()}, {schema}").select("kept.*", *names)
