@@ -84,12 +84,12 @@ def fit(docs: DataFrame, is_train: Column, id_col: str = "doc_id", per_language:
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep's columns with lang_pred and score (0 to 1).
+    """The struct `kept` of keep's columns, lang_pred and score (0 to 1).
 
     Each whole text is a presence vector; batches of them are multiplied with the landmarks and the one-versus-rest
     weights, and scores are the softmax of those. Defined results: a text that is null or has no letter, and any
     text where nothing was learned, gets `und` and score 0; an empty table gives no rows; repeated rows are
-    predicted alike. Columns named lang_pred or score must not be in keep."""
+    predicted alike; what the columns in keep are called makes no difference."""
     width, languages = model.landmarks.shape[0], [*model.languages, UNDETERMINED]
     sent = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
@@ -105,11 +105,11 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"kept": part.column("kept"), "lang_pred": pa.array([languages[i] for i in best.tolist()], pa.string()), "score": pa.array(score, pa.float64())})
 
     kept = sent.schema["kept"].dataType.simpleString()
-    return sent.mapInArrow(predict, f"kept {kept}, lang_pred string, score double").select("kept.*", "lang_pred", "score")
+    return sent.mapInArrow(predict, f"kept {kept}, lang_pred string, score double")
 
 
 def identify_digest(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from documents that are not held out."""
     out = held_out("doc_id", 3, 1)
     found = identify(docs, fit(docs, ~out), ["doc_id"])
-    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+    return found.select("kept.doc_id", held_out("kept.doc_id", 3, 1).alias("held_out"), "lang_pred", "score")

@@ -141,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_train: Column, most: int = 20_000
     n = usable.count()
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(place < most / max(n, 1)).select(F.col("doc_id").alias("label_id"), "quality").limit(2 * most)
-    rows = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "text")
     got = sorted((r["kept"]["doc_id"], r["kept"]["quality"], r["x"]) for r in with_statistics(rows, ["doc_id", "quality"]).collect())
     x = np.array([r[2] for r in got], dtype=np.float32).reshape(len(got), len(STATISTICS))
     return boost(x, np.array([r[1] for r in got], dtype=np.float64))
