@@ -20,7 +20,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents whose text has a language go on, with lang as predicted; null texts and texts without letters go."""
     model = langid.fit(docs, ~held_out("doc_id", 3, 1))
     found = langid.identify(docs, model, docs.columns).where(F.col("lang_pred") != langid.UNDETERMINED)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    return found.select(*[F.col("lang_pred" if c == "lang" else f"kept.`{c}`").alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
