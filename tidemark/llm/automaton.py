@@ -74,14 +74,18 @@ class SuffixAutomaton:
             yield matched
 
 
-def repeated_words(segments: list[Segment], how: Repeats) -> list[list[tuple[int, int]]]:
-    """Repeated spans of the segments of one anchor, which are one reference shard: stream each through its automaton."""
+def repeated_words(segments: list[Segment], how: Repeats) -> list[tuple[int, int] | None]:
+    """Repeated span of each segment of one anchor; these are a reference shard, and each is streamed through its automaton."""
     texts = [text.split(b" ") for text, _, _ in segments]
     automaton = SuffixAutomaton()
     for words, (_, copies, _) in zip(texts, segments, strict=True):
         automaton.add(words, copies)
     automaton.finish()
-    return [[(end - n, end) for end, n in enumerate(automaton.matching(words), 1) if n >= how.length] for words in texts]
+    spans: list[tuple[int, int] | None] = []
+    for words in texts:
+        long = [(end - n, end) for end, n in enumerate(automaton.matching(words), 1) if n >= how.length]
+        spans.append((min(a for a, _ in long), long[-1][1]) if long else None)
+    return spans
 
 
 def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> bytes:
@@ -106,7 +110,7 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = 35) -> DataF
     return remove_repeats(docs, keep, Repeats(length, min(GRAM, length), words=True), repeated_words, _text, "text string")
 
 
-def digest(docs: DataFrame, length: int = 35, gram: int = GRAM, group: int = 512) -> DataFrame:
+def digest(docs: DataFrame, length: int = 35, gram: int = GRAM, group: int = 4096) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each whole text.
 
     Defined results: a null text has no words; texts shorter than `length` words lose nothing; of repeated rows all

@@ -11,7 +11,7 @@ anchor has the same content:
    suffix array) over the key's segments and tells which spans of each are repeated;
 4. a key with more than `group` distinct segments isn't built in one task: its windows are counted by hash in a
    shuffle with partial sums, which is exact at any size;
-5. spans go back to all places of their segment, and the spans of each document to its text.
+5. a segment's span goes back to all its places, and the spans of each document to its text.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from tidemark.llm.common import prefix_hash, slices, span_hash, text_bytes, word
 
 #: One distinct segment of a key: its bytes, its copies, and the unit at which the anchor starts.
 Segment = tuple[bytes, int, int]
-#: Spans [a, b) in units of each segment that are repeated.
-Index = Callable[[list[Segment], "Repeats"], list[list[tuple[int, int]]]]
+#: The span [a, b) in units of each segment that its repeated windows cover; all of them contain the anchor, so it is one.
+Index = Callable[[list[Segment], "Repeats"], list[tuple[int, int] | None]]
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class Repeats:
     length: int
     gram: int
     words: bool
-    group: int = 512
+    group: int = 4096
 
     def units(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Prefix hash over units, first unit of each row, and byte start and end of each unit."""
@@ -106,7 +106,7 @@ def _found(docs: DataFrame, how: Repeats) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 19):
                 prefix, first, _, _ = how.units(*text_bytes(part.column("text")))
                 row, start, units, key, offset, seg = how.anchors(prefix, first)
                 rid = np.asarray(part.column("rid"))[row]
@@ -139,7 +139,7 @@ def _segment_texts(wanted: DataFrame, packed_docs: DataFrame, how: Repeats) -> D
 
 
 def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
-    """Spans of the segments of keys small enough for one index: seg, spans (a * 65536 + b)."""
+    """Spans of the segments of keys small enough for one index: seg, a, b."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -147,7 +147,8 @@ def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             spans = index([(t, n, o) for _, n, o, t in held], how)
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([[(a << 16) | b for a, b in s] for s in spans], pa.list_(pa.int64()))], ["seg", "spans"])
+            rows = [(h[0], *s) for h, s in zip(held, spans, strict=True) if s is not None]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["seg", "a", "b"])
 
         for batch in batches:
             done = []
@@ -161,7 +162,7 @@ def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
         if held:
             yield flush()
 
-    return segments.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(decide, "seg long, spans array<long>")
+    return segments.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(decide, "seg long, a long, b long")
 
 
 def _counted(segments: DataFrame, how: Repeats) -> DataFrame:
@@ -180,7 +181,7 @@ def _counted(segments: DataFrame, how: Repeats) -> DataFrame:
 
     each = segments.select("seg", "n", "text").mapInArrow(windows, "window long, seg long, at long, n long")
     twice = each.groupBy("window").agg(F.sum("n").alias("copies")).where("copies > 1").select("window")
-    return each.join(twice, "window").groupBy("seg").agg(F.collect_list(F.col("at") * 65536 + F.col("at") + how.length).alias("spans"))
+    return each.join(twice, "window").groupBy("seg").agg(F.min("at").alias("a"), (F.max("at") + how.length).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, how: Repeats, index: Index) -> DataFrame:
@@ -196,8 +197,7 @@ def repeated_spans(docs: DataFrame, how: Repeats, index: Index) -> DataFrame:
     wanted = distinct.join(sizes, "key").select("key", "seg", "n", "nd", "at.*")
     segments = written(_segment_texts(wanted, packed_texts(docs.select("rid", "text")), how))
     spans = _indexed(segments.where(F.col("nd") <= how.group), how, index).unionByName(_counted(segments.where(F.col("nd") > how.group), how))
-    placed = shared.where("not alike").join(spans.where("size(spans) > 0"), "seg").select("rid", F.explode("spans").alias("s"), first.alias("first"))
-    partial = placed.select("rid", ((F.col("first") + F.shiftright("s", 16)) * 16777216 + F.col("s").bitwiseAND(65535) - F.shiftright("s", 16)).alias("span"))
+    partial = shared.where("not alike").join(spans, "seg").select("rid", ((first + F.col("a")) * 16777216 + F.col("b") - F.col("a")).alias("span"))
     return whole.unionByName(partial).groupBy("rid").agg(F.collect_list("span").alias("spans"))
 
 

@@ -61,15 +61,15 @@ def maximal_repeats(before: list[bytes], after: list[bytes], least: int) -> Iter
                 yield members[a : z + 1], length, right
 
 
-def repeated_bytes(segments: list[Segment], how: Repeats) -> list[list[tuple[int, int]]]:
-    """Repeated spans of the segments of one anchor: suffixes start at the anchors, which all their repeats contain."""
-    spans: list[set[tuple[int, int]]] = [{(0, len(text))} if copies > 1 else set() for text, copies, _ in segments]
+def repeated_bytes(segments: list[Segment], how: Repeats) -> list[tuple[int, int] | None]:
+    """Repeated span of each segment of one anchor: suffixes start at the anchors, which all their repeats contain."""
+    spans: list[tuple[int, int] | None] = [(0, len(text)) if copies > 1 else None for text, copies, _ in segments]
     before, after = [text[:at][::-1] for text, _, at in segments], [text[at:] for text, _, at in segments]
     for members, left, right in maximal_repeats(before, after, how.length):
         for i in members:
-            at = segments[i][2]
-            spans[i].add((at - left, at + right))
-    return [sorted(s) for s in spans]
+            at, known = segments[i][2], spans[i]
+            spans[i] = (at - left, at + right) if known is None else (min(known[0], at - left), max(known[1], at + right))
+    return spans
 
 
 def _digest(raw: bytes | None, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
@@ -95,7 +95,7 @@ def without_repeats(docs: DataFrame, keep: list[str], length: int = 400) -> Data
     return remove_repeats(docs, keep, Repeats(length, min(GRAM, max(1, length // 2)), words=False), repeated_bytes, _text, "text string")
 
 
-def digest(docs: DataFrame, length: int = 400, gram: int = GRAM, group: int = 512) -> DataFrame:
+def digest(docs: DataFrame, length: int = 400, gram: int = GRAM, group: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each whole text.
 
     Defined results: a null text is empty; texts shorter than `length` lose nothing; of repeated rows all copies
