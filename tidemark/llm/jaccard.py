@@ -9,7 +9,8 @@ shingles last and is by hash else, so that passages which many documents share m
    from which a shingle is frequent being raised until they fit. Any choice gives the same result.
 3. A second scan gives the prefix shingles; those of one set only go. What stays makes tiles (shingle, size band);
    a set is also a visitor of the next band's tile, as linked sizes differ by 4/3 at most.
-4. Each set is compared with the centre of the tiles it shares most, exactly. That joins near copies of one text.
+4. In rounds, one set of each component is compared, exactly, with the centre of the tiles it shares most. That joins
+   near copies of one text without pairing all of them.
 5. In tiles that still hold several components, sets of different components are compared by bitmaps: bits set in
    one and not in the other bound the overlap from above. Rows outside a tile's largest component go to every chunk
    of the tile, so a large tile is spread over tasks and its members of one component are never paired.
@@ -219,6 +220,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_components(tiles: DataFrame, comps: DataFrame) -> DataFrame:
+    return tiles.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+
+
+def _linked_stars(tiles: DataFrame, nodes: DataFrame, n: int, percent: int, worth: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """Links between component representatives and tile centres, and the components that they give.
+
+    A round tests one new pair per component; rounds end when under a share `worth` of its tests link, as what is
+    left is then found faster by the bitmaps. They only decide what is found early, never what is found."""
+    links = written(tiles.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0))
+    tested, comps = links, components(links)
+    while True:
+        held = _with_components(tiles, comps).groupBy("token", "band", "comp").agg(F.min("sig").alias("b"), F.bool_or("own").alias("own"))
+        centre = held.groupBy("token", "band").agg(F.min(F.struct(F.col("b").alias("a"), "comp")).alias("c"), F.count("*").alias("m"), F.bool_or("own").alias("homes")).where("m > 1 and homes")
+        stars = held.join(centre, ["token", "band"]).where("comp <> c.comp").groupBy("comp", F.col("c.a").alias("a"), "b").agg(F.count("*").alias("tiles"))
+        fresh = stars.join(tested, ["a", "b"], "left_anti").groupBy("comp").agg(F.max(F.struct("tiles", "a", "b")).alias("s"))
+        pairs = written(fresh.select("s.a", "s.b").distinct())
+        found = written(_verified(pairs, nodes, n, percent))
+        n_pairs, n_found = pairs.count(), found.count()
+        links = links.unionByName(found)
+        if n_found:
+            comps = written(components(written(links)))
+        if n_found <= worth * n_pairs:
+            return links, comps
+        tested = tested.unionByName(pairs)
+
+
 def _banded(percent: int, most: int = 1 << 40) -> Callable[[str], F.Column]:
     """SQL form of band(): counts the limits that a size reaches."""
     limits, limit = [], 1.0
@@ -243,15 +271,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: i
     kept = written(prefixes.join(shared, "token").groupBy("token", "sig").agg(F.max("n").alias("n")))
     banded = kept.withColumn("band", _banded(percent)("n"))
     tiles = banded.withColumn("own", F.lit(True)).unionByName(banded.withColumn("band", F.col("band") + 1).withColumn("own", F.lit(False)))
-    centre = tiles.groupBy("token", "band").agg(F.min("sig").alias("a"), F.count_if("own").alias("homes"), F.count("*").alias("m")).where("homes > 0 and m > 1")
-    stars = tiles.join(centre, ["token", "band"]).where("sig <> a").groupBy(F.col("sig").alias("b"), "a").agg(F.count("*").alias("tiles"))
-    stars = stars.groupBy("b").agg(F.max_by("a", F.struct("tiles", "a")).alias("a"))
     wanted = each.join(kept.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
     texts = packed_texts(rows.select("rid", "text"))
     nodes = written(_nodes(texts.join(wanted, "rid").dropDuplicates(["sig"]), n, percent))
-    first = written(_verified(stars, nodes, n, percent))
-    comps = written(components(first))
-    tiles = tiles.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    first, comps = _linked_stars(tiles, nodes, n, percent)
+    tiles = _with_components(tiles, comps)
     open_tiles = tiles.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"), F.count("*").alias("m"), F.count_if("own").alias("homes")).where("lo < hi and homes > 0")
     chunks = F.ceil(F.col("m") / CHUNK)
     rest = tiles.join(open_tiles.select("token", "band", "main", chunks.alias("chunks")), ["token", "band"]).withColumn("home", F.pmod(F.xxhash64("sig"), F.col("chunks")))
