@@ -199,3 +199,55 @@ def test_rollup_of_downloads(spark):
     rows = [("a", "SUCCESS"), ("a", "FAILED"), ("b", "FAILED"), ("c", "FAILED"), ("c", "NOT_ATTEMPTED"), ("d", "NOT_ATTEMPTED")]
     df = spark.createDataFrame(rows, "g string, s string").groupBy("g").agg(selection.rollup_status(F.col("s")).alias("r"))
     assert dict(map(tuple, df.collect())) == {"a": "PARTIAL", "b": "FAILED", "c": "PARTIAL", "d": "NOT_ATTEMPTED"}
+
+
+def test_polygon_coverage_equals_clipping(spark, sf_dir):
+    from tidemark.plans import places, roads
+
+    def clip(ring, convex):
+        for (ax, ay), (bx, by) in zip(convex, convex[1:] + convex[:1], strict=True):
+            side = lambda p: (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax)  # noqa: E731, B023
+            out = []
+            for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+                if side(p) >= 0:
+                    out.append(p)
+                if (side(p) >= 0) != (side(q) >= 0):
+                    t = side(p) / (side(p) - side(q))
+                    out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+            ring = out
+        return ring
+
+    def area(ring):
+        return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+    want = {}
+    for r in roads.outlines(spark, sf_dir).collect():
+        ring = [(p["x"], p["y"]) for p in r["points"]]
+        want[r["id"]] = pytest.approx(area(clip(ring, places.TRIANGLE)) / area(ring)) if area(ring) else None
+    assert {r["id"]: r["share"] for r in roads.b_polygon_coverage(spark, sf_dir).collect()} == want
+
+
+def test_utm_of_known_points(spark):
+    from tidemark.functions import lines
+
+    df = spark.createDataFrame([(87.0, 0.0, 45), (3.0, 45.0, 31)], "x double, y double, z int")
+    got = df.select(*lines.utm(F.col("x"), F.col("y"), F.col("z"))).collect()
+    assert got[0][0] == pytest.approx(500000) and got[0][1] == pytest.approx(0) and got[1][1] == pytest.approx(4982950.400, abs=0.01)
+
+
+def test_parts_of_a_line(spark):
+    from tidemark.functions import lines
+
+    df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 0.0), (4.0, 4.0)],)], "p array<struct<x: double, y: double>>")
+    r = df.select(lines.part(F.col("p"), F.lit(3.0), F.lit(6.0)).alias("a"), lines.nearest_point(F.col("p"), F.lit(5.0), F.lit(2.0)).alias("n"), lines.without_repeats(F.col("p")).alias("w")).first()
+    assert [tuple(p) for p in r["a"]] == [(3, 0), (4, 0), (4, 2)] and tuple(r["n"]) == (1.0, 6.0) and len(r["w"]) == 3
+
+
+def test_pieces_between_junctions(spark):
+    from tidemark.operators import roads
+
+    df = spark.createDataFrame([("a", [(0.0, 0.0), (5.0, 0.0), (10.0, 0.0)]), ("b", [(5.001, 0.001), (5.0, 7.0)])], "way string, points array<struct<x: double, y: double>>")
+    got = roads.pieces(df, "way")
+    assert sorted((r["way"], r["part"], r["length"]) for r in got.collect()) == [("a", 1, 5.0), ("a", 2, 5.0), ("b", 1, 7.0)]
+    snap = roads.snapped(spark.createDataFrame([(1, 5.0, 3.0), (2, 99.0, 99.0)], "id int, x double, y double"), got, 4.0)
+    assert {r["id"]: r["distance"] for r in snap.collect()} == {1: 3.0, 2: None}

@@ -4,10 +4,10 @@ import pytest
 from compare import duck_rows, spark_rows
 
 import __spark_entry__ as entry
-from tidemark.plans import catalogue, network, places, raster, samples, streams
+from tidemark.plans import catalogue, network, places, raster, roads, samples, streams
 
-QUERIES = {n: q for m in (raster, catalogue, network, samples, places, streams) for n, q in m.lens.queries.items()}
-SQL = {n: q for m in (raster, catalogue, network, samples, places, streams) for n, q in m.lens.sql.items()}
+QUERIES = {n: q for m in (raster, catalogue, network, samples, places, streams, roads) for n, q in m.lens.queries.items()}
+SQL = {n: q for m in (raster, catalogue, network, samples, places, streams, roads) for n, q in m.lens.sql.items()}
 SMALL_BUDGET = {"s_largest_remainder", "s_seeded_pick", "s_manifest_digest"}
 
 
