@@ -7,14 +7,15 @@ shingles last and is by hash else, so that passages which many documents share m
 1. One scan gives each document its set's hash and size, and shingles that recur within a batch.
 2. Frequent shingles are those with the highest summed counts; at most `most_frequent` go to the scans, the count
    from which a shingle is frequent being raised until they fit. Any choice gives the same result.
-3. A second scan gives the prefix shingles; those of one set only go. What stays makes tiles (shingle, size band);
+3. A second scan gives the prefix shingles, dealt by ranges of their hashes; those of one set only go. What stays makes tiles (shingle, size band);
    a set is also a visitor of the next band's tile, as linked sizes differ by 4/3 at most.
-4. In rounds, one set of each component is compared, exactly, with the centre of the tiles it shares most. That joins
-   near copies of one text without pairing all of them.
+4. Each set is compared, exactly, with the centre of the tiles it shares most. That joins near copies of one text
+   without pairing all of them.
 5. In tiles that still hold several components, sets of different components are compared by bitmaps: bits set in
    one and not in the other bound the overlap from above. Rows outside a tile's largest component go to every chunk
    of the tile, so a large tile is spread over tasks and its members of one component are never paired.
-6. Pairs that the bound leaves are intersected exactly; links give components."""
+6. Pairs that the bound leaves are intersected exactly: first the best of each set, in rounds that merge components,
+   and then all that are left between different components. Links give components."""
 
 from __future__ import annotations
 
@@ -65,8 +66,8 @@ def band(n: int, percent: int) -> int:
 
 
 def width(of_band: int, percent: int) -> int:
-    """Bits of the signatures in a band: a power of two of about the sets' size, 64 to 16384."""
-    return 1 << min(14, max(6, int(np.ceil(of_band * np.log2(100 / percent)))))
+    """Bits of the signatures in a band: a power of two of about four times the sets' size, 64 to 65536."""
+    return 1 << min(16, max(6, int(np.ceil(of_band * np.log2(100 / percent))) + 2))
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -133,25 +134,69 @@ def _frequent(counts: DataFrame, least: int, most: int) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in totals.where(F.col("copies") >= limit).select("token").collect()], dtype=np.int64).view(np.uint64))
 
 
-def _prefixes(rows: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """token, sig, n for the prefix shingles of every document."""
+def _prefixes(rows: DataFrame, n: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
+    """bucket, sig, n, tokens: the prefix shingles of every document by ranges of hashes, once per set and batch."""
+    shift = np.uint64(64 - max(1, int(np.log2(buckets))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _batches(batches, n):
-            out, every = [], np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            at = np.searchsorted(frequent, every)
-            often, first = (frequent[np.minimum(at, len(frequent) - 1)] == every if len(frequent) else np.zeros(len(every), bool)), 0
-            for s in sets:
-                last = often[first : first + len(s)]
-                first += len(s)
-                rare = s[~last]
-                size = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
-                out.append(rare[:size] if len(rare) >= size else np.concatenate((rare, s[last][: size - len(rare)])))
-            sizes = np.array([len(x) for x in out], dtype=np.int64)
-            columns = (np.concatenate(out).view(np.int64) if out else sizes, np.repeat(np.array([set_hash(s) for s in sets], dtype=np.int64), sizes), np.repeat(np.array([len(s) for s in sets], dtype=np.int64), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "sig", "n"])
-
-    return rows.select("text").mapInArrow(scan, "token long, sig long, n long")
+        for batch in batches:
+            known: set[int] = set()
+            for part in slices(batch, "text"):
+                sets = []
+                for s in shingle_sets(*text_bytes(part.column("text")), n):
+                    if len(s) and (sig := set_hash(s)) not in known:
+                        known.add(sig)
+                        sets.append((sig, s))
+                every, first, out = np.concatenate([s for _, s in sets] or [np.zeros(0, np.uint64)]), 0, []
+                often = frequent[np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)] == every if len(frequent) else np.zeros(len(every), bool)
+                for sig, s in sets:
+                    last = often[first : first + len(s)]
+                    first += len(s)
+                    rare, size = s[~last], len(s) - least_overlap(len(s), percent) + 1
+                    tokens = rare[:size] if len(rare) >= size else np.sort(np.concatenate((rare, s[last][: size - len(rare)])))
+                    at = tokens >> shift
+                    cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                    out += [(int(at[i]), sig, len(s), tokens[i:z].tobytes()) for i, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tokens)], strict=True)]
+                columns = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "sig", "n", "tokens"])
+
+    return rows.select("text").mapInArrow(scan, "bucket long, sig long, n long, tokens binary")
+
+
+def _shared(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """token, sig, n of the prefix shingles that two or more sets have. A bucket is sorted in memory; buckets are as
+    many as make it about a million shingles."""
+
+    def common(sigs: list[int], sizes: list[int], tokens: list[bytes]) -> pa.RecordBatch:
+        t = np.frombuffer(b"".join(tokens), dtype=np.uint64)
+        row = np.repeat(np.arange(len(sigs)), [len(x) // 8 for x in tokens])
+        sig = np.array(sigs, dtype=np.int64)
+        order = np.lexsort((sig[row], t))
+        t, row = t[order], row[order]
+        new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (sig[row[1:]] != sig[row[:-1]])))) if len(t) else np.zeros(0, np.int64)
+        t, row = t[new], row[new]
+        same = t[1:] == t[:-1]
+        often = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(t) else np.zeros(0, bool)
+        columns = (t[often].view(np.int64), sig[row[often]], np.array(sizes, dtype=np.int64)[row[often]])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "sig", "n"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list] = ([], [], [])
+        key = None
+        for batch in batches:
+            bucket = np.asarray(batch.column("bucket"))
+            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
+            for i, z in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+                if bucket[i] != key and held[0]:
+                    yield common(*held)
+                    held = ([], [], [])
+                key = bucket[i]
+                for into, name in zip(held, ("sig", "n", "tokens"), strict=True):
+                    into += batch.column(name).slice(i, z - i).to_pylist()
+        if held[0]:
+            yield common(*held)
+
+    return prefixes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, "token long, sig long, n long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -169,8 +214,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataF
     return joined.select("a", "b", "y", "z").mapInArrow(check, "a long, b long")
 
 
-def _candidates(tiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that a chunk of a tile holds and whose bitmaps let them link."""
+def _candidates(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different components that a chunk of a tile holds and whose bitmaps let them link; with `best`, only
+    the pair with the highest bound for each probe."""
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         # rows: sig, n, comp, map, probe, own
@@ -184,7 +230,10 @@ def _candidates(tiles: DataFrame, percent: int) -> DataFrame:
             m = folded(np.frombuffer(raw, dtype=np.uint64)[None, :], bits)
             only, other = np.bitwise_count(m & ~om).sum(1).astype(np.int64), np.bitwise_count(om & ~m).sum(1).astype(np.int64)
             most = np.minimum(size - only, on - other)
-            for x in os[(oc != comp) & ((100 + percent) * most >= percent * (size + on))].tolist():
+            fits = np.flatnonzero((oc != comp) & ((100 + percent) * most >= percent * (size + on)))
+            if best and len(fits):
+                fits = fits[[np.argmax(most[fits] / (size + on[fits]))]]
+            for x in os[fits].tolist():
                 yield (sig, x) if sig < x else (x, sig)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,31 +269,47 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _with_components(tiles: DataFrame, comps: DataFrame) -> DataFrame:
-    return tiles.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+def _stars(tiles: DataFrame) -> DataFrame:
+    """For each set one pair (a, b) with the least set of the tiles that it shares most."""
+    centre = tiles.groupBy("token", "band").agg(F.min("sig").alias("a"), F.count_if("own").alias("homes"), F.count("*").alias("m")).where("homes > 0 and m > 1")
+    stars = tiles.join(centre, ["token", "band"]).where("sig <> a").groupBy(F.col("sig").alias("b"), "a").agg(F.count("*").alias("tiles"))
+    return stars.groupBy("b").agg(F.max_by("a", F.struct("tiles", "a")).alias("a"))
 
 
-def _linked_stars(tiles: DataFrame, nodes: DataFrame, n: int, percent: int, worth: float = 0.02) -> tuple[DataFrame, DataFrame]:
-    """Links between component representatives and tile centres, and the components that they give.
+def _open_chunks(tiles: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the tiles that hold several components, with bitmaps: `own` where a set is at home in the chunk, `probe`
+    where it isn't of the tile's most frequent component and so is compared with the chunk's own."""
+    tiles = tiles.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    several = tiles.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"), F.count("*").alias("m"), F.count_if("own").alias("homes")).where("lo < hi and homes > 0")
+    chunks = F.ceil(F.col("m") / CHUNK)
+    rest = tiles.join(several.select("token", "band", "main", chunks.alias("chunks")), ["token", "band"]).withColumn("home", F.pmod(F.xxhash64("sig"), F.col("chunks")))
+    probe = F.col("comp") != F.col("main")
+    at = F.when(probe, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("home"))
+    spread = rest.withColumn("probe", probe).withColumn("chunk", F.explode(at)).withColumn("here", F.col("chunk") == F.col("home"))
+    return spread.join(nodes.select("sig", "map"), "sig").select("token", "band", "chunk", "sig", "n", "comp", "map", "probe", F.col("here").alias("own"))
 
-    A round tests one new pair per component; rounds end when under a share `worth` of its tests link, as what is
-    left is then found faster by the bitmaps. They only decide what is found early, never what is found."""
-    links = written(tiles.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0))
-    tested, comps = links, components(links)
-    while True:
-        held = _with_components(tiles, comps).groupBy("token", "band", "comp").agg(F.min("sig").alias("b"), F.bool_or("own").alias("own"))
-        centre = held.groupBy("token", "band").agg(F.min(F.struct(F.col("b").alias("a"), "comp")).alias("c"), F.count("*").alias("m"), F.bool_or("own").alias("homes")).where("m > 1 and homes")
-        stars = held.join(centre, ["token", "band"]).where("comp <> c.comp").groupBy("comp", F.col("c.a").alias("a"), "b").agg(F.count("*").alias("tiles"))
-        fresh = stars.join(tested, ["a", "b"], "left_anti").groupBy("comp").agg(F.max(F.struct("tiles", "a", "b")).alias("s"))
-        pairs = written(fresh.select("s.a", "s.b").distinct())
+
+def _links(tiles: DataFrame, nodes: DataFrame, n: int, percent: int, worth: float = 0.05, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Links that give the components, and the components (node, comp).
+
+    First each set is tested with one centre. Then, in rounds, each set outside its tile's main component is tested
+    with the set of another component that has the highest bound; that merges most components. Rounds end when under a
+    share `worth` of their tests link. At last every pair of different components that the bitmaps leave is tested, so
+    no link between what is then different components is missed, however the rounds went."""
+    links = written(_verified(_stars(tiles), nodes, n, percent))
+    comps = written(components(links))
+    for _ in range(rounds):
+        pairs = written(_candidates(_open_chunks(tiles, comps, nodes), percent, best=True))
         found = written(_verified(pairs, nodes, n, percent))
-        n_pairs, n_found = pairs.count(), found.count()
-        links = links.unionByName(found)
-        if n_found:
-            comps = written(components(written(links)))
-        if n_found <= worth * n_pairs:
-            return links, comps
-        tested = tested.unionByName(pairs)
+        tests, hits = pairs.count(), found.count()
+        if hits:
+            links = written(links.unionByName(found))
+            comps = written(components(links))
+        if hits <= worth * tests:
+            break
+    last = written(_verified(_candidates(_open_chunks(tiles, comps, nodes), percent, best=False), nodes, n, percent))
+    links = links.unionByName(last)
+    return links, comps if last.isEmpty() else components(written(links))
 
 
 def _banded(percent: int, most: int = 1 << 40) -> Callable[[str], F.Column]:
@@ -266,25 +331,15 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: i
     scanned = written(_first_scan(rows, n))
     each = scanned.where("n is not null").select("id", "rid", "n", "sig")
     frequent = _frequent(scanned.where("token is not null"), least_frequent, most_frequent)
-    prefixes = _prefixes(rows, n, percent, frequent)
-    shared = prefixes.groupBy("token").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi").select("token")
-    kept = written(prefixes.join(shared, "token").groupBy("token", "sig").agg(F.max("n").alias("n")))
+    shingles = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - percent) // 100
+    buckets = 1 << max(3, (shingles // 1_000_000).bit_length())
+    kept = written(_shared(_prefixes(rows, n, percent, frequent, buckets), buckets))
     banded = kept.withColumn("band", _banded(percent)("n"))
     tiles = banded.withColumn("own", F.lit(True)).unionByName(banded.withColumn("band", F.col("band") + 1).withColumn("own", F.lit(False)))
     wanted = each.join(kept.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
     texts = packed_texts(rows.select("rid", "text"))
     nodes = written(_nodes(texts.join(wanted, "rid").dropDuplicates(["sig"]), n, percent))
-    first, comps = _linked_stars(tiles, nodes, n, percent)
-    tiles = _with_components(tiles, comps)
-    open_tiles = tiles.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"), F.count("*").alias("m"), F.count_if("own").alias("homes")).where("lo < hi and homes > 0")
-    chunks = F.ceil(F.col("m") / CHUNK)
-    rest = tiles.join(open_tiles.select("token", "band", "main", chunks.alias("chunks")), ["token", "band"]).withColumn("home", F.pmod(F.xxhash64("sig"), F.col("chunks")))
-    probe = F.col("comp") != F.col("main")
-    at = F.when(probe, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("home"))
-    spread = rest.withColumn("probe", probe).withColumn("chunk", F.explode(at)).withColumn("here", F.col("chunk") == F.col("home"))
-    placed = spread.join(nodes.select("sig", "map"), "sig").select("token", "band", "chunk", "sig", "n", "comp", "map", "probe", F.col("here").alias("own"))
-    second = _verified(_candidates(placed, percent), nodes, n, percent)
-    comps = components(written(first.unionByName(second)))
+    _, comps = _links(tiles, nodes, n, percent)
     labelled = each.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     labelled = written(labelled)
     least = labelled.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
