@@ -55,15 +55,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(*frames: DataFrame) -> None:
-    """Delete the tables behind frames made by written(), once nothing reads them any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def held_out(id_col: str, mod: int, is_out: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder is_out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == is_out, F.lit(False))
