@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import lower_ascii, mix, prefix_hash, slices, span_hash, text_bytes, word_spans, written
 from tidemark.llm.repeats import by_bytes, packed_texts, unpacked
 
-CHUNK = 1024
+#: Rows of a tile that are compared in one go, and rows from which a tile counts as large.
+CHUNK, LARGE = 1024, 64
+#: Pairs whose ids are sent to all tasks at most (16 bytes each).
+MOST_SENT = 500_000
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -66,8 +69,8 @@ def band(n: int, percent: int) -> int:
 
 
 def width(of_band: int, percent: int) -> int:
-    """Bits of the signatures in a band: a power of two of about four times the sets' size, 64 to 65536."""
-    return 1 << min(16, max(6, int(np.ceil(of_band * np.log2(100 / percent))) + 2))
+    """Bits of the signatures in a band: a power of two of about twice the sets' size, 64 to 32768."""
+    return 1 << min(15, max(6, int(np.ceil(of_band * np.log2(100 / percent))) + 1))
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -200,7 +203,8 @@ def _shared(prefixes: DataFrame, buckets: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of node hashes that link."""
+    """The pairs (a, b) of node hashes that link. Up to MOST_SENT pairs, texts that none of them names are left out
+    before texts are shuffled, by sending the ids to the nodes' tasks; beyond that all texts are."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +214,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataF
                 good = pa.array([linked(x, y, percent) for x, y in sets], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(good)
 
+    if pairs.count() <= MOST_SENT:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        nodes = nodes.join(F.broadcast(ids), "sig", "left_semi")
     joined = pairs.join(nodes.select(F.col("sig").alias("b"), F.col("z").alias("y")), "b").join(nodes.select(F.col("sig").alias("a"), "z"), "a")
     return joined.select("a", "b", "y", "z").mapInArrow(check, "a long, b long")
 
@@ -276,11 +283,29 @@ def _stars(tiles: DataFrame) -> DataFrame:
     return stars.groupBy("b").agg(F.max_by("a", F.struct("tiles", "a")).alias("a"))
 
 
-def _open_chunks(tiles: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps let them link."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("na", "ma", "nb", "mb")), strict=True):
+                bits = min(len(x), len(y)) * 8
+                x, y = (folded(np.frombuffer(r, dtype=np.uint64)[None, :], bits)[0] for r in (x, y))
+                most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+                good.append((100 + percent) * most >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"m{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(scan, "a long, b long")
+
+
+def _open_chunks(tiles: DataFrame, comps: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
     """Rows of the tiles that hold several components, with bitmaps: `own` where a set is at home in the chunk, `probe`
-    where it isn't of the tile's most frequent component and so is compared with the chunk's own."""
+    where it isn't of the tile's most frequent component and so is compared with the chunk's own; tiles under `least`
+    rows are left out."""
     tiles = tiles.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    several = tiles.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"), F.count("*").alias("m"), F.count_if("own").alias("homes")).where("lo < hi and homes > 0")
+    several = tiles.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"), F.count("*").alias("m"), F.count_if("own").alias("homes")).where(f"lo < hi and homes > 0 and m >= {least}")
     chunks = F.ceil(F.col("m") / CHUNK)
     rest = tiles.join(several.select("token", "band", "main", chunks.alias("chunks")), ["token", "band"]).withColumn("home", F.pmod(F.xxhash64("sig"), F.col("chunks")))
     probe = F.col("comp") != F.col("main")
@@ -292,14 +317,14 @@ def _open_chunks(tiles: DataFrame, comps: DataFrame, nodes: DataFrame) -> DataFr
 def _links(tiles: DataFrame, nodes: DataFrame, n: int, percent: int, worth: float = 0.05, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Links that give the components, and the components (node, comp).
 
-    First each set is tested with one centre. Then, in rounds, each set outside its tile's main component is tested
+    First each set is tested with one centre. Then, in rounds over large tiles, each set outside its tile's main component is tested
     with the set of another component that has the highest bound; that merges most components. Rounds end when under a
     share `worth` of their tests link. At last every pair of different components that the bitmaps leave is tested, so
     no link between what is then different components is missed, however the rounds went."""
-    links = written(_verified(_stars(tiles), nodes, n, percent))
+    links = written(_verified(written(_bounded(_stars(tiles), nodes, percent)), nodes, n, percent))
     comps = written(components(links))
     for _ in range(rounds):
-        pairs = written(_candidates(_open_chunks(tiles, comps, nodes), percent, best=True))
+        pairs = written(_candidates(_open_chunks(tiles, comps, nodes, LARGE), percent, best=True))
         found = written(_verified(pairs, nodes, n, percent))
         tests, hits = pairs.count(), found.count()
         if hits:
@@ -307,7 +332,8 @@ def _links(tiles: DataFrame, nodes: DataFrame, n: int, percent: int, worth: floa
             comps = written(components(links))
         if hits <= worth * tests:
             break
-    last = written(_verified(_candidates(_open_chunks(tiles, comps, nodes), percent, best=False), nodes, n, percent))
+    pairs = written(_candidates(_open_chunks(tiles, comps, nodes), percent, best=False))
+    last = written(_verified(pairs, nodes, n, percent))
     links = links.unionByName(last)
     return links, comps if last.isEmpty() else components(written(links))
 
@@ -348,13 +374,13 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: i
 
 
 def _nodes(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig, z (the compressed text of one document of the set) and map, the bitmap signature of its band's width."""
+    """sig, n, z (the compressed text of one document of the set) and map, the bitmap signature of its band's width."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, raw in by_bytes(batch):
                 sets = shingle_sets(*text_bytes(raw), n)
                 maps = [bitmap(s, width(band(len(s), percent), percent)).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("sig"), part.column("z"), pa.array(maps, pa.binary())], ["sig", "z", "map"])
+                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array(map(len, sets), pa.int64()), part.column("z"), pa.array(maps, pa.binary())], ["sig", "n", "z", "map"])
 
-    return texts.select("sig", "z").mapInArrow(scan, "sig long, z binary, map binary")
+    return texts.select("sig", "z").mapInArrow(scan, "sig long, n long, z binary, map binary")
