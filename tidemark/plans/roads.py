@@ -34,7 +34,7 @@ def n_road_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lens()
 def n_shrunk_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes whose component shrinks when pieces of over 30 metres close; held against a search in the tests."""
+    """Nodes whose component shrinks when pieces of over 30 metres close."""
     p = graph.written(roads.pieces(outlines(spark, sf_dir), "id").select(F.to_json("u").alias("a"), F.to_json("v").alias("b"), "length"))
     return roads.shrunk_components(graph.components(p), graph.components(p.where("length <= 30")))
 
