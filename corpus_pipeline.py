@@ -24,11 +24,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: that whose id names the component."""
-    groups = jaccard.similar_sets(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each group of linked rows stays: the least by doc_id (null last), hash of the text and row key.
+
+    Rows are told apart by a key that is written once, not by doc_id: unlinked rows stay, whether or not their ids are
+    null or repeated. Texts without words link with nothing; of these, rows with the same id and text are one document."""
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    text = keyed.select("key", F.col("doc.doc_id").alias("id"), F.col("doc.text").alias("text"))
+    sets = jaccard.similar_sets(text.select("key", "text"), "key")
+    wordless = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    group = [F.when(~wordless, F.col("component_id")).alias("component"), F.when(wordless, F.col("id")).alias("of"), F.when(wordless, F.col("text")).alias("blank")]
+    rows = text.join(sets, "key").select(*group, F.struct(F.col("id").isNull(), "id", F.xxhash64("text"), "key").alias("order"))
+    first = rows.groupBy("component", "of", "blank").agg(F.min("order").alias("order")).select("order.key")
+    return keyed.join(first, "key", "left_semi").select("doc.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,3 +50,12 @@ def test_repeated_rows_and_clashes(spark, sf_dir):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_near_duplicates_keep_unlinked_rows(spark, sf_dir):
+    """Null and repeated ids: rows stay unless their texts link; a null-id copy doesn't displace its document."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(2)), (8, text(3)), (8, text(4)), (9, text(5)), (9, text(5)), (10, None), (10, None), (None, text(0))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([(None, text(0)), (None, text(1)), (7, text(2)), (8, text(3)), (8, text(4)), (9, text(5)), (10, None)], key=repr)

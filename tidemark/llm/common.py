@@ -112,7 +112,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int, inverse: bool) -> np.ndarray:
     key = "inverse" if inverse else "power"
-    if len(_powers.get(key, ())) < n:
+    if len(_powers.get(key, ())) < max(1, n):
         base = np.full(1 << max(12, math.ceil(math.log2(n + 1))), pow(int(_MULT), -1, 1 << 64) if inverse else _MULT, dtype=np.uint64)
         base[0] = 1
         _powers[key] = np.multiply.accumulate(base)
