@@ -216,6 +216,23 @@ def test_search(spark):
     assert search.exact_topk(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_repeated_queries(spark):
+    """A query row that is repeated is searched once; each different vector of one id has a search of its own."""
+    rng = np.random.default_rng(4)
+    data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 120)]
+    other = [float(x) for x in rng.normal(size=8)]
+    repeated = data + [data[19], data[19], (20, [*data[19][1], 0.0]), (40, other), (41, data[40][1]), (41, data[40][1])]
+    df = spark.createDataFrame(repeated, "vec_id bigint, embedding array<double>")
+    vec = [(i, np.pad(np.floor(np.array(v) * 64).astype(int), (0, 9 - len(v)))) for i, v in repeated]
+    want = []
+    for q in (20, 40):
+        for no, v in enumerate(sorted({tuple(v.tolist()) for i, v in vec if i == q}), 1):
+            best = sorted((-int(np.array(v) @ c), i) for i, c in vec if i != q)[:20]
+            want += [(q, no, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    got = rows(search.exact_topk(df, F.col("vec_id").isin(20, 40), block=32, query_no=True))
+    assert got == by_repr(want) and [sum(r[:2] == x for r in got) for x in ((20, 1), (40, 1), (40, 2))] == [20, 20, 20]
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, sf_dir, name):
     assert spark_rows(registry.queries()[name](spark, sf_dir)) == duck_rows(registry.oracle_sql()[name], sf_dir)

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OUT = "query_id long, vec_id long, score long"
+_OUT = "query_id long, query_no int, vec_id long, score long"
 
 
 def quantise(vec: Column, scale: int) -> Column:
@@ -36,7 +36,7 @@ def posting_segments(vectors: np.ndarray) -> list[tuple[int, np.ndarray, np.ndar
 
 
 def score_block(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of one block for each query: segments are added to all accumulators by descending
+    """Row of the query, id and score of the k best candidates of one block for each query: segments are added to all accumulators by descending
     impact until few candidates can still be among the best; those are scored again exactly.
 
     What is not yet added to an accumulator is at most (largest open impact) * (L1 norm of the query on the open
@@ -66,37 +66,45 @@ def score_block(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, vectors:
     order = np.lexsort((cid[ci], -exact, qi))
     qi, ci, exact = qi[order], ci[order], exact[order]
     best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-    return qid[qi[best]], cid[ci[best]], exact[best]
+    return qi[best], cid[ci[best]], exact[best]
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096, query_no: bool = False) -> DataFrame:
     """For each row where is_query holds, the k rows of other ids with the highest integer inner products.
 
     Rows and queries are dealt by hash into blocks of about `block` rows, and each pair of a query block and a row
     block is one bounded group. Ties go to the smaller id. Defined results: null ids, and vectors that are null or
     hold null or non-finite components, take no part; shorter vectors count as padded with zeros; equal ids are one
-    another's own; with fewer candidates than k all are returned; an empty table gives no rows. Other columns of
-    the input are ignored. Returns query_id, rank, vec_id, score."""
+    another's own; repeated query rows are searched once, and an id with several different vectors is searched once
+    for each, so it has ranks 1 to k as many times (query_no, from 1 in the order of the id's quantised vectors, tells
+    them apart and is returned on request); as candidates, repeated rows count one by one; with fewer candidates than
+    k all are returned; an empty table gives no rows. Other columns of the input are ignored. Returns query_id, rank,
+    vec_id, score."""
     base = vectors.select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vec_col), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and vec is not null")
     n, nq, width = base.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     row_blocks, query_blocks = max(1, -(-n // block)), max(1, -(-nq // block))
+    width = max(1, width)
     base = base.withColumn("salt", F.xxhash64("id", F.lit("block")))
     rows = base.select("id", "vec", F.pmod("salt", F.lit(row_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-    queries = base.where("q").select("id", "vec", F.pmod("salt", F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("cb"))
-    width = max(1, width)
+    padded = F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("vec")))
+    queries = base.where("q").select("id", padded.alias("vec"), "salt").distinct().withColumn("no", F.row_number().over(Window.partitionBy("id").orderBy("vec")))
+    queries = queries.select("id", "no", "vec", F.pmod("salt", F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("cb"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         cid, cand = np.asarray(right["id"]), _matrix(right["vec"], width)
         for i in range(0, len(left) if len(cid) else 0, 512):
             part = left.slice(i, 512)
-            found.append(score_block(np.asarray(part["id"]), _matrix(part["vec"], width), cid, cand, k))
-        parts = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(x, pa.int64()) for x in parts), strict=True)))
+            qid = np.asarray(part["id"])
+            at, *best = score_block(qid, _matrix(part["vec"], width), cid, cand, k)
+            found.append((qid[at], np.asarray(part["no"])[at], *best))
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("query_id", "query_no", "vec_id", "score"), parts, kinds, strict=True)})
 
     found = queries.groupBy("qb", "cb").cogroup(rows.groupBy("qb", "cb")).applyInArrow(score, _OUT)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", *(["query_no"] if query_no else []), "rank", "vec_id", "score")
 
 
 ORACLE_SQL = """
