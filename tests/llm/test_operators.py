@@ -200,6 +200,23 @@ def test_tool_calls_edges(spark):
     assert toolcalls.digest(odd.limit(0)).count() == 0
 
 
+def test_tool_calls_keep_every_row(spark):
+    """Calls and results of one id, and rows without ids, have rows and JSON of their own."""
+    calls = spark.createDataFrame([
+        (1, "a", 1, "reply", {"text": '"first"', "words": "1"}, None), (1, "a", 1, "reply", {"text": '"other"', "words": "1"}, None), (1, "a", 3, "reply", {"text": '"later"', "words": "1"}, ["b"]), (1, "b", 2, "reply", {"text": '"b"', "words": "1"}, ["a"]),
+        (1, None, 5, "reply", {"text": '"no id"', "words": "1"}, ["b"]), (1, None, 5, "reply", {"text": '"no id 2"', "words": "1"}, None), (None, "a", 1, "reply", {"text": '"x"', "words": "1"}, ["a"]), (None, "a", 1, "reply", {"text": '"y"', "words": "1"}, None),
+    ], "conv_id long, call_id string, turn long, tool string, arguments map<string,string>, after array<string>")
+    results = spark.createDataFrame([(1, "a", 2, "one"), (1, "a", 2, "two"), (1, "a", 2, "two"), (None, "a", 2, "p"), (None, "a", 2, "p"), (1, "z", 1, "s"), (1, "z", 1, "t"), (1, None, 1, "q")], "conv_id long, call_id string, turn long, content string")
+    linked = toolcalls.link(calls, results, toolcalls.turn_schemas(spark)).withColumns({"said": F.get_json_object("json", "$.arguments.text"), "result": F.get_json_object("json", "$.result")})
+    assert rows(linked.select("conv_id", "call_id", "said", "result", "status", "level", "n_results")) == by_repr([
+        (1, "a", "first", "one", "linked", 0, 3), (1, "a", "other", None, "duplicate call", 0, 0), (1, "a", "later", None, "duplicate call", 2, 0), (1, "b", "b", None, "unanswered", 1, 0), (1, "a", None, "two", "duplicate result", None, 2),
+        (1, None, "no id", None, "unlinkable", 2, 0), (1, None, "no id 2", None, "unlinkable", 0, 0), (None, "a", "x", None, "unlinkable", 0, 0), (None, "a", "y", None, "unlinkable", 0, 0),
+        (None, "a", None, "p", "unlinkable", None, 1), (None, "a", None, "p", "unlinkable", None, 1), (1, None, None, "q", "unlinkable", None, 1), (1, "z", None, "s", "orphan", None, 2), (1, "z", None, "t", "duplicate result", None, 1),
+    ])
+    null_turns = spark.createDataFrame([(1, None, "assistant", "x"), (1, None, "assistant", "y"), (2, 1, "assistant", "x"), (2, 1, "assistant", "y"), (None, 1, "assistant", "x"), (None, 1, "assistant", "y")], "conv_id bigint, turn bigint, role string, text string")
+    assert toolcalls.digest(null_turns).select("json_sha256").distinct().count() == 4 and toolcalls.digest(null_turns).count() == 6
+
+
 def test_search(spark):
     rng = np.random.default_rng(3)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]

@@ -34,21 +34,19 @@ def _same(a: str, b: str, *names: str) -> Column:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of calls (one row each) with `after`, the ids of calls that must come first.
-
-    Level 0 has no known predecessor; others come one after their latest. Each round resolves the calls all of whose
-    predecessors are resolved, so there are as many rounds as levels; what a cycle holds back gets no row."""
-    edges = calls.select(*_KEY, F.explode(F.array_distinct("after")).alias("parent"))
-    known = edges.alias("e").join(calls.select(*_KEY).alias("p"), F.col("e.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("e.parent") == F.col("p.call_id"))).select("e.*")
-    known = written(known)
-    needs = known.groupBy(*_KEY).agg(F.count("*").alias("needed"))
-    done = written(calls.alias("c").join(needs.alias("n"), _same("c", "n", *_KEY), "left_anti").select(*_KEY, F.lit(0).alias("level")))
+    """row, level of calls (conv_id, call_id, row, first) with `after`, the ids of calls that must come first.
+
+    An id means the call of that id where `first` holds; null ids are no one's. Level 0 has no known predecessor;
+    others come one after their latest. Each round resolves the calls all of whose predecessors are resolved, so there
+    are as many rounds as levels; what a cycle holds back gets no row."""
+    edges = calls.where("conv_id is not null").select("row", "conv_id", F.explode(F.array_distinct("after")).alias("call_id"))
+    known = written(edges.join(calls.where("first").select(*_KEY, F.col("row").alias("parent")), [*_KEY]).select("row", "parent"))
+    needs = known.groupBy("row").agg(F.count("*").alias("needed"))
+    done = written(calls.join(needs, "row", "left_anti").select("row", F.lit(0).alias("level")))
     waiting, total = needs, done.count()
     while True:
-        met = known.alias("e").join(done.alias("d"), F.col("e.conv_id").eqNullSafe(F.col("d.conv_id")) & (F.col("e.parent") == F.col("d.call_id")))
-        met = met.groupBy("e.conv_id", "e.call_id").agg(F.count("*").alias("met"), (F.max("level") + 1).alias("level"))
-        ready = met.alias("m").join(waiting.alias("w"), _same("m", "w", *_KEY)).where("met = needed").select("m.conv_id", "m.call_id", "level")
-        ready = ready.alias("r").join(done.alias("d"), _same("r", "d", *_KEY), "left_anti").select(*_KEY, "level")
+        met = known.join(done.withColumnRenamed("row", "parent"), "parent").groupBy("row").agg(F.count("*").alias("met"), (F.max("level") + 1).alias("level"))
+        ready = met.join(waiting, "row").where("met = needed").join(done, "row", "left_anti").select("row", "level")
         done = written(done.unionByName(ready))
         count = done.count()
         if count == total:
@@ -73,35 +71,50 @@ def errors(arguments: Column, params: Column) -> Column:
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
-    """One row per call, and per result id without a call.
+    """One row per call, and per result that isn't the first of a call.
 
     calls: conv_id, call_id, turn, tool, arguments map<string,string>, after array<string>; results: conv_id, call_id,
     turn, content; schemas: tool, name, kind, required (a few rows per tool). Returns conv_id, call_id, turn, tool,
     level, n_results, status, errors, json; sorted by (level, turn, call_id) a conversation's calls are in topological
-    order. Status: orphan (a result without a call), cyclic, unknown tool, invalid (arguments), early (the result
-    comes before its call), unanswered, else linked.
-    Defined results: null ids match null ids; of calls with the same id the first by turn and JSON counts, of results
-    the first by turn and content; null arguments are an empty object; a null result is the text null; empty tables
-    give no rows. Columns of other names are ignored."""
+    order. Status of calls: duplicate call (another one has its id and comes first), cyclic, unknown tool, invalid
+    (arguments), unlinkable (no conv_id or call_id), early (the result comes before its call), unanswered, else
+    linked; of results: unlinkable, duplicate result (another one has its id and comes first), orphan (no call).
+    Defined results: null ids match nothing, and each such row stands for itself; of calls with the same id the first
+    by turn and JSON is linked and is what `after` means, of results the first by turn and content; the others have
+    rows with their own JSON. Of results equal in all columns with an id there is one row; n_results counts all
+    results of an id in the row of the first, and the equal ones in the row of another. Null arguments are an empty
+    object; a null result is the text null; empty tables give no rows. Columns of other names are ignored."""
     empty = F.create_map().cast("map<string,string>")
+    has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     calls = calls.select(*_KEY, "turn", "tool", F.coalesce("arguments", empty).alias("arguments"), F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    first = F.struct("turn", canonical(F.col("arguments")).alias("args"), "tool", F.map_entries("arguments").alias("entries"), "after")
-    calls = written(calls.groupBy(*_KEY).agg(F.min(first).alias("c")).select(*_KEY, "c.turn", "c.args", "c.tool", F.map_from_entries("c.entries").alias("arguments"), "c.after"))
-    results = results.groupBy(*_KEY).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n")).select(*_KEY, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n")
+    calls = written(calls.withColumns({"args": canonical(F.col("arguments")), "row": F.monotonically_increasing_id()}))
+    order = F.struct("turn", "args", "tool", F.map_entries("arguments").alias("entries"), "after", "row")
+    first = calls.where(has_id).groupBy(*_KEY).agg(F.min(order).alias("c")).select("c.row", F.lit(True).alias("first"))
+    calls = written(calls.join(first, "row", "left").withColumn("first", F.coalesce("first", F.lit(False))))
+
     params = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("name", "kind", "required"))).alias("params"))
-    checked = calls.alias("c").join(params.alias("p"), "tool", "left").join(levels(calls).alias("l"), _same("c", "l", *_KEY), "left")
-    checked = checked.select("c.*", "level", F.col("params").isNotNull().alias("declared"), F.coalesce(errors(F.col("arguments"), F.col("params")), F.array().cast("array<string>")).alias("errors"))
-    joined = checked.withColumn("called", F.lit(True)).hint("shuffle_hash").alias("c").join(results.alias("r"), _same("c", "r", *_KEY), "full_outer")
+    checked = calls.join(params, "tool", "left").join(levels(calls), "row", "left")
+    checked = checked.select(*_KEY, "turn", "tool", "args", "level", "first", F.lit(True).alias("called"), F.col("params").isNotNull().alias("declared"), F.coalesce(errors(F.col("arguments"), F.col("params")), F.array().cast("array<string>")).alias("errors"))
+
+    results = results.select(*_KEY, F.col("turn").alias("result_turn"), "content")
+    copies = results.where(has_id).groupBy(*_KEY, "result_turn", "content").agg(F.count("*").alias("n"))
+    heads = copies.groupBy(*_KEY).agg(F.min(F.struct("result_turn", "content")).alias("r"), F.sum("n").alias("n")).select(*_KEY, "r.*", "n")
+    further = copies.alias("x").join(heads.alias("h"), _same("x", "h", *_KEY, "result_turn", "content"), "left_anti").withColumn("further", F.lit(True))
+    lost = results.where(~has_id).withColumns({"n": F.lit(1).cast("long"), "further": F.lit(False)})
+
+    joined = checked.where("first").hint("shuffle_hash").join(heads.withColumn("further", F.lit(False)), [*_KEY], "full_outer")
+    every = checked.where("not first").unionByName(further.unionByName(lost), allowMissingColumns=True).unionByName(joined, allowMissingColumns=True)
     status = (
-        F.when(F.col("called").isNull(), "orphan").when(F.col("level").isNull(), "cyclic").when(~F.col("declared"), "unknown tool").when(F.size("errors") > 0, "invalid")
-        .when(F.col("result_turn") < F.col("c.turn"), "early").when(F.col("n").isNull(), "unanswered").otherwise("linked")
+        F.when(F.col("called").isNull(), F.when(~has_id, "unlinkable").when(F.col("further"), "duplicate result").otherwise("orphan"))
+        .when(has_id & ~F.col("first"), "duplicate call").when(F.col("level").isNull(), "cyclic").when(~F.col("declared"), "unknown tool").when(F.size("errors") > 0, "invalid")
+        .when(~has_id, "unlinkable").when(F.col("result_turn") < F.col("turn"), "early").when(F.col("n").isNull(), "unanswered").otherwise("linked")
     )
-    pick = lambda name: F.when(F.col("called").isNotNull(), F.col(f"c.{name}")).otherwise(F.col(f"r.{name}")).alias(name)
     body = F.create_map(
-        F.lit("arguments"), F.coalesce("args", F.lit("null")), F.lit("id"), quoted(F.coalesce("c.call_id", "r.call_id")),
+        F.lit("arguments"), F.coalesce("args", F.lit("null")), F.lit("id"), quoted(F.col("call_id")),
         F.lit("name"), quoted(F.col("tool")), F.lit("result"), F.when(F.col("n").isNotNull(), quoted(F.col("content"))).otherwise("null"),
     )
-    return joined.select(pick("conv_id"), pick("call_id"), F.coalesce("c.turn", "result_turn").alias("turn"), "tool", "level", F.coalesce("n", F.lit(0)).cast("long").alias("n_results"), status.alias("status"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), canonical(body).alias("json"))
+    turn = F.when(F.col("called").isNull(), F.col("result_turn")).otherwise(F.coalesce("turn", "result_turn"))
+    return every.select(*_KEY, turn.alias("turn"), "tool", "level", F.coalesce("n", F.lit(0)).cast("long").alias("n_results"), status.alias("status"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), canonical(body).alias("json"))
 
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
