@@ -50,6 +50,28 @@ def test_jaccard(spark, sf_dir, odd, knobs):
         assert rows(jaccard.similar_sets(df, **knobs)) == by_repr(brute.jaccard(pairs(df)))
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_jaccard_links(spark, odd, monkeypatch, block):
+    """Every link between different sets, also within components, against all pairs."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    df = odd.where("doc_id is not null")
+    sets = {}
+    for i, t in pairs(df):
+        w = brute.words(t and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    different = list(set(sets.values()) - {frozenset()})
+    links = {frozenset((x, y)) for x in different for y in different if x != y and 100 * len(x & y) >= 75 * len(x | y)}
+    count = {x: sum(x in link for link in links) for x in different}
+    assert max(count.values()) > 20
+    if block == 4:
+        got = rows(jaccard.counted_links(df))
+        assert got == by_repr([(i, n, c, count.get(sets[i], 0)) for i, n, c in brute.jaccard(pairs(df))])
+    members, found = jaccard.class_links(df)
+    classes = {r["class_id"]: sets[r["doc_id"]] for r in members.collect() if r["class_id"] is not None}
+    found = [frozenset((classes[r["a"]], classes[r["b"]])) for r in found.collect()]
+    assert len(found) == len(set(found)) and set(found) == links
+
+
 def test_jaccard_parts():
     rng = np.random.default_rng(1)
     for _ in range(200):

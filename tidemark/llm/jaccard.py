@@ -15,7 +15,9 @@ shingles last and is by hash else, so that passages which many documents share m
    one and not in the other bound the overlap from above. Rows outside a tile's largest component go to every chunk
    of the tile, so a large tile is spread over tasks and its members of one component are never paired.
 6. Pairs that the bound leaves are intersected exactly: first the best of each set, in rounds that merge components,
-   and then all that are left between different components. Links give components."""
+   and then all that are left between different components. Links give components.
+7. As components are closed under links, all links between different sets are found by comparing each component's
+   sets in pairs of blocks, exactly. That is done only where links or their numbers are asked for."""
 
 from __future__ import annotations
 
@@ -23,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +34,8 @@ from tidemark.llm.repeats import by_bytes, packed_texts, unpacked
 
 #: Rows of a tile that are compared in one go, and rows from which a tile counts as large.
 CHUNK, LARGE = 1024, 64
+#: Sets of a component that are compared with as many others in one go, and shingles of them at a time.
+BLOCK, SPAN = 256, 4096
 #: Pairs whose ids are sent to all tasks at most (16 bytes each).
 MOST_SENT = 500_000
 
@@ -347,12 +352,84 @@ def _banded(percent: int, most: int = 1 << 40) -> Callable[[str], F.Column]:
     return lambda n: F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col(n)))
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 75, least_frequent: int = 50, most_frequent: int = 200_000) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: the smallest id reachable by links, itself included.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each set on the left with each on the right."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    every = [np.concatenate([*sets, np.zeros(0, np.uint64)]) for sets in (left, right)]
+    common = np.intersect1d(*every)
+    sides = []
+    for sets, tokens in zip((left, right), every, strict=True):
+        place = np.minimum(np.searchsorted(common, tokens), max(0, len(common) - 1))
+        shared = common[place] == tokens if len(common) else np.zeros(len(tokens), bool)
+        row, place = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[shared], place[shared]
+        order = np.argsort(place, kind="stable")
+        sides.append((len(sets), row[order], place[order]))
+    for first in range(0, len(common), SPAN):
+        parts = []
+        for count, row, place in sides:
+            i, z = np.searchsorted(place, (first, first + SPAN))
+            part = np.zeros((count, min(SPAN, len(common) - first)), dtype=np.float32)
+            part[row[i:z], place[i:z] - first] = 1
+            parts.append(part)
+        out += (parts[0] @ parts[1].T).astype(np.int64)
+    return out
 
-    Two documents link if 100 * intersection >= percent * union of their sets. Defined results: texts that are null or
-    have no words have empty sets and link with nothing; repeated rows have equal sets; a null id never names a
-    component that has other ids; an empty table gives no rows; other columns are ignored."""
+
+def _within(nodes: DataFrame, comps: DataFrame, n: int, percent: int, pairs: bool) -> DataFrame:
+    """All links between the sets of each component: pairs (a, b), or rows (sig, n_links) to be summed."""
+
+    def compare(held: list[tuple]) -> Iterator[tuple[int, int]]:
+        # held: home, i, j, sig, z
+        sides = [[r for r in held if r[0] == r[k]] for k in (1, 2)]
+        same = held[0][1] == held[0][2]
+        expand = zstandard.ZstdDecompressor().decompress
+        sets = [shingle_sets(*text_bytes(pa.array([expand(r[4]) for r in side], pa.large_binary())), n) for side in (sides[:1] if same else sides)]
+        left, right = sets[0], sets[-1]
+        both = overlaps(left, right)
+        found = (100 * both >= percent * (np.array(list(map(len, left)))[:, None] + np.array(list(map(len, right)))[None, :] - both)) & (both > 0)
+        if same:
+            np.fill_diagonal(found, False)
+        if pairs:
+            for x, y in zip(*np.nonzero(np.triu(found) if same else found), strict=True):
+                yield tuple(sorted((sides[0][x][3], sides[1][y][3])))
+        else:
+            yield from ((r[3], k) for r, k in zip(sides[0], found.sum(1).tolist(), strict=True))
+            if not same:
+                yield from ((r[3], k) for r, k in zip(sides[1], found.sum(0).tolist(), strict=True))
+
+    names = ("a", "b") if pairs else ("sig", "n_links")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key, out = None, []
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names)
+
+        for batch in batches:
+            for comp, i, j, home, sig, z in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "home", "sig", "z")), strict=True):
+                if (comp, i, j) != key and held:
+                    out += compare(held)
+                    held = []
+                    if len(out) > 50_000:
+                        yield done()
+                        out = []
+                key = (comp, i, j)
+                held.append((home, i, j, sig, z))
+        if held:
+            out += compare(held)
+        yield done()
+
+    blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = comps.withColumnRenamed("node", "sig").join(blocks, "comp").withColumn("home", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.select("comp", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "sig")
+    texts = placed.join(nodes.select("sig", "z"), "sig")
+    return texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(scan, f"{names[0]} long, {names[1]} long")
+
+
+def _joined(docs: DataFrame, id_col: str, n: int, percent: int, least_frequent: int, most_frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """id, n, sig and comp of every document; the nodes; and the components (node, comp) of two or more nodes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, "text").alias("rid"), "text")
     scanned = written(_first_scan(rows, n))
     each = scanned.where("n is not null").select("id", "rid", "n", "sig")
@@ -367,10 +444,39 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: i
     nodes = written(_nodes(texts.join(wanted, "rid").dropDuplicates(["sig"]), n, percent))
     _, comps = _links(tiles, nodes, n, percent)
     labelled = each.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    labelled = written(labelled)
+    return written(labelled), nodes, comps
+
+
+def _named(labelled: DataFrame, id_col: str, *more: str) -> DataFrame:
     least = labelled.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     out = labelled.join(least, "comp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), *more)
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 75, least_frequent: int = 50, most_frequent: int = 200_000) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: the smallest id reachable by links, itself included.
+
+    Two documents link if 100 * intersection >= percent * union of their sets. Defined results: texts that are null or
+    have no words have empty sets and link with nothing; repeated rows have equal sets; a null id never names a
+    component that has other ids; an empty table gives no rows; other columns are ignored."""
+    return _named(_joined(docs, id_col, n, percent, least_frequent, most_frequent)[0], id_col)
+
+
+def counted_links(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 75, least_frequent: int = 50, most_frequent: int = 200_000) -> DataFrame:
+    """similar_sets() with n_links, the number of different sets that link with the document's own."""
+    labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
+    counts = _within(nodes, comps, n, percent, pairs=False).groupBy("sig").agg(F.sum("n_links").alias("n_links"))
+    return _named(labelled.join(counts, "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), id_col, "n_links")
+
+
+def class_links(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 75, least_frequent: int = 50, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """Membership (doc_id, n_shingles, component_id, class_id) and every link (a, b) of two classes once, a < b.
+
+    A class holds the documents of one set and is named by the set's hash; texts without words are in no class (null).
+    Links are as many as there are: their number grows with the square of a group of near copies."""
+    labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
+    members = labelled.withColumn("class_id", F.when(F.col("n") > 0, F.col("sig")))
+    return _named(members, id_col, "class_id"), _within(nodes, comps, n, percent, pairs=True)
 
 
 def _nodes(texts: DataFrame, n: int, percent: int) -> DataFrame:
