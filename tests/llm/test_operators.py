@@ -1,5 +1,6 @@
 """The operators against brute force, SQL, the public library or held-out labels, and on edge cases."""
 
+import hashlib
 import random
 
 import brute
@@ -99,6 +100,17 @@ def test_suffix_array_dedup(spark, sf_dir, odd, group):
         assert rows(got) == by_repr(brute.suffix(pairs(df), length))
 
 
+def test_long_segments(spark):
+    """Segments of over 65,535 units keep their start and length."""
+    rng = random.Random(5)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, heads = make(70_000), [make(1000 + 100 * i) for i in range(2)]
+    texts = ["".join((h, x, passage, y, h[::-1])) for h, x, y in zip(heads, "xy", "yx", strict=True)]
+    got = suffix_array.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 40_000, gram=32)
+    want = [(i, len(t), 70_000, 1, hashlib.sha256(t.replace(passage, "").encode()).hexdigest()) for i, t in enumerate(texts)]
+    assert rows(got) == by_repr(want)
+
+
 def test_automaton_counts_substrings():
     rng = random.Random(2)
     for _ in range(50):

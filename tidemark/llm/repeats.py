@@ -102,7 +102,7 @@ def by_bytes(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[pa.R
 
 
 def _found(docs: DataFrame, how: Repeats) -> DataFrame:
-    """Every segment: rid, loc (first unit * 65536 + units), key, offset of the anchor, content hash seg."""
+    """Every segment: rid, loc (first unit * 2^32 + units), key, offset of the anchor, content hash seg."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +110,7 @@ def _found(docs: DataFrame, how: Repeats) -> DataFrame:
                 prefix, first, _, _ = how.units(*text_bytes(part.column("text")))
                 row, start, units, key, offset, seg = how.anchors(prefix, first)
                 rid = np.asarray(part.column("rid"))[row]
-                columns = (rid, (start << 16) | units, key.view(np.int64), seg.view(np.int64))
+                columns = (rid, (start << 32) | units, key.view(np.int64), seg.view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(offset, pa.int32())], ["rid", "loc", "key", "seg", "offset"])
 
     return docs.select("rid", "text").mapInArrow(find, "rid long, loc long, key long, seg long, offset int")
@@ -128,8 +128,8 @@ def _segment_texts(wanted: DataFrame, packed_docs: DataFrame, how: Repeats) -> D
                 raw, out = buf.tobytes(), []
                 for i, segs in enumerate(part.column("segs").to_pylist()):
                     for s in segs:
-                        a = int(first[i]) + (s["loc"] >> 16)
-                        z = a + (s["loc"] & 0xFFFF)
+                        a = int(first[i]) + (s["loc"] >> 32)
+                        z = a + (s["loc"] & 0xFFFFFFFF)
                         out.append((s["key"], s["seg"], s["n"], s["nd"], s["offset"], b" ".join(raw[starts[a] : ends[z - 1]].split()) if how.words else raw[a:z]))
                 columns = list(zip(*out, strict=True)) or [[]] * 6
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -185,26 +185,26 @@ def _counted(segments: DataFrame, how: Repeats) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, how: Repeats, index: Index) -> DataFrame:
-    """rid and spans (first * 2^24 + units, in units of the document) of all repeated windows; docs: rid, text."""
+    """rid and spans (first * 2^32 + units, in units of the document) of all repeated windows; docs: rid, text."""
     all_segments = written(_found(docs, how))
     per_key = all_segments.groupBy("key").agg(F.count("*").alias("copies"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("copies > 1")
     shared = written(all_segments.join(per_key.select("key", (F.col("lo") == F.col("hi")).alias("alike")), "key"))
-    units = F.col("loc").bitwiseAND(65535)
-    first = F.shiftright("loc", 16)
-    whole = shared.where("alike").select("rid", (first * 16777216 + units).alias("span"))
+    units = F.col("loc").bitwiseAND(0xFFFFFFFF)
+    first = F.shiftright("loc", 32)
+    whole = shared.where("alike").select("rid", (first * 4294967296 + units).alias("span"))
     distinct = shared.where("not alike").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc", "offset")).alias("at"))
     sizes = distinct.groupBy("key").agg(F.count("*").alias("nd"))
     wanted = distinct.join(sizes, "key").select("key", "seg", "n", "nd", "at.*")
     segments = written(_segment_texts(wanted, packed_texts(docs.select("rid", "text")), how))
     spans = _indexed(segments.where(F.col("nd") <= how.group), how, index).unionByName(_counted(segments.where(F.col("nd") > how.group), how))
-    partial = shared.where("not alike").join(spans, "seg").select("rid", ((first + F.col("a")) * 16777216 + F.col("b") - F.col("a")).alias("span"))
+    partial = shared.where("not alike").join(spans, "seg").select("rid", ((first + F.col("a")) * 4294967296 + F.col("b") - F.col("a")).alias("span"))
     return whole.unionByName(partial).groupBy("rid").agg(F.collect_list("span").alias("spans"))
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs that the packed spans cover."""
     spans = np.sort(spans)
-    start, end = spans >> 24, np.maximum.accumulate((spans >> 24) + (spans & 0xFFFFFF)) if len(spans) else spans
+    start, end = spans >> 32, np.maximum.accumulate((spans >> 32) + (spans & 0xFFFFFFFF)) if len(spans) else spans
     new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1]))) if len(spans) else np.zeros(0, np.int64)
     return start[new], end[np.append(new[1:], len(spans)) - 1] if len(spans) else end
 
