@@ -4,18 +4,22 @@ A node is a distinct set of word shingles, so copies cost nothing. Two sets whos
 share a shingle among the first n - ceil(threshold * n) + 1 of each in any common order. The order here puts frequent
 shingles last and is by hash else, so that passages which many documents share make no candidates.
 
-1. One scan gives each document its set's hash and size, and shingles that recur within a batch.
-2. Frequent shingles are those with the highest summed counts; at most `most_frequent` go to the scans, the count
-   from which a shingle is frequent being raised until they fit. Any choice gives the same result.
-3. A second scan gives the prefix shingles, dealt by ranges of their hashes; those of one set only go. What stays makes tiles (shingle, size band);
-   a set is also a visitor of the next band's tile, as linked sizes differ by 4/3 at most.
-4. Each set is compared, exactly, with the centre of the tiles it shares most. That joins near copies of one text
-   without pairing all of them.
+1. One scan gives each document its set's hash, size and bitmap signature, and shingles that recur within some
+   thousand texts with the least set that has them.
+2. Frequent shingles are those with the highest summed counts; at most `most_frequent` go to the second scan, the
+   count from which a shingle is frequent being raised until they fit. Any choice gives the same result.
+3. A second scan takes the prefix shingles. Frequent ones know the key of their group (the least set found with them)
+   and are never gathered. Others are dealt by ranges of their hashes, one packed row per range and batch; there,
+   sets with a common shingle and near enough sizes form a group, named by its least set. Near copies of one text
+   have one group for most of their shingles, so there are far fewer rows than shingles.
+4. Groups are cut into tiles by size band; a set is also a visitor of the next band's tile, as linked sizes differ by
+   4/3 at most. Each set is compared, exactly, with the centre of the tiles it shares most. That joins near copies
+   of one text without pairing all of them. Large tiles have further rounds among the sets left over.
 5. In tiles that still hold several components, sets of different components are compared by bitmaps: bits set in
-   one and not in the other bound the overlap from above. Rows outside a tile's largest component go to every chunk
-   of the tile, so a large tile is spread over tasks and its members of one component are never paired.
-6. Pairs that the bound leaves are intersected exactly: first the best of each set, in rounds that merge components,
-   and then all that are left between different components. Links give components.
+   one and not in the other bound the overlap from above. Rows outside the component of the tile's centre go to every
+   chunk of the tile, so a large tile is spread over tasks and its members of one component are never paired.
+6. Sets that keep a partner are intersected exactly in their chunks; of the links a chunk finds, a forest goes on.
+   Links give components.
 7. As components are closed under links, all links between different sets are found by comparing each component's
    sets in pairs of blocks, exactly. That is done only where links or their numbers are asked for."""
 
@@ -32,12 +36,18 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import lower_ascii, mix, prefix_hash, slices, span_hash, text_bytes, word_spans, written
 from tidemark.llm.repeats import by_bytes, packed_texts, unpacked
 
-#: Rows of a tile that are compared in one go, and rows from which a tile counts as large.
-CHUNK, LARGE = 1024, 64
-#: Sets of a component that are compared with as many others in one go, and shingles of them at a time.
-BLOCK, SPAN = 256, 4096
+#: Rows of a tile's chunk and shingles of them, and rows from which a tile counts as large.
+CHUNK, CHUNK_SHINGLES, LARGE = 1024, 1_000_000, 64
+#: Sets of a component that are compared with as many others in one go, their shingles, and shingles at a time.
+BLOCK, BLOCK_SHINGLES, SPAN = 256, 500_000, 4096
+#: Prefix shingles that one range of hashes should hold, and shingles that a scan holds.
+RANGE, HELD = 1_000_000, 1_000_000
 #: Pairs whose ids are sent to all tasks at most (16 bytes each).
 MOST_SENT = 500_000
+#: Occurrences within HELD shingles from which a shingle is counted.
+RECURS = 4
+
+_TILE = ["key", "band", "chunk"]
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -49,7 +59,8 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     every = span_hash(prefix, begin, begin + n)
     for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if z - a >= n:
-            out.append(np.unique(every[a : z - n + 1]))
+            s = np.sort(every[a : z - n + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
         else:
             out.append(span_hash(prefix, np.array([a]), np.array([z])) if z > a else np.zeros(0, np.uint64))
     return out
@@ -79,10 +90,9 @@ def width(of_band: int, percent: int) -> int:
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
-    out = np.zeros(bits // 64, dtype=np.uint64)
-    place = s & np.uint64(bits - 1)
-    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    return out
+    flags = np.zeros(bits, dtype=bool)
+    flags[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
 
 
 def folded(maps: np.ndarray, bits: int) -> np.ndarray:
@@ -100,111 +110,181 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 18):
             yield part, shingle_sets(*text_bytes(part.column("text")), n)
 
 
-def _first_scan(rows: DataFrame, n: int) -> DataFrame:
-    """One row per document (id, rid, n, sig), and rows (token, copies) for shingles found in several texts of a batch."""
+def _first_scan(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """One row per document (id, rid, n, sig, map), and rows (token, copies, least) for shingles that recur."""
+    names = ["id", "rid", "n", "sig", "map", "token", "copies", "least"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 3
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 6
         held: list[np.ndarray] = []
+        of: list[int] = []
+
+        def recurring() -> pa.RecordBatch:
+            tokens, sig = np.concatenate(held), np.repeat(np.array(of, dtype=np.int64), [len(s) for s in held])
+            order = np.argsort(tokens, kind="stable")
+            tokens, sig = tokens[order], sig[order]
+            first = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+            copies = np.diff(np.append(first, len(tokens)))
+            often = copies >= RECURS
+            none = [pa.nulls(int(often.sum()), k) for k in kinds[:5]]
+            return pa.RecordBatch.from_arrays([*none, pa.array(tokens[first][often].view(np.int64)), pa.array(copies[often], pa.int64()), pa.array(np.minimum.reduceat(sig, first)[often])], names)
 
-        def heavy() -> pa.RecordBatch:
-            token, copies = np.unique(np.concatenate(held), return_counts=True)
-            often = copies > 1
-            none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[often].view(np.int64)), pa.array(copies[often], pa.int64())], names)
-
-        names = ["id", "rid", "n", "sig", "token", "copies"]
         for part, sets in _batches(batches, n):
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rid"), pa.array(map(len, sets), kinds[2]), pa.array(map(set_hash, sets), kinds[3]), none, none], names)
-            held += sets
-            if sum(map(len, held)) > 2_000_000:
-                yield heavy()
-                held = []
+            sigs = list(map(set_hash, sets))
+            maps = [bitmap(s, width(band(len(s), percent), percent)).tobytes() if len(s) else None for s in sets]
+            none = [pa.nulls(len(part), k) for k in kinds[5:]]
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rid"), pa.array(map(len, sets), kinds[2]), pa.array(sigs, kinds[3]), pa.array(maps, kinds[4]), *none], names)
+            full = [(s, x) for s, x in zip(sigs, sets, strict=True) if len(x)]
+            of += [s for s, _ in full]
+            held += [x for _, x in full]
+            if sum(map(len, held)) > HELD:
+                yield recurring()
+                held, of = [], []
         if held:
-            yield heavy()
+            yield recurring()
 
-    return rows.mapInArrow(scan, "id long, rid long, n long, sig long, token long, copies long")
+    return rows.mapInArrow(scan, "id long, rid long, n long, sig long, map binary, token long, copies long, least long")
 
 
-def _frequent(counts: DataFrame, least: int, most: int) -> np.ndarray:
-    """Sorted hashes of the shingles counted least often enough, with the limit doubled until at most `most` stay."""
-    totals = counts.groupBy("token").agg(F.sum("copies").alias("copies")).where(F.col("copies") >= least)
-    totals = written(totals)
+def _frequent(counts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles counted least often enough, with the limit doubled until at most `most` stay, and
+    the least set found with each."""
+    totals = written(counts.groupBy("token").agg(F.sum("copies").alias("copies"), F.min("least").alias("key")).where(F.col("copies") >= least))
     sizes = {r["p"]: r["n"] for r in totals.groupBy(F.floor(F.log2("copies")).alias("p")).agg(F.count("*").alias("n")).collect()}
     limit = least
     if sum(sizes.values()) > most:
         limit = 1 << next(p for p in range(min(sizes), max(sizes) + 2) if sum(n for q, n in sizes.items() if q >= p) <= most)
-    return np.sort(np.array([r["token"] for r in totals.where(F.col("copies") >= limit).select("token").collect()], dtype=np.int64).view(np.uint64))
+    found = totals.where(F.col("copies") >= limit).select("token", "key").toArrow()
+    tokens, keys = np.asarray(found["token"], dtype=np.int64).view(np.uint64), np.asarray(found["key"], dtype=np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], keys[order]
+
+
+def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one of each different pair (first[i], second[i]), and how often it is there."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return order[new], np.diff(np.append(new, len(a)))
+
+
+def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
+    """Packed rows of the prefix shingles of every set, once per set and batch: range, ready, and arrays of sets (sig,
+    n, how many of the values are theirs) and of values, which are shingles or, where ready, keys of groups."""
+    shift = np.uint64(64 - int(np.log2(ranges)))
+    names, kinds = ["range", "ready", "sigs", "sizes", "counts", "values"], [pa.int64(), pa.bool_()] + [pa.binary()] * 4
+
+    def packed(at: int, ready: bool, sig: np.ndarray, size: np.ndarray, counts: np.ndarray, values: np.ndarray) -> tuple:
+        return at, ready, sig.tobytes(), size.tobytes(), counts.astype(np.int32).tobytes(), values.tobytes()
+
+    def dealt(sigs: list[int], sets: list[np.ndarray], turn: int) -> list[tuple]:
+        sig, size = np.array(sigs, dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int64)
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        place = np.searchsorted(frequent[0], tokens)
+        often = frequent[0][np.minimum(place, len(frequent[0]) - 1)] == tokens if len(frequent[0]) else np.zeros(len(tokens), bool)
+        begin, least = np.cumsum(size) - size, size + (-percent * size // 100) + 1
+        rank = np.cumsum(~often)
+        rank -= (rank - ~often)[begin][owner]
+        rare = np.bincount(owner, weights=~often, minlength=len(sets)).astype(np.int64)
+        late = np.cumsum(often)
+        late -= (late - often)[begin][owner]
+        keep, sure = ~often & (rank <= least[owner]), often & (late <= (least - rare)[owner])
+        out = []
+        if sure.any():
+            key, who = frequent[1][place[sure]], owner[sure]
+            one, counts = _counted(key, who)
+            out.append(packed(turn, True, sig[who[one]], size[who[one]], counts, key[one]))
+        tokens, owner = tokens[keep], owner[keep]
+        at = (tokens >> shift).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        tokens, owner, at = tokens[order], owner[order], at[order]
+        cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist() if len(at) else []
+        for i, z in zip(cuts, [*cuts[1:], len(at)], strict=True):
+            who = owner[i:z]
+            new = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+            out.append(packed(int(at[i]), False, sig[who[new]], size[who[new]], np.diff(np.append(new, z - i)), tokens[i:z]))
+        return out
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, sigs, sets, known, total = 0, [], [], set(), 0
 
-def _prefixes(rows: DataFrame, n: int, percent: int, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, sig, n, tokens: the prefix shingles of every document by ranges of hashes, once per set and batch."""
-    shift = np.uint64(64 - max(1, int(np.log2(buckets))))
+        def done() -> pa.RecordBatch:
+            columns = list(zip(*dealt(sigs, sets, turn % ranges), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        for _, found in _batches(batches, n):
+            for s in found:
+                if len(s) and (sig := set_hash(s)) not in known:
+                    known.add(sig)
+                    sigs.append(sig)
+                    sets.append(s)
+                    total += len(s)
+            if total > HELD:
+                yield done()
+                turn, sigs, sets, known, total = turn + 1, [], [], set(), 0
+        if sets:
+            yield done()
+
+    return rows.select("text").mapInArrow(scan, "range long, ready boolean, sigs binary, sizes binary, counts binary, values binary")
+
+
+def _groups(prefixes: DataFrame, ranges: int, percent: int) -> DataFrame:
+    """key, sig, n and tokens (the shingles) of sets that have a prefix shingle in common with others of a near size."""
+
+    def common(t: np.ndarray, sig: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((sig, n, t))
+        t, sig, n = t[order], sig[order], n[order]
+        new = np.concatenate(([True], (t[1:] != t[:-1]) | (sig[1:] != sig[:-1])))
+        t, sig, n = t[new], sig[new], n[new]
+        near = np.concatenate(([False], (t[1:] == t[:-1]) & (percent * n[1:] <= 100 * n[:-1])))
+        stay = near | np.append(near[1:], False)
+        sig, n, begins = sig[stay], n[stay], np.flatnonzero(~near[stay])
+        if not len(sig):
+            return sig, sig, n, n
+        key = np.repeat(np.minimum.reduceat(sig, begins), np.diff(np.append(begins, len(sig))))
+        one, counts = _counted(key, sig)
+        return key[one], sig[one], n[one], counts
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known: set[int] = set()
-            for part in slices(batch, "text"):
-                sets = []
-                for s in shingle_sets(*text_bytes(part.column("text")), n):
-                    if len(s) and (sig := set_hash(s)) not in known:
-                        known.add(sig)
-                        sets.append((sig, s))
-                every, first, out = np.concatenate([s for _, s in sets] or [np.zeros(0, np.uint64)]), 0, []
-                often = frequent[np.minimum(np.searchsorted(frequent, every), len(frequent) - 1)] == every if len(frequent) else np.zeros(len(every), bool)
-                for sig, s in sets:
-                    last = often[first : first + len(s)]
-                    first += len(s)
-                    rare, size = s[~last], len(s) - least_overlap(len(s), percent) + 1
-                    tokens = rare[:size] if len(rare) >= size else np.sort(np.concatenate((rare, s[last][: size - len(rare)])))
-                    at = tokens >> shift
-                    cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                    out += [(int(at[i]), sig, len(s), tokens[i:z].tobytes()) for i, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tokens)], strict=True)]
-                columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "sig", "n", "tokens"])
-
-    return rows.select("text").mapInArrow(scan, "bucket long, sig long, n long, tokens binary")
-
-
-def _shared(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """token, sig, n of the prefix shingles that two or more sets have. A bucket is sorted in memory; buckets are as
-    many as make it about a million shingles."""
-
-    def common(sigs: list[int], sizes: list[int], tokens: list[bytes]) -> pa.RecordBatch:
-        t = np.frombuffer(b"".join(tokens), dtype=np.uint64)
-        row = np.repeat(np.arange(len(sigs)), [len(x) // 8 for x in tokens])
-        sig = np.array(sigs, dtype=np.int64)
-        order = np.lexsort((sig[row], t))
-        t, row = t[order], row[order]
-        new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (sig[row[1:]] != sig[row[:-1]])))) if len(t) else np.zeros(0, np.int64)
-        t, row = t[new], row[new]
-        same = t[1:] == t[:-1]
-        often = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(t) else np.zeros(0, bool)
-        columns = (t[often].view(np.int64), sig[row[often]], np.array(sizes, dtype=np.int64)[row[often]])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["token", "sig", "n"])
+        held: list[tuple] = []
+        at = None
+
+        def batch_of(columns: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "sig", "n", "tokens"])
+
+        def done() -> pa.RecordBatch:
+            t, sig, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            return batch_of(common(t, sig, n))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list] = ([], [], [])
-        key = None
         for batch in batches:
-            bucket = np.asarray(batch.column("bucket"))
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() if len(bucket) else []
-            for i, z in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-                if bucket[i] != key and held[0]:
-                    yield common(*held)
-                    held = ([], [], [])
-                key = bucket[i]
-                for into, name in zip(held, ("sig", "n", "tokens"), strict=True):
-                    into += batch.column(name).slice(i, z - i).to_pylist()
-        if held[0]:
-            yield common(*held)
+            for where, ready, *raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                sig, n, counts, values = (np.frombuffer(x, dtype=k) for x, k in zip(raw, (np.int64, np.int64, np.int32, np.uint64), strict=True))
+                if ready:
+                    yield batch_of((values.view(np.int64), sig, n, counts.astype(np.int64)))
+                    continue
+                if where != at and held:
+                    yield done()
+                    held = []
+                at = where
+                held.append((values, np.repeat(sig, counts), np.repeat(n, counts)))
+        if held:
+            yield done()
+
+    found = prefixes.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(scan, "key long, sig long, n long, tokens long")
+    return found.groupBy("key", "sig").agg(F.first("n").alias("n"), F.sum("tokens").alias("tokens"))
 
-    return prefixes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(scan, "token long, sig long, n long")
+
+def _tiles(groups: DataFrame, percent: int) -> DataFrame:
+    """key, band, sig, n, tokens, home: each set in its own band's tile and, as a visitor, in the next one's; tiles
+    where no pair can be made are left out."""
+    at = _banded(percent)("n")
+    both = groups.withColumn("own", at).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))).withColumn("home", F.col("band") == F.col("own")).drop("own")
+    useful = written(both.groupBy("key", "band").agg(F.count("*").alias("m"), F.count_if("home").alias("homes")).where("homes > 0 and m > 1").select("key", "band"))
+    return both.join(useful, ["key", "band"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -213,57 +293,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataF
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, left in by_bytes(batch):
+            for part, left in by_bytes(batch, 1 << 18):
                 right = unpacked(part.column("y"))
                 sets = zip(shingle_sets(*text_bytes(left), n), shingle_sets(*text_bytes(right), n), strict=True)
                 good = pa.array([linked(x, y, percent) for x, y in sets], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(good)
 
-    if pairs.count() <= MOST_SENT:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        nodes = nodes.join(F.broadcast(ids), "sig", "left_semi")
+    nodes = _named_by(pairs, nodes)
     joined = pairs.join(nodes.select(F.col("sig").alias("b"), F.col("z").alias("y")), "b").join(nodes.select(F.col("sig").alias("a"), "z"), "a")
     return joined.select("a", "b", "y", "z").mapInArrow(check, "a long, b long")
 
 
-def _candidates(tiles: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of different components that a chunk of a tile holds and whose bitmaps let them link; with `best`, only
-    the pair with the highest bound for each probe."""
-
-    def compare(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        # rows: sig, n, comp, map, probe, own
-        own, probes = [r for r in rows if r[5]], [r for r in rows if r[4]]
-        if not own or not probes:
-            return
-        bits = min(len(r[3]) * 8 for r in rows)
-        maps = [folded(np.frombuffer(r[3], dtype=np.uint64)[None, :], bits) for r in own]
-        om, on, oc, os = np.concatenate(maps), np.array([r[1] for r in own]), np.array([r[2] for r in own]), np.array([r[0] for r in own])
-        for sig, size, comp, raw, _, _ in probes:
-            m = folded(np.frombuffer(raw, dtype=np.uint64)[None, :], bits)
-            only, other = np.bitwise_count(m & ~om).sum(1).astype(np.int64), np.bitwise_count(om & ~m).sum(1).astype(np.int64)
-            most = np.minimum(size - only, on - other)
-            fits = np.flatnonzero((oc != comp) & ((100 + percent) * most >= percent * (size + on)))
-            if best and len(fits):
-                fits = fits[[np.argmax(most[fits] / (size + on[fits]))]]
-            for x in os[fits].tolist():
-                yield (sig, x) if sig < x else (x, sig)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for *k, sig, n, comp, raw, probe, own in zip(*(batch.column(c).to_pylist() for c in ("token", "band", "chunk", "sig", "n", "comp", "map", "probe", "own")), strict=True):
-                if k != key:
-                    found.update(compare(held))
-                    held = []
-                key = k
-                held.append((sig, n, comp, raw, probe, own))
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
-        found = set(compare(held))
-        yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
-
-    return tiles.repartition("token", "band", "chunk").sortWithinPartitions("token", "band", "chunk").mapInArrow(scan, "a long, b long").distinct()
+def _named_by(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    if pairs.count() > MOST_SENT:
+        return nodes
+    return nodes.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()), "sig", "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -273,7 +317,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+        step = written(labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp")))
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
         step = written(step.join(jump, "comp", "left").select("node", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
         labels = step.select("node", "comp")
@@ -282,65 +326,222 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _stars(tiles: DataFrame) -> DataFrame:
-    """For each set one pair (a, b) with the least set of the tiles that it shares most."""
-    centre = tiles.groupBy("token", "band").agg(F.min("sig").alias("a"), F.count_if("own").alias("homes"), F.count("*").alias("m")).where("homes > 0 and m > 1")
-    stars = tiles.join(centre, ["token", "band"]).where("sig <> a").groupBy(F.col("sig").alias("b"), "a").agg(F.count("*").alias("tiles"))
-    return stars.groupBy("b").agg(F.max_by("a", F.struct("tiles", "a")).alias("a"))
+    """For each set one pair (a, b) with the least set of the tiles that it shares most, if of another component."""
+    centre = tiles.groupBy("key", "band").agg(F.min(F.struct("sig", "comp")).alias("c"), F.count_if("home").alias("homes"), F.count("*").alias("m")).where("homes > 0 and m > 1")
+    centre = written(centre.select("key", "band", F.col("c.sig").alias("a"), F.col("c.comp").alias("of")))
+    stars = tiles.join(centre, ["key", "band"]).where("comp <> of").groupBy(F.col("sig").alias("b"), "a").agg(F.sum("tokens").alias("tokens"))
+    return stars.groupBy("b").agg(F.max_by("a", F.struct("tokens", "a")).alias("a"))
+
+
+def _most(n: np.ndarray, bits: np.ndarray, m: int, more: np.ndarray | int, common: np.ndarray) -> np.ndarray:
+    """The bound on the overlap of sets of n and m shingles from the bits of each and those common to both."""
+    return np.minimum(n - (bits - common), m - (more - common))
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps let them link."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = lambda x: int(np.bitwise_count(x).sum())
         for batch in batches:
             good = []
             for n, x, m, y in zip(*(batch.column(c).to_pylist() for c in ("na", "ma", "nb", "mb")), strict=True):
                 bits = min(len(x), len(y)) * 8
                 x, y = (folded(np.frombuffer(r, dtype=np.uint64)[None, :], bits)[0] for r in (x, y))
-                most = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
-                good.append((100 + percent) * most >= percent * (n + m))
+                good.append((100 + percent) * _most(n, count(x), m, count(y), count(x & y)) >= percent * (n + m))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"m{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "ma", "nb", "mb").mapInArrow(scan, "a long, b long")
-
-
-def _open_chunks(tiles: DataFrame, comps: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
-    """Rows of the tiles that hold several components, with bitmaps: `own` where a set is at home in the chunk, `probe`
-    where it isn't of the tile's most frequent component and so is compared with the chunk's own; tiles under `least`
-    rows are left out."""
-    tiles = tiles.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    several = tiles.groupBy("token", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main"), F.count("*").alias("m"), F.count_if("own").alias("homes")).where(f"lo < hi and homes > 0 and m >= {least}")
-    chunks = F.ceil(F.col("m") / CHUNK)
-    rest = tiles.join(several.select("token", "band", "main", chunks.alias("chunks")), ["token", "band"]).withColumn("home", F.pmod(F.xxhash64("sig"), F.col("chunks")))
-    probe = F.col("comp") != F.col("main")
-    at = F.when(probe, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("home"))
-    spread = rest.withColumn("probe", probe).withColumn("chunk", F.explode(at)).withColumn("here", F.col("chunk") == F.col("home"))
-    return spread.join(nodes.select("sig", "map"), "sig").select("token", "band", "chunk", "sig", "n", "comp", "map", "probe", F.col("here").alias("own"))
-
-
-def _links(tiles: DataFrame, nodes: DataFrame, n: int, percent: int, worth: float = 0.05, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Links that give the components, and the components (node, comp).
-
-    First each set is tested with one centre. Then, in rounds over large tiles, each set outside its tile's main component is tested
-    with the set of another component that has the highest bound; that merges most components. Rounds end when under a
-    share `worth` of their tests link. At last every pair of different components that the bitmaps leave is tested, so
-    no link between what is then different components is missed, however the rounds went."""
-    links = written(_verified(written(_bounded(_stars(tiles), nodes, percent)), nodes, n, percent))
-    comps = written(components(links))
-    for _ in range(rounds):
-        pairs = written(_candidates(_open_chunks(tiles, comps, nodes, LARGE), percent, best=True))
+    near = (percent * F.col("na") <= 100 * F.col("nb")) & (percent * F.col("nb") <= 100 * F.col("na"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "na", "ma", "nb", "mb").mapInArrow(scan, "a long, b long")
+
+
+def _open(tiles: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the tiles that hold several components, with comp, main (the component of the tile's least set) and,
+    for the tile, its rows, its shingles and its rows outside main."""
+    tiles = written(tiles.drop("comp", "main", "m", "shingles", "probes").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")))
+    several = tiles.groupBy("key", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "sig").alias("main"), F.count("*").alias("m"), F.sum("n").alias("shingles"), F.count_if("home").alias("homes"))
+    several = written(several.where("lo < hi and homes > 0").drop("lo", "hi", "homes"))
+    return written(tiles.join(several, ["key", "band"]).withColumn("probe", F.col("comp") != F.col("main")))
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows of _open() dealt to chunks: `own` in one chunk of the tile, and where `probe` also in all others, to be
+    compared with the chunk's own. A chunk has about CHUNK own rows, and fewer if they have many shingles."""
+    chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("shingles") / CHUNK_SHINGLES))
+    rows = rows.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("sig"), F.col("chunks")))
+    at = F.when(F.col("probe"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("mine"))
+    rows = rows.withColumn("chunk", F.explode(at)).withColumn("own", F.col("chunk") == F.col("mine"))
+    return rows.select(*_TILE, "own", "sig", "n", "comp", "home", "probe")
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch], load: Callable[[pa.RecordBatch], list]) -> Iterator[tuple[tuple, list[tuple] | None, list[tuple]]]:
+    """(tile, own rows, rows) of chunks sorted with own rows first: own once per chunk, and then blocks of others.
+
+    A row is (own, sig, n, comp, home, probe, what load() makes of it)."""
+    key, own, rest = None, [], []
+    for batch in batches:
+        for at in range(0, len(batch), 2048):
+            part = batch.slice(at, 2048)
+            tiles = zip(*(part.column(c).to_pylist() for c in _TILE), strict=True)
+            rows = zip(*(part.column(c).to_pylist() for c in ("own", "sig", "n", "comp", "home", "probe")), load(part), strict=True)
+            for tile, row in zip(tiles, rows, strict=True):
+                if tile != key:
+                    if key is not None:
+                        yield key, own, rest
+                    key, own, rest = tile, [], []
+                (own if row[0] else rest).append(row)
+            if len(rest) >= 256:
+                yield key, own, rest
+                rest = []
+    if key is not None:
+        yield key, own, rest
+
+
+class _Chunk:
+    """The own rows of a chunk, and which of them may link with a row of another component."""
+
+    def __init__(self, rows: list[tuple], maps: list[np.ndarray], bits: int, percent: int) -> None:
+        self.rows, self.bits, self.percent = rows, bits, percent
+        self.maps = np.concatenate([folded(m[None, :], bits) for m in maps]) if rows else np.zeros((0, bits // 64), np.uint64)
+        self.count = np.bitwise_count(self.maps).sum(1).astype(np.int64)
+        self.n, self.comp = np.array([r[2] for r in rows], dtype=np.int64), np.array([r[3] for r in rows], dtype=np.int64)
+        self.home, self.probe = np.array([r[4] for r in rows], dtype=bool), np.array([r[5] for r in rows], dtype=bool)
+
+    def partners(self, row: tuple, map_: np.ndarray, after: int = -1) -> np.ndarray:
+        """Places of own rows beyond `after` whose bitmaps let them link with the row, the highest bound first."""
+        _, _, n, comp, home, probe, _ = row
+        may = (self.comp != comp) & (self.percent * np.maximum(self.n, n) <= 100 * np.minimum(self.n, n))
+        if not home:
+            may &= self.home
+        if not probe:
+            may &= self.probe
+        may[: after + 1] = False
+        at = np.flatnonzero(may)
+        if not len(at):
+            return at
+        one = folded(map_[None, :], self.bits)[0]
+        common = np.bitwise_count(self.maps[at] & one).sum(1).astype(np.int64)
+        most = _most(self.n[at], self.count[at], n, int(np.bitwise_count(one).sum()), common)
+        fits = (100 + self.percent) * most >= self.percent * (self.n[at] + n)
+        return at[fits][np.argsort(-most[fits], kind="stable")]
+
+
+def _tile_bits(tile: tuple, percent: int) -> int:
+    return width(max(0, tile[1] - 1), percent)
+
+
+def _possible(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of _chunked() with bitmaps (map) that keep a partner in their chunk, without the map."""
+    names = [*_TILE, "own", "sig", "n", "comp", "home", "probe"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+
+    def load(part: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.frombuffer(x, dtype=np.uint64) for x in part.column("map").to_pylist()]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chunk, met, out = None, None, np.zeros(0, bool), []
+
+        def close() -> None:
+            if chunk is not None:
+                out.extend((*key, *chunk.rows[i][:6]) for i in np.flatnonzero(met).tolist())
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [[]] * len(names), kinds, strict=True)], names)
+
+        for tile, own, rest in _by_chunk(batches, load):
+            if tile != key:
+                close()
+                key, chunk = tile, _Chunk(own, [r[6] for r in own], _tile_bits(tile, percent), percent)
+                met = np.zeros(len(own), dtype=bool)
+                for i, row in enumerate(own):
+                    found = chunk.partners(row, row[6], i)
+                    met[found] = True
+                    met[i] |= len(found) > 0
+            for row in rest:
+                found = chunk.partners(row, row[6])
+                met[found] = True
+                if len(found):
+                    out.append((*key, *row[:6]))
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out.clear()
+        close()
+        yield batch_of(out)
+
+    schema = "key long, band int, chunk long, own boolean, sig long, n long, comp long, home boolean, probe boolean"
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.desc("own")).mapInArrow(scan, schema)
+
+
+def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of rows with texts (z): those of each chunk that join its components, found by exact intersection."""
+
+    def load(part: pa.RecordBatch) -> list[np.ndarray]:
+        return [s for p, raw in by_bytes(part, 1 << 18) for s in shingle_sets(*text_bytes(raw), n)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, chunk, parent, out = None, None, {}, []
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        def test(row: tuple, map_: np.ndarray, after: int = -1) -> None:
+            for i in chunk.partners(row, map_, after).tolist():
+                other = chunk.rows[i]
+                if root(other[3]) != root(row[3]) and linked(row[6], other[6], percent):
+                    parent[root(other[3])] = root(row[3])
+                    out.append((row[1], other[1]))
+
+        def batch_of(pairs: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for tile, own, rest in _by_chunk(batches, load):
+            bits = _tile_bits(tile, percent)
+            if tile != key:
+                maps = [bitmap(r[6], bits) for r in own]
+                key, chunk, parent = tile, _Chunk(own, maps, bits, percent), {}
+                for i, row in enumerate(own):
+                    test(row, maps[i], i)
+            for row in rest:
+                test(row, bitmap(row[6], bits))
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out.clear()
+        yield batch_of(out)
+
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.desc("own")).mapInArrow(scan, "a long, b long")
+
+
+def _links(groups: DataFrame, nodes: DataFrame, n: int, percent: int, worth: float = 0.05) -> DataFrame:
+    """The components (node, comp) of the sets that link with others.
+
+    First each set is tested with one centre. Where large tiles still hold many sets of other components, as many as
+    would fill more chunks than there are rows, these are tested with a centre of their own, in rounds, as long as
+    more than a share `worth` of the tests link. At last the tiles that still hold several components are compared
+    whole, so no link between what is then different components is missed, however the rounds went."""
+    tiles = written(_tiles(groups, percent))
+    links = written(_verified(written(_bounded(_stars(tiles.withColumn("comp", F.col("sig"))), nodes, percent)), nodes, n, percent))
+    comps = components(links)
+    while True:
+        tiles = _open(tiles, comps)
+        cost = tiles.agg(F.coalesce(F.sum(F.when(F.col("probe") & (F.col("m") > LARGE), F.col("m") / CHUNK)), F.lit(0.0)).alias("spread"), F.count("*").alias("rows")).first()
+        if cost["spread"] <= cost["rows"]:
+            break
+        pairs = written(_bounded(_stars(tiles.where(F.col("probe") & (F.col("m") > LARGE))), nodes, percent))
         found = written(_verified(pairs, nodes, n, percent))
         tests, hits = pairs.count(), found.count()
         if hits:
             links = written(links.unionByName(found))
-            comps = written(components(links))
+            comps = components(links)
         if hits <= worth * tests:
+            tiles = _open(tiles, comps)
             break
-    pairs = written(_candidates(_open_chunks(tiles, comps, nodes), percent, best=False))
-    last = written(_verified(pairs, nodes, n, percent))
-    links = links.unionByName(last)
-    return links, comps if last.isEmpty() else components(written(links))
+    rows = written(_possible(_chunked(tiles).join(nodes.select("sig", "map"), "sig"), percent))
+    texts = _named_by(rows.select(F.col("sig").alias("a"), F.col("sig").alias("b")).distinct(), nodes).select("sig", "z")
+    last = written(_forest(rows.join(texts, "sig"), n, percent))
+    return comps if last.isEmpty() else components(written(links.unionByName(last)))
 
 
 def _banded(percent: int, most: int = 1 << 40) -> Callable[[str], F.Column]:
@@ -420,35 +621,34 @@ def _within(nodes: DataFrame, comps: DataFrame, n: int, percent: int, pairs: boo
             out += compare(held)
         yield done()
 
-    blocks = comps.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sized = comps.withColumnRenamed("node", "sig").join(nodes.select("sig", "n"), "sig")
+    blocks = written(sized.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")))
     placed = comps.withColumnRenamed("node", "sig").join(blocks, "comp").withColumn("home", F.pmod(F.xxhash64("sig"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("comp", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "sig")
-    texts = placed.join(nodes.select("sig", "z"), "sig")
+    texts = placed.join(_named_by(comps.select(F.col("node").alias("a"), F.col("node").alias("b")), nodes).select("sig", "z"), "sig")
     return texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(scan, f"{names[0]} long, {names[1]} long")
 
 
 def _joined(docs: DataFrame, id_col: str, n: int, percent: int, least_frequent: int, most_frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """id, n, sig and comp of every document; the nodes; and the components (node, comp) of two or more nodes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, "text").alias("rid"), "text")
-    scanned = written(_first_scan(rows, n))
-    each = scanned.where("n is not null").select("id", "rid", "n", "sig")
+    scanned = written(_first_scan(rows, n, percent))
+    each = scanned.where("n is not null").select("id", "rid", "n", "sig", "map")
     frequent = _frequent(scanned.where("token is not null"), least_frequent, most_frequent)
     shingles = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - percent) // 100
-    buckets = 1 << max(3, (shingles // 1_000_000).bit_length())
-    kept = written(_shared(_prefixes(rows, n, percent, frequent, buckets), buckets))
-    banded = kept.withColumn("band", _banded(percent)("n"))
-    tiles = banded.withColumn("own", F.lit(True)).unionByName(banded.withColumn("band", F.col("band") + 1).withColumn("own", F.lit(False)))
-    wanted = each.join(kept.select("sig").distinct(), "sig").groupBy("sig").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
-    texts = packed_texts(rows.select("rid", "text"))
-    nodes = written(_nodes(texts.join(wanted, "rid").dropDuplicates(["sig"]), n, percent))
-    _, comps = _links(tiles, nodes, n, percent)
-    labelled = each.join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    ranges = 1 << max(3, (shingles // RANGE).bit_length())
+    groups = written(_groups(_prefixes(rows, n, percent, frequent, ranges), ranges, percent))
+    distinct = each.where("n > 0").groupBy("sig", "n", "map").agg(F.min("rid").alias("rid"))
+    wanted = distinct.join(groups.select("sig").distinct(), "sig", "left_semi")
+    nodes = written(packed_texts(rows.select("rid", "text")).join(wanted, "rid").dropDuplicates(["sig"]).select("sig", "n", "z", "map"))
+    comps = _links(groups, nodes, n, percent)
+    labelled = each.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("id", "n", "sig", F.coalesce("comp", "sig").alias("comp"))
     return written(labelled), nodes, comps
 
 
 def _named(labelled: DataFrame, id_col: str, *more: str) -> DataFrame:
-    least = labelled.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
+    least = written(labelled.where("n > 0").groupBy("comp").agg(F.min("id").alias("least")))
     out = labelled.join(least, "comp", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"), *more)
 
@@ -465,7 +665,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: i
 def counted_links(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 75, least_frequent: int = 50, most_frequent: int = 200_000) -> DataFrame:
     """similar_sets() with n_links, the number of different sets that link with the document's own."""
     labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
-    counts = _within(nodes, comps, n, percent, pairs=False).groupBy("sig").agg(F.sum("n_links").alias("n_links"))
+    counts = written(_within(nodes, comps, n, percent, pairs=False).groupBy("sig").agg(F.sum("n_links").alias("n_links")))
     return _named(labelled.join(counts, "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), id_col, "n_links")
 
 
@@ -477,16 +677,3 @@ def class_links(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: in
     labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
     members = labelled.withColumn("class_id", F.when(F.col("n") > 0, F.col("sig")))
     return _named(members, id_col, "class_id"), _within(nodes, comps, n, percent, pairs=True)
-
-
-def _nodes(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """sig, n, z (the compressed text of one document of the set) and map, the bitmap signature of its band's width."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw in by_bytes(batch):
-                sets = shingle_sets(*text_bytes(raw), n)
-                maps = [bitmap(s, width(band(len(s), percent), percent)).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("sig"), pa.array(map(len, sets), pa.int64()), part.column("z"), pa.array(maps, pa.binary())], ["sig", "n", "z", "map"])
-
-    return texts.select("sig", "z").mapInArrow(scan, "sig long, n long, z binary, map binary")
