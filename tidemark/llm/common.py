@@ -7,7 +7,7 @@ import contextlib
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,37 +24,55 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
-_written: list[tuple[SparkSession, str]] = []
+#: Tables of the open scopes; the first is that of the whole process.
+_scopes: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local folder is set only where the session has none."""
+    """The cluster's spark.checkpoint.dir. Only a local session may lack one; it gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         with contextlib.suppress(Exception):
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-atexit.register(_clean)
+atexit.register(lambda: _drop(_scopes[0]))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, removed when Python ends."""
+def _write(df: DataFrame, tables: list[tuple[SparkSession, str]]) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    tables.append((spark, path))
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. It is removed when the
+    innermost scope() ends, or else when Python does."""
+    return _write(df, _scopes[-1])
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written within the block are removed at its end. What is to outlive it goes through the function given."""
+    _scopes.append([])
+    try:
+        yield lambda df: _write(df, _scopes[-2])
+    finally:
+        _drop(_scopes.pop())
+
+
 def held_out(id_col: str, mod: int, is_out: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder is_out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == is_out, F.lit(False))

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, mix, prefix_hash, slices, span_hash, text_bytes, word_spans, written
+from tidemark.llm.common import lower_ascii, mix, prefix_hash, scope, slices, span_hash, text_bytes, word_spans, written
 from tidemark.llm.repeats import by_bytes, packed_texts, unpacked
 
 #: Rows of a tile's chunk and shingles of them, and rows from which a tile counts as large.
@@ -659,14 +659,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: i
     Two documents link if 100 * intersection >= percent * union of their sets. Defined results: texts that are null or
     have no words have empty sets and link with nothing; repeated rows have equal sets; a null id never names a
     component that has other ids; an empty table gives no rows; other columns are ignored."""
-    return _named(_joined(docs, id_col, n, percent, least_frequent, most_frequent)[0], id_col)
+    with scope() as keep:
+        return keep(_named(_joined(docs, id_col, n, percent, least_frequent, most_frequent)[0], id_col))
 
 
 def counted_links(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 75, least_frequent: int = 50, most_frequent: int = 200_000) -> DataFrame:
     """similar_sets() with n_links, the number of different sets that link with the document's own."""
-    labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
-    counts = written(_within(nodes, comps, n, percent, pairs=False).groupBy("sig").agg(F.sum("n_links").alias("n_links")))
-    return _named(labelled.join(counts, "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), id_col, "n_links")
+    with scope() as keep:
+        labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
+        counts = written(_within(nodes, comps, n, percent, pairs=False).groupBy("sig").agg(F.sum("n_links").alias("n_links")))
+        return keep(_named(labelled.join(counts, "sig", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), id_col, "n_links"))
 
 
 def class_links(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: int = 75, least_frequent: int = 50, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
@@ -674,6 +676,7 @@ def class_links(docs: DataFrame, id_col: str = "doc_id", n: int = 5, percent: in
 
     A class holds the documents of one set and is named by the set's hash; texts without words are in no class (null).
     Links are as many as there are: their number grows with the square of a group of near copies."""
-    labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
-    members = labelled.withColumn("class_id", F.when(F.col("n") > 0, F.col("sig")))
-    return _named(members, id_col, "class_id"), _within(nodes, comps, n, percent, pairs=True)
+    with scope() as keep:
+        labelled, nodes, comps = _joined(docs, id_col, n, percent, least_frequent, most_frequent)
+        members = labelled.withColumn("class_id", F.when(F.col("n") > 0, F.col("sig")))
+        return keep(_named(members, id_col, "class_id")), keep(_within(nodes, comps, n, percent, pairs=True))

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD, written
 
 SEED = "mix-1"
-#: A document is in the first stratum above 1/25 of its source's words, in the second above 1/400, else in the third.
-STRATA = (25, 400)
-#: Offsets tried per stratum, evenly spaced from one random start; that with the nearest sum of words is used.
-OFFSETS = 16
+#: A document of more than 1 / LARGE of its source's words has a whole number of expected copies.
+LARGE = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -19,7 +17,7 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """One row per source: its size, its target and the first of its offsets in [0, 1).
+    """One row per source: its size, documents, target and offset in [0, 1).
 
     Shares by weight are filled like water: with sources ordered by (cap / weight), the level is the largest
     (total - caps before) / (weights from here on), and a target is the lesser of the cap and weight * level."""
@@ -34,113 +32,80 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], most: int) -> Dat
     per = per.withColumn("level", (F.sum("source_size").over(every) - before) / later)
     per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.col("w") * F.max("level").over(every)))
     offset = F.conv(F.substring(F.sha2(F.concat(F.lit(SEED), F.coalesce("source", F.lit(""))), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
-    return per.select("source", "source_size", "target", offset.alias("offset"))
+    return per.select("source", "source_size", "n_docs", "target", offset.alias("offset"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id") -> DataFrame:
     """Every document with the copies that the mix takes of it: columns of docs under `row`, size, source_size, target, copies.
 
-    Expected copies of a document are target / source_size, in the strata of smaller documents corrected by what the
-    larger ones took. Documents are ordered by size, so that the words taken follow the copies; the prefix sum of
-    expected copies plus one offset (per source and stratum) crosses as many integers as there are copies. The order is made by a range partition; ranks are counted within partitions and
-    offset by the counts of earlier ones, so that a source of any size is spread over tasks. Defined results: null
-    text has size 0; null source is a source of its own, last in order; repeated rows are separate documents; an
-    empty table gives no rows; a source without words has target 0 and is not taken."""
-    return _copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), weights, most, id_col)
+    A document of more than 1 / LARGE of its source's words (there are fewer than LARGE) has a whole number of expected
+    copies: from the largest on, what is nearest to the words still wanted over the words still there. All others have
+    the same expected copies, with which the source's expected words are its target. Documents are ordered by size;
+    the prefix sum of expected copies plus the source's one random offset crosses as many integers as there are
+    copies. The order is made by a range partition; ranks are places within partitions, offset by the counts of
+    earlier ones, so that a source of any size is spread over tasks, and no window moves a document. Windows over
+    sources hold one row per source.
+
+    Defined results: null text has size 0; null source is a source of its own, last in order; repeated rows are
+    separate documents; ties of size go by id and hash of the text; an empty table gives no rows; a source without
+    words has target 0 and is not taken."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sized = rows.select("row", F.col(f"row.`{id_col}`").alias("id"), F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"), F.xxhash64("row.text").alias("tie"))
+    return _taken(sized, weights, most).drop("tie")
+
+
+def _taken(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
+    order = [F.col("source").asc_nulls_last(), "size", "id", "tie"]
+    placed = sized.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("source", "part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    per = _expected(placed, source_targets(placed, weights, most), most)
+    per = written(counts.alias("c").join(per.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source"))).select("c.part", "c.shift", "p.*"))
+    joined = placed.alias("d").join(per.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part")))
+    rank, offset = F.col("place") + F.col("shift"), F.col("offset")
+    crossed = F.floor(rank * F.col("ratio") + offset) - F.floor((rank - 1) * F.col("ratio") + offset)
+    copies = F.when(rank > F.col("n_docs") - F.size("whole"), F.get("whole", (F.col("n_docs") - rank).cast("int"))).otherwise(crossed)
+    return joined.select(*[F.col(f"d.{c}") for c in sized.columns], "source_size", "target", copies.cast("long").alias("copies"))
 
 
-def _copies(rows: DataFrame, weights: tuple[int, ...], most: int, id_col: str) -> DataFrame:
-    sized = rows.select("row", F.col(f"row.{id_col}").alias("id"), F.col("row.source").alias("source"), n_words(F.col("row.text")).alias("size"))
-    return _ranked(sized, weights, most)
+def _expected(sized: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """targets with whole (expected copies of the source's large documents, the largest first) and ratio (of others)."""
+    large = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).where(F.col("d.size") * LARGE > F.col("t.source_size"))
+    sizes = large.groupBy(F.col("d.source").alias("of")).agg(F.sort_array(F.collect_list("d.size"), asc=False).alias("sizes"))
+    start = F.struct(F.col("target").alias("want"), F.col("source_size").alias("rest"), F.array().cast("array<int>").alias("whole"))
 
+    def step(at: Column, size: Column) -> Column:
+        # on halves upwards; a document with nothing after it is the last chance to come near the target
+        k = F.least(F.lit(most), F.greatest(F.lit(0), F.floor(at["want"] / at["rest"] + 0.5))).cast("int")
+        return F.struct((at["want"] - k * size).alias("want"), (at["rest"] - size).alias("rest"), F.concat(at["whole"], F.array(k)).alias("whole"))
 
-def _ranked(sized: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    placed = written(sized.repartitionByRange(F.col("source").asc_nulls_last(), "size", "id").withColumn("part", F.spark_partition_id()))
-    counts = placed.groupBy("source", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))
-    per = counts.alias("c").join(source_targets(placed, weights, most).alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    per = per.select("c.source", "part", "skip", "source_size", "target", "offset")
-    ranks = placed.withColumn("rank", F.row_number().over(Window.partitionBy("source", "part").orderBy("size", "id")))
-    joined = ranks.alias("r").join(per.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part")))
-    large = F.when(F.col("size") * STRATA[0] > F.col("source_size"), 0).when(F.col("size") * STRATA[1] > F.col("source_size"), 1).otherwise(2)
-    joined = joined.select("r.*", "source_size", "target", "offset", (F.col("rank") + F.col("skip")).alias("at")).withColumn("stratum", large)
-    steps = _steps(joined, most)
-    joined = joined.join(steps.withColumnRenamed("source", "step_source"), F.col("source").eqNullSafe(F.col("step_source")))
-    copies = F.lit(0)
-    for i in range(3):
-        copies = F.when(F.col("stratum") == i, _crossed(_place(i), F.col(f"ratio{i}"), _offset(F.col(f"k{i}")))).otherwise(copies)
-    return joined.select(*[c for c in placed.columns if c != "part"], "source_size", "target", copies.cast("long").alias("copies"))
-
-
-def _steps(joined: DataFrame, most: int) -> DataFrame:
-    """Per source the expected copies (ratio) and the offset (k) of each stratum, the largest documents first.
-
-    A stratum's expected copies aim at what the earlier ones have left of the target, so that the rounding of a large
-    document is made up for by smaller ones."""
-    narrow = joined.select("source", "size", "stratum", "at", "offset", "target")
-    parts = [f(F.when(F.col("stratum") == i, F.col("size"))).alias(f"{n}{i}") for i in range(3) for n, f in (("n", F.count), ("s", F.sum))]
-    steps = narrow.groupBy("source").agg(F.first("target").alias("left"), *parts)
-    steps = written(steps.select("source", "left", *[F.coalesce(f"{n}{i}", F.lit(0)).alias(f"{n}{i}") for i in range(3) for n in "ns"]))
-    for i in range(3):
-        rest = sum((F.col(f"s{j}") for j in range(i, 3)), F.lit(0))
-        ratio = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("left"), rest), F.lit(0.0))))
-        steps = steps.withColumn(f"ratio{i}", ratio)
-        mine = narrow.drop("target").where(F.col("stratum") == i).join(steps.withColumnRenamed("source", "step_source"), F.col("source").eqNullSafe(F.col("step_source")))
-        sums = mine.groupBy("source").agg(*[F.sum(_crossed(_place(i), F.col(f"ratio{i}"), _offset(k)) * F.col("size")).alias(f"o{k}") for k in range(OFFSETS)], F.first(F.col(f"ratio{i}") * F.col(f"s{i}")).alias("aim"))
-        nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"o{k}") - F.col("aim")).alias("off"), F.lit(k).alias("k"), F.col(f"o{k}").alias("words")) for k in range(OFFSETS)]))
-        chosen = sums.select(F.col("source").alias("chosen"), nearest.alias("best"))
-        steps = steps.join(chosen, F.col("source").eqNullSafe(F.col("chosen")), "left").withColumn(f"k{i}", F.coalesce("best.k", F.lit(0))).withColumn("left", F.col("left") - F.coalesce("best.words", F.lit(0)))
-        steps = written(steps.drop("chosen", "best"))
-    return steps
-
-
-def _place(i: int) -> Column:
-    """Place of a document within its stratum: sizes ascend, so smaller strata come first."""
-    return F.col("at") - sum((F.col(f"n{j}") for j in range(i + 1, 3)), F.lit(0))
-
-
-def _offset(k: int | Column) -> Column:
-    """The k-th of a source's offsets, evenly spaced from the random one."""
-    moved = F.col("offset") + (k if isinstance(k, Column) else F.lit(k)) / float(OFFSETS)
-    return moved - F.floor(moved)
-
-
-def _crossed(at: Column, ratio: Column, offset: Column) -> Column:
-    """Integer boundaries that a document's part of the prefix sum crosses."""
-    return F.floor(at * ratio + offset) - F.floor((at - 1) * ratio + offset)
+    both = targets.join(sizes, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("end", F.aggregate(F.coalesce("sizes", F.array().cast("array<bigint>")), start, step))
+    ratio = F.least(F.lit(float(most)), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("end.want"), F.col("end.rest")), F.lit(0.0))))
+    return both.select("source", "source_size", "n_docs", "target", "offset", F.col("end.whole").alias("whole"), ratio.alias("ratio"))
 
 
 def mix_digest(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken: the same mix without carrying the texts."""
-    sized = docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size"))
-    return _ranked(sized, weights, most).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text")).alias("size"), F.lit(0).alias("tie"))
+    return _taken(sized, weights, most).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 ORACLE_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, source_size * 3 AS cap FROM s),
 f AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
   / CAST(sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM w),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), w * max(level) OVER ()) AS target,
   CAST(CAST('0x' || substr(sha256('mix-1' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM f),
-r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.u, CASE WHEN d.size * 25 > t.source_size THEN 0 WHEN d.size * 400 > t.source_size THEN 1 ELSE 2 END AS stratum,
-  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS pl FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-z AS (SELECT source, first(target) AS rest, count(*) FILTER (stratum = 0) AS n0, CAST(coalesce(sum(size) FILTER (stratum = 0), 0) AS BIGINT) AS s0, count(*) FILTER (stratum = 1) AS n1, CAST(coalesce(sum(size) FILTER (stratum = 1), 0) AS BIGINT) AS s1, count(*) FILTER (stratum = 2) AS n2, CAST(coalesce(sum(size) FILTER (stratum = 2), 0) AS BIGINT) AS s2 FROM r GROUP BY source),
-x0 AS (SELECT *, least(3.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(rest / nullif(s0 + s1 + s2, 0), 0.0))) AS ratio0 FROM z),
-c0 AS (SELECT r.source, j, sum(size * (floor(pos * ratio0 + o) - floor((pos - 1) * ratio0 + o))) AS words, first(ratio0 * s0) AS aim FROM (SELECT r.source, size, pl - n1 - n2 AS pos, ratio0, s0, j, u + j / 16.0::DOUBLE - floor(u + j / 16.0::DOUBLE) AS o FROM r JOIN x0 ON r.source IS NOT DISTINCT FROM x0.source, range(16) g(j) WHERE stratum = 0) r GROUP BY r.source, j),
-b0 AS (SELECT source, arg_min(j, (abs(words - aim), j)) AS j, arg_min(words, (abs(words - aim), j)) AS words FROM c0 GROUP BY source),
-y0 AS (SELECT x0.* EXCLUDE (rest), x0.rest - coalesce(b0.words, 0) AS rest, coalesce(b0.j, 0) AS k0 FROM x0 LEFT JOIN b0 ON x0.source IS NOT DISTINCT FROM b0.source),
-x1 AS (SELECT *, least(3.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(rest / nullif(s1 + s2, 0), 0.0))) AS ratio1 FROM y0),
-c1 AS (SELECT r.source, j, sum(size * (floor(pos * ratio1 + o) - floor((pos - 1) * ratio1 + o))) AS words, first(ratio1 * s1) AS aim FROM (SELECT r.source, size, pl - n2 AS pos, ratio1, s1, j, u + j / 16.0::DOUBLE - floor(u + j / 16.0::DOUBLE) AS o FROM r JOIN x1 ON r.source IS NOT DISTINCT FROM x1.source, range(16) g(j) WHERE stratum = 1) r GROUP BY r.source, j),
-b1 AS (SELECT source, arg_min(j, (abs(words - aim), j)) AS j, arg_min(words, (abs(words - aim), j)) AS words FROM c1 GROUP BY source),
-y1 AS (SELECT x1.* EXCLUDE (rest), x1.rest - coalesce(b1.words, 0) AS rest, coalesce(b1.j, 0) AS k1 FROM x1 LEFT JOIN b1 ON x1.source IS NOT DISTINCT FROM b1.source),
-x2 AS (SELECT *, least(3.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(rest / nullif(s2, 0), 0.0))) AS ratio2 FROM y1),
-c2 AS (SELECT r.source, j, sum(size * (floor(pos * ratio2 + o) - floor((pos - 1) * ratio2 + o))) AS words, first(ratio2 * s2) AS aim FROM (SELECT r.source, size, pl - 0 AS pos, ratio2, s2, j, u + j / 16.0::DOUBLE - floor(u + j / 16.0::DOUBLE) AS o FROM r JOIN x2 ON r.source IS NOT DISTINCT FROM x2.source, range(16) g(j) WHERE stratum = 2) r GROUP BY r.source, j),
-b2 AS (SELECT source, arg_min(j, (abs(words - aim), j)) AS j, arg_min(words, (abs(words - aim), j)) AS words FROM c2 GROUP BY source),
-y2 AS (SELECT x2.* EXCLUDE (rest), x2.rest - coalesce(b2.words, 0) AS rest, coalesce(b2.j, 0) AS k2 FROM x2 LEFT JOIN b2 ON x2.source IS NOT DISTINCT FROM b2.source),
-q AS (SELECT r.*, CASE stratum WHEN 0 THEN pl - n1 - n2 WHEN 1 THEN pl - n2 ELSE pl END AS pos, CASE stratum WHEN 0 THEN ratio0 WHEN 1 THEN ratio1 ELSE ratio2 END AS ratio,
-  CASE stratum WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END / 16.0::DOUBLE + u AS v FROM r JOIN y2 ON r.source IS NOT DISTINCT FROM y2.source)
-SELECT doc_id, size, source_size, target, CAST(size * (floor(pos * ratio + (v - floor(v))) - floor((pos - 1) * ratio + (v - floor(v)))) AS BIGINT) AS taken FROM q
+r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.u, count(*) OVER (PARTITION BY d.source) - row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) + 1 AS k,
+  row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS rk FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT source, 0::BIGINT AS k, target AS want, source_size AS rest, 0 AS e FROM t
+  UNION ALL SELECT g.source, r.k, g.want - least(3, greatest(0, floor(g.want / g.rest + 0.5))) * r.size, g.rest - r.size, CAST(least(3, greatest(0, floor(g.want / g.rest + 0.5))) AS INTEGER)
+  FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source AND r.k = g.k + 1 AND r.size * 1000 > r.source_size),
+y AS (SELECT source, least(3.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(arg_max(want, k) / nullif(arg_max(rest, k), 0), 0.0::DOUBLE))) AS ratio FROM g GROUP BY source)
+SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * coalesce(g.e, floor(r.rk * y.ratio + r.u) - floor((r.rk - 1) * y.ratio + r.u)) AS BIGINT) AS taken
+FROM r JOIN y ON r.source IS NOT DISTINCT FROM y.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM r.source AND g.k = r.k AND g.k > 0
 """

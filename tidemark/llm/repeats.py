@@ -5,13 +5,14 @@ runs with the least hash, so equal windows have equal anchors at equal places. N
 anchor make a segment; each window lies in exactly one segment. Windows are then compared only with windows whose
 anchor has the same content:
 
-1. anchors of all documents (hashes and places, no text) are counted by key; those of unique keys go;
+1. anchors of all documents (hashes and places, no text) are counted by text and place, and then by key; those of
+   unique keys go;
 2. a key with one segment content, found twice or more, is repeated as a whole;
 3. for other keys one text of each distinct segment is fetched, and a function builds an index (suffix automaton,
    suffix array) over the key's segments and tells which spans of each are repeated;
 4. a key with more than `group` distinct segments isn't built in one task: its windows are counted by hash in a
    shuffle with partial sums, which is exact at any size;
-5. a segment's span goes back to all its places, and the spans of each document to its text.
+5. a segment's span goes back to all its places, and the spans of each text to its documents.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prefix_hash, slices, span_hash, text_bytes, word_spans, written
+from tidemark.llm.common import prefix_hash, scope, slices, span_hash, text_bytes, word_spans, written
 
 #: One distinct segment of a key: its bytes, its copies, and the unit at which the anchor starts.
 Segment = tuple[bytes, int, int]
@@ -109,8 +110,7 @@ def _found(docs: DataFrame, how: Repeats) -> DataFrame:
             for part in slices(batch, "text", 1 << 19):
                 prefix, first, _, _ = how.units(*text_bytes(part.column("text")))
                 row, start, units, key, offset, seg = how.anchors(prefix, first)
-                rid = np.asarray(part.column("rid"))[row]
-                columns = (rid, (start << 32) | units, key.view(np.int64), seg.view(np.int64))
+                columns = (np.asarray(part.column("rid"))[row], (start << 32) | units, key.view(np.int64), seg.view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(offset, pa.int32())], ["rid", "loc", "key", "seg", "offset"])
 
     return docs.select("rid", "text").mapInArrow(find, "rid long, loc long, key long, seg long, offset int")
@@ -135,11 +135,12 @@ def _segment_texts(wanted: DataFrame, packed_docs: DataFrame, how: Repeats) -> D
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "seg", "n", "nd", "offset", "text"])
 
-    return packed_docs.join(per, "rid").mapInArrow(cut, "key long, seg long, n long, nd long, offset int, text binary")
+    texts = packed_docs.groupBy("rid").agg(F.first("z").alias("z"))
+    return texts.join(per, "rid").mapInArrow(cut, "key long, seg long, n long, nd long, offset int, text binary")
 
 
 def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
-    """Spans of the segments of keys small enough for one index: seg, a, b."""
+    """Spans of the segments of keys small enough for one index: key, seg, a, b."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -147,8 +148,8 @@ def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             spans = index([(t, n, o) for _, n, o, t in held], how)
-            rows = [(h[0], *s) for h, s in zip(held, spans, strict=True) if s is not None]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["seg", "a", "b"])
+            rows = [(key, h[0], *s) for h, s in zip(held, spans, strict=True) if s is not None]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["key", "seg", "a", "b"])
 
         for batch in batches:
             done = []
@@ -162,7 +163,7 @@ def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
         if held:
             yield flush()
 
-    return segments.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(decide, "seg long, a long, b long")
+    return segments.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(decide, "key long, seg long, a long, b long")
 
 
 def _counted(segments: DataFrame, how: Repeats) -> DataFrame:
@@ -176,29 +177,35 @@ def _counted(segments: DataFrame, how: Repeats) -> DataFrame:
                 row = np.searchsorted(first, at, side="right") - 1
                 fits = at + how.length <= first[row + 1] if len(at) else np.zeros(0, bool)
                 at, row = at[fits], row[fits]
-                columns = (span_hash(prefix, at, at + how.length).view(np.int64), np.asarray(part.column("seg"))[row], at - first[row], np.asarray(part.column("n"))[row])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["window", "seg", "at", "n"])
+                of = (np.asarray(part.column(c))[row] for c in ("key", "seg", "n"))
+                columns = (span_hash(prefix, at, at + how.length).view(np.int64), *of, at - first[row])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["window", "key", "seg", "n", "at"])
 
-    each = segments.select("seg", "n", "text").mapInArrow(windows, "window long, seg long, at long, n long")
-    twice = each.groupBy("window").agg(F.sum("n").alias("copies")).where("copies > 1").select("window")
-    return each.join(twice, "window").groupBy("seg").agg(F.min("at").alias("a"), (F.max("at") + how.length).alias("b"))
+    each = segments.select("key", "seg", "n", "text").mapInArrow(windows, "window long, key long, seg long, n long, at long")
+    twice = written(each.groupBy("window").agg(F.sum("n").alias("copies")).where("copies > 1").select("window"))
+    return each.join(twice, "window").groupBy("key", "seg").agg(F.min("at").alias("a"), (F.max("at") + how.length).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, how: Repeats, index: Index) -> DataFrame:
-    """rid and spans (first * 2^32 + units, in units of the document) of all repeated windows; docs: rid, text."""
-    all_segments = written(_found(docs, how))
-    per_key = all_segments.groupBy("key").agg(F.count("*").alias("copies"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("copies > 1")
-    shared = written(all_segments.join(per_key.select("key", (F.col("lo") == F.col("hi")).alias("alike")), "key"))
-    units = F.col("loc").bitwiseAND(0xFFFFFFFF)
-    first = F.shiftright("loc", 32)
-    whole = shared.where("alike").select("rid", (first * 4294967296 + units).alias("span"))
-    distinct = shared.where("not alike").groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc", "offset")).alias("at"))
-    sizes = distinct.groupBy("key").agg(F.count("*").alias("nd"))
-    wanted = distinct.join(sizes, "key").select("key", "seg", "n", "nd", "at.*")
-    segments = written(_segment_texts(wanted, packed_texts(docs.select("rid", "text")), how))
-    spans = _indexed(segments.where(F.col("nd") <= how.group), how, index).unionByName(_counted(segments.where(F.col("nd") > how.group), how))
-    partial = shared.where("not alike").join(spans, "seg").select("rid", ((first + F.col("a")) * 4294967296 + F.col("b") - F.col("a")).alias("span"))
-    return whole.unionByName(partial).groupBy("rid").agg(F.collect_list("span").alias("spans"))
+    """rid and spans (first * 2^32 + units, in units of the text) of all repeated windows, a written table; docs: rid, text.
+
+    Rows of one text have one rid: their segments are added up before anything else, so that copies, however many,
+    are one row from there on."""
+    units, first = F.col("loc").bitwiseAND(0xFFFFFFFF), F.shiftright("loc", 32)
+    with scope() as keep:
+        places = written(_found(docs, how).groupBy("key", "seg", "rid", "loc", "offset").agg(F.count("*").alias("copies")))
+        per_key = places.groupBy("key").agg(F.sum("copies").alias("copies"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("copies > 1")
+        per_key = written(per_key.select("key", (F.col("lo") == F.col("hi")).alias("alike")))
+        shared = written(places.join(per_key, "key"))
+        whole = shared.where("alike").select("rid", (first * 4294967296 + units).alias("span"))
+        distinct = shared.where("not alike").groupBy("key", "seg").agg(F.sum("copies").alias("n"), F.min(F.struct("rid", "loc", "offset")).alias("at"))
+        distinct = written(distinct.select("key", "seg", "n", "at.*"))
+        sizes = written(distinct.groupBy("key").agg(F.count("*").alias("nd")))
+        wanted = distinct.join(sizes, "key").select("key", "seg", "n", "nd", "rid", "loc", "offset")
+        segments = written(_segment_texts(wanted, packed_texts(docs.select("rid", "text")), how))
+        spans = written(_indexed(segments.where(F.col("nd") <= how.group), how, index).unionByName(_counted(segments.where(F.col("nd") > how.group), how)))
+        partial = shared.where("not alike").join(spans, ["key", "seg"]).select("rid", ((first + F.col("a")) * 4294967296 + F.col("b") - F.col("a")).alias("span"))
+        return keep(whole.unionByName(partial).groupBy("rid").agg(F.collect_list("span").alias("spans")))
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,8 +217,9 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], how: Repeats, index: Index, result: Callable[..., dict], schema: str) -> DataFrame:
-    """keep's columns and what result() makes of each text and its removed runs (byte starts and ends of units)."""
-    rows = docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in keep if c != "text"], "text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text")
+    """keep's columns and what result() makes of each text and its removed runs (byte starts and ends of units). Texts
+    are told apart by 64-bit hashes."""
+    rows = docs.select(F.xxhash64("text").alias("rid"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text")
     spans = repeated_spans(rows, how, index)
     names = [x.split()[0] for x in schema.split(",")]
 
