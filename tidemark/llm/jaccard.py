@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lower_ascii, mix, prefix_hash, scope, slices, span_hash, text_bytes, word_spans, written
+from tidemark.llm.common import lower_ascii, mapped, mix, prefix_hash, scope, slices, span_hash, text_bytes, word_spans, written
 from tidemark.llm.repeats import by_bytes, packed_texts, unpacked
 
 #: Rows of a tile's chunk and shingles of them, and rows from which a tile counts as large.
@@ -147,7 +147,7 @@ def _first_scan(rows: DataFrame, n: int, percent: int) -> DataFrame:
         if held:
             yield recurring()
 
-    return rows.mapInArrow(scan, "id long, rid long, n long, sig long, map binary, token long, copies long, least long")
+    return mapped(rows, scan, "id long, rid long, n long, sig long, map binary, token long, copies long, least long")
 
 
 def _frequent(counts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +229,7 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
         if sets:
             yield done()
 
-    return rows.select("text").mapInArrow(scan, "range long, ready boolean, sigs binary, sizes binary, counts binary, values binary")
+    return mapped(rows.select("text"), scan, "range long, ready boolean, sigs binary, sizes binary, counts binary, values binary")
 
 
 def _groups(prefixes: DataFrame, ranges: int, percent: int) -> DataFrame:
@@ -274,7 +274,7 @@ def _groups(prefixes: DataFrame, ranges: int, percent: int) -> DataFrame:
         if held:
             yield done()
 
-    found = prefixes.repartition(ranges, "range").sortWithinPartitions("range").mapInArrow(scan, "key long, sig long, n long, tokens long")
+    found = mapped(prefixes.repartition(ranges, "range").sortWithinPartitions("range"), scan, "key long, sig long, n long, tokens long")
     return found.groupBy("key", "sig").agg(F.first("n").alias("n"), F.sum("tokens").alias("tokens"))
 
 
@@ -301,7 +301,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataF
 
     nodes = _named_by(pairs, nodes)
     joined = pairs.join(nodes.select(F.col("sig").alias("b"), F.col("z").alias("y")), "b").join(nodes.select(F.col("sig").alias("a"), "z"), "a")
-    return joined.select("a", "b", "y", "z").mapInArrow(check, "a long, b long")
+    return mapped(joined.select("a", "b", "y", "z"), check, "a long, b long")
 
 
 def _named_by(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -353,7 +353,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"m{c}"))
     near = (percent * F.col("na") <= 100 * F.col("nb")) & (percent * F.col("nb") <= 100 * F.col("na"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "na", "ma", "nb", "mb").mapInArrow(scan, "a long, b long")
+    return mapped(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b", "na", "ma", "nb", "mb"), scan, "a long, b long")
 
 
 def _open(tiles: DataFrame, comps: DataFrame) -> DataFrame:
@@ -470,7 +470,7 @@ def _possible(rows: DataFrame, percent: int) -> DataFrame:
         yield batch_of(out)
 
     schema = "key long, band int, chunk long, own boolean, sig long, n long, comp long, home boolean, probe boolean"
-    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.desc("own")).mapInArrow(scan, schema)
+    return mapped(rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.desc("own")), scan, schema)
 
 
 def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -511,7 +511,7 @@ def _forest(rows: DataFrame, n: int, percent: int) -> DataFrame:
                 out.clear()
         yield batch_of(out)
 
-    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.desc("own")).mapInArrow(scan, "a long, b long")
+    return mapped(rows.repartition(*_TILE).sortWithinPartitions(*_TILE, F.desc("own")), scan, "a long, b long")
 
 
 def _links(groups: DataFrame, nodes: DataFrame, n: int, percent: int, worth: float = 0.05) -> DataFrame:
@@ -627,7 +627,7 @@ def _within(nodes: DataFrame, comps: DataFrame, n: int, percent: int, pairs: boo
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("comp", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"), "home", "sig")
     texts = placed.join(_named_by(comps.select(F.col("node").alias("a"), F.col("node").alias("b")), nodes).select("sig", "z"), "sig")
-    return texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(scan, f"{names[0]} long, {names[1]} long")
+    return mapped(texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), scan, f"{names[0]} long, {names[1]} long")
 
 
 def _joined(docs: DataFrame, id_col: str, n: int, percent: int, least_frequent: int, most_frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, lower_ascii, slices, text_bytes
+from tidemark.llm.common import held_out, lower_ascii, mapped, slices, text_bytes
 
 #: The language of a text that is null or has no letter.
 UNDETERMINED = "und"
@@ -63,11 +63,11 @@ def fit(docs: DataFrame, is_train: Column, id_col: str = "doc_id", per_language:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 18, 1024):
                 bits = np.packbits(presence(*text_bytes(part.column("text")), width), axis=1)
                 yield pa.RecordBatch.from_pydict({"lang": part.column("lang"), "bits": pa.array([x.tobytes() for x in bits], pa.binary())})
 
-    got = sorted(sample.mapInArrow(features, "lang string, bits binary").limit(2 * per_language * len(languages)).collect())
+    got = sorted(mapped(sample, features, "lang string, bits binary").limit(2 * per_language * len(languages)).collect())
     x = _unit(np.unpackbits(np.frombuffer(b"".join(bytes(r["bits"]) for r in got), dtype=np.uint8).reshape(len(got), width // 8), axis=1))
     y = np.array([languages.index(r["lang"]) for r in got])
     each = max(1, n_landmarks // len(languages))
@@ -91,11 +91,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     text where nothing was learned, gets `und` and score 0; an empty table gives no rows; repeated rows are
     predicted alike; what the columns in keep are called makes no difference."""
     width, languages = model.landmarks.shape[0], [*model.languages, UNDETERMINED]
-    sent = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    inside = keep.index("text") if "text" in keep else None
+    sent = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), *(["text"] if inside is None else []), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            if inside is not None:  # the text goes over once
+                kept = batch.column("kept")
+                batch = pa.RecordBatch.from_arrays([kept, kept.field(inside), batch.column("lettered")], ["kept", "text", "lettered"])
+            for part in slices(batch, "text", 1 << 18, 1024):
                 raw = _unit(presence(*text_bytes(part.column("text")), width)) @ model.landmarks @ model.weights * model.sharpness
                 known = np.asarray(part.column("lettered").to_numpy(zero_copy_only=False), dtype=bool) & bool(model.languages)
                 best, score = np.full(len(part), len(model.languages)), np.zeros(len(part))
@@ -105,7 +109,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"kept": part.column("kept"), "lang_pred": pa.array([languages[i] for i in best.tolist()], pa.string()), "score": pa.array(score, pa.float64())})
 
     kept = sent.schema["kept"].dataType.simpleString()
-    return sent.mapInArrow(predict, f"kept {kept}, lang_pred string, score double")
+    return mapped(sent, predict, f"kept {kept}, lang_pred string, score double")
 
 
 def identify_digest(docs: DataFrame) -> DataFrame:

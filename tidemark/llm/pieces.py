@@ -2,8 +2,9 @@
 
 The transducer is the composition of a normaliser (white space to U+2581, a dummy prefix), the pieces with a byte
 fallback for characters without one, and, for BPE models, an acceptor of neighbouring pieces. Composed with an input
-it is an acyclic graph whose states are (position, last piece); encoding is its shortest path in the tropical
-semiring (weights add along a path, the least total wins). Arcs of unigram models weigh minus the piece's score.
+it is an acyclic graph whose states are positions (in BPE models with the last piece, of which there is one each);
+encoding is its shortest path in the tropical semiring (weights add along a path, the least total wins). Arcs of
+unigram models weigh minus the piece's score.
 In BPE models scores are merge ranks and do not add up; there, two pieces may follow one another only if merging
 their joined text gives just these two, which holds along exactly one path (that of the merges), and each arc weighs 1.
 No piece goes on after white space begins, so the graph falls into independent parts at each run of white space."""
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import mapped, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -91,19 +92,18 @@ class Transducer:
     """The compiled machine, with bounded memories of parts already solved and of neighbours already judged."""
 
     model: Model
-    remember: int = 400_000
+    remember: int = 200_000
     arcs: dict[str, int] = field(default_factory=dict)
     solved: dict[str, tuple[int, ...]] = field(default_factory=dict)
     older: dict[str, tuple[int, ...]] = field(default_factory=dict)
-    allowed: dict[int, dict[int, bool]] = field(default_factory=dict)
-    judged: int = 0
+    allowed: dict[int, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         m = self.model
         self.arcs = {p: i for i, p in enumerate(m.pieces) if m.kinds[i] in (NORMAL, USER)}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(m.pieces) if m.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(m.kinds) if k == UNKNOWN), 0)
-        self.least = min(m.scores)
+        self.least, self.size = min(m.scores), len(m.pieces)
         self.prefixes = {p[:n]: -1 for p in self.arcs for n in range(1, len(p))} | self.arcs
         self.output = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
         self.parts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -127,57 +127,71 @@ class Transducer:
         """Whether merging the joined text of two neighbours gives just these (left -1: the piece alone)."""
         pair = [*([self.model.pieces[left]] if left >= 0 else []), self.model.pieces[right]]
         known = self.merged("".join(pair)) == pair
-        if self.judged < 4 * self.remember:
-            self.judged += 1
-            self.allowed.setdefault(left, {})[right] = known
+        if len(self.allowed) >= 2 * self.remember:
+            self.allowed.clear()
+        self.allowed[left * self.size + right] = known
         return known
 
+    def arcs_from(self, part: str, at: int) -> list[tuple[int, int]]:
+        """Ends and pieces of the arcs that leave a position, the longest last; -1 is the byte fallback."""
+        prefixes, out = self.prefixes, []
+        for end in range(at + 1, len(part) + 1):
+            piece = prefixes.get(part[at:end])
+            if piece is None:
+                break
+            if piece >= 0:
+                out.append((end, piece))
+        return out if out and out[0][0] == at + 1 else [(at + 1, -1), *out]
+
+    def fallback(self, char: str) -> tuple[int, ...]:
+        return tuple(self.bytes.get(b, self.unknown) for b in char.encode()) if self.bytes else (self.unknown,)
+
     def shortest(self, part: str) -> tuple[int, ...]:
-        """Shortest path of one part: each position keeps, for each last piece that restricts what follows (-1: none),
-        the least weight and the state and ids that led to it. In BPE models that is one state at most."""
-        prefixes, allowed, bpe, n = self.prefixes, self.allowed, self.model.model_type == BPE, len(part)
-        scores, none = self.model.scores, {}
-        at: list[dict[int, tuple] | None] = [None] * (n + 1)
-        at[0] = {-1: (0.0, None, ())}
-        for i in range(n):
-            states = at[i]
-            if states is None:
-                continue
-            single = False
-            for j in range(i + 1, n + 1):
-                piece = prefixes.get(part[i:j])
-                if piece is None:
-                    break
-                if piece < 0:
-                    continue
-                single = single or j == i + 1
-                for last, state in states.items():
-                    if bpe:
-                        ok = allowed.get(last, none).get(piece)
-                        if ok is None:
-                            ok = self.follows(last, piece)
-                        if not ok:
-                            continue
-                    weight = state[0] + (1.0 if bpe else -scores[piece])
-                    key = piece if bpe else -1
-                    to = at[j]
-                    if to is None:
-                        at[j] = {key: (weight, state, (piece,))}
-                    elif key not in to or weight < to[key][0]:
-                        to[key] = (weight, state, (piece,))
-            if not single:
-                ids = tuple(self.bytes.get(b, self.unknown) for b in part[i].encode()) if self.bytes else (self.unknown,)
-                state = min(states.values(), key=lambda s: s[0])
-                weight = state[0] + (1.0 if bpe else 10.0 - self.least)
-                to = at[i + 1]
-                if to is None or -1 not in to or weight < to[-1][0]:
-                    at[i + 1] = {**(to or {}), -1: (weight, state, ids)}
-        state, path = min(at[n].values(), key=lambda s: s[0]), []
-        while state is not None:
-            path.append(state[2])
-            state = state[1]
+        """Shortest path of one part. In unigram models each position keeps the least weight that reaches it and the
+        arc by which it does."""
+        if self.model.model_type == BPE:
+            return self.accepted(part)
+        scores, n = self.model.scores, len(part)
+        weight, back = [0.0] + [float("inf")] * n, [(0, -1)] * (n + 1)
+        for at in range(n):
+            for end, piece in self.arcs_from(part, at):
+                cost = weight[at] + (10.0 - self.least if piece < 0 else -scores[piece])
+                if cost < weight[end]:
+                    weight[end], back[end] = cost, (at, piece)
+        path, end = [], n
+        while end:
+            at, piece = back[end]
+            path.append((piece,) if piece >= 0 else self.fallback(part[at]))
+            end = at
         return tuple(x for ids in reversed(path) for x in ids)
 
+    def accepted(self, part: str) -> tuple[int, ...]:
+        """Shortest path of one part where the acceptor of neighbours leaves one path, so that the first one found is
+        it: the longest arcs first. The pieces before a position are the merges of that text alone, so a position has
+        one state, and one that led nowhere is not entered again."""
+        allowed, size, n = self.allowed, self.size, len(part)
+        at, left, arcs, trail, dead = 0, -1, self.arcs_from(part, 0), [], set()
+        while at < n:
+            while arcs:
+                end, piece = arcs.pop()
+                if end in dead:
+                    continue
+                ok = piece < 0 or allowed.get(left * size + piece)
+                if self.follows(left, piece) if ok is None else ok:
+                    trail.append((at, left, arcs, piece))
+                    at, left = end, piece
+                    if at < n:
+                        arcs = self.arcs_from(part, at)
+                    break
+            else:
+                dead.add(at)
+                at, left, arcs, _ = trail.pop()
+        return tuple(x for at, _, _, piece in trail for x in ((piece,) if piece >= 0 else self.fallback(part[at])))
+
+    def forget(self) -> None:
+        """Drop what was remembered of the texts."""
+        self.solved, self.older, self.allowed = {}, {}, {}
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         solved = self.solved
@@ -234,6 +248,7 @@ def _mapped(docs: DataFrame, keep: list[str], model_path: str, schema: str, made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(data)
+        machine.forget()
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 out = []
@@ -242,5 +257,6 @@ def _mapped(docs: DataFrame, keep: list[str], model_path: str, schema: str, made
                     out.append(made(text, ids, None if ids is None else machine.decode(ids)))
                 columns = [pa.array([o[i] for o in out], kinds[kind]) for i, (_, kind) in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([part.column("kept"), *columns], ["kept", *(n for n, _ in names)])
+        machine.forget()  # workers are used again by other stages
 
-    return sent.mapInArrow(run, f"kept {sent.schema['kept'].dataType.simpleString()}, {schema}").select("kept.*", *(n for n, _ in names))
+    return mapped(sent, run, f"kept {sent.schema['kept'].dataType.simpleString()}, {schema}").select("kept.*", *(n for n, _ in names))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import held_out, prefix_hash, slices, span_hash, text_bytes, word_spans
+from tidemark.llm.common import held_out, mapped, prefix_hash, slices, span_hash, text_bytes, word_spans
 
 STATISTICS = ("log_words", "log_bytes", "word_length", "longest_word", "upper", "digit", "symbol", "bang", "comma_stop", "other_punctuation", "high_byte", "newline", "distinct_words", "repeated_triples", "repeated_lines", "capital_words", "upper_words", "symbol_words", "short_words", "line_words")
 
@@ -130,7 +130,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
                 values = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), len(STATISTICS)).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([part.column("kept"), values], ["kept", "x"])
 
-    return sent.mapInArrow(measure, f"kept {sent.schema['kept'].dataType.simpleString()}, x array<float>")
+    return mapped(sent, measure, f"kept {sent.schema['kept'].dataType.simpleString()}, x array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, is_train: Column, most: int = 20_000) -> Trees:
@@ -160,7 +160,7 @@ def score(docs: DataFrame, model: Trees, keep: list[str], threshold: float = 0.3
                 p = model.score(statistics(*text_bytes(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(p, pa.float64()), pa.array(p >= threshold).cast(pa.int32())], ["kept", "score", "predicted"])
 
-    return sent.mapInArrow(predict, f"kept {sent.schema['kept'].dataType.simpleString()}, score double, predicted int").select("kept.*", "score", "predicted")
+    return mapped(sent, predict, f"kept {sent.schema['kept'].dataType.simpleString()}, score double, predicted int").select("kept.*", "score", "predicted")
 
 
 def score_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

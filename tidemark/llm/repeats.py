@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prefix_hash, scope, slices, span_hash, text_bytes, word_spans, written
+from tidemark.llm.common import mapped, prefix_hash, scope, slices, span_hash, text_bytes, word_spans, written
 
 #: One distinct segment of a key: its bytes, its copies, and the unit at which the anchor starts.
 Segment = tuple[bytes, int, int]
@@ -88,7 +88,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array([None if x is None else squeeze(x) for x in texts.to_pylist()], pa.binary())], names=[*part.schema.names[:-1], "z"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(pack, f"{schema}, z binary")
+    return mapped(docs, pack, f"{schema}, z binary")
 
 
 def unpacked(column: pa.Array) -> pa.Array:
@@ -113,7 +113,7 @@ def _found(docs: DataFrame, how: Repeats) -> DataFrame:
                 columns = (np.asarray(part.column("rid"))[row], (start << 32) | units, key.view(np.int64), seg.view(np.int64))
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns), pa.array(offset, pa.int32())], ["rid", "loc", "key", "seg", "offset"])
 
-    return docs.select("rid", "text").mapInArrow(find, "rid long, loc long, key long, seg long, offset int")
+    return mapped(docs.select("rid", "text"), find, "rid long, loc long, key long, seg long, offset int")
 
 
 def _segment_texts(wanted: DataFrame, packed_docs: DataFrame, how: Repeats) -> DataFrame:
@@ -136,7 +136,7 @@ def _segment_texts(wanted: DataFrame, packed_docs: DataFrame, how: Repeats) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "seg", "n", "nd", "offset", "text"])
 
     texts = packed_docs.groupBy("rid").agg(F.first("z").alias("z"))
-    return texts.join(per, "rid").mapInArrow(cut, "key long, seg long, n long, nd long, offset int, text binary")
+    return mapped(texts.join(per, "rid"), cut, "key long, seg long, n long, nd long, offset int, text binary")
 
 
 def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
@@ -163,7 +163,7 @@ def _indexed(segments: DataFrame, how: Repeats, index: Index) -> DataFrame:
         if held:
             yield flush()
 
-    return segments.repartition("key").sortWithinPartitions("key", "seg").mapInArrow(decide, "key long, seg long, a long, b long")
+    return mapped(segments.repartition("key").sortWithinPartitions("key", "seg"), decide, "key long, seg long, a long, b long")
 
 
 def _counted(segments: DataFrame, how: Repeats) -> DataFrame:
@@ -181,7 +181,7 @@ def _counted(segments: DataFrame, how: Repeats) -> DataFrame:
                 columns = (span_hash(prefix, at, at + how.length).view(np.int64), *of, at - first[row])
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["window", "key", "seg", "n", "at"])
 
-    each = segments.select("key", "seg", "n", "text").mapInArrow(windows, "window long, key long, seg long, n long, at long")
+    each = mapped(segments.select("key", "seg", "n", "text"), windows, "window long, key long, seg long, n long, at long")
     twice = written(each.groupBy("window").agg(F.sum("n").alias("copies")).where("copies > 1").select("window"))
     return each.join(twice, "window").groupBy("key", "seg").agg(F.min("at").alias("a"), (F.max("at") + how.length).alias("b"))
 
@@ -240,4 +240,4 @@ def remove_repeats(docs: DataFrame, keep: list[str], how: Repeats, index: Index,
     kinds = {"long": pa.int64(), "string": pa.string()}
     kinds = {n: kinds[x.split()[1]] for n, x in zip(names, schema.split(","), strict=True)}
     joined = packed_texts(rows.select("rid", "kept", "text")).join(spans, "rid", "left")
-    return joined.mapInArrow(apply, f"kept {rows.schema['kept'].dataType.simpleString()}, {schema}").select("kept.*", *names)
+    return mapped(joined, apply, f"kept {rows.schema['kept'].dataType.simpleString()}, {schema}").select("kept.*", *names)
