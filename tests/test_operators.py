@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import geo, raster, temporal, text
+from tidemark.functions import geo, raster, records, temporal, text
 from tidemark.operators import change, exposure, focal, governance, graph, rivers, sampling, selection, stats
 from tidemark.plans import network
 
@@ -67,6 +67,53 @@ def test_slope_of_a_plane(spark):
     assert all(x["slope"] == pytest.approx(45) for x in focal.central_slope(plane, 10.0, rows=2).collect())
 
 
+def test_central_slope_tells_invalid_from_absent(spark):
+    rows = [(0, c, v) for c, v in enumerate([0.0, 10.0, None, 30.0, 40.0])] + [(1, c, 10.0 * c) for c in range(5)]
+    got = {(x["row"], x["col"]): x["slope"] for x in focal.central_slope(spark.createDataFrame(rows, "row bigint, col bigint, value double"), 10.0).collect()}
+    # a neighbour that is invalid makes the difference invalid; the pixel itself counts only at edges
+    assert [got[0, c] is None for c in range(5)] == [False, True, True, True, False] and got[0, 0] == pytest.approx(45)
+    assert got[1, 2] is None and got[1, 1] == pytest.approx(45)
+
+
+def scene(spark, pre, post, slope):
+    cells = [(r, c, pre.get((r, c), -8.0), post.get((r, c), -8.0), slope.get((r, c), 0.0)) for r in range(20) for c in range(20)]
+    lin = lambda x: None if x is None else 10 ** (x / 10)
+    return spark.createDataFrame([(r, c, lin(a), lin(b), s) for r, c, a, b, s in cells], "row bigint, col bigint, pre double, post double, slope double")
+
+
+def test_change_rule(spark):
+    """Cases of the rule: flood, permanent, too small a change, receded, steep, unobserved, not dark enough."""
+    pre, post = {(0, 1): -21.0, (0, 2): -16.0, (0, 3): -22.0, (1, 1): None}, {(0, 0): -22.0, (0, 1): -23.0, (0, 2): -18.5, (0, 3): -9.0, (1, 2): -15.0}
+    got = {(x["row"], x["col"]): x["class"] for x in change.classified(scene(spark, pre, post, {(1, 0): 35.0}), least=1).collect()}
+    assert [got[0, c] for c in range(4)] == [2, 1, 0, 0] and [got[1, c] for c in range(4)] == [255, 255, 0, 0]
+
+
+def test_change_rule_sieves(spark):
+    patch = {(r, c): -22.0 for r in range(10, 14) for c in range(10, 14)} | {(2, 2): -22.0}
+    got = {(x["row"], x["col"]): x["class"] for x in change.classified(scene(spark, {}, patch, {(11, 11): 40.0}), least=10).collect()}
+    assert got[2, 2] == 0 and got[11, 11] == 255 and all(got[k] == 2 for k in patch if k not in ((2, 2), (11, 11)))
+
+
+def test_records(spark):
+    df = spark.createDataFrame([(1.5,), (float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "x double")
+    assert [r[0] for r in df.select(records.json_number(F.col("x"))).collect()] == ["1.5", "NaN", "Infinity", "-Infinity", None]
+    assert [r[0] for r in df.select(records.plain(F.col("x"))).collect()] == [1.5, None, float("inf"), float("-inf"), None]
+    texts = spark.createDataFrame([('{"a": NaN}',), ('{"a": "NaN", "b": 1}',), ('{"a": [-Infinity]}',), (None,)], "t string")
+    assert [r[0] for r in texts.select(records.json_constants(F.col("t"))).collect()] == [["NaN"], [], ["-Infinity"], None]
+    lists = spark.createDataFrame([(["b", "a", "b", None, None],), ([],), (None,)], "v array<string>")
+    assert [r[0] for r in lists.select(records.ordered_distinct(F.col("v"))).collect()] == [["b", "a", None], [], None]
+    assert [r[0] for r in lists.select(records.required_and_more(["a", "z"], F.col("v"))).collect()] == [["a", "z", "b", None], ["a", "z"], ["a", "z"]]
+
+
+def test_paths_of_scenes(spark):
+    scenes = spark.createDataFrame([("s1", 1), ("s2", 2)], "scene_id string, n int")
+    paths = spark.createDataFrame([("s1", "/a"), ("s2", "/b"), ("s3", "/c")], "scene_id string, path string")
+    assert sorted((r["scene_id"], r["path"]) for r in selection.with_paths(scenes, paths).collect()) == [("s1", "/a"), ("s2", "/b")]
+    for bad in (paths.where("scene_id <> 's2'"), paths.unionByName(paths.where("scene_id = 's1'"))):
+        with pytest.raises(Exception, match="one path"):
+            selection.with_paths(scenes, bad).collect()
+
+
 def test_shortest_paths_equal_a_heap_search(spark, sf_dir):
     edges = network.edges(spark, sf_dir).select("u", "v", "length")
     hubs = network._hubs(spark, sf_dir)
@@ -115,8 +162,8 @@ def test_claims_equal_brute_force(spark):
         for term in text.FORBIDDEN:
             for m in re.finditer(rf"(?<!\w){re.escape(term)}(?!\w)", low):
                 clause = re.split(r"[.;:!?\n]", low[: m.start()])[-1]
-                words = [w for w in re.split(r"[^\w']+", clause) if w][-12:]
-                if not set(words) & set(text.CUES):
+                words = re.findall(r"[\w'-]+", clause)[-12:]
+                if not {x for w in words for x in (w, w.rstrip("-"))} & set(text.CUES):
                     out.append((m.start(), term))
         return sorted(out)
 
@@ -131,13 +178,14 @@ def test_statuses(spark):
 
 
 def test_rivers(spark):
-    r = spark.createDataFrame([(1, 0, 9.0), (2, 1, 5.0), (3, 1, 7.0), (4, 3, 7.0), (5, 3, 7.0), (6, 99, 1.0)], "id bigint, next_down bigint, upland double")
+    r = spark.createDataFrame([(1, 0, 9.0), (2, 1, 5.0), (3, 1, 7.0), (4, 3, 7.0), (5, 3, 7.0), (6, 99, 1.0)], "id bigint, next_down bigint, upland double").withColumn("ord_stra", F.when(F.col("id") == 5, 3).otherwise(2))
     stem = {(x["start"], x["step"]): x["id"] for x in rivers.main_stem(r).collect()}
-    assert [stem.get((1, i)) for i in range(4)] == [1, 3, 4, None]
+    assert [stem.get((1, i)) for i in range(4)] == [1, 3, 5, None]  # of equal areas the higher order
     reasons = {x["start"]: (x["last"], x["reason"]) for x in rivers.stop_reasons(rivers.downstream(r, [3]), r, [3]).collect()}
-    assert reasons == {1: (1, "terminal"), 2: (1, "terminal"), 3: (3, "stop"), 4: (3, "stop"), 5: (3, "stop"), 6: (6, "absent")}
+    end, stop = "no_downstream_connection", "caller_stop_reach"
+    assert reasons == {1: (1, end), 2: (1, end), 3: (1, end), 4: (3, stop), 5: (3, stop), 6: (6, "reach_99_absent_from_loaded_set")}
     with pytest.raises(ValueError, match="cycle"):
-        rivers.downstream(spark.createDataFrame([(1, 2, 0.0), (2, 1, 0.0)], r.schema)).count()
+        rivers.downstream(spark.createDataFrame([(1, 2, 0.0, 1), (2, 1, 0.0, 1)], r.schema)).count()
 
 
 def test_largest_remainder_minimum(spark):

@@ -68,7 +68,7 @@ def screen_claims(text: Column, forbidden: dict[str, str] = FORBIDDEN, allowed:
     """Array of (position, term, instead) of claims in a text, by position and term.
 
     Allowed phrases are blanked first. A term counts at word boundaries, unless a cue is among the last `words` words
-    before it in its clause (which begins after the last of . ; : ! ? or a newline)."""
+    before it in its clause (which begins after the last of . ; : ! ? or a newline). A hyphened word is one word."""
     masked = F.lower(text)
     for phrase in allowed:
         masked = F.replace(masked, F.lit(phrase.lower()), F.lit("\x00" * len(phrase)))
@@ -80,8 +80,8 @@ def screen_claims(text: Column, forbidden: dict[str, str] = FORBIDDEN, allowed:
             """A hit after each piece but the last; its place is the length of what comes before."""
             before = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda _, i: F.array_join(F.slice(pieces, 1, i + 1), term.lower()))
             clause = lambda b: F.element_at(F.split(b, r"[.;:!?\n]", -1), -1)
-            spoken = lambda b: F.filter(F.split(clause(b), r"[^\w']+", -1), lambda w: w != "")
-            denied = lambda b: F.arrays_overlap(F.slice(F.reverse(spoken(b)), 1, words), F.array(*map(F.lit, cues)))
+            spoken = lambda b: F.slice(F.reverse(F.filter(F.split(clause(b), r"[^\w'-]+", -1), lambda w: w != "")), 1, words)
+            denied = lambda b: F.exists(spoken(b), lambda w: w.isin(*cues) | F.rtrim(w, F.lit("-")).isin(*cues))
             return F.transform(F.filter(before, lambda b: ~denied(b)), lambda b: F.struct(F.length(b).alias("position"), F.lit(term).alias("term"), F.lit(forbidden[term]).alias("instead")))
 
         return F.flatten(F.transform(F.array(parts(masked)), found))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.graph import components
+from tidemark.operators.focal import boxcar_mean
+from tidemark.operators.graph import components, written
 
 NODATA = 255
 
@@ -16,10 +17,27 @@ def candidate(vv_change: Column, vh_change: Column, vv_most: float = -3.0, vh_mo
 
 
 def three_class(pre_db: Column, post_db: Column, slope: Column, water: float = -18.0, change: float = -3.0, steep: float = 20.0) -> Column:
-    """0 dry, 1 permanent water, 2 flood, 255 not observed."""
+    """0 dry, 1 permanent water, 2 flood, 255 not observed: an invalid input, or a slope above `steep`."""
     wet_pre, wet_post = pre_db < water, post_db < water
-    flood = wet_post & ~wet_pre & (post_db - pre_db <= change) & (slope <= steep)
-    return F.when(pre_db.isNull() | post_db.isNull() | slope.isNull(), NODATA).when(flood, 2).when(wet_pre & wet_post, 1).otherwise(0)
+    observed = pre_db.isNotNull() & post_db.isNotNull() & F.coalesce(slope <= steep, F.lit(False))
+    flood = wet_post & ~wet_pre & (post_db - pre_db <= change)
+    return F.when(~observed, NODATA).when(flood, 2).when(wet_pre & wet_post, 1).otherwise(0)
+
+
+def classified(pixels: DataFrame, window: int = 1, water: float = -18.0, change: float = -3.0, steep: float = 20.0, least: int = 10) -> DataFrame:
+    """row, col, class of a whole scene (row, col, pre, post in linear power, slope): boxcar means, decibels, the three
+    classes, and a sieve of the flood after which only observed pixels that aren't permanent water are flood.
+
+    Flood regions under `least` pixels vanish and gaps under it fill; with least up to 1 there is no sieve. A NULL in
+    pre, post or slope is an unobserved pixel; an empty scene gives no rows."""
+    mean = lambda c: boxcar_mean(pixels.select("row", "col", F.col(c).alias("value")), window).select("row", "col", F.when(F.col("mean") > 0, 10 * F.log10("mean")).alias(c))
+    both = mean("pre").join(mean("post"), ["row", "col"]).join(pixels.select("row", "col", "slope"), ["row", "col"])
+    classes = written(both.select("row", "col", three_class(F.col("pre"), F.col("post"), F.col("slope"), water, change, steep).alias("class")))
+    if least <= 1:
+        return classes
+    flood = sieve(classes.select("row", "col", (F.col("class") == 2).cast("int").alias("value")), least).withColumnRenamed("value", "flood")
+    kept = F.when(F.col("class").isin(1, NODATA), F.col("class")).when(F.col("flood") == 1, 2).otherwise(0)
+    return classes.join(flood, ["row", "col"]).select("row", "col", kept.alias("class"))
 
 
 def regions(pixels: DataFrame) -> DataFrame:

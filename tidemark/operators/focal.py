@@ -33,14 +33,17 @@ def boxcar_mean(pixels: DataFrame, window: int, rows: int = 1024) -> DataFrame:
 
 
 def _neighbours(pixels: DataFrame, rows: int) -> DataFrame:
-    """v with a row and a column offset in its name for the 3 x 3 pixels around each (n, p, z: -1, 1, 0)."""
+    """v with a row and a column offset in its name for the 3 x 3 pixels around each (n, p, z: -1, 1, 0), and h, which
+    is NULL where there is no such pixel, for the four nearest."""
     across = Window.partitionBy("row").orderBy("col")
     at = lambda k: F.first("value").over(across.rangeBetween(k, k))
-    wide = pixels.withColumns({"left": at(-1), "right": at(1)})
+    there = lambda k: F.first(F.lit(1)).over(across.rangeBetween(k, k))
+    wide = pixels.withColumns({"left": at(-1), "right": at(1), "hzn": there(-1), "hzp": there(1)})
     blocks = _blocks(wide, 1, rows)
     names = {"n": -1, "z": 0, "p": 1}
     out = {f"v{a}{b}": F.first(c).over(_along(k)) for a, k in names.items() for b, c in (("n", "left"), ("z", "value"), ("p", "right"))}
-    return blocks.withColumns(out).where("home")
+    edges = {f"h{a}z": F.first(F.lit(1)).over(_along(k)) for a, k in (("n", -1), ("p", 1))}
+    return blocks.withColumns(out | edges).where("home")
 
 
 def horn_slope(pixels: DataFrame, resolution: float, rows: int = 1024) -> DataFrame:
@@ -55,13 +58,16 @@ def horn_slope(pixels: DataFrame, resolution: float, rows: int = 1024) -> DataFr
 
 
 def central_slope(pixels: DataFrame, resolution: float, rows: int = 1024) -> DataFrame:
-    """Slope in degrees by central differences, one-sided at edges: another kernel than horn_slope()."""
+    """Slope in degrees by central differences, one-sided beside pixels that are absent: another kernel than
+    horn_slope(). An invalid pixel that a difference needs makes the slope NULL."""
 
-    def gradient(before: Column, here: Column, after: Column) -> Column:
-        return F.coalesce((after - before) / (2 * resolution), (after - here) / resolution, (here - before) / resolution)
+    def gradient(a: str, b: str) -> Column:
+        before, here, after = F.col(f"v{a}"), F.col("vzz"), F.col(f"v{b}")
+        has_before, has_after = F.col(f"h{a}").isNotNull(), F.col(f"h{b}").isNotNull()
+        return F.when(has_before & has_after, (after - before) / (2 * resolution)).when(has_after, (after - here) / resolution).when(has_before, (here - before) / resolution)
 
     n = _neighbours(pixels, rows)
-    dx, dy = gradient(F.col("vzn"), F.col("vzz"), F.col("vzp")), gradient(F.col("vnz"), F.col("vzz"), F.col("vpz"))
+    dx, dy = gradient("zn", "zp"), gradient("nz", "pz")
     return n.select("row", "col", F.degrees(F.atan(F.sqrt(dx * dx + dy * dy))).alias("slope"))
 
 

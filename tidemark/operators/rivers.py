@@ -1,4 +1,4 @@
-"""River topology: reaches (id, next_down, upland), next_down 0 at a terminal."""
+"""River topology: reaches (id, next_down, upland, ord_stra), next_down 0 at a terminal."""
 
 from __future__ import annotations
 
@@ -13,13 +13,16 @@ def children(reaches: DataFrame) -> DataFrame:
     return reaches.where("next_down <> 0").groupBy(F.col("next_down").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("children"))
 
 
-def _walk(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
+def _walk(starts: DataFrame, steps: DataFrame, most: int, stops: list[int] | None = None) -> DataFrame:
     """start, step, id of paths from each start along steps (id, to); a path that returns to its start is an error.
+    A path ends at a stop that it comes to, not at one where it starts.
 
     One round per step, all paths at once; each round joins only the paths' heads."""
     head = written(starts.select(F.col("id").alias("start"), F.lit(0).alias("step"), "id"))
     out = head
     for step in range(1, most + 1):
+        if stops and step > 1:
+            head = head.where(~F.col("id").isin(stops))
         head = written(head.join(steps, "id").select("start", F.lit(step).alias("step"), F.col("to").alias("id")))
         if head.isEmpty():
             return out
@@ -29,25 +32,27 @@ def _walk(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
     raise ValueError(f"a path has more than {most} steps")
 
 
-def downstream(reaches: DataFrame, stop_at: list[int] | None = None, most: int = 10_000) -> DataFrame:
-    """start, step, id of the way down from every reach, up to a terminal, an absent reach or a stop (included)."""
-    stops = stop_at or []
-    moving = reaches.where(~F.col("id").isin(stops)) if stops else reaches
+def downstream(reaches: DataFrame, stop_at: list[int] | None = None, most: int = 100_000) -> DataFrame:
+    """start, step, id of the way down from every reach, up to a terminal, an absent reach or a stop that is come to
+    (included)."""
     present = reaches.select(F.col("id").alias("to"))
-    steps = moving.where("next_down <> 0").select("id", F.col("next_down").alias("to")).join(present, "to", "left_semi")
-    return _walk(reaches, steps, most)
+    steps = reaches.where("next_down <> 0").select("id", F.col("next_down").alias("to")).join(present, "to", "left_semi")
+    return _walk(reaches, steps, most, stop_at)
 
 
 def stop_reasons(paths: DataFrame, reaches: DataFrame, stop_at: list[int] | None = None) -> DataFrame:
-    """start, last, steps and reason: terminal, absent (the next reach isn't in the table) or stop."""
+    """start, last, steps and reason: caller_stop_reach, no_downstream_connection, or that the next reach is absent."""
     last = paths.groupBy("start").agg(F.max(F.struct("step", "id")).alias("l")).select("start", F.col("l.id").alias("id"), F.col("l.step").alias("steps"))
-    reason = F.when(F.col("id").isin(stop_at or []), "stop").when(F.col("next_down") == 0, "terminal").otherwise("absent")
+    stopped = F.col("id").isin(stop_at or []) & (F.col("steps") > 0)
+    absent = F.concat(F.lit("reach_"), F.col("next_down").cast("string"), F.lit("_absent_from_loaded_set"))
+    reason = F.when(stopped, "caller_stop_reach").when(F.col("next_down") == 0, "no_downstream_connection").otherwise(absent)
     return last.join(reaches.select("id", "next_down"), "id").select("start", F.col("id").alias("last"), "steps", reason.alias("reason"))
 
 
 def main_stem(reaches: DataFrame, most: int = 10_000) -> DataFrame:
-    """start, step, id of the way up from every reach, at each fork into the largest upland area, ties to the smaller id."""
-    best = reaches.where("next_down <> 0").groupBy(F.col("next_down").alias("id")).agg(F.min_by("id", F.struct(-F.col("upland"), F.col("id"))).alias("to"))
+    """start, step, id of the way up from every reach, at each fork into the largest upland area, ties to the higher
+    Strahler order (ord_stra) and then to the smaller id."""
+    best = reaches.where("next_down <> 0").groupBy(F.col("next_down").alias("id")).agg(F.min_by("id", F.struct(-F.col("upland"), -F.col("ord_stra"), F.col("id"))).alias("to"))
     return _walk(reaches, best, most)
 
 

@@ -90,3 +90,11 @@ def distinct_on(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 def plan_sides(scenes: DataFrame, plan: Plan) -> DataFrame:
     return scenes.withColumns({"side": plan.side(F.col("ts")), "off": plan.offset(F.col("ts"))})
+
+
+def with_paths(scenes: DataFrame, paths: DataFrame) -> DataFrame:
+    """scenes with the path of each (scene_id, path). A scene without exactly one path is an error when rows are read."""
+    one = paths.groupBy("scene_id").agg(F.min("path").alias("path"), F.count("path").alias("_paths"))
+    joined = scenes.join(one, "scene_id", "left")
+    wrong = F.raise_error(F.concat(F.lit("not one path for scene "), F.coalesce("scene_id", F.lit("NULL"))))
+    return joined.withColumn("path", F.when(F.col("_paths") == 1, F.col("path")).otherwise(wrong)).drop("_paths")

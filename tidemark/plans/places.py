@@ -17,16 +17,16 @@ lens = Lens()
 _Q = lambda x, s="1e4": f"CAST(floor(({x}) * {s} + 0.5) AS BIGINT)"
 
 _R = """WITH RECURSIVE u AS (SELECT s_nationkey AS k, sum(s_acctbal) AS upland FROM supplier GROUP BY 1),
-n AS (SELECT CAST(n_nationkey AS BIGINT) + 1 AS id, CAST(greatest(0, n_nationkey - n_regionkey % 2) AS BIGINT) AS next_down, coalesce(upland, 0) AS upland FROM nation LEFT JOIN u ON k = n_nationkey),
+n AS (SELECT CAST(n_nationkey AS BIGINT) + 1 AS id, CAST(greatest(0, n_nationkey - n_regionkey % 2) AS BIGINT) AS next_down, floor(coalesce(upland, 0) / 20000) AS upland, CAST(n_nationkey * 7 % 4 AS INTEGER) AS ord_stra FROM nation LEFT JOIN u ON k = n_nationkey),
 d AS (SELECT id AS start, 0 AS step, id FROM n UNION ALL SELECT d.start, d.step + 1, n.next_down FROM d JOIN n ON d.id = n.id JOIN n m ON m.id = n.next_down WHERE n.next_down <> 0),
-b AS (SELECT next_down AS id, min_by(id, (-upland, id)) AS up FROM n WHERE next_down <> 0 GROUP BY 1),
+b AS (SELECT next_down AS id, min_by(id, (-upland, -ord_stra, id)) AS up FROM n WHERE next_down <> 0 GROUP BY 1),
 m AS (SELECT id AS start, 0 AS step, id FROM n UNION ALL SELECT m.start, m.step + 1, b.up FROM m JOIN b ON m.id = b.id)"""
 
 
 def reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
     upland = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.sum("s_acctbal").alias("upland"))
     n = table(spark, sf_dir, "nation").join(upland, "n_nationkey", "left")
-    return n.select((F.col("n_nationkey") + 1).cast("bigint").alias("id"), F.greatest(F.lit(0), F.col("n_nationkey") - F.col("n_regionkey") % 2).cast("bigint").alias("next_down"), F.coalesce("upland", F.lit(0.0)).alias("upland"))
+    return n.select((F.col("n_nationkey") + 1).cast("bigint").alias("id"), F.greatest(F.lit(0), F.col("n_nationkey") - F.col("n_regionkey") % 2).cast("bigint").alias("next_down"), F.floor(F.coalesce("upland", F.lit(0.0)) / 20000).cast("double").alias("upland"), (F.col("n_nationkey") * 7 % 4).cast("int").alias("ord_stra"))
 
 
 @lens(f"{_R} SELECT start, step, id FROM d")
@@ -34,7 +34,7 @@ def t_downstream_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rivers.downstream(reaches(spark, sf_dir))
 
 
-@lens(f"{_R} SELECT start, id AS last, step AS steps, 'terminal' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY step DESC) AS rn FROM d) WHERE rn = 1")
+@lens(f"{_R} SELECT start, id AS last, step AS steps, 'no_downstream_connection' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY step DESC) AS rn FROM d) WHERE rn = 1")
 def t_stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reaches(spark, sf_dir)
     return rivers.stop_reasons(rivers.downstream(r), r)

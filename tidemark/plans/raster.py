@@ -91,7 +91,7 @@ def r_leak_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r_change_candidates(spark, sf_dir).agg(F.count_if(c & ~v).alias("candidate_outside_valid"), F.count_if(c & ~a).alias("candidate_outside_aoi"), F.count_if(v & ~a).alias("valid_outside_aoi"), F.count_if(c).alias("candidates"), F.count_if(c & v & a).alias("inside"))
 
 
-@lens(f"{_PLANES}, k AS (SELECT row, col, CASE WHEN pre > 0 THEN 10 * log10(pre) END AS a, CASE WHEN post > 0 THEN 10 * log10(post) END AS b, (row * 7 + col) % 40 AS s FROM c) SELECT row, col, CASE WHEN a IS NULL OR b IS NULL THEN 255 WHEN b < -10 AND NOT a < -10 AND b - a <= -3 AND s <= 20 THEN 2 WHEN a < -10 AND b < -10 THEN 1 ELSE 0 END AS class FROM k")
+@lens(f"{_PLANES}, k AS (SELECT row, col, CASE WHEN pre > 0 THEN 10 * log10(pre) END AS a, CASE WHEN post > 0 THEN 10 * log10(post) END AS b, (row * 7 + col) % 40 AS s FROM c) SELECT row, col, CASE WHEN a IS NULL OR b IS NULL OR s > 20 THEN 255 WHEN b < -10 AND NOT a < -10 AND b - a <= -3 THEN 2 WHEN a < -10 AND b < -10 THEN 1 ELSE 0 END AS class FROM k")
 def r_three_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     slope = (F.col("row") * 7 + F.col("col")) % 40
     return planes(spark, sf_dir).select("row", "col", change.three_class(R.to_db(F.col("pre")), R.to_db(F.col("post")), slope, water=-10.0).alias("class"))
@@ -139,7 +139,12 @@ def r_horn_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focal.horn_slope(grid(spark, sf_dir), 10.0).select("row", "col", R.quantised(F.col("slope")).alias("slope"))
 
 
-@lens(f"{_GRID}{_HOOD} SELECT row, col, {_Q('degrees(atan(sqrt(power(coalesce((vzp - vzn) / 20, (vzp - vzz) / 10, (vzz - vzn) / 10), 2) + power(coalesce((vpz - vnz) / 20, (vpz - vzz) / 10, (vzz - vnz) / 10), 2))))')} AS slope FROM h")
+_THERE = ", ".join(f"count(*) FILTER (n.row = v.row + {r} AND n.col = v.col + {c}) AS {name}" for name, r, c in (("west", 0, -1), ("east", 0, 1), ("up", -1, 0), ("down", 1, 0)))
+_EDGED = f", e AS (SELECT v.row, v.col, {_THERE} FROM v JOIN v n ON n.row BETWEEN v.row - 1 AND v.row + 1 AND n.col BETWEEN v.col - 1 AND v.col + 1 GROUP BY v.row, v.col)"
+_GRADIENT = lambda a, b, before, after: f"CASE WHEN e.{before} * e.{after} = 1 THEN ({b} - {a}) / 20 WHEN e.{after} = 1 THEN ({b} - vzz) / 10 ELSE (vzz - {a}) / 10 END"
+
+
+@lens(f"{_GRID}{_HOOD}{_EDGED} SELECT h.row, h.col, {_Q('degrees(atan(sqrt(power(' + _GRADIENT('vzn', 'vzp', 'west', 'east') + ', 2) + power(' + _GRADIENT('vnz', 'vpz', 'up', 'down') + ', 2))))')} AS slope FROM h JOIN e ON h.row = e.row AND h.col = e.col")
 def r_central_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focal.central_slope(grid(spark, sf_dir), 10.0).select("row", "col", R.quantised(F.col("slope")).alias("slope"))
 
