@@ -1,6 +1,7 @@
 """The operators against brute force, SQL, the public library or held-out labels, and on edge cases."""
 
 import hashlib
+import json
 import random
 
 import brute
@@ -228,6 +229,21 @@ def test_tool_calls(spark):
     assert none.count() == 0
 
 
+def test_values_are_written_again(spark):
+    """Arguments become canonical JSON: escapes, numbers and nested keys; what isn't JSON is a string and invalid."""
+    given = {'"a\\u00e9\\/"': '"aé/"', "-0": "0", ' {"b": [1, {"d":2, "c":null}], "a":true} ': '{"a":true,"b":[1,{"c":null,"d":2}]}', '"a"b"': None, "tru": None, "12": "12", "null": "null"}
+    rows_ = [(1, f"c{i}", i, "t", {"x": v}, None) for i, v in enumerate(given)]
+    calls = spark.createDataFrame(rows_, "conv_id long, call_id string, turn long, tool string, arguments map<string,string>, after array<string>")
+    schemas = spark.createDataFrame([("t", "x", "string", True)], "tool string, name string, kind string, required boolean")
+    got = {r["call_id"]: r for r in toolcalls.link(calls, spark.createDataFrame([], "conv_id long, call_id string, turn long, content string"), schemas).collect()}
+    for i, (v, want) in enumerate(given.items()):
+        told = json.loads(got[f"c{i}"]["json"])
+        assert told["arguments"]["x"] == (v if want is None else json.loads(want))
+        if want is not None:
+            assert f'"arguments":{{"x":{want}}}' in got[f"c{i}"]["json"]
+        assert (got[f"c{i}"]["status"] == "unanswered") == (want is not None and want.startswith('"'))
+
+
 def test_tool_calls_edges(spark):
     odd = spark.createDataFrame([(None, 1, "assistant", None), (1, None, "assistant", "x"), (1, 2, None, "y"), (1, 3, "user", None), (1, 3, "user", None), (2, 0, "user", "")], "conv_id bigint, turn bigint, role string, text string")
     assert toolcalls.digest(odd.withColumn("level", F.lit(1))).count() == 3

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import WORD, written
 
 #: What a JSON value of each kind looks like.
-KINDS = {"integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$", "string": r'(?s)^".*"$', "boolean": "^(true|false)$"}
+KINDS = {
+    "integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$", "boolean": "^(true|false)$", "null": "^null$",
+    "string": r'^"([^"\\\x00-\x1F]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+"$', "array": r"(?s)^\[.*\]$", "object": r"(?s)^\{.*\}$",
+}
 _KEY = ("conv_id", "call_id")
 
 
@@ -20,6 +23,22 @@ def quoted(text: Column) -> Column:
     return F.coalesce(F.when(text.isNotNull(), F.substring(inside, F.lit(2), F.length(inside) - 2)), F.lit("null"))
 
 
+def parsed(text: Column) -> Column:
+    """A JSON value as its variant writes it; NULL if the text isn't one value and nothing else, which a parser that
+    stops after the first value doesn't tell, but the value within an array does."""
+    alone, listed = F.to_json(F.try_parse_json(text)), F.to_json(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    return F.when(listed == F.concat(F.lit("["), alone, F.lit("]")), alone)
+
+
+def value_of(text: Column) -> Column:
+    """A JSON value written again from what it holds: strings with the escapes that they need, other values through a
+    variant, which has the keys of objects in order, one form per number and no white space. NULL is the text null,
+    and a text that isn't JSON becomes a string."""
+    trimmed = F.trim(text)
+    string = F.get_json_object(F.concat(F.lit('{"v":'), trimmed, F.lit("}")), "$.v")
+    return F.when(text.isNull(), "null").when(trimmed.rlike(KINDS["string"]), quoted(string)).when(trimmed.rlike("^-0$"), "0").otherwise(F.coalesce(parsed(trimmed), quoted(text)))
+
+
 def canonical(values: Column) -> Column:
     """A JSON object of a map from names to JSON values: names in code-point order, no white space."""
     pairs = F.array_sort(F.map_entries(values))
@@ -65,7 +84,7 @@ def errors(arguments: Column, params: Column) -> Column:
         fits = F.lit(False)
         for kind, pattern in KINDS.items():
             fits = fits | ((p["kind"] == kind) & value.rlike(pattern))
-        return value.isNotNull() & ~fits
+        return value.isNotNull() & ~(fits & parsed(value).isNotNull())
 
     return F.array_sort(F.concat(lacks, extra, F.transform(F.filter(params, wrong), lambda p: F.concat(F.lit("kind of "), p["name"]))))
 
@@ -87,7 +106,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     calls = calls.select(*_KEY, "turn", "tool", F.coalesce("arguments", empty).alias("arguments"), F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    calls = written(calls.withColumns({"args": canonical(F.col("arguments")), "row": F.monotonically_increasing_id()}))
+    calls = written(calls.withColumns({"args": canonical(F.transform_values("arguments", lambda _, v: value_of(v))), "row": F.monotonically_increasing_id()}))
     order = F.struct("turn", "args", "tool", F.map_entries("arguments").alias("entries"), "after", "row")
     first = calls.where(has_id).groupBy(*_KEY).agg(F.min(order).alias("c")).select("c.row", F.lit(True).alias("first"))
     calls = written(calls.join(first, "row", "left").withColumn("first", F.coalesce("first", F.lit(False))))
