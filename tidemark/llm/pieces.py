@@ -189,8 +189,8 @@ class Transducer:
         return tuple(x for at, _, _, piece in trail for x in ((piece,) if piece >= 0 else self.fallback(part[at])))
 
     def forget(self) -> None:
-        """Drop what was remembered of the texts."""
-        self.solved, self.older, self.allowed = {}, {}, {}
+        """Drop the parts that were solved; what is known of neighbouring pieces stays."""
+        self.solved, self.older = {}, {}
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
