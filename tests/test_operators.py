@@ -299,3 +299,42 @@ def test_pieces_between_junctions(spark):
     assert sorted((r["way"], r["part"], r["length"]) for r in got.collect()) == [("a", 1, 5.0), ("a", 2, 5.0), ("b", 1, 7.0)]
     snap = roads.snapped(spark.createDataFrame([(1, 5.0, 3.0), (2, 99.0, 99.0)], "id int, x double, y double"), got, 4.0)
     assert {r["id"]: r["distance"] for r in snap.collect()} == {1: 3.0, 2: None}
+
+
+def test_polygons_with_holes_equal_brute_force(spark):
+    outer, hole = [(0.3, 0.2), (9.7, 1.1), (5.2, 4.4), (8.9, 9.6), (0.6, 7.7)], [(2.1, 2.2), (4.1, 2.4), (3.3, 5.9)]
+    rows = [("a", outer), ("a", hole), ("flat", [(1.0, 1.0), (3.0, 1.0)]), ("none", []), ("null", None)]
+    rings = spark.createDataFrame(rows, "k string, points array<struct<x: double, y: double>>")
+
+    def inside(x, y):
+        found = False
+        for ring in (outer, hole):
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+                found ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+        return found
+
+    def passed(r, c):  # an edge cut to the pixel leaves a piece
+        for ring in (outer, hole):
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+                lo, hi = 0.0, 1.0
+                for a, d, least in ((ax, bx - ax, c), (ay, by - ay, r)):
+                    near, far = sorted(((least - a) / d, (least + 1 - a) / d))
+                    lo, hi = max(lo, near), min(hi, far)
+                if lo <= hi:
+                    return True
+        return False
+
+    cells = [(r, c) for r in range(-1, 12) for c in range(-1, 12)]
+    centres = {p for p in cells if inside(p[1] + 0.5, p[0] + 0.5)}
+    assert {(x["k"], x["row"], x["col"]) for x in exposure.cells_inside(rings, "k", 1.0).collect()} == {("a", *p) for p in centres}
+    touched = [(x["k"], x["row"], x["col"]) for x in exposure.cells_touched(rings, "k", 1.0).collect()]
+    assert len(touched) == len(set(touched)) and set(touched) == {("a", *p) for p in cells if p in centres or passed(*p)} | {("flat", 1, c) for c in (1, 2, 3)}
+
+
+def test_earliest_pair_needs_a_track(spark):
+    import datetime as dt
+
+    at = lambda d: dt.datetime(2024, 1, 15, 6) + dt.timedelta(days=d)
+    rows = [("g", 1, at(1), 1, 0, 1.0), ("g", 2, at(2), 2, 0, 1.0), ("g", 3, at(-3), 2, 0, 1.0), ("g", 4, at(-2), 2, 0, 0.5), ("g", 5, at(0), 1, 0, 1.0), ("g", 6, at(-40), 1, 0, 1.0), ("h", 7, at(13), 1, 0, 1.0), ("h", 8, at(-1), 1, 0, None)]
+    df = spark.createDataFrame(rows, "g string, scene_id int, ts timestamp, orbit int, direction int, coverage double")
+    assert list(map(tuple, selection.earliest_pairs(df, "g", F.lit(dt.date(2024, 1, 15)), 12, 36, 0.9).collect())) == [("g", 3, 2)]

@@ -79,3 +79,55 @@ def measure_boxes(boxes: DataFrame, classes: DataFrame, key: str, pixel: float)
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / pixel).cast("bigint"), F.floor(F.col(b) / pixel).cast("bigint"))
     at = boxes.select(key, F.explode(cells("y0", "y1")).alias("row"), "x0", "x1").select(key, "row", F.explode(cells("x0", "x1")).alias("col"))
     return at.join(classes, ["row", "col"]).groupBy(key, "class").agg(F.count("*").alias("pixels"))
+
+
+def _edges(rings: DataFrame, key: str) -> DataFrame:
+    """The edges (ax, ay, bx, by) of closed rings (key, points); several rings of a key are its parts and holes."""
+
+    def edge(p: Column, i: Column) -> Column:
+        q = F.get("points", (i + 1) % F.size("points"))
+        return F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by"))
+
+    return rings.select(key, F.explode(F.transform("points", edge)).alias("e")).select(key, "e.*")
+
+
+def _steps(lo: Column, hi: Column, pixel: float, more: int = 0) -> Column:
+    return F.sequence(F.floor(lo / pixel).cast("bigint") - more, F.floor(hi / pixel).cast("bigint") + more)
+
+
+def cells_inside(rings: DataFrame, key: str, pixel: float) -> DataFrame:
+    """key, row, col of the pixels whose centre lies in a polygon (even-odd over all rings of a key).
+
+    Each edge gives its crossing with each row of centres it passes; a row's crossings in order are the ends of its
+    runs, so the work grows with the outline and the pixels found, not with the extent. Rings that are NULL, empty or
+    flat have none."""
+    y = (F.col("row") + 0.5) * pixel
+    at = _edges(rings, key).where("ay <> by").withColumn("row", F.explode(_steps(F.least("ay", "by"), F.greatest("ay", "by"), pixel)))
+    x = (F.col("bx") - F.col("ax")) * (y - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    ends = at.where((F.col("ay") > y) != (F.col("by") > y)).groupBy(key, "row").agg(F.sort_array(F.collect_list(x)).alias("x"))
+    pair = F.transform(F.sequence(F.lit(0), (F.size("x") / 2).cast("int") - 1), lambda i: F.struct(F.get("x", 2 * i).alias("a"), F.get("x", 2 * i + 1).alias("z")))
+    runs = ends.select(key, "row", F.explode(pair).alias("run")).select(key, "row", "run.*")
+    cells = runs.withColumn("col", F.explode(_steps(F.col("a"), F.col("z"), pixel, 1)))
+    centre = (F.col("col") + 0.5) * pixel
+    return cells.where((centre >= F.col("a")) & (centre < F.col("z"))).select(key, "row", "col")
+
+
+def cells_touched(rings: DataFrame, key: str, pixel: float) -> DataFrame:
+    """key, row, col of all pixels that a polygon touches: those its edges pass, and those whose centre is inside."""
+    lo, hi = F.least("ay", "by"), F.greatest("ay", "by")
+    at = _edges(rings, key).withColumn("row", F.explode(_steps(lo, hi, pixel)))
+
+    def x(y: Column) -> Column:
+        return F.coalesce(F.col("ax") + F.try_divide(y - F.col("ay"), F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax")), F.col("ax"))
+
+    flat = F.col("ay") == F.col("by")
+    a = F.when(flat, F.col("ax")).otherwise(x(F.greatest(lo, F.col("row") * pixel)))
+    z = F.when(flat, F.col("bx")).otherwise(x(F.least(hi, (F.col("row") + 1) * pixel)))
+    passed = at.select(key, "row", F.explode(_steps(F.least(a, z), F.greatest(a, z), pixel)).alias("col"))
+    return passed.unionByName(cells_inside(rings, key, pixel)).distinct()
+
+
+def measure_rings(rings: DataFrame, classes: DataFrame, key: str, pixel: float, all_touched: bool = True) -> DataFrame:
+    """key, class, pixels: pixels of a polygon counted by class; a polygon outside the grid has no row."""
+    cells = (cells_touched if all_touched else cells_inside)(rings, key, pixel)
+    return cells.join(classes.select("row", "col", "class"), ["row", "col"]).groupBy(key, "class").agg(F.count("*").alias("pixels"))

@@ -98,3 +98,17 @@ def with_paths(scenes: DataFrame, paths: DataFrame) -> DataFrame:
     joined = scenes.join(one, "scene_id", "left")
     wrong = F.raise_error(F.concat(F.lit("not one path for scene "), F.coalesce("scene_id", F.lit("NULL"))))
     return joined.withColumn("path", F.when(F.col("_paths") == 1, F.col("path")).otherwise(wrong)).drop("_paths")
+
+
+def earliest_pairs(scenes: DataFrame, by: str, event: Column, post_days: int, pre_days: int, least: float) -> DataFrame:
+    """Per group the earliest scene after the event that has one before it on the same track, with the latest such one.
+
+    scenes: by, scene_id, ts, orbit, direction, coverage. Days count, not times: after is (event, event + post_days],
+    before [event - pre_days, event). An unknown orbit or direction is a track of its own; of equal times the smaller
+    id is the earlier. The sides are reduced per track in one aggregation; a group without a pair has no row."""
+    day, one = F.col("ts").cast("date"), F.struct("ts", "scene_id")
+    pre = F.max(F.when((day >= F.date_sub(event, pre_days)) & (day < event), one)).alias("pre")
+    post = F.min(F.when((day > event) & (day <= F.date_add(event, post_days)), one)).alias("post")
+    tracks = scenes.where(F.col("coverage") >= least).groupBy(by, "orbit", "direction").agg(pre, post)
+    best = tracks.where("pre is not null and post is not null").groupBy(by).agg(F.min(F.struct("post", "pre")).alias("p"))
+    return best.select(by, F.col("p.pre.scene_id").alias("pre_id"), F.col("p.post.scene_id").alias("post_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,3 +65,24 @@ def cross_check(recorded: DataFrame, recomputed: DataFrame, key: str, value: str
     both = recorded.select(key, F.col(value).alias("a"), F.lit(1).alias("x")).join(recomputed.select(key, F.col(value).alias("b"), F.lit(1).alias("y")), key, "full_outer")
     state = F.when(F.col("y").isNull(), "only_recorded").when(F.col("x").isNull(), "only_recomputed").when(close(F.col("a"), F.col("b"), tolerance), "match").otherwise("differs")
     return both.select(key, state.alias("state"))
+
+
+def feature_report(pixels: DataFrame, ranges: dict[str, tuple[float, float] | None]) -> DataFrame:
+    """One row per feature column: valid and invalid pixels, valid ones outside its range (NULL without a range), and
+    the pixels at which all features or any feature is valid. Nothing is clipped. No pixels give zeros."""
+    rows = []
+    for name, span in ranges.items():
+        c = F.col(name)
+        outside = F.count_if((c < span[0]) | (c > span[1])) if span else F.lit(None).cast("bigint")
+        rows.append(F.struct(F.lit(name).alias("feature"), F.count(c).alias("valid"), F.count_if(c.isNull()).alias("invalid"), outside.alias("outside")))
+    known = [F.col(c).isNotNull() for c in ranges]
+    every, some = functools.reduce(Column.__and__, known), functools.reduce(Column.__or__, known)
+    one = pixels.agg(F.array(*rows).alias("r"), F.count_if(every).alias("all_valid"), F.count_if(some).alias("any_valid"))
+    return one.select("all_valid", "any_valid", F.inline("r"))
+
+
+def block_coverage(pixels: DataFrame, sources: list[str], block: int = 512) -> DataFrame:
+    """Per block of the raster: pixels, valid pixels of each source, and those valid in all sources (joint)."""
+    joint = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in sources])
+    at = [F.floor(F.col(c) / block).cast("bigint").alias(f"block_{c}") for c in ("row", "col")]
+    return pixels.groupBy(*at).agg(F.count("*").alias("pixels"), *[F.count(c).alias(c) for c in sources], F.count_if(joint).alias("joint"))

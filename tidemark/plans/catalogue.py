@@ -104,3 +104,10 @@ def c_distinct_on(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of the catalogue: 50 rows after the first 100, by time and id."""
     return table(spark, sf_dir, "events").orderBy("ts", "event_id").offset(100).limit(50).select("event_id", "user_id")
+
+
+@lens(_S + """, u AS (SELECT *, CAST(ts AS DATE) AS day FROM s WHERE coverage >= 0.9), p AS (SELECT b.sensor, b.scene_id AS pre_id, a.scene_id AS post_id,
+row_number() OVER (PARTITION BY b.sensor ORDER BY a.ts, a.scene_id, b.ts DESC, b.scene_id DESC) AS rn FROM u b JOIN u a ON b.sensor = a.sensor AND b.orbit IS NOT DISTINCT FROM a.orbit AND b.direction IS NOT DISTINCT FROM a.direction
+WHERE a.day > DATE '2024-01-15' AND a.day <= DATE '2024-01-27' AND b.day >= DATE '2023-12-10' AND b.day < DATE '2024-01-15') SELECT sensor, pre_id, post_id FROM p WHERE rn = 1""")
+def c_earliest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.earliest_pairs(scenes(spark, sf_dir), "sensor", F.lit(dt.date(2024, 1, 15)), 12, 36, 0.9)

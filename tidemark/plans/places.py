@@ -121,6 +121,31 @@ def b_point_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposure.sample_points(boxes(spark, sf_dir).select("id", F.col("x0").alias("x"), F.col("y0").alias("y")), classes(spark, sf_dir), 10.0).select("id", "class")
 
 
+_T = f"""{_B}, {_C}, t AS (SELECT id, x0 + 0.37 AS ax, y0 + 0.41 AS ay, x1 + 0.37 AS bx, y0 + 0.41 + p_size / 6.0 AS b1, x0 + 0.37 + p_size / 4.0 AS cx, y1 + 0.41 AS cy FROM b),
+h AS (SELECT *, unnest(range(CAST(floor(ax / 5) AS BIGINT) - 1, CAST(floor(bx / 5) AS BIGINT) + 2)) AS col FROM t), k AS (SELECT *, unnest(range(CAST(floor(ay / 5) AS BIGINT) - 1, CAST(floor(cy / 5) AS BIGINT) + 2)) AS row FROM h)"""
+_SIDES = (("ax", "ay", "bx", "b1"), ("bx", "b1", "cx", "cy"), ("cx", "cy", "ax", "ay"))
+_CROSSED = [f"(({b} > (row + 0.5) * 5) <> ({d} > (row + 0.5) * 5) AND (col + 0.5) * 5 < ({c} - {a}) * ((row + 0.5) * 5 - {b}) / ({d} - {b}) + {a})" for a, b, c, d in _SIDES]
+_CENTRE = "(({} <> {}) <> {})".format(*_CROSSED)
+_TOUCH = " AND ".join(f"greatest(({c} - {a}) * (row * 5 - {b}), ({c} - {a}) * (row * 5 + 5 - {b})) + greatest(({b} - {d}) * (col * 5 - {a}), ({b} - {d}) * (col * 5 + 5 - {a})) >= 0" for a, b, c, d in _SIDES)
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and points: three corners within each box, off the grid lines."""
+    x, y, size = F.col("x0") + 0.37, F.col("y0") + 0.41, F.col("p_size")
+    corners = ((x, y), (F.col("x1") + 0.37, y + size / 6.0), (x + size / 4.0, F.col("y1") + 0.41))
+    return boxes(spark, sf_dir).select("id", F.array(*[F.struct(a.alias("x"), b.alias("y")) for a, b in corners]).alias("points"))
+
+
+@lens(f"{_T} SELECT id, class, count(*) AS pixels FROM k JOIN c USING (row, col) WHERE {_CENTRE} GROUP BY ALL")
+def b_polygon_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.measure_rings(triangles(spark, sf_dir), classes(spark, sf_dir), "id", 5.0, all_touched=False)
+
+
+@lens(f"{_T} SELECT id, class, count(*) AS pixels FROM k JOIN c USING (row, col) WHERE bx >= col * 5 AND ax <= col * 5 + 5 AND cy >= row * 5 AND ay <= row * 5 + 5 AND {_TOUCH} GROUP BY ALL")
+def b_polygon_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exposure.measure_rings(triangles(spark, sf_dir), classes(spark, sf_dir), "id", 5.0)
+
+
 @lens(f"""WITH v AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 1000 AS x, CAST(embedding[2] AS DOUBLE) * 1000 AS y FROM embeddings), m AS (SELECT p.id, min((sqrt(power(t.x - p.x, 2) + power(t.y - p.y, 2)), t.id)) AS b FROM v p JOIN v t ON p.id % 2 = 0 AND t.id % 2 = 1 AND sqrt(power(t.x - p.x, 2) + power(t.y - p.y, 2)) <= 20 GROUP BY p.id)
 SELECT v.id, b[2] AS target_id, {_Q('b[1]', '1e3')} AS distance FROM v LEFT JOIN m ON v.id = m.id WHERE v.id % 2 = 0""")
 def b_snap(spark: SparkSession, sf_dir: str) -> DataFrame:

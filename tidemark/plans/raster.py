@@ -191,3 +191,17 @@ SELECT row, col, CAST(floor(min_by(v, vec_id) * 1e4 + 0.5) AS BIGINT) AS value F
 def r_mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 50).alias("row"), F.col("vec_id").alias("item"), F.posexplode("embedding").alias("col", "x"))
     return resample.mosaic(e.select("row", F.col("col").cast("bigint").alias("col"), "item", F.col("x").cast("double").alias("value")), positive_only=True).select("row", "col", R.quantised(F.col("value")).alias("value"))
+
+
+_DB = {"pre_vv": (-14.0, -8.0), "post_vh": (-11.0, -9.0), "post_vv": None}
+
+
+@lens(_DUAL + ", f AS (SELECT " + ", ".join(f"CASE WHEN {c} > 0 THEN 10 * log10({c}) END AS {c}" for c in _DB) + " FROM d), n AS (SELECT count(*) FILTER (" + " AND ".join(f"{c} IS NOT NULL" for c in _DB) + ") AS all_valid, count(*) FILTER (" + " OR ".join(f"{c} IS NOT NULL" for c in _DB) + ") AS any_valid FROM f) " + " UNION ALL ".join(f"SELECT all_valid, any_valid, '{c}' AS feature, (SELECT count({c}) FROM f) AS valid, (SELECT count(*) - count({c}) FROM f) AS invalid, " + (f"(SELECT count(*) FILTER ({c} < {r[0]} OR {c} > {r[1]}) FROM f)" if r else "NULL::BIGINT") + " AS outside FROM n" for c, r in _DB.items()))
+def r_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.feature_report(dual(spark, sf_dir).select(*[R.to_db(F.col(c)).alias(c) for c in _DB]), _DB)
+
+
+@lens(f"{_PLANES} SELECT row // 16 AS block_row, CAST(col // 16 AS BIGINT) AS block_col, count(*) AS pixels, count(*) FILTER (pre > 0) AS pre, count(*) FILTER (post > 0) AS post, count(*) FILTER (pre > 0 AND post > 0) AS joint FROM c GROUP BY ALL")
+def r_block_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lit = [F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("pre", "post")]
+    return stats.block_coverage(planes(spark, sf_dir).select("row", "col", *lit), ["pre", "post"], 16)
