@@ -23,14 +23,21 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir (a local one only where that is unset): cuts lineage."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir. Only a local session may lack one; it gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

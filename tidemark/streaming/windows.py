@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import shared_dir
+
 
 def window_counts(events: DataFrame, by: list[str], size: str, slide: str | None = None, watermark: str | None = None, ts: str = "ts") -> DataFrame:
     """Count and sum per window and key; windows are [start, end). With a watermark, later rows are left out of a stream."""
@@ -29,8 +30,7 @@ def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
     The sink and the checkpoint are new folders under spark.checkpoint.dir. Each batch replaces the table of its
     number, so a batch that is tried again changes nothing."""
     spark = stream.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tidemark-")
-    root = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     batches: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:
