@@ -9,7 +9,7 @@ shingles last and is by hash else, so that passages which many documents share m
 2. Frequent shingles are those with the highest summed counts; at most `most_frequent` go to the second scan, the
    count from which a shingle is frequent being raised until they fit. Any choice gives the same result.
 3. A second scan takes the prefix shingles. Frequent ones know the key of their group (the least set found with them)
-   and are never gathered. Others are dealt by ranges of their hashes, one packed row per range and batch; there,
+   and are never gathered. Others are dealt by low bits of their hashes, one packed row per such range and batch; there,
    sets with a common shingle and near enough sizes form a group, named by its least set. Near copies of one text
    have one group for most of their shingles, so there are far fewer rows than shingles.
 4. Groups are cut into tiles by size band; a set is also a visitor of the next band's tile, as linked sizes differ by
@@ -41,7 +41,7 @@ CHUNK, CHUNK_SHINGLES, LARGE = 1024, 1_000_000, 64
 #: Sets of a component that are compared with as many others in one go, their shingles, and shingles at a time.
 BLOCK, BLOCK_SHINGLES, SPAN = 256, 500_000, 4096
 #: Prefix shingles that one range of hashes should hold, and shingles that a scan holds.
-RANGE, HELD = 1_000_000, 1_000_000
+RANGE, HELD = 500_000, 1_000_000
 #: Pairs whose ids are sent to all tasks at most (16 bytes each).
 MOST_SENT = 500_000
 #: Occurrences within HELD shingles from which a shingle is counted.
@@ -175,7 +175,7 @@ def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
     """Packed rows of the prefix shingles of every set, once per set and batch: range, ready, and arrays of sets (sig,
     n, how many of the values are theirs) and of values, which are shingles or, where ready, keys of groups."""
-    shift = np.uint64(64 - int(np.log2(ranges)))
+    low = np.uint64(ranges - 1)
     names, kinds = ["range", "ready", "sigs", "sizes", "counts", "values"], [pa.int64(), pa.bool_()] + [pa.binary()] * 4
 
     def packed(at: int, ready: bool, sig: np.ndarray, size: np.ndarray, counts: np.ndarray, values: np.ndarray) -> tuple:
@@ -199,7 +199,8 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
             one, counts = _counted(key, who)
             out.append(packed(turn, True, sig[who[one]], size[who[one]], counts, key[one]))
         tokens, owner = tokens[keep], owner[keep]
-        at = (tokens >> shift).astype(np.int64)
+        # by low bits: the prefix holds a set's least hashes, so high bits would fill the first ranges only
+        at = (tokens & low).astype(np.int64)
         order = np.argsort(at, kind="stable")
         tokens, owner, at = tokens[order], owner[order], at[order]
         cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist() if len(at) else []
