@@ -174,8 +174,9 @@ def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
     """Packed rows of the prefix shingles of every set, once per set and batch: range, ready, and arrays of sets (sig,
-    n, how many of the values are theirs) and of values, which are shingles or, where ready, keys of groups."""
-    low = np.uint64(ranges - 1)
+    n, how many of the values are theirs) and of values, which are keys of groups where ready, or else the 32 bits of
+    each shingle above those of the range: shingles that agree in them by chance only make groups larger."""
+    low, bits = np.uint64(ranges - 1), np.uint64(ranges.bit_length() - 1)
     names, kinds = ["range", "ready", "sigs", "sizes", "counts", "values"], [pa.int64(), pa.bool_()] + [pa.binary()] * 4
 
     def packed(at: int, ready: bool, sig: np.ndarray, size: np.ndarray, counts: np.ndarray, values: np.ndarray) -> tuple:
@@ -207,7 +208,7 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
         for i, z in zip(cuts, [*cuts[1:], len(at)], strict=True):
             who = owner[i:z]
             new = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-            out.append(packed(int(at[i]), False, sig[who[new]], size[who[new]], np.diff(np.append(new, z - i)), tokens[i:z]))
+            out.append(packed(int(at[i]), False, sig[who[new]], size[who[new]], np.diff(np.append(new, z - i)), (tokens[i:z] >> bits).astype(np.uint32)))
         return out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,9 +264,9 @@ def _groups(prefixes: DataFrame, ranges: int, percent: int) -> DataFrame:
 
         for batch in batches:
             for where, ready, *raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                sig, n, counts, values = (np.frombuffer(x, dtype=k) for x, k in zip(raw, (np.int64, np.int64, np.int32, np.uint64), strict=True))
+                sig, n, counts, values = (np.frombuffer(x, dtype=k) for x, k in zip(raw, (np.int64, np.int64, np.int32, np.int64 if ready else np.uint32), strict=True))
                 if ready:
-                    yield batch_of((values.view(np.int64), sig, n, counts.astype(np.int64)))
+                    yield batch_of((values, sig, n, counts.astype(np.int64)))
                     continue
                 if where != at and held:
                     yield done()
