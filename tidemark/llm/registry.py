@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, jaccard, langid, mixing, pieces, quality, rules, search, suffix_array, toolcalls
+from tidemark.llm import automaton, jaccard, langid, mixing, negatives, pieces, quality, rules, search, suffix_array, toolcalls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,13 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op8_tool_calls, op9_substring_dedup, op10_exact_topk)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op8_tool_calls, op9_substring_dedup, op10_exact_topk, op11_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.ORACLE_SQL, "op8_tool_calls": toolcalls.ORACLE_SQL, "op10_exact_topk": search.ORACLE_SQL}
+    return {"op6_mix_sources": mixing.ORACLE_SQL, "op8_tool_calls": toolcalls.ORACLE_SQL, "op10_exact_topk": search.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL}

@@ -12,22 +12,25 @@ _OUT = "query_id long, query_no int, vec_id long, score long"
 
 
 def quantise(vec: Column, scale: int) -> Column:
-    """floor(scale * x) of each component as a double; null for a vector that is null or holds null, NaN or infinity."""
-    usable = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(usable, F.transform(vec, lambda x: F.floor(x.cast("double") * scale)))
+    """floor(scale * x) of each component as a whole double; null for a vector that is null, or holds null, NaN, infinity
+    or a number whose product with scale is infinite. From 2^53 on every double is whole, so floor has nothing to do."""
+    usable = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < float("inf")))
+    whole = lambda y: F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)
+    return F.when(usable, F.transform(vec, lambda x: whole(x.cast("double") * scale)))
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of whole doubles, shorter ones padded with zeros."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = np.asarray(pc.list_value_length(column))
-    out = np.zeros((len(column), width), dtype=np.int64)
+    out = np.zeros((len(column), width))
     out[np.arange(width) < lengths[:, None]] = np.asarray(column.flatten())
     return out
 
 
 def posting_segments(vectors: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Postings (row, dimension, impact) by descending quantised impact, which is the bit length of |impact|."""
-    level = np.where(vectors == 0, 0, np.floor(np.log2(np.maximum(np.abs(vectors), 1))).astype(np.int64) + 1)
+    level = np.frexp(vectors)[1]
     rows, dims = np.nonzero(level)
     order = np.argsort(-level[rows, dims], kind="stable")
     rows, dims = rows[order], dims[order]
@@ -35,13 +38,20 @@ def posting_segments(vectors: np.ndarray) -> list[tuple[int, np.ndarray, np.ndar
     return [(int(n), rows[of == n], dims[of == n], vectors[rows[of == n], dims[of == n]]) for n in sorted(set(of.tolist()), reverse=True)]
 
 
+def exact_scores(queries: np.ndarray, vectors: np.ndarray, most: float) -> np.ndarray:
+    """Inner product of each pair of rows: doubles where sums up to `most` are exact in them, else Python's whole numbers."""
+    if most < 1 << 53:
+        return np.einsum("ij,ij->i", queries, vectors)
+    return np.array([sum(int(a) * int(b) for a, b in zip(q, v, strict=True)) for q, v in zip(queries, vectors, strict=True)], dtype=object)
+
+
 def score_block(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of the query, id and score of the k best candidates of one block for each query: segments are added to all accumulators by descending
     impact until few candidates can still be among the best; those are scored again exactly.
 
     What is not yet added to an accumulator is at most (largest open impact) * (L1 norm of the query on the open
     dimensions), so a candidate whose upper bound lies below the k-th lower bound is out for certain."""
-    most = np.abs(queries).sum(1).max(initial=0) * max(1, np.abs(vectors).max(initial=0))
+    most = float(np.abs(queries).sum(1).max(initial=0) * max(1, np.abs(vectors).max(initial=0)))
     kind = np.float32 if most < 1 << 24 else np.float64
     q, size = queries.astype(kind), np.abs(queries).astype(kind)
     acc = np.zeros((len(qid), len(cid)), dtype=kind)
@@ -49,21 +59,21 @@ def score_block(qid: np.ndarray, queries: np.ndarray, cid: np.ndarray, vectors:
     own = qid[:, None] == cid[None, :]
     slack = 0 if most < 1 << 53 else float(most) * 1e-9
     possible = ~own
-    for level, rows, dims, values in posting_segments(vectors):
+    for level, rows, dims, values in posting_segments(vectors) if most < 1e300 else []:  # beyond, sums are infinite and prove nothing
         part = np.zeros(vectors.shape, dtype=kind)
         part[rows, dims] = values
         acc += q @ part.T
         part[rows, dims] = 1
         open_l1 -= size @ part.T
-        rest = ((1 << (level - 1)) - 1) * open_l1 + slack
+        rest = (2.0 ** (level - 1) - 1) * open_l1 + slack
         low = np.where(own, -np.inf, acc - rest)
         kth = np.partition(low, -k, axis=1)[:, -k] if len(cid) > k else np.full(len(qid), -np.inf)
         possible = (acc + rest >= kth[:, None]) & ~own
         if possible.sum() <= 4 * k * len(qid):
             break
     qi, ci = np.nonzero(possible)
-    exact = np.concatenate([np.einsum("ij,ij->i", queries[qi[i : i + 100_000]], vectors[ci[i : i + 100_000]]) for i in range(0, len(qi), 100_000)] or [np.zeros(0, np.int64)])
-    order = np.lexsort((cid[ci], -exact, qi))
+    exact = np.concatenate([exact_scores(queries[qi[i : i + 100_000]], vectors[ci[i : i + 100_000]], most) for i in range(0, len(qi), 100_000)] or [np.zeros(0)])
+    order = np.lexsort((cid[ci], -np.unique(exact, return_inverse=True)[1], qi))
     qi, ci, exact = qi[order], ci[order], exact[order]
     best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
     return qi[best], cid[ci[best]], exact[best]
@@ -74,11 +84,11 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 6
 
     Rows and queries are dealt by hash into blocks of about `block` rows, and each pair of a query block and a row
     block is one bounded group. Ties go to the smaller id. Defined results: null ids, and vectors that are null or
-    hold null or non-finite components, take no part; shorter vectors count as padded with zeros; equal ids are one
+    hold null or non-finite components (times scale, too), take no part; shorter vectors count as padded with zeros; equal ids are one
     another's own; repeated query rows are searched once, and an id with several different vectors is searched once
     for each, so it has ranks 1 to k as many times (query_no, from 1 in the order of the id's quantised vectors, tells
     them apart and is returned on request); as candidates, repeated rows count one by one; with fewer candidates than
-    k all are returned; an empty table gives no rows. Other columns of the input are ignored. Returns query_id, rank,
+    k all are returned; a returned score beyond 64 bits is an error; an empty table gives no rows. Other columns of the input are ignored. Returns query_id, rank,
     vec_id, score."""
     base = vectors.select(F.col(id_col).cast("long").alias("id"), quantise(F.col(vec_col), scale).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and vec is not null")
     n, nq, width = base.agg(F.count("*"), F.count_if("q"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
@@ -86,19 +96,20 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 6
     width = max(1, width)
     base = base.withColumn("salt", F.xxhash64("id", F.lit("block")))
     rows = base.select("id", "vec", F.pmod("salt", F.lit(row_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
-    padded = F.concat("vec", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("vec")))
+    padded = F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vec")))
     queries = base.where("q").select("id", padded.alias("vec"), "salt").distinct().withColumn("no", F.row_number().over(Window.partitionBy("id").orderBy("vec")))
     queries = queries.select("id", "no", "vec", F.pmod("salt", F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("cb"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
-        cid, cand = np.asarray(right["id"]), _matrix(right["vec"], width)
+        cid, cand = np.asarray(right["id"]), matrix(right["vec"], width)
         for i in range(0, len(left) if len(cid) else 0, 512):
             part = left.slice(i, 512)
             qid = np.asarray(part["id"])
-            at, *best = score_block(qid, _matrix(part["vec"], width), cid, cand, k)
+            at, *best = score_block(qid, matrix(part["vec"], width), cid, cand, k)
             found.append((qid[at], np.asarray(part["no"])[at], *best))
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 4
+        parts[3] = np.array([int(x) for x in parts[3]], dtype=np.int64)  # an error where it does not fit
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
         return pa.table({name: pa.array(x, kind) for name, x, kind in zip(("query_id", "query_no", "vec_id", "score"), parts, kinds, strict=True)})
 
