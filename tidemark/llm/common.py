@@ -126,9 +126,10 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the index of each row's first word (one more entry than rows)."""
-    inside = ~_SPACE[buf]
+def word_spans(buf: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the index of each row's first word (one more entry than rows). between: whether
+    each byte stands between words."""
+    inside = ~between[buf]
     before = np.zeros(len(buf), dtype=bool)
     before[1:] = inside[:-1]
     after = np.zeros(len(buf), dtype=bool)

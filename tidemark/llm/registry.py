@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import automaton, jaccard, langid, mixing, negatives, pieces, quality, rules, search, suffix_array, toolcalls
+from tidemark.llm import automaton, jaccard, langid, licenses, mixing, negatives, phrases, pieces, quality, rules, search, suffix_array, toolcalls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,9 +58,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op8_tool_calls, op9_substring_dedup, op10_exact_topk, op11_hard_negatives)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_quality_rules, op4_suffix_array_dedup, op5_quality_classifier, op6_mix_sources, op7_sentencepiece, op8_tool_calls, op9_substring_dedup, op10_exact_topk, op11_hard_negatives, op12_license_scan, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.ORACLE_SQL, "op8_tool_calls": toolcalls.ORACLE_SQL, "op10_exact_topk": search.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL}
+    return {"op6_mix_sources": mixing.ORACLE_SQL, "op8_tool_calls": toolcalls.ORACLE_SQL, "op10_exact_topk": search.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL, "op12_license_scan": licenses.ORACLE_SQL, "op13_phrases": phrases.ORACLE_SQL}
