@@ -53,14 +53,37 @@ def regions(pixels: DataFrame) -> DataFrame:
     return named.join(sizes, "region").select("row", "col", "value", "region", "size", "pixel")
 
 
+def merge_targets(small: DataFrame) -> DataFrame:
+    """region, value: what each small region (region, other, big, value: its neighbour, whether that is large, and its
+    value) takes. Pointers are followed by doubling to a large region, in rounds that grow with the log of the longest
+    chain; a chain that comes back to itself never meets one, and its regions have no row."""
+    small = written(small)
+    waiting = small.where("not big").count()
+    while waiting:
+        after = small.select(F.col("region").alias("other"), F.col("other").alias("after"), F.col("big").alias("after_big"), F.col("value").alias("after_value"))
+        moved = small.where("not big").join(after, "other").select("region", F.col("after").alias("other"), F.col("after_big").alias("big"), F.col("after_value").alias("value"))
+        small = written(small.where("big").unionByName(moved))
+        left = small.where("not big").count()
+        if left == waiting:
+            break
+        waiting = left
+    return small.where("big").select("region", "value")
+
+
 def sieve(pixels: DataFrame, least: int = 10) -> DataFrame:
-    """row, col, value of a 0/1 raster where regions under `least` pixels take the value of their surroundings.
-
-    Specks vanish and small gaps fill, both judged on the input; a small region without neighbours stays."""
-    named = regions(pixels)
-    small = named.where(F.col("size") < least)
-    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c])
-    around = small.withColumn("s", F.explode(steps)).select("region", (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"))
-    near = named.select("row", "col", F.col("region").alias("other"), F.col("size").alias("other_size"), F.col("value").alias("other_value"))
-    best = around.join(near, ["row", "col"]).where("other <> region").groupBy("region").agg(F.max(F.struct("other_size", "other", "other_value")).alias("best"))
-    return named.join(best, "region", "left").select("row", "col", F.when(F.col("size") < least, F.coalesce("best.other_value", "value")).otherwise(F.col("value")).alias("value"))
+    """row, col, value of a 0/1 raster where 8-connected regions under `least` pixels take the value of their surroundings.
+
+    A small region is merged with its largest neighbour (of equal ones that whose touch comes first when pixels are
+    read row by row, and there the one above, above to the left, above to the right, or to the left); if that is small,
+    too, with that one's largest neighbour and so on, up to a region of `least` pixels. Small regions that lead to none
+    stay, as do those without neighbours."""
+    named = written(regions(pixels))
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).alias("r"), F.lit(c).alias("c")) for k, (r, c) in enumerate(((-1, 0), (-1, -1), (-1, 1), (0, -1)))])
+    here = named.select("row", "col", "region", "size", "value", F.explode(steps).alias("s"))
+    here = here.select(F.struct("row", "col", "s.k").alias("touch"), (F.col("row") + F.col("s.r")).alias("row"), (F.col("col") + F.col("s.c")).alias("col"), *[F.col(c).alias(f"a_{c}") for c in ("region", "size", "value")])
+    there = named.select("row", "col", *[F.col(c).alias(f"b_{c}") for c in ("region", "size", "value")])
+    met = here.join(there, ["row", "col"]).where((F.col("a_region") != F.col("b_region")) & (F.least("a_size", "b_size") < least))
+    way = lambda a, b: F.struct(F.col(f"{a}_region").alias("region"), F.col(f"{a}_size").alias("size"), F.struct((-F.col(f"{b}_size")).alias("order"), "touch", F.col(f"{b}_region").alias("other"), F.col(f"{b}_value").alias("value")).alias("to"))
+    best = met.select(F.inline(F.array(way("a", "b"), way("b", "a")))).where(F.col("size") < least).groupBy("region").agg(F.min("to").alias("to"))
+    taken = merge_targets(best.select("region", "to.other", (-F.col("to.order") >= least).alias("big"), "to.value")).withColumnRenamed("value", "taken")
+    return named.join(taken, "region", "left").select("row", "col", F.coalesce("taken", "value").alias("value"))

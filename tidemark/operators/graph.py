@@ -34,12 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    removed_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,10 +6,14 @@ no table of all pairs is made."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.temporal import Plan
+from tidemark.operators.overlay import union_coverage
 
 
 def gated(scenes: DataFrame, gates: list[tuple[str, Column]]) -> DataFrame:
@@ -71,9 +75,15 @@ def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, value: str, withi
     return found.select("row.*", F.when(near, F.col("last.v")).alias("matched"))
 
 
-def acquisitions(items: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per acquisition: first time, number of items and covered fraction, 1 at most."""
-    return items.groupBy(*keys).agg(F.min("ts").alias("first_ts"), F.count("*").alias("items"), F.least(F.lit(1.0), F.sum("coverage")).alias("coverage"))
+def acquisitions(items: DataFrame, keys: list[str], aoi: Sequence[tuple[float, float]]) -> DataFrame:
+    """One row per acquisition, the items (keys, scene_id, ts, points) of one pass: scene_id and first_ts of the earliest,
+    number of items, and the fraction of the area of interest that their united footprints cover. Keys may be NULL; an
+    item without a usable footprint counts as one and covers nothing."""
+    covered = union_coverage(items, keys, aoi)
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    passes = items.groupBy(*keys).agg(F.min(F.struct("ts", "scene_id")).alias("first"), F.count("*").alias("items"))
+    joined = passes.alias("p").join(covered.alias("c"), functools.reduce(Column.__and__, same))
+    return joined.select(*[F.col(f"p.{k}").alias(k) for k in keys], F.col("p.first.scene_id").alias("scene_id"), F.col("p.first.ts").alias("first_ts"), "items", "coverage")
 
 
 def rollup_status(status: Column) -> Column:
@@ -103,7 +113,7 @@ def with_paths(scenes: DataFrame, paths: DataFrame) -> DataFrame:
 def earliest_pairs(scenes: DataFrame, by: str, event: Column, post_days: int, pre_days: int, least: float) -> DataFrame:
     """Per group the earliest scene after the event that has one before it on the same track, with the latest such one.
 
-    scenes: by, scene_id, ts, orbit, direction, coverage. Days count, not times: after is (event, event + post_days],
+    scenes: by, scene_id, ts, orbit, direction, coverage; to judge whole passes give acquisitions(). Days count, not times: after is (event, event + post_days],
     before [event - pre_days, event). An unknown orbit or direction is a track of its own; of equal times the smaller
     id is the earlier. The sides are reduced per track in one aggregation; a group without a pair has no row."""
     day, one = F.col("ts").cast("date"), F.struct("ts", "scene_id")

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.raster import quantised
 from tidemark.functions.temporal import Plan, days_apart
-from tidemark.operators import selection
+from tidemark.operators import overlay, selection
 from tidemark.plans.common import Lens, table
 
 lens = Lens()
@@ -78,12 +79,56 @@ def c_asof_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.as_of(left, right, "user_id", "ts", "event_id", 2 * 86_400_000_000).select("event_id", F.col("matched").alias("view_id"))
 
 
-@lens(f"{_S} SELECT sensor, orbit, direction, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, min(scene_id) AS first_id, count(*) AS items, CAST(floor(least(1.0, sum(coverage)) * 1e4 + 0.5) AS BIGINT) AS coverage FROM s GROUP BY ALL")
+#: Footprints are rectangles 30 x 20 in a system (s, t) that is turned against (x, y) with sine 0.6; so is the target.
+_TARGET = (20.0, 10.0, 60.0, 40.0)
+_PASSES = _S + """, f AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(scene_id * 7 % 60 - 5 AS DOUBLE) AS s0, CAST(scene_id * 3 % 45 - 5 AS DOUBLE) AS t0 FROM s),
+k AS (SELECT sensor, orbit, direction, day, arg_min(scene_id, (ts, scene_id)) AS scene_id, min(ts) AS ts, count(*) AS items, list_sort(list_distinct(flatten(list([greatest(s0, 20), least(s0 + 30, 60)])))) AS xs, list_sort(list_distinct(flatten(list([greatest(t0, 10), least(t0 + 20, 40)])))) AS ys, list({'s': s0, 't': t0}) AS boxes FROM f GROUP BY ALL),
+h AS (SELECT k.* EXCLUDE (xs, ys), ys, unnest(xs[: -2]) AS x0, unnest(xs[2 :]) AS x1 FROM k), v AS (SELECT * EXCLUDE (ys), unnest(ys[: -2]) AS y0, unnest(ys[2 :]) AS y1 FROM h),
+u AS (SELECT sensor, orbit, direction, day, sum((x1 - x0) * (y1 - y0)) AS area FROM v WHERE x0 >= 20 AND x1 <= 60 AND y0 >= 10 AND y1 <= 40 AND len(list_filter(boxes, lambda b: b.s <= x0 AND b.s + 30 >= x1 AND b.t <= y0 AND b.t + 20 >= y1)) > 0 GROUP BY ALL),
+a AS (SELECT k.* EXCLUDE (xs, ys, boxes), coalesce(u.area, 0) / 1200 AS coverage FROM k LEFT JOIN u ON k.sensor = u.sensor AND k.orbit IS NOT DISTINCT FROM u.orbit AND k.direction IS NOT DISTINCT FROM u.direction AND k.day = u.day)"""
+
+
+def turned(s: Column, t: Column) -> Column:
+    return F.struct((0.8 * s - 0.6 * t).alias("x"), (0.6 * s + 0.8 * t).alias("y"))
+
+
+def target_ring() -> list[tuple[float, float]]:
+    s0, t0, s1, t1 = _TARGET
+    return [(0.8 * s - 0.6 * t, 0.6 * s + 0.8 * t) for s, t in ((s0, t0), (s1, t0), (s1, t1), (s0, t1))]
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scenes with day and points, a footprint that is turned against the axes."""
+    s, t = (F.col("scene_id") * 7 % 60 - 5).cast("double"), (F.col("scene_id") * 3 % 45 - 5).cast("double")
+    points = F.array(turned(s, t), turned(s + 30, t), turned(s + 30, t + 20), turned(s, t + 20))
+    return scenes(spark, sf_dir).withColumns({"day": F.col("ts").cast("date").cast("string"), "points": points})
+
+
+def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.acquisitions(footprints(spark, sf_dir), ["sensor", "orbit", "direction", "day"], target_ring())
+
+
+@lens(f"{_PASSES} SELECT sensor, orbit, direction, day, scene_id AS first_id, items, CAST(floor(coverage * 1e4 + 0.5) AS BIGINT) AS coverage FROM a")
 def c_acquisition_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scenes(spark, sf_dir).withColumn("day", F.col("ts").cast("date").cast("string"))
-    keys = ["sensor", "orbit", "direction", "day"]
-    out = s.groupBy(*keys).agg(F.min("scene_id").alias("first_id"), F.count("*").alias("items"), F.sum("coverage").alias("c"))
-    return out.select(*keys, "first_id", "items", F.floor(F.least(F.lit(1.0), F.col("c")) * 1e4 + 0.5).cast("bigint").alias("coverage"))
+    """Passes of a day and track, and how much of the target their united footprints cover."""
+    out = passes(spark, sf_dir)
+    return out.select("sensor", "orbit", "direction", "day", F.col("scene_id").alias("first_id"), "items", F.floor(F.col("coverage") * 1e4 + 0.5).cast("bigint").alias("coverage"))
+
+
+_CLEAR = _S + """, f AS (SELECT *, CAST(scene_id % 3 + 9 * coalesce(orbit, 3) AS DOUBLE) AS s0, CAST(scene_id % 4 AS DOUBLE) AS t0 FROM s),
+m AS (SELECT sensor, orbit, max(s0) AS x0, min(s0) + 60 AS x1, max(t0) AS y0, min(t0) + 45 AS y1 FROM f GROUP BY ALL),
+g AS (SELECT *, greatest(0, x1 - x0) * greatest(0, y1 - y0) AS common_area, greatest(0, least(x1, 66) - greatest(x0, 30)) * greatest(0, least(y1, 24) - greatest(y0, 20)) AS shared_area, least(30 - x0, x1 - 66, 20 - y0, y1 - 24) AS off FROM m)"""
+
+
+@lens(_CLEAR + """ SELECT sensor, orbit, CAST(floor(common_area * 1e3 + 0.5) AS BIGINT) AS common_area, CAST(floor(shared_area * 1e3 + 0.5) AS BIGINT) AS shared_area, shared_area > 144 - 1e-6 AS covered,
+CASE WHEN shared_area > 144 - 1e-6 THEN CAST(floor(off * 1e3 + 0.5) AS BIGINT) ELSE 0 END AS clearance, shared_area > 144 - 1e-6 AND off >= 2.5 AS accepted FROM g""")
+def c_swath_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all footprints (60 x 45) of a sensor and orbit share, and how far inside it a small target lies."""
+    s, t = (F.col("scene_id") % 3 + 9 * F.coalesce("orbit", F.lit(3))).cast("double"), (F.col("scene_id") % 4).cast("double")
+    wide = scenes(spark, sf_dir).select("sensor", "orbit", F.array(turned(s, t), turned(s + 60, t), turned(s + 60, t + 45), turned(s, t + 45)).alias("points"))
+    small = [(0.8 * s - 0.6 * t, 0.6 * s + 0.8 * t) for s, t in ((30, 20), (66, 20), (66, 24), (30, 24))]
+    out = overlay.common_clearance(wide, ["sensor", "orbit"], small, 2.5)
+    return out.select("sensor", "orbit", *[quantised(F.col(c), 1e3).alias(c) for c in ("common_area", "shared_area", "clearance")], "covered", "accepted")
 
 
 @lens("""WITH d AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CASE WHEN value < 20 THEN 'SUCCESS' WHEN value < 40 THEN 'FAILED' ELSE 'NOT_ATTEMPTED' END AS st FROM events)
@@ -106,8 +151,10 @@ def c_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").orderBy("ts", "event_id").offset(100).limit(50).select("event_id", "user_id")
 
 
-@lens(_S + """, u AS (SELECT *, CAST(ts AS DATE) AS day FROM s WHERE coverage >= 0.9), p AS (SELECT b.sensor, b.scene_id AS pre_id, a.scene_id AS post_id,
-row_number() OVER (PARTITION BY b.sensor ORDER BY a.ts, a.scene_id, b.ts DESC, b.scene_id DESC) AS rn FROM u b JOIN u a ON b.sensor = a.sensor AND b.orbit IS NOT DISTINCT FROM a.orbit AND b.direction IS NOT DISTINCT FROM a.direction
-WHERE a.day > DATE '2024-01-15' AND a.day <= DATE '2024-01-27' AND b.day >= DATE '2023-12-10' AND b.day < DATE '2024-01-15') SELECT sensor, pre_id, post_id FROM p WHERE rn = 1""")
+@lens(_PASSES + """, w AS (SELECT *, CAST(day AS DATE) AS d FROM a WHERE coverage >= 0.4996), p AS (SELECT b.sensor, b.scene_id AS pre_id, a.scene_id AS post_id,
+row_number() OVER (PARTITION BY b.sensor ORDER BY a.ts, a.scene_id, b.ts DESC, b.scene_id DESC) AS rn FROM w b JOIN w a ON b.sensor = a.sensor AND b.orbit IS NOT DISTINCT FROM a.orbit AND b.direction IS NOT DISTINCT FROM a.direction
+WHERE a.d > DATE '2024-01-15' AND a.d <= DATE '2024-01-27' AND b.d >= DATE '2023-12-10' AND b.d < DATE '2024-01-15') SELECT sensor, pre_id, post_id FROM p WHERE rn = 1""")
 def c_earliest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.earliest_pairs(scenes(spark, sf_dir), "sensor", F.lit(dt.date(2024, 1, 15)), 12, 36, 0.9)
+    """Pairs of passes, each named by its earliest scene; half the target must be covered by a pass's scenes together."""
+    out = passes(spark, sf_dir).withColumnRenamed("first_ts", "ts")
+    return selection.earliest_pairs(out, "sensor", F.lit(dt.date(2024, 1, 15)), 12, 36, 0.4996)

@@ -3,13 +3,16 @@ Values at or below zero have no logarithm, as backscatter does."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import optical
 from tidemark.functions import raster as R
-from tidemark.operators import change, focal, resample, stats
+from tidemark.operators import change, focal, graph, outline, resample, stats
 from tidemark.plans.common import Lens, table
+from tidemark.sources import raster as files
 
 lens = Lens()
 
@@ -158,11 +161,48 @@ def r_erode4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lens()
 def r_sieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against brute force in the tests."""
+    """SQL that spreads labels over regions takes minutes on the whole raster; brute force in the tests stands for it."""
     bits = grid(spark, sf_dir).select("row", "col", F.coalesce((F.col("value") > 0.05).cast("int"), F.lit(0)).alias("value"))
     return change.sieve(bits, 10)
 
 
+@lens()
+def r_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composed rule: decibels, three classes, sieve; held against brute force in the tests."""
+    slope = ((F.col("row") * 7 + F.col("col")) % 40).cast("double")
+    return change.classified(planes(spark, sf_dir).withColumn("slope", slope), 1, -8.0, -1.0, 30.0, 10)
+
+
+_CORNERS = "(VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) k(dr, dc, bit)"
+
+
+@lens(f"""{_GRID}, c AS (SELECT row, col, CASE WHEN x > 0.1 THEN 2 WHEN x > -0.1 THEN 1 ELSE 0 END AS value FROM g), q AS (SELECT value, row + dr AS y, col + dc AS x, sum(bit) AS m FROM c, {_CORNERS} GROUP BY ALL),
+s AS (SELECT value, count(*) FILTER (m IN (1, 2, 4, 8)) AS one, count(*) FILTER (m IN (7, 11, 13, 14)) AS three, count(*) FILTER (m IN (6, 9)) AS crossed FROM q GROUP BY value)
+SELECT s.value, CAST((one - three + 2 * crossed) // 4 AS BIGINT) AS rings_less_holes, one + three + 2 * crossed AS corners, n AS area FROM s JOIN (SELECT value, count(*) AS n FROM c GROUP BY value) USING (value)""")
+def r_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of a class raster; SQL counts corners of 2 x 2 pixels, from which outer rings less holes follow."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "x"))
+    x = F.col("x").cast("double")
+    classes = e.select("row", F.col("col").cast("bigint").alias("col"), F.when(x > 0.1, 2).when(x > -0.1, 1).otherwise(0).alias("value"))
+    per = outline.class_summary(outline.outlines(classes))
+    return per.select("value", (F.col("outer") - F.col("holes")).alias("rings_less_holes"), "corners", F.col("area").cast("bigint").alias("area"))
+
+
+@lens("""SELECT vec_id AS row, col, CAST(b AS INTEGER) AS band, CASE WHEN b = 1 THEN q WHEN q % 7 <> 0 THEN -q END AS value FROM (SELECT vec_id, unnest(range(64)) AS col, CAST(floor(CAST(unnest(embedding) AS DOUBLE) * 1e3 + 0.5) AS BIGINT) AS q FROM embeddings), (VALUES (1), (2)) t(b)
+WHERE vec_id >= (SELECT count(*) // 4 FROM embeddings) AND col BETWEEN 8 AND 40""")
+def k_raster_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene of two bands written as one file and read again: the window from a quarter of its height on, columns 8 to 40."""
+    e = table(spark, sf_dir, "embeddings")
+    height = e.count()
+    q = R.quantised(F.col("x").cast("double"), 1e3)
+    scene = e.select(F.col("vec_id").alias("row"), F.posexplode("embedding").alias("col", "x")).select("row", "col", q.alias("first"), F.when(q % 7 != 0, -q).alias("second"))
+    path = f"{graph.shared_dir(spark)}/scene-{uuid.uuid4().hex}.tif"
+    files.write_pixels(scene, path, files.Grid(64, height, 32645, 10.0, -10.0, 300000.0, 3100000.0, -32768.0), ["first", "second"], "i2", 16, 2)
+    graph.removed_at_exit(spark, path)
+    window = files.read_pixels(spark, path).where((F.col("row") >= height // 4) & (F.col("col") >= 8) & (F.col("col") <= 40))
+    return window.select("row", "col", "band", F.col("value").cast("bigint").alias("value"))
+
+
 @lens(f"""{_GRID}, t AS (SELECT r.i AS row, c.i AS col, (r.i + 0.5) * 1.5 - 0.5 AS y, (c.i + 0.5) * 1.5 - 0.5 AS x FROM range(CAST(floor((SELECT max(row) + 1 FROM v) / 1.5) AS BIGINT)) r(i), range(42) c(i))
 SELECT t.row, t.col, {_Q('value')} AS value FROM t LEFT JOIN v ON v.row = CAST(floor(y + 0.5) AS BIGINT) AND v.col = CAST(floor(x + 0.5) AS BIGINT)""")
 def r_nearest_warp(spark: SparkSession, sf_dir: str) -> DataFrame:

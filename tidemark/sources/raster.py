@@ -1,97 +1,362 @@
-"""Raster files: uncompressed or deflated baseline GeoTIFF in, pixel tables partitioned by raster row out."""
+"""Raster files as a Python data source: pixel tables read block by block, and written by a commit that is all or nothing.
+
+Files are reached through Arrow's file systems, so a path may be an object store's. No file is decoded whole: tasks own
+byte ranges of files as in other formats, read the directory, and fetch only blocks that filters on row, col and band
+leave over."""
 
 from __future__ import annotations
 
-import struct
-import zlib
+import json
+import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.types import StructType
+
+from tidemark.sources import tiff
 
-META = "path string, width int, height int, bands int, bits int, format int, compression int, a double, e double, c double, f double, epsg int, nodata double"
+META = "path string, width int, height int, bands int, bits int, format int, compression int, predictor int, planar int, tiled boolean, blocks int, masked boolean, a double, e double, c double, f double, epsg int, nodata double, names array<string>"
 PIXELS = "path string, row bigint, col bigint, band int, value double"
+_PUSH = "spark.sql.python.filterPushdown.enabled"
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Size, system and affine transform (x = c + a * col, y = f + e * row) of a north-up raster."""
+
+    width: int
+    height: int
+    epsg: int
+    a: float
+    e: float
+    c: float
+    f: float
+    nodata: float | None = None
+
+
+def _where(path: str) -> tuple[fs.FileSystem, str]:
+    path = path.replace("file:///", "/") if path.startswith("file:///") else path.removeprefix("file:")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+@dataclass
+class _Part(InputPartition):
+    """The blocks of a file that begin in [start, end)."""
+
+    path: str
+    start: int
+    end: float
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict, meta: bool) -> None:
+        self.path, self.split, self.meta = options["path"], int(options.get("split", 32 << 20)), meta
+        self.low = {"row": 0, "col": 0, "band": 1}
+        self.high: dict[str, float] = {"row": math.inf, "col": math.inf, "band": math.inf}
+        self.paths: set[str] | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds of row, col and band, and paths. Spark applies all filters again to what is read."""
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else ""
+            if name in self.low and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, In)):
+                least = min(f.value) if isinstance(f, In) else f.value + isinstance(f, GreaterThan)
+                self.low[name] = max(self.low[name], least)
+            if name in self.high and isinstance(f, (EqualTo, LessThan, LessThanOrEqual, In)):
+                most = max(f.value) if isinstance(f, In) else f.value - isinstance(f, LessThan)
+                self.high[name] = min(self.high[name], most)
+            if name == "path" and isinstance(f, (EqualTo, In)):
+                own = set(f.value if isinstance(f, In) else [f.value])
+                self.paths = own if self.paths is None else self.paths & own
+            yield f
+
+    def partitions(self) -> list[_Part]:
+        at, place = _where(self.path)
+        info = at.get_file_info(place)
+        files = [info] if info.type == fs.FileType.File else [x for x in at.get_file_info(fs.FileSelector(place, recursive=True)) if x.type == fs.FileType.File and x.extension.lower() in ("tif", "tiff")]
+        head = self.path[: -len(place)] if self.path.endswith(place) else ""
+        out = []
+        for x in sorted(files, key=lambda x: x.path):
+            if self.paths is None or head + x.path in self.paths:
+                n = 1 if self.meta else max(1, -(-x.size // self.split))
+                out += [_Part(head + x.path, k * self.split if k else 0, math.inf if k == n - 1 else (k + 1) * self.split) for k in range(n)]
+        return out
+
+    def _wanted(self, block: tiff.Block) -> bool:
+        spans = {"row": (block.row, block.row + block.rows - 1), "col": (block.col, block.col + block.cols - 1), "band": (block.bands.start + 1, block.bands.stop)}
+        return all(a <= self.high[k] and z >= self.low[k] for k, (a, z) in spans.items())
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        system, place = _where(partition.path)
+        with system.open_input_file(place) as file:
+            fetch = lambda at, n: file.read_at(n, at)
+            try:
+                image, mask = tiff.images(fetch)
+            except ValueError as wrong:
+                raise ValueError(f"{partition.path} is {wrong}") from None
+            about = tiff.geometry(image.tags, partition.path)
+            if self.meta:
+                get = image.get
+                row = {"path": partition.path, "width": get(tiff.WIDTH), "height": get(tiff.HEIGHT), "bands": image.bands, "bits": get(tiff.BITS, 1), "format": get(tiff.FORMAT, 1), "compression": get(tiff.COMPRESSION, 1), "predictor": get(tiff.PREDICTOR, 1), "planar": get(tiff.PLANAR, 1), "tiled": image.tiled, "blocks": sum(1 for _ in image.blocks()), "masked": mask is not None, **about, "names": tiff.names(image.tags)}
+                yield pa.RecordBatch.from_pylist([row], schema=_arrow(META))
+                return
+            for block in image.blocks():
+                if partition.start <= block.at < partition.end and self._wanted(block):
+                    try:
+                        values = image.decode(block, fetch(block.at, block.size)).astype(np.float64)
+                    except ValueError as wrong:
+                        raise ValueError(f"{partition.path}: {wrong}") from None
+                    seen = np.isfinite(values)
+                    if about["nodata"] is not None:
+                        seen &= values != about["nodata"]
+                    if mask is not None:
+                        seen &= self._masked(mask, fetch, block)[:, :, None]
+                    yield from self._rows(partition.path, block, values, seen)
+
+    @staticmethod
+    def _masked(mask: tiff.Image, fetch: tiff.Fetch, block: tiff.Block) -> np.ndarray:
+        """Where the file's own mask is not zero, over the pixels of a block."""
+        out = np.zeros((block.rows, block.cols), dtype=bool)
+        for m in mask.blocks():
+            top, left, bottom, right = max(m.row, block.row), max(m.col, block.col), min(m.row + m.rows, block.row + block.rows), min(m.col + m.cols, block.col + block.cols)
+            if top < bottom and left < right:
+                there = mask.decode(m, fetch(m.at, m.size))[:, :, 0] != 0
+                out[top - block.row : bottom - block.row, left - block.col : right - block.col] = there[top - m.row : bottom - m.row, left - m.col : right - m.col]
+        return out
+
+    def _rows(self, path: str, block: tiff.Block, values: np.ndarray, seen: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, band in enumerate(block.bands, 1):
+            if self.low["band"] <= band + 1 <= self.high["band"]:
+                n = block.rows * block.cols
+                row, col = np.divmod(np.arange(n), block.cols)
+                value = pa.array(values[:, :, k - 1].ravel(), mask=~seen[:, :, k - 1].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(row + block.row), pa.array(col + block.col), pa.array(np.full(n, band + 1, np.int32)), value], ["path", "row", "col", "band", "value"])
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task's file and its strips: number, place in it, size."""
+
+    name: str
+    strips: list[tuple[int, int, int]]
+
+
+class _Writer(DataSourceArrowWriter):
+    """Tasks write the strips of their rows into a folder of the job; the commit joins them behind a directory and moves
+    the file into place. A failure leaves neither file nor folder."""
+
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.grid, self.bands, self.kind = options["path"], Grid(**json.loads(options["grid"])), json.loads(options["bands"]), options["kind"]
+        self.high, self.predictor, self.overwrite, self.job = int(options["rows"]), int(options["predictor"]), overwrite, uuid.uuid4().hex
+        system, place = _where(self.path)
+        if not overwrite and system.get_file_info(place).type != fs.FileType.NotFound:
+            raise ValueError(f"{self.path} is there already")
 
-#: Tags of the format, and the struct codes of its field types.
-WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, COUNTS, PLANAR, FORMAT, SCALE, TIEPOINT, KEYS, NODATA = 256, 257, 258, 259, 273, 277, 278, 279, 284, 339, 33550, 33922, 34735, 42113
-FIELD = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
-PIXEL = {(1, 8): "B", (1, 16): "H", (1, 32): "I", (2, 8): "b", (2, 16): "h", (2, 32): "i", (3, 32): "f", (3, 64): "d"}
-
-
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
-        raise ValueError("not a TIFF file")
-    at = struct.unpack(order + "I", data[4:8])[0]
-    out = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        tag, kind, n, _ = struct.unpack(order + "HHII", data[(p := at + 2 + 12 * i) : p + 12])
-        code = FIELD.get(kind)
-        if code is None:
-            continue
-        size = struct.calcsize(order + code) * n
-        start = p + 8 if size <= 4 else struct.unpack(order + "I", data[p + 8 : p + 12])[0]
-        out[tag] = struct.unpack(f"{order}{n}{code}", data[start : start + size])
-    return order, out
-
-
-def _meta(path: str, data: bytes) -> dict:
-    _, t = _tags(data)
-    scale, tie = t.get(SCALE), t.get(TIEPOINT)
-    if scale is None or tie is None:
-        raise ValueError(f"{path} has no affine transform")
-    keys = t.get(KEYS, ())
-    epsg = next((keys[i + 3] for i in range(4, len(keys), 4) if keys[i] in (3072, 2048) and keys[i + 1] == 0), None)
-    if epsg is None:
-        raise ValueError(f"{path} has no coordinate system")
-    nodata = b"".join(t[NODATA]).rstrip(b"\0 ") if NODATA in t else b""
-    return {
-        "path": path, "width": t[WIDTH][0], "height": t[HEIGHT][0], "bands": t.get(SAMPLES, (1,))[0], "bits": t.get(BITS, (1,))[0], "format": t.get(FORMAT, (1,))[0], "compression": t.get(COMPRESSION, (1,))[0],
-        "a": scale[0], "e": -scale[1], "c": tie[3] - tie[0] * scale[0], "f": tie[4] + tie[1] * scale[1], "epsg": epsg, "nodata": float(nodata) if nodata else None,
-    }
+    @property
+    def folder(self) -> str:
+        return f"{_where(self.path)[1]}.tmp-{self.job}"
+
+    def _strip(self, no: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = min(self.high, self.grid.height - no * self.high)
+        fill = np.nan if self.grid.nodata is None else self.grid.nodata
+        return np.full((rows, self.grid.width, len(self.bands)), fill), np.zeros((rows, self.grid.width), dtype=bool)
+
+    def _encoded(self, no: int, values: np.ndarray, seen: np.ndarray) -> bytes:
+        empty = ~seen.all() or np.isnan(values).any()
+        if empty and self.grid.nodata is None:
+            raise ValueError(f"{self.path}: strip {no} has pixels without a value, and there is no nodata value")
+        return tiff.encode_strip(values.astype(self.kind), self.predictor)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        system, _ = _where(self.path)
+        system.create_dir(self.folder, recursive=True)
+        name, strips, at = uuid.uuid4().hex, [], 0
+        no, values, seen = -1, None, None
+        with system.open_output_stream(f"{self.folder}/{name}") as out:
+
+            def flush() -> None:
+                nonlocal at
+                if no >= 0:
+                    raw = self._encoded(no, values, seen)
+                    out.write(raw)
+                    strips.append((no, at, len(raw)))
+                    at += len(raw)
+
+            for batch in iterator:
+                row, col = (np.asarray(batch.column(c)) for c in ("row", "col"))
+                if len(row) and not (0 <= row.min() and row.max() < self.grid.height and 0 <= col.min() and col.max() < self.grid.width):
+                    raise ValueError(f"{self.path}: a pixel lies outside the grid")
+                own = np.column_stack([batch.column(b).cast(pa.float64()).to_numpy(zero_copy_only=False) for b in self.bands])
+                of = row // self.high
+                for k in np.unique(of).tolist():  # rows come in order, so a strip ends where the next one begins
+                    if k != no:
+                        flush()
+                        no, (values, seen) = k, self._strip(k)
+                    here = of == k
+                    r, c = row[here] - k * self.high, col[here]
+                    if seen[r, c].any() or len(np.unique(r * self.grid.width + c)) < len(r):
+                        raise ValueError(f"{self.path}: a pixel has two values")
+                    seen[r, c] = True
+                    values[r, c] = np.where(np.isnan(own[here]), values[r, c], own[here])
+            flush()
+        return _Written(name, strips)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        system, place = _where(self.path)
+        try:
+            found = {no: (m.name, at, n) for m in messages if m for no, at, n in m.strips}
+            if len(found) < sum(len(m.strips) for m in messages if m):
+                raise ValueError(f"{self.path}: a strip was written by two tasks")
+            count = -(-self.grid.height // self.high)
+            blank = {no: self._encoded(no, *self._strip(no)) for no in range(count) if no not in found}
+            sizes = [found[no][2] if no in found else len(blank[no]) for no in range(count)]
+            head, _ = tiff.header(self.grid.width, self.grid.height, self.kind, self.high, sizes, asdict(self.grid), self.bands, self.predictor)
+            files: dict[str, pa.NativeFile] = {}
+            system.create_dir(self.folder, recursive=True)
+            with system.open_output_stream(f"{self.folder}/whole") as out:
+                out.write(head)
+                for no in range(count):
+                    if no in found:
+                        name, at, n = found[no]
+                        if name not in files:
+                            files[name] = system.open_input_file(f"{self.folder}/{name}")
+                        out.write(files[name].read_at(n, at))
+                    else:
+                        out.write(blank[no])
+            for f in files.values():
+                f.close()
+            system.move(f"{self.folder}/whole", place)
+        finally:
+            self.abort(messages)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        system, _ = _where(self.path)
+        if system.get_file_info(self.folder).type != fs.FileType.NotFound:
+            system.delete_dir(self.folder)
+
+
+class TiledRaster(DataSource):
+    """spark.read.format("tiled_raster").load(path): PIXELS of a file or of all files below a folder; with the option
+    meta = true, one row of META for each file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tiled_raster"
+
+    def _meta(self) -> bool:
+        return self.options.get("meta", "false").lower() == "true"
+
+    def schema(self) -> str:
+        return META if self._meta() else PIXELS
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _Reader(self.options, self._meta())
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _Writer(self.options, overwrite)
+
+
+def _register(spark: SparkSession) -> None:
+    spark.dataSource.register(TiledRaster)
+    if spark.conf.get(_PUSH, "false") != "true":
+        spark.conf.set(_PUSH, "true")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row per file. A file without an affine transform or a coordinate system is an error."""
+    _register(spark)
+    return spark.read.format("tiled_raster").option("meta", "true").load(path)
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([_meta(p, bytes(b)) for p, b in zip(frame["path"], frame["content"], strict=True)], columns=[x.split()[0] for x in META.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(scan, META)
+def read_pixels(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
+    """path, row, col, band, value; NULL where a value is nodata, NaN or infinite, or the file's mask is zero.
 
+    Strips and tiles, both byte orders, small and big files, interleaved and separate bands, plain, deflated and LZW
+    blocks, differences of whole numbers and of floats are read; another compression or predictor is an error. Filters
+    on row, col, band and path reach the source."""
+    _register(spark)
+    pixels = spark.read.format("tiled_raster").load(path)
+    return pixels.where(F.col("band").isin(bands)) if bands else pixels
 
-def read_pixels(spark: SparkSession, path: str, bands: list[int] | None = None) -> DataFrame:
-    """path, row, col, band, value of chunky strips; NULL where a value is nodata, NaN or infinite. A file is decoded
-    by one task and handed on strip by strip."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for p, raw in zip(frame["path"], frame["content"], strict=True):
-                data = bytes(raw)
-                order, t = _tags(data)
-                m = _meta(p, data)
-                if m["compression"] not in (1, 8, 32946) or t.get(PLANAR, (1,))[0] != 1:
-                    raise ValueError(f"{p}: compression {m['compression']} or planar layout isn't read")
-                code, per, high = PIXEL[m["format"], m["bits"]], m["bands"], t.get(ROWS, (m["height"],))[0]
-                for k, (start, n) in enumerate(zip(t[STRIPS], t[COUNTS], strict=True)):
-                    strip = data[start : start + n]
-                    strip = zlib.decompress(strip) if m["compression"] != 1 else strip
-                    rows = min(high, m["height"] - k * high)
-                    values = pd.Series(struct.unpack(f"{order}{rows * m['width'] * per}{code}", strip[: rows * m["width"] * per * m["bits"] // 8]), dtype="float64")
-                    i = pd.Series(range(len(values)))
-                    out = pd.DataFrame({"path": p, "row": i // (m["width"] * per) + k * high, "col": i // per % m["width"], "band": i % per + 1, "value": values})
-                    yield out[out["band"].isin(bands)] if bands else out
-
-    pixels = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(scan, PIXELS)
-    meta = read_metadata(spark, path).select("path", "nodata")
-    v = F.col("value")
-    ok = ~F.isnan(v) & (F.abs(v) < float("inf")) & ~v.eqNullSafe(F.col("nodata"))
-    return pixels.join(meta, "path").select("path", "row", "col", "band", F.when(ok, v).alias("value"))
+
+def read_window(spark: SparkSession, path: str, window: tuple[float, float, float, float], bands: list[int] | None = None) -> DataFrame:
+    """The pixels of one file whose centres lie in a window (x0, y0, x1, y1) of its own system; none if it lies outside."""
+    m = read_metadata(spark, path).first()
+    cols = [math.ceil((x - m["c"]) / m["a"] - 0.5) for x in (window[0], window[2])]
+    rows = [math.ceil((y - m["f"]) / m["e"] - 0.5) for y in (window[3], window[1])]
+    pixels = read_pixels(spark, path, bands)
+    return pixels.where((F.col("row") >= rows[0]) & (F.col("row") < rows[1]) & (F.col("col") >= cols[0]) & (F.col("col") < cols[1]))
 
 
 def same_grid(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> bool:
     """Whether two one-row metadata tables have the same system, size and transform."""
     x, y = a.first(), b.first()
     return all(x[n] == y[n] for n in ("epsg", "width", "height")) and all(abs(x[n] - y[n]) <= tolerance for n in ("a", "e", "c", "f"))
+
+
+def require_raster(meta: DataFrame, bands: int | None = None, epsg: int | None = None, names: list[str] | None = None, metric: bool = False) -> DataFrame:
+    """meta; a file with fewer bands, another system, other band names, or (metric) a system in degrees or pixels that
+    aren't square is an error when its row is read."""
+    wrong = F.lit(None).cast("string")
+    checks = [("fewer bands", F.col("bands") >= bands) if bands else None, ("another system", F.col("epsg") == epsg) if epsg else None, ("other band names", F.col("names") == F.array(*map(F.lit, names))) if names else None]
+    checks += [("a system in degrees", ~F.col("epsg").between(4000, 4999)), ("pixels that aren't square", F.abs(F.col("a") + F.col("e")) <= 1e-9 * F.col("a"))] if metric else []
+    for what, holds in filter(None, checks):
+        wrong = F.when(~F.coalesce(holds, F.lit(False)), what).otherwise(wrong)
+    return meta.withColumn("path", F.when(wrong.isNull(), F.col("path")).otherwise(F.raise_error(F.concat("path", F.lit(" has "), wrong))))
+
+
+def write_pixels(pixels: DataFrame, path: str, grid: Grid, bands: list[str], kind: str = "f4", rows_per_strip: int = 64, predictor: int = 1, overwrite: bool = False) -> None:
+    """Write row, col and a column per band as one deflated file. Strips are made by as many tasks as there are, in one
+    shuffle by strip; no task holds more than a strip. NULL and missing pixels become nodata; without a nodata value
+    they are an error, as are two values of a pixel, pixels outside the grid, and a file that is there unless overwrite."""
+    if len(set(bands)) < len(bands) or not bands:
+        raise ValueError("bands need names of their own")
+    spark = pixels.sparkSession
+    _register(spark)
+    dealt = pixels.select(F.col("row").cast("bigint"), F.col("col").cast("bigint"), *[F.col(b).cast("double") for b in bands]).withColumn("strip", F.floor(F.col("row") / rows_per_strip))
+    dealt = dealt.repartition("strip").sortWithinPartitions("strip").drop("strip")
+    options = {"grid": json.dumps(asdict(grid)), "bands": json.dumps(bands), "kind": kind, "rows": rows_per_strip, "predictor": predictor}
+    dealt.write.format("tiled_raster").mode("overwrite" if overwrite else "append").options(**options).save(path)
+
+
+def write_artifact(pixels: DataFrame, folder: str, stem: str, grid: Grid, bands: list[str], provenance: dict, kind: str = "f4", rows_per_strip: int = 64) -> dict:
+    """An artefact as a folder `stem`: data.tif, mask.tif (1: all bands have a value), quality.json, provenance.json.
+
+    All is written beside it first and moved at once, so that the artefact is there whole or not at all; one that is
+    there already is an error. Returns the quality record."""
+    missing = [k for k in ("source_ids", "operations", "version") if not provenance.get(k)]
+    if missing:
+        raise ValueError(f"provenance lacks {missing}")
+    system, place = _where(folder)
+    final, staged = f"{place}/{stem}", f"{place}/.{stem}-{uuid.uuid4().hex}"
+    if system.get_file_info(final).type != fs.FileType.NotFound:
+        raise ValueError(f"{final} is there already")
+    system.create_dir(staged, recursive=True)
+    try:
+        valid = F.lit(True)
+        for b in bands:
+            valid = valid & F.col(b).isNotNull() & ~F.isnan(F.col(b).cast("double"))
+        write_pixels(pixels, f"{staged}/data.tif", grid, bands, kind, rows_per_strip)
+        write_pixels(pixels.select("row", "col", valid.cast("int").alias("valid")), f"{staged}/mask.tif", Grid(**asdict(grid) | {"nodata": 0.0}), ["valid"], "u1", rows_per_strip)
+        seen, total = pixels.where(valid).count(), grid.width * grid.height
+        quality = {"status": "success", "width": grid.width, "height": grid.height, "bands": bands, "epsg": grid.epsg, "valid_pixels": seen, "invalid_pixels": total - seen, "invalid_percent": 100.0 * (total - seen) / total if total else None}
+        for name, record in (("quality", quality), ("provenance", provenance)):
+            with system.open_output_stream(f"{staged}/{name}.json") as out:
+                out.write((json.dumps(record, indent=2, sort_keys=True) + "\n").encode())
+        system.move(staged, final)
+    finally:
+        if system.get_file_info(staged).type != fs.FileType.NotFound:
+            system.delete_dir(staged)
+    return quality
