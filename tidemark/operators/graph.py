@@ -1,11 +1,14 @@
-"""Components, shortest paths and reachability on edge tables, by rounds of joins with each round written out."""
+"""Components, shortest paths and reachability on edge tables, by rounds of joins with each round written out;
+paths along pointers by doubling them."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,27 +74,82 @@ def component_ranks(labels: DataFrame) -> DataFrame:
     return sizes.withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("size"), "component")) - 1)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most_rounds: int = 1_000_000) -> DataFrame:
-    """node, distance, hub, previous: least distance from any source over undirected edges (u, v, length).
+def shortest_paths(edges: DataFrame, sources: DataFrame, scenario: Sequence[str] = (), group: Sequence[str] = (), merge: int = 8) -> DataFrame:
+    """scenario, group, node, distance, hub, previous: least distances from any source over undirected edges (scenario,
+    u, v, length), for all scenarios of edges and all groups of sources in one relaxation.
 
-    sources: node, hub. Edges of length 0 or with u = v aren't routable; of parallel edges the shortest counts; ties go
-    to the smaller hub and then the smaller previous node. Each round relaxes only from nodes that improved."""
+    sources: scenario, group, node, hub. Edges of length 0 or with u = v aren't routable; of parallel edges the shortest
+    counts; ties go to the smaller hub and then the smaller previous node. Each round relaxes only from what improved
+    and writes only that; what is known is a table and the rounds since, which are merged every `merge` rounds."""
+    labels, key = [*scenario], [*scenario, *group, "node"]
     usable = edges.where((F.col("u") != F.col("v")) & (F.col("length") > 0))
-    both = usable.select("u", "v", "length").unionByName(usable.select(F.col("v").alias("u"), F.col("u").alias("v"), "length"))
-    arcs = written(both.groupBy("u", "v").agg(F.min("length").alias("length")))
-    start = sources.groupBy("node").agg(F.min("hub").alias("hub"))
-    best = written(start.select("node", F.struct(F.lit(0.0).alias("distance"), F.col("hub"), F.lit(None).cast(edges.schema["u"].dataType).alias("previous")).alias("at")))
-    front = best
-    for _ in range(most_rounds):
-        reached = front.join(arcs, front["node"] == arcs["u"]).groupBy(F.col("v").alias("node")).agg(F.min(F.struct((F.col("at.distance") + F.col("length")).alias("distance"), F.col("at.hub").alias("hub"), F.col("u").alias("previous"))).alias("new"))
-        both_ways = written(best.join(reached, "node", "full_outer").select("node", "at", "new"))
-        better = F.col("at").isNull() | (F.col("new") < F.col("at"))
-        improved = F.coalesce(F.col("new").isNotNull() & better, F.lit(False))
-        front = both_ways.where(improved).select("node", F.col("new").alias("at"))
+    both = usable.select(*labels, "u", "v", "length").unionByName(usable.select(*labels, F.col("v").alias("u"), F.col("u").alias("v"), "length"))
+    arcs = written(both.groupBy(*labels, "u", "v").agg(F.min("length").alias("length")))
+    start = sources.groupBy(*key).agg(F.min("hub").alias("hub"))
+    first = F.struct(F.lit(0.0).alias("distance"), F.col("hub"), F.lit(None).cast(edges.schema["u"].dataType).alias("previous"))
+    known = front = written(start.select(*key, first.alias("at")))
+    for n in itertools.count(1):
+        step = F.struct((F.col("at.distance") + F.col("length")).alias("distance"), F.col("at.hub").alias("hub"), F.col("node").alias("previous"))
+        reached = front.join(arcs.withColumnRenamed("u", "node"), [*labels, "node"]).select(*labels, *group, F.col("v").alias("node"), step.alias("new"))
+        reached = reached.groupBy(*key).agg(F.min("new").alias("new"))
+        held = reached.join(known, key, "left").groupBy(*key).agg(F.first("new").alias("new"), F.min("at").alias("at"))
+        front = written(held.where("at is null or new < at").select(*key, F.col("new").alias("at")))
         if front.isEmpty():
             break
-        best = both_ways.select("node", F.when(improved, F.col("new")).otherwise(F.col("at")).alias("at"))
-    return best.select("node", "at.distance", "at.hub", "at.previous")
+        known = known.unionByName(front)
+        if n % merge == 0:
+            known = written(known.groupBy(*key).agg(F.min("at").alias("at")))
+    return known.groupBy(*key).agg(F.min("at").alias("at")).select(*key, "at.distance", "at.hub", "at.previous")
+
+
+def doubled(steps: DataFrame) -> list[DataFrame]:
+    """Tables (id, to) of where 1, 2, 4, ... steps lead, up to the longest path. steps: id, to, one row per id. A cycle,
+    which has no longest path, is an error."""
+    tables = [written(steps.select("id", "to"))]
+    n = tables[0].count()
+    while True:
+        a, b = tables[-1].select("id", F.col("to").alias("mid")), tables[-1].select(F.col("id").alias("mid"), "to")
+        further = written(a.join(b, "mid").select("id", "to"))
+        if further.isEmpty():
+            return tables
+        if 1 << len(tables) > n:
+            raise ValueError("the steps have a cycle")
+        tables.append(further)
+
+
+def walked(starts: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """start, step, id of all places on the paths from starts (start, id), by doubled(): one round for each power of
+    two, from the largest on, and each place is found once, as each number is one sum of such powers."""
+    out = written(starts.select("start", F.lit(0).alias("step"), "id"))
+    for k in reversed(range(len(tables))):
+        out = written(out.unionByName(out.join(tables[k], "id").select("start", (F.col("step") + (1 << k)).alias("step"), F.col("to").alias("id"))))
+    return out
+
+
+def path_totals(steps: DataFrame, values: DataFrame) -> DataFrame:
+    """id, places, total, last of the path from each id of values (id, value): how many places it has, the sum of their
+    values, and its last place. No path is written out: each round doubles the stretch that is summed up."""
+    at = values.join(steps.select("id", "to"), "id", "left").select("id", "to", F.lit(1).cast("long").alias("places"), F.col("value").alias("total"), F.col("id").alias("last"))
+    at, n, rounds = written(at), values.count(), 0
+    while not at.where("to is not null").isEmpty():
+        if 1 << rounds > 2 * n:
+            raise ValueError("the steps have a cycle")
+        ahead = at.select(F.col("id").alias("to"), F.col("to").alias("after"), F.col("places").alias("p"), F.col("total").alias("t"), F.col("last").alias("l"), F.lit(True).alias("met"))
+        sums = ((F.col("places") + F.coalesce("p", F.lit(0))).alias("places"), (F.col("total") + F.coalesce("t", F.lit(0))).alias("total"))
+        at, rounds = written(at.join(ahead, "to", "left").select("id", F.col("after").alias("to"), *sums, F.coalesce("l", "last").alias("last"))), rounds + 1
+    return at.drop("to")
+
+
+def routes(paths: DataFrame, starts: DataFrame, label: Sequence[str] = ()) -> DataFrame:
+    """label, start, step, u, v: the pieces of the way from each start (label, node) back to its hub, in order.
+
+    paths: shortest_paths(). A start that no hub reaches, or that is one, has no piece."""
+    state = lambda node: F.struct(*label, F.col(node).alias("node"))
+    steps = paths.where("previous is not null").select(state("node").alias("id"), state("previous").alias("to"))
+    tables = doubled(steps)
+    first = starts.select(state("node").alias("start"), state("node").alias("id"))
+    places = walked(first, tables).alias("p").join(tables[0].alias("s"), F.col("p.id") == F.col("s.id"))
+    return places.select(*[F.col(f"p.start.{c}").alias(c) for c in label], F.col("p.start.node").alias("start"), F.col("p.step").alias("step"), F.col("s.id.node").alias("u"), F.col("s.to.node").alias("v"))
 
 
 def connectivity(node: Column, baseline: Column, optimistic: Column, pessimistic: Column, ratio: float = 1.5) -> Column:

@@ -114,20 +114,71 @@ def _hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").where("s_suppkey % 10 = 0").select((F.col("s_suppkey") + F.lit(1 << 40)).alias("node"), F.col("s_suppkey").alias("hub"))
 
 
-@lens()
+def _ways(scenarios: str) -> str:
+    """SQL: least (distance, hub, previous) per scenario, group and node; hubs: h(grp, node, hub), open pieces: o(scenario, a, b, length)."""
+    return f"""{_P.replace('WITH', 'WITH RECURSIVE', 1)}, e AS (SELECT o_custkey AS a, suppkey + 1099511627776 AS b, length, flooded, unknown FROM p JOIN orders ON orderkey = o_orderkey), o AS ({scenarios}),
+w AS MATERIALIZED (SELECT scenario, a, b, min(length) AS length FROM (SELECT scenario, a, b, length FROM o UNION ALL SELECT scenario, b, a, length FROM o) WHERE length > 0 GROUP BY ALL),
+h AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'tens' ELSE 'fives' END AS grp, s_suppkey + 1099511627776 AS node, s_suppkey AS hub FROM supplier WHERE s_suppkey % 5 = 0),
+r(scenario, grp, node, best) USING KEY (scenario, grp, node) AS (SELECT s.scenario, grp, node, row(0.0::DOUBLE, hub, -1::BIGINT) FROM h, (SELECT DISTINCT scenario FROM o) s
+  UNION SELECT * FROM (SELECT r.scenario, r.grp, w.b AS node, min(row(r.best[1] + w.length, r.best[2], r.node)) AS best FROM r JOIN w ON w.scenario = r.scenario AND w.a = r.node GROUP BY ALL) x
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.r k WHERE k.scenario = x.scenario AND k.grp = x.grp AND k.node = x.node AND k.best <= x.best))"""
+
+
+_THREE = " UNION ALL ".join(f"SELECT '{n}' AS scenario, a, b, length FROM e{w}" for n, w in (("baseline", ""), ("optimistic", f" WHERE NOT ({_CLOSED})"), ("pessimistic", f" WHERE NOT ({_WORSE})")))
+
+
+@lens(_ways("SELECT 'all' AS scenario, a, b, length FROM e") + " SELECT node, CAST(best[1] AS BIGINT) AS distance, best[2] AS hub, nullif(best[3], -1) AS previous FROM r WHERE grp = 'tens'")
 def n_sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a heap search in the tests."""
     return graph.shortest_paths(edges(spark, sf_dir).select("u", "v", "length"), _hubs(spark, sf_dir)).select("node", F.col("distance").cast("bigint").alias("distance"), "hub", "previous")
 
 
-@lens()
-def n_connectivity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer before closures, with candidate closures, and with unobserved pieces closed as well."""
-    every, hubs = graph.written(edges(spark, sf_dir).select("u", "v", "length", "flooded", "unknown")), _hubs(spark, sf_dir)
+def scenario_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open pieces before closures, with candidate closures, and with unobserved pieces closed as well."""
     a = (F.col("length"), F.col("flooded"), F.col("unknown"))
-    runs = {"baseline": every, "optimistic": every.where(~exposure.removed(*a, 5.0, False)), "pessimistic": every.where(~exposure.removed(*a, 5.0, True))}
-    out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
-    for name, run in runs.items():
-        out = out.join(graph.shortest_paths(run.select("u", "v", "length"), hubs).select("node", F.col("distance").alias(name)), "node", "left")
-    status = graph.connectivity(F.col("node"), *map(F.col, runs))
-    return out.select("node", status.alias("status"), *[F.col(n).cast("bigint").alias(n) for n in runs])
+    runs = {"baseline": F.lit(True), "optimistic": ~exposure.removed(*a, 5.0, False), "pessimistic": ~exposure.removed(*a, 5.0, True)}
+    named = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in runs.items()]))
+    return edges(spark, sf_dir).select(F.explode(named).alias("scenario"), "u", "v", "length")
+
+
+def _access(spark: SparkSession, sf_dir: str, both: bool) -> DataFrame:
+    """Distances of all nodes in the three scenarios from the hubs of one group or of two."""
+    hubs = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select((F.col("s_suppkey") + F.lit(1 << 40)).alias("node"), F.col("s_suppkey").alias("hub"), F.when(F.col("s_suppkey") % 10 == 0, "tens").otherwise("fives").alias("grp"))
+    hubs = hubs if both else hubs.where("grp = 'tens'")
+    hubs = hubs.withColumn("scenario", F.explode(F.array(*map(F.lit, ("baseline", "optimistic", "pessimistic")))))
+    return graph.shortest_paths(scenario_edges(spark, sf_dir), hubs, ["scenario"], ["grp"])
+
+
+_SCENARIOS = ("baseline", "optimistic", "pessimistic")
+_STATE = "CASE WHEN baseline IS NULL THEN 'INSUFFICIENT_DATA' WHEN optimistic IS NULL THEN 'CUT_OFF' WHEN pessimistic IS NULL THEN 'UNKNOWN' WHEN baseline > 0 AND optimistic / baseline >= 1.5 THEN 'DISRUPTED' ELSE 'CONNECTED' END"
+_SPREAD = ", ".join(f"max(best[1]) FILTER (scenario = '{n}') AS {n}" for n in _SCENARIOS)
+
+
+def _per_scenario(distances: DataFrame, keys: list[str]) -> DataFrame:
+    return distances.groupBy(*keys).agg(*[F.max(F.when(F.col("scenario") == n, F.col("distance"))).alias(n) for n in _SCENARIOS])
+
+
+@lens(_ways(_THREE) + f", d AS (SELECT node, {_SPREAD} FROM r WHERE grp = 'tens' GROUP BY node) SELECT c_custkey AS node, {_STATE} AS status, " + ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in _SCENARIOS) + " FROM customer LEFT JOIN d ON d.node = c_custkey")
+def n_connectivity_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer before closures, with candidate closures, and with unobserved pieces closed as well: one relaxation."""
+    found = _per_scenario(_access(spark, sf_dir, False), ["node"])
+    out = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node")).join(found, "node", "left")
+    return out.select("node", graph.connectivity(F.col("node"), *map(F.col, _SCENARIOS)).alias("status"), *[F.col(n).cast("bigint").alias(n) for n in _SCENARIOS])
+
+
+@lens(_ways(_THREE) + f", d AS (SELECT grp, node, {_SPREAD} FROM r GROUP BY grp, node), g AS (SELECT DISTINCT grp FROM h), t AS (SELECT g.grp, c_custkey, {_STATE} AS status FROM customer CROSS JOIN g LEFT JOIN d ON d.grp = g.grp AND d.node = c_custkey) SELECT grp, status, count(*) AS customers FROM t GROUP BY ALL")
+def n_group_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by status for each of two groups of hubs."""
+    found = _per_scenario(_access(spark, sf_dir, True), ["grp", "node"])
+    every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.explode(F.array(F.lit("tens"), F.lit("fives"))).alias("grp"))
+    status = graph.connectivity(F.col("node"), *map(F.col, _SCENARIOS))
+    return every.join(found, ["grp", "node"], "left").groupBy("grp", status.alias("status")).agg(F.count("*").alias("customers"))
+
+
+@lens(_ways(_THREE) + """, q AS MATERIALIZED (SELECT scenario, node, best[3] AS previous FROM r WHERE grp = 'tens'), k AS (SELECT scenario, node AS start, 0 AS step, node, previous FROM q WHERE node < 1099511627776
+  UNION ALL SELECT k.scenario, k.start, k.step + 1, q.node, q.previous FROM k JOIN q ON q.scenario = k.scenario AND q.node = k.previous)
+SELECT scenario, start, step, node AS u, previous AS v FROM k WHERE previous >= 0""")
+def n_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each customer's way to its hub in each scenario, in order."""
+    paths = graph.written(_access(spark, sf_dir, False).drop("grp"))
+    starts = paths.where(F.col("node") < F.lit(1 << 40)).select("scenario", "node")
+    return graph.routes(paths, starts, ["scenario"])

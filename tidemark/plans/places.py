@@ -34,6 +34,11 @@ def t_downstream_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rivers.downstream(reaches(spark, sf_dir))
 
 
+@lens(f"{_R} SELECT start, count(*) AS reaches, CAST(sum(upland) AS BIGINT) AS total, arg_max(d.id, step) AS last FROM d JOIN n ON n.id = d.id GROUP BY start")
+def t_downstream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rivers.downstream_totals(reaches(spark, sf_dir)).select("start", "reaches", F.col("total").cast("bigint").alias("total"), "last")
+
+
 @lens(f"{_R} SELECT start, id AS last, step AS steps, 'no_downstream_connection' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY step DESC) AS rn FROM d) WHERE rn = 1")
 def t_stop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = reaches(spark, sf_dir)
