@@ -155,6 +155,20 @@ def test_quality(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_quality_counts_an_id_once(spark):
+    """Many documents and labels of one id are one learned row."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other words here")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (3, 1)], "doc_id bigint, quality int")
+    seen = []
+    inner = quality.boost
+    try:
+        quality.boost = lambda x, y: (seen.append((len(x), sorted(y))), inner(x, y))[1]
+        quality.fit(docs, labels, F.lit(True))
+    finally:
+        quality.boost = inner
+    assert seen == [(2, [0.0, 1.0])]
+
+
 def test_quality_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     some = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, None, 0)], none.schema)
@@ -244,6 +258,35 @@ def test_values_are_written_again(spark):
         assert (got[f"c{i}"]["status"] == "unanswered") == (want is not None and want.startswith('"'))
 
 
+def test_values_keep_what_they_hold(spark):
+    """Numbers of any size, surrogates without a partner, escapes and key order come out as they went in."""
+    digits = "12345678901234567890123456789012345678901234567891"
+    given = {
+        '"\\ud800"': '"\\ud800"', '"\\ud83d\\ude00"': '"😀"', "1e400": "1e400", digits: digits, "1": "1", "1.0": "1", "1e0": "1", "100": "100", "1e2": "100", "-0.0": "0", "0.50": "0.5", "5e-1": "0.5", "-1.25e-30": "-125e-32", " 5 \n": "5", "123e-2": "1.23",
+        f'[1e400, {{"b":{digits}, "a":-1.50, "\\ud800":[]}}]': None, '"\\u0001n5"': '"\\u0001n5"', '["\\u0001n5","\\\\u0001n5","\\\\\\u0001"]': '["\\u0001n5","\\\\u0001n5","\\\\\\u0001"]', '{"a":1,"a":2}': 0, "01": 0, "1.": 0, "1a": 0, "[1 2]": 0, '{"\\uff61":1,"\\ud83d\\ude00":2}': '{"😀":2,"｡":1}', '"' + "a\\n" * 20000 + '"': '"' + "a\\n" * 20000 + '"',
+    }
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i int, v string")
+    got = {r["i"]: r["x"] for r in df.select("i", toolcalls.value_of(F.col("v")).alias("x")).collect()}
+    for i, (v, want) in enumerate(given.items()):
+        if want is None:
+            assert got[i].startswith(f'[1e400,{{"') and f'"b":{digits}' in got[i] and '"a":-1.5,' in got[i] and '"\\ud800":[]' in got[i]
+        else:
+            assert got[i] == (json.dumps(v) if want == 0 else want), v[:50]
+    kinds = spark.createDataFrame([({"x": v}, k) for v, k in (("1.0", "integer"), (" 5 ", "integer"), ("5\n", "number"), (digits, "integer"), ("1e30", "integer"), ("0.5", "number"), ('"a"', "string"), ("[]", "array"), (" {} ", "object"), ("1.5", "integer"), ("a", "string"), ("5", "string"), ("5x", "number"))], "a map<string,string>, k string")
+    params = F.array(F.struct(F.lit("x").alias("name"), F.col("k").alias("kind"), F.lit(True).alias("required")))
+    found = kinds.select(toolcalls.errors(F.col("a"), F.transform_values("a", lambda _, v: toolcalls.value_of(v)), params).alias("e")).collect()
+    assert [bool(r["e"]) for r in found] == [False] * 9 + [True] * 4
+
+
+def test_operators_run_side_by_side(spark, sf_dir):
+    """Tables of one operator outlive the end of another that runs in a thread of its own."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    with ThreadPoolExecutor(3) as pool:
+        assert list(pool.map(lambda _: automaton.digest(docs).count(), range(3))) == [docs.count()] * 3
+
+
 def test_tool_calls_edges(spark):
     odd = spark.createDataFrame([(None, 1, "assistant", None), (1, None, "assistant", "x"), (1, 2, None, "y"), (1, 3, "user", None), (1, 3, "user", None), (2, 0, "user", "")], "conv_id bigint, turn bigint, role string, text string")
     assert toolcalls.digest(odd.withColumn("level", F.lit(1))).count() == 3

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import gc
 import math
@@ -26,8 +27,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[str, np.ndarray] = {}
-#: Tables of the open scopes; the first is that of the whole process.
-_scopes: list[list[tuple[SparkSession, str]]] = [[]]
+Tables = list[tuple[SparkSession, str]]
+#: Tables of the process, and those of the scopes that are open in this thread or task of an event loop.
+_kept: Tables = []
+_scopes: contextvars.ContextVar[tuple[Tables, ...]] = contextvars.ContextVar("scopes", default=(_kept,))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,17 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def _drop(tables: list[tuple[SparkSession, str]]) -> None:
+def _drop(tables: Tables) -> None:
     for spark, path in tables:
         with contextlib.suppress(Exception):
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-atexit.register(lambda: _drop(_scopes[0]))
+atexit.register(lambda: _drop(_kept))
 
 
-def _write(df: DataFrame, tables: list[tuple[SparkSession, str]]) -> DataFrame:
+def _write(df: DataFrame, tables: Tables) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     tables.append((spark, path))
@@ -62,17 +65,20 @@ def _write(df: DataFrame, tables: list[tuple[SparkSession, str]]) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. It is removed when the
     innermost scope() ends, or else when Python does."""
-    return _write(df, _scopes[-1])
+    return _write(df, _scopes.get()[-1])
 
 
 @contextlib.contextmanager
 def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Tables written within the block are removed at its end. What is to outlive it goes through the function given."""
-    _scopes.append([])
+    """Tables written within the block are removed at its end. What is to outlive it goes through the function given.
+    Threads have scopes of their own."""
+    outer, own = _scopes.get(), []
+    before = _scopes.set((*outer, own))
     try:
-        yield lambda df: _write(df, _scopes[-2])
+        yield lambda df: _write(df, outer[-1])
     finally:
-        _drop(_scopes.pop())
+        _scopes.reset(before)
+        _drop(own)
 
 
 def mapped(df: DataFrame, scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

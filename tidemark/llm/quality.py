@@ -136,12 +136,15 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, is_train: Column, most: int = 20_000) -> Trees:
     """Learn `quality` from at most about `most` labelled rows: those whose id hash falls below most / rows.
 
-    Only ids and labels of the sample, which that parameter bounds, are broadcast to the scan of documents."""
-    usable = labels.where(is_train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    Only ids and labels of the sample, which that parameter bounds, are broadcast to the scan of documents; an id with
+    several labels counts once, with the highest, and one with several texts with the one of least hash, so that what
+    comes to the driver has the same bound."""
+    usable = labels.where(is_train & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = usable.count()
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.where(place < most / max(n, 1)).select(F.col("doc_id").alias("label_id"), "quality").limit(2 * most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = sorted((r["kept"]["doc_id"], r["kept"]["quality"], r["x"]) for r in with_statistics(rows, ["doc_id", "quality"]).collect())
     x = np.array([r[2] for r in got], dtype=np.float32).reshape(len(got), len(STATISTICS))
     return boost(x, np.array([r[1] for r in got], dtype=np.float64))

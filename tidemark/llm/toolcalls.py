@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, written
 
-#: What a JSON value of each kind looks like.
-KINDS = {
-    "integer": r"^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][-+]?[0-9]+)?$", "boolean": "^(true|false)$", "null": "^null$",
-    "string": r'^"([^"\\\x00-\x1F]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+"$', "array": r"(?s)^\[.*\]$", "object": r"(?s)^\{.*\}$",
-}
+_PLAIN = r'[^"\\\x00-\x1F]*+'
+_STRING = rf'"{_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{{4}}){_PLAIN})*+"'
+_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?"
+#: What the canonical form of a JSON value of each kind looks like.
+KINDS = {"integer": r"^-?(0|[1-9][0-9]*)(e[0-9]+)?\z", "number": r"^-?[0-9]", "boolean": r"^(true|false)\z", "null": r"^null\z", "string": '^"', "array": r"^\[", "object": r"^\{"}
 _KEY = ("conv_id", "call_id")
+#: A surrogate that has no partner, as an escape.
+_LONE = r"\\u([dD][89abAB][0-9a-fA-F]{2})(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u([dD][c-fC-F][0-9a-fA-F]{2})"
 
 
 def quoted(text: Column) -> Column:
@@ -23,25 +25,53 @@ def quoted(text: Column) -> Column:
     return F.coalesce(F.when(text.isNotNull(), F.substring(inside, F.lit(2), F.length(inside) - 2)), F.lit("null"))
 
 
+def number(text: Column) -> Column:
+    """One form per number, with all its digits: plain with up to 20 places before or after them, else with an exponent."""
+    whole, part = F.regexp_extract(text, "^-?([0-9]+)", 1), F.regexp_extract(text, r"\.([0-9]+)", 1)
+    power = F.coalesce(F.nullif(F.regexp_extract(text, "[eE]([-+]?[0-9]+)$", 1), F.lit("")).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    led = F.regexp_replace(F.concat(whole, part), "^0+", "")
+    digits = F.regexp_replace(led, "0+$", "")
+    by = power - F.length(part) + (F.length(led) - F.length(digits))
+    small = F.least(F.greatest(by, F.lit(-99)), F.lit(99)).cast("int")
+    point = F.length(digits) + small
+    below = F.when(point > 0, F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1))).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(F.lit(0), -point)), digits))
+    body = F.when(by.between(0, 20), F.concat(digits, F.repeat(F.lit("0"), F.greatest(F.lit(0), small)))).when(by.between(-20, -1), below).otherwise(F.concat(digits, F.lit("e"), by.cast("string")))
+    return F.when(digits == "", "0").otherwise(F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), body))
+
+
+def _held(text: Column) -> Column:
+    """A JSON text in which what a variant would change stands as strings: numbers after \u0001n, surrogates without a
+    partner after \u0001l; a \u0001 of the text itself becomes \u0001u. White space between values goes."""
+    token = F.regexp_extract_all(text, F.lit(f"(?s){_STRING}|{_NUMBER}|[^\"0-9-]+|."), F.lit(0))
+    kept = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?<!\\)((?:\\\\)*)\\u0001", r"$1\\u0001u"), r"(?<!\\)((?:\\\\)*)(?:" + _LONE + ")", r"$1\\u0001l$2$3")
+    one = lambda t: F.when(F.startswith(t, F.lit('"')), F.when(F.contains(t, F.lit("\\u")), kept(t)).otherwise(t)).when(t.rlike("^-?[0-9]"), F.concat(F.lit('"\\u0001n'), number(t), F.lit('"'))).otherwise(F.regexp_replace(t, r"[ \t\n\r]+", ""))
+    return F.array_join(F.transform(token, one), "")
+
+
 def parsed(text: Column) -> Column:
-    """A JSON value as its variant writes it; NULL if the text isn't one value and nothing else, which a parser that
-    stops after the first value doesn't tell, but the value within an array does."""
-    alone, listed = F.to_json(F.try_parse_json(text)), F.to_json(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-    return F.when(listed == F.concat(F.lit("["), alone, F.lit("]")), alone)
+    """A JSON value in canonical form; NULL if the text isn't one value and nothing else, which a parser that stops
+    after the first value doesn't tell, but the value within an array does."""
+    held = _held(text)
+    alone, listed = F.to_json(F.try_parse_json(held)), F.to_json(F.try_parse_json(F.concat(F.lit("["), held, F.lit("]"))))
+    again = F.when(listed == F.concat(F.lit("["), alone, F.lit("]")), alone)
+    for old, new in ((r'"\\u0001n([^"]*)"', "$1"), (r"\\u0001l([0-9a-fA-F]{4})", r"\\u$1"), (r"\\u0001u", r"\\u0001")):
+        again = F.regexp_replace(again, old, new)
+    return again
 
 
 def value_of(text: Column) -> Column:
-    """A JSON value written again from what it holds: strings with the escapes that they need, other values through a
-    variant, which has the keys of objects in order, one form per number and no white space. NULL is the text null,
-    and a text that isn't JSON becomes a string."""
-    trimmed = F.trim(text)
+    """A JSON value written again from what it holds: strings with the escapes that they need (a surrogate without a
+    partner stays one), the keys of objects in order of UTF-16, one form per number and no white space. NULL is the
+    text null; a text that isn't JSON, or holds an object with a key twice, becomes a string."""
+    trimmed = F.regexp_replace(text, r"^[ \t\n\r]+|[ \t\n\r]+\z", "")
     string = F.get_json_object(F.concat(F.lit('{"v":'), trimmed, F.lit("}")), "$.v")
-    return F.when(text.isNull(), "null").when(trimmed.rlike(KINDS["string"]), quoted(string)).when(trimmed.rlike("^-0$"), "0").otherwise(F.coalesce(parsed(trimmed), quoted(text)))
+    plain = trimmed.rlike(rf"^{_STRING}\z") & ~trimmed.rlike(r"\\u([dD][89a-fA-F]|0001)")
+    return F.when(text.isNull(), "null").when(plain, quoted(string)).otherwise(F.coalesce(parsed(trimmed), quoted(text)))
 
 
 def canonical(values: Column) -> Column:
-    """A JSON object of a map from names to JSON values: names in code-point order, no white space."""
-    pairs = F.array_sort(F.map_entries(values))
+    """A JSON object of a map from names to JSON values: names in order of UTF-16, no white space."""
+    pairs = F.array_sort(F.transform(F.map_entries(values), lambda p: F.struct(F.encode(p["key"], "UTF-16BE").alias("order"), p["key"].alias("key"), p["value"].alias("value"))))
     return F.concat(F.lit("{"), F.array_join(F.transform(pairs, lambda p: F.concat(quoted(p["key"]), F.lit(":"), p["value"])), ","), F.lit("}"))
 
 
@@ -73,18 +103,19 @@ def levels(calls: DataFrame) -> DataFrame:
         total = count
 
 
-def errors(arguments: Column, params: Column) -> Column:
-    """Texts on what a map of JSON values lacks, has too much, or has of a wrong kind against params (name, kind, required)."""
+def errors(arguments: Column, values: Column, params: Column) -> Column:
+    """Texts on what a map of JSON texts lacks, has too much, or has of a wrong kind against params (name, kind,
+    required). values are the texts as they are written, and judged; a text that isn't JSON is of no kind."""
     names = F.transform(params, lambda p: p["name"])
     lacks = F.transform(F.filter(params, lambda p: p["required"] & ~F.array_contains(F.map_keys(arguments), p["name"])), lambda p: F.concat(F.lit("missing "), p["name"]))
     extra = F.transform(F.array_except(F.map_keys(arguments), names), lambda n: F.concat(F.lit("unknown "), n))
 
     def wrong(p: Column) -> Column:
-        value = F.element_at(arguments, p["name"])
+        text, value = F.element_at(arguments, p["name"]), F.element_at(values, p["name"])
         fits = F.lit(False)
         for kind, pattern in KINDS.items():
             fits = fits | ((p["kind"] == kind) & value.rlike(pattern))
-        return value.isNotNull() & ~(fits & parsed(value).isNotNull())
+        return text.isNotNull() & ~(fits & (value != quoted(text)))
 
     return F.array_sort(F.concat(lacks, extra, F.transform(F.filter(params, wrong), lambda p: F.concat(F.lit("kind of "), p["name"]))))
 
@@ -106,14 +137,15 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     empty = F.create_map().cast("map<string,string>")
     has_id = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     calls = calls.select(*_KEY, "turn", "tool", F.coalesce("arguments", empty).alias("arguments"), F.coalesce("after", F.array().cast("array<string>")).alias("after"))
-    calls = written(calls.withColumns({"args": canonical(F.transform_values("arguments", lambda _, v: value_of(v))), "row": F.monotonically_increasing_id()}))
+    calls = calls.withColumns({"values": F.transform_values("arguments", lambda _, v: value_of(v)), "row": F.monotonically_increasing_id()})
+    calls = written(calls.withColumn("args", canonical(F.col("values"))))
     order = F.struct("turn", "args", "tool", F.map_entries("arguments").alias("entries"), "after", "row")
     first = calls.where(has_id).groupBy(*_KEY).agg(F.min(order).alias("c")).select("c.row", F.lit(True).alias("first"))
     calls = written(calls.join(first, "row", "left").withColumn("first", F.coalesce("first", F.lit(False))))
 
     params = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("name", "kind", "required"))).alias("params"))
     checked = calls.join(params, "tool", "left").join(levels(calls), "row", "left")
-    checked = checked.select(*_KEY, "turn", "tool", "args", "level", "first", F.lit(True).alias("called"), F.col("params").isNotNull().alias("declared"), F.coalesce(errors(F.col("arguments"), F.col("params")), F.array().cast("array<string>")).alias("errors"))
+    checked = checked.select(*_KEY, "turn", "tool", "args", "level", "first", F.lit(True).alias("called"), F.col("params").isNotNull().alias("declared"), F.coalesce(errors(F.col("arguments"), F.col("values"), F.col("params")), F.array().cast("array<string>")).alias("errors"))
 
     results = results.select(*_KEY, F.col("turn").alias("result_turn"), "content")
     copies = results.where(has_id).groupBy(*_KEY, "result_turn", "content").agg(F.count("*").alias("n"))
