@@ -211,6 +211,16 @@ def test_mixing(spark, odd):
     assert rows(mixing.mix_digest(odd)) == rows(mixing.mix_digest(odd.repartition(7)))
 
 
+def test_mixing_samples(spark):
+    """Most documents of sf0.01 are sampled and not rounded, and each source comes within a fiftieth of its target."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix_digest(docs).join(docs.select("doc_id", "source"), "doc_id").cache()
+    assert got.where(F.col("size") * mixing.LARGE > F.col("source_size")).count() < 0.4 * got.count()
+    for r in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.02 * r["target"]
+    got.unpersist()
+
+
 def test_pieces_equal_the_library(spark, sf_dir, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
     extra = spark.createDataFrame([(900 + i, t) for i, t in enumerate(["  lead", "trail ", "\n\n", "<s> </s> <0x41>", "▁ x", "aaaa aaaaa", "日本語テキスト🙂", "ﬁ ½ Å", "\x00 z"])], "doc_id bigint, text string")

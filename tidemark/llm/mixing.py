@@ -9,7 +9,7 @@ from tidemark.llm.common import WORD, written
 
 SEED = "mix-1"
 #: A document of more than 1 / LARGE of its source's words has a whole number of expected copies.
-LARGE = 1000
+LARGE = 50
 
 
 def n_words(text: Column) -> Column:
@@ -104,7 +104,7 @@ r AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.u, count(*)
   row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS rk FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 g AS (SELECT source, 0::BIGINT AS k, target AS want, source_size AS rest, 0 AS e FROM t
   UNION ALL SELECT g.source, r.k, g.want - least(3, greatest(0, floor(g.want / g.rest + 0.5))) * r.size, g.rest - r.size, CAST(least(3, greatest(0, floor(g.want / g.rest + 0.5))) AS INTEGER)
-  FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source AND r.k = g.k + 1 AND r.size * 1000 > r.source_size),
+  FROM g JOIN r ON g.source IS NOT DISTINCT FROM r.source AND r.k = g.k + 1 AND r.size * 50 > r.source_size),
 y AS (SELECT source, least(3.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(arg_max(want, k) / nullif(arg_max(rest, k), 0), 0.0::DOUBLE))) AS ratio FROM g GROUP BY source)
 SELECT r.doc_id, r.size, r.source_size, r.target, CAST(r.size * coalesce(g.e, floor(r.rk * y.ratio + r.u) - floor((r.rk - 1) * y.ratio + r.u)) AS BIGINT) AS taken
 FROM r JOIN y ON r.source IS NOT DISTINCT FROM y.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM r.source AND g.k = r.k AND g.k > 0

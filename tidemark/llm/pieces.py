@@ -70,20 +70,28 @@ class Model:
 
 
 def load(data: bytes) -> Model:
-    """Read a model file. Normalisation other than of white space is refused: such a model has a character map."""
-    pieces, model_type, prefix, squeeze = [], UNIGRAM, True, True
+    """Read a model file. What would be encoded wrongly is refused: normalisation other than of white space (the model has
+    a character map), white space as a suffix or unescaped, pieces with white space after their first character that
+    aren't only white space, and unused pieces."""
+    pieces, model_type, prefix, squeeze, suffix = [], UNIGRAM, True, True, False
     for number, value in _fields(data):
         if number == 1:
             piece = dict(_fields(value))
             pieces.append((piece[1].decode(), struct.unpack("<f", piece.get(2, b"\0\0\0\0"))[0], piece.get(3, NORMAL)))
         elif number == 2:
-            model_type = dict(_fields(value)).get(3, UNIGRAM)
+            spec = dict(_fields(value))
+            model_type, suffix = spec.get(3, UNIGRAM), bool(spec.get(24, 0))
         elif number == 3:
             spec = dict(_fields(value))
             prefix, squeeze = bool(spec.get(3, 1)), bool(spec.get(4, 1))
             if spec.get(2):
                 raise ValueError("the model has a character map, which this normaliser does not compile")
+            if not spec.get(5, 1):
+                raise ValueError("the model leaves white space as it is")
     names, scores, kinds = zip(*pieces, strict=True)
+    odd = next((n for n, k in zip(names, kinds, strict=True) if k in (NORMAL, USER) and SPACE in n[1:] and n.strip(SPACE)), None)
+    if odd is not None or suffix or UNUSED in kinds:
+        raise ValueError(f"the piece {odd!r} has white space inside" if odd is not None else "the model has white space as a suffix or unused pieces")
     return Model(names, scores, kinds, model_type, prefix, squeeze)
 
 
