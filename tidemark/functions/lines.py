@@ -19,6 +19,19 @@ ALPHA = (
     49561 / 161280 * _N**4,
 )
 ECCENTRIC = 2 * _N**0.5 / (1 + _N)
+#: Coefficients of the way back: from the grid to the sphere, and from the conformal latitude to the geographic one.
+BETA = (
+    _N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3 - 1 / 360 * _N**4,
+    1 / 48 * _N**2 + 1 / 15 * _N**3 - 437 / 1440 * _N**4,
+    17 / 480 * _N**3 - 37 / 840 * _N**4,
+    4397 / 161280 * _N**4,
+)
+DELTA = (
+    2 * _N - 2 / 3 * _N**2 - 2 * _N**3 + 116 / 45 * _N**4,
+    7 / 3 * _N**2 - 8 / 5 * _N**3 - 227 / 45 * _N**4,
+    56 / 15 * _N**3 - 136 / 35 * _N**4,
+    4279 / 630 * _N**4,
+)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -38,6 +51,36 @@ def utm(lon: Column, lat: Column, zone: Column) -> tuple[Column, Column]:
     return 500000 + SCALE * RADIUS * east, SCALE * RADIUS * north + F.when(lat < 0, 1e7).otherwise(0.0)
 
 
+def from_utm(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """Degrees of a place in a UTM zone; south: whether northings have the false one."""
+    xi, eta = (north - F.when(south, 1e7).otherwise(0.0)) / (SCALE * RADIUS), (east - 500000) / (SCALE * RADIUS)
+    p, q = xi, eta
+    for j, b in enumerate(BETA, 1):
+        p = p - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        q = q - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(p) / F.cosh(q))
+    phi = chi
+    for j, d in enumerate(DELTA, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(q), F.cos(p))), F.degrees(phi)
+
+
+def projected(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
+    """A place of one system in another, by EPSG codes: 4326 (degrees) and UTM zones (326xx and 327xx)."""
+    for code in (source, target):
+        if code != 4326 and not (code // 100 in (326, 327) and 1 <= code % 100 <= 60):
+            raise ValueError(f"EPSG:{code} is neither degrees nor a UTM zone")
+    if source == target:
+        return x, y
+    lon, lat = (x, y) if source == 4326 else from_utm(x, y, F.lit(source % 100), F.lit(source // 100 == 327))
+    if target == 4326:
+        return lon, lat
+    east, north = utm(lon, lat, F.lit(target % 100))
+    # utm() adds the false northing by the sign of the latitude; a zone's code decides here
+    plain = north - F.when(lat < 0, 1e7).otherwise(0.0)
+    return east, plain + (1e7 if target // 100 == 327 else 0.0)
+
+
 def without_repeats(points: Column) -> Column:
     """The line without vertices equal to the one before."""
     return F.filter(points, lambda p, i: (i == 0) | (p != F.get(points, i - 1)))

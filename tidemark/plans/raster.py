@@ -216,6 +216,24 @@ def r_bilinear_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.bilinear(grid(spark, sf_dir), 0.75).select("row", "col", R.quantised(F.col("value")).alias("value"))
 
 
+_TURN = (12.0, -5.0, 5.0, 12.0)  # the target's axes, a pixel of 13 metres turned against the source's of 10
+_SOUGHT = f"""{_GRID}, n AS (SELECT count(*) AS h FROM embeddings), t AS (SELECT r.i AS row, c.i AS col, ({_TURN[2]} * (c.i + 0.5) + {_TURN[3]} * (r.i + 0.5) - 40) / 10 - 0.5 AS y, (100 + {_TURN[0]} * (c.i + 0.5) + {_TURN[1]} * (r.i + 0.5)) / 10 - 0.5 AS x
+FROM (SELECT unnest(range(h // 4)) AS i FROM n) r, range(60) c(i)), u AS (SELECT *, y >= -0.5 AND y < h - 0.5 AND x >= -0.5 AND x < 63.5 AS inside FROM t, n),
+k AS (SELECT u.*, CAST(floor(y) AS BIGINT) + a AS sr, CAST(floor(x) AS BIGINT) + b AS sc FROM u, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)),
+w AS (SELECT k.row, k.col, inside, value, CASE WHEN sr BETWEEN 0 AND h - 1 AND sc BETWEEN 0 AND 63 THEN (1 - abs(sr - y)) * (1 - abs(sc - x)) ELSE 0 END AS w FROM k LEFT JOIN v ON v.row = sr AND v.col = sc),
+m AS (SELECT row, col, bool_and(inside) AS inside, sum(w) AS whole, sum(w) FILTER (value IS NOT NULL) AS ok, sum(w * value) AS total FROM w GROUP BY row, col)"""
+
+
+@lens(f"{_SOUGHT} SELECT row, col, {_Q('CASE WHEN inside AND ok >= 0.5 * whole THEN total / ok END')} AS value FROM m")
+def r_warp_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scene on a grid that is turned and has other pixels; half the weight must be observed."""
+    g = grid(spark, sf_dir)
+    height = table(spark, sf_dir, "embeddings").count()
+    source = resample.Affine(64, height, 32645, 10.0, 0.0, 300000.0, 0.0, 10.0, 3100000.0)
+    target = resample.Affine(60, height // 4, 32645, _TURN[0], _TURN[1], 300100.0, _TURN[2], _TURN[3], 3099960.0)
+    return resample.warp_bilinear(g, source, target, 0.5).select("row", "col", R.quantised(F.col("value")).alias("value"))
+
+
 _CODES = "SELECT vec_id % 7 AS tile, CAST(floor(abs(CAST(x AS DOUBLE)) * 40) AS INTEGER) AS scl FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings)"
 _TABLE = "CASE " + " ".join(f"WHEN scl = {k} THEN '{c}'" for k, (_, c) in optical.CLASSES.items()) + " ELSE 'unexpected' END"
 
