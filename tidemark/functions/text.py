@@ -64,6 +64,10 @@ def ids_digest(ids: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(ids), "\n"), 256)
 
 
+#: A character of a word in any script.
+_LETTER = r"[\p{L}\p{N}_]"
+
+
 def screen_claims(text: Column, forbidden: dict[str, str] = FORBIDDEN, allowed: tuple[str, ...] = ALLOWED, cues: tuple[str, ...] = CUES, words: int = CUE_WORDS) -> Column:
     """Array of (position, term, instead) of claims in a text, by position and term.
 
@@ -74,13 +78,13 @@ def screen_claims(text: Column, forbidden: dict[str, str] = FORBIDDEN, allowed:
         masked = F.replace(masked, F.lit(phrase.lower()), F.lit("\x00" * len(phrase)))
 
     def of(term: str) -> Column:
-        parts = lambda t: F.split(t, rf"(?<!\w){re.escape(term.lower())}(?!\w)", -1)
+        parts = lambda t: F.split(t, rf"(?<!{_LETTER}){re.escape(term.lower())}(?!{_LETTER})", -1)
 
         def found(pieces: Column) -> Column:
             """A hit after each piece but the last; its place is the length of what comes before."""
             before = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda _, i: F.array_join(F.slice(pieces, 1, i + 1), term.lower()))
             clause = lambda b: F.element_at(F.split(b, r"[.;:!?\n]", -1), -1)
-            spoken = lambda b: F.slice(F.reverse(F.filter(F.split(clause(b), r"[^\w'-]+", -1), lambda w: w != "")), 1, words)
+            spoken = lambda b: F.slice(F.reverse(F.filter(F.split(clause(b), rf"[^{_LETTER[1:-1]}'-]+", -1), lambda w: w != "")), 1, words)
             denied = lambda b: F.exists(spoken(b), lambda w: w.isin(*cues) | F.rtrim(w, F.lit("-")).isin(*cues))
             return F.transform(F.filter(before, lambda b: ~denied(b)), lambda b: F.struct(F.length(b).alias("position"), F.lit(term).alias("term"), F.lit(forbidden[term]).alias("instead")))
 

@@ -1,12 +1,17 @@
-"""Pooled statistics, exact percentiles from histograms, confusion metrics and comparisons."""
+"""Pooled statistics, exact percentiles, confusion metrics and comparisons."""
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import written
+
 
 def pooled_stats(pixels: DataFrame, by: list[str]) -> DataFrame:
     """Count, mean and population deviation of valid values per group, from mergeable sums."""
@@ -16,16 +21,25 @@ def pooled_stats(pixels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def percentiles(values: DataFrame, column: str, percents: list[float]) -> DataFrame:
-    """percent, value: exact percentiles by linear interpolation of a whole-number column.
+    """percent, value: exact percentiles by linear interpolation; NULL values don't count, and without any there is no row.
 
-    Values are counted first, so that the running sum is over distinct values and not over rows."""
+    Values are counted first and dealt into ranges. How many rows each range holds tells which ranges have the wanted
+    ranks, and only in these are the counts summed up in order; so no task sees all values, be they as many as rows."""
     counts = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select("v", (F.sum("n").over(upto) - F.col("n")).alias("first"), (F.sum("n").over(upto) - 1).alias("last"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    want = run.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents]))).withColumn("at", F.col("percent") / 100 * (F.col("total") - 1))
-    low, high = F.floor("at"), F.ceil("at")
-    near = want.groupBy("percent").agg(F.max(F.when((low >= F.col("first")) & (low <= F.col("last")), F.col("v"))).alias("a"), F.max(F.when((high >= F.col("first")) & (high <= F.col("last")), F.col("v"))).alias("b"), F.max("at").alias("at"))
-    return near.select("percent", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("value"))
+    placed = written(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = sorted(placed.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a row per range
+    total, ends = sum(r["n"] for r in sizes), list(itertools.accumulate(r["n"] for r in sizes))
+    asked = []
+    for percent in percents if total else []:
+        at = percent / 100 * (total - 1)
+        for rank, share in ((math.floor(at), math.floor(at) + 1 - at), (math.ceil(at), at - math.floor(at))):
+            k = bisect.bisect_right(ends, rank)
+            asked.append((float(percent), sizes[k]["part"], rank - ends[k] + sizes[k]["n"], float(share)))
+    ranks = values.sparkSession.createDataFrame(asked, "percent double, part int, rank long, share double")
+    inside = placed.where(F.col("part").isin(sorted({a[1] for a in asked})))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("last", upto).join(ranks, "part").where((F.col("rank") < F.col("last")) & (F.col("rank") >= F.col("last") - F.col("n")))
+    return found.groupBy("percent").agg(F.sum(F.col("v") * F.col("share")).alias("value"))
 
 
 def confusion(pairs: DataFrame, truth: str, pred: str, n_classes: int, ignore: int | None = None) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lines as L
 from tidemark.functions.raster import quantised
-from tidemark.operators import graph, roads
-from tidemark.plans.common import Lens
-from tidemark.plans.places import _B, TRIANGLE, boxes
+from tidemark.operators import accounting, graph, nearest, roads
+from tidemark.plans.common import Lens, table
+from tidemark.plans.places import _B, TRIANGLE, boxes, classes
 
 lens = Lens()
 _Q = lambda x, s="1e3": f"CAST(floor(({x}) * {s} + 0.5) AS BIGINT)"
@@ -75,3 +75,27 @@ def b_line_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of each line and of its first ten metres."""
     p = F.col("points")
     return outlines(spark, sf_dir).select("id", quantised(L.length(p), 1e3).alias("length"), quantised(L.length(L.part(p, F.lit(0.0), F.lit(10.0))), 1e3).alias("first10"))
+
+
+@lens(f"""{_B}, l AS (SELECT id, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM b), p AS (SELECT vec_id AS point, 200 + CAST(embedding[1] AS DOUBLE) * 2000 AS x, 50 + CAST(embedding[2] AS DOUBLE) * 2000 AS y FROM embeddings),
+m AS (SELECT point, id, x, y, x0, y0, dx, dy, least(1, greatest(0, coalesce(((x - x0) * dx + (y - y0) * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM p, l),
+d AS (SELECT point, id, sqrt(power(x0 + t * dx - x, 2) + power(y0 + t * dy - y, 2)) AS distance FROM m)
+SELECT point, CASE WHEN min(distance) <= 500 THEN {_Q('min(distance)')} END AS distance FROM d GROUP BY point""")
+def b_nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far points are from the nearest of all diagonals of boxes, up to 500 metres."""
+    diagonal = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y1"))])
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point"), (200 + F.col("embedding")[0].cast("double") * 2000).alias("x"), (50 + F.col("embedding")[1].cast("double") * 2000).alias("y"))
+    found = nearest.nearest_lines(points, boxes(spark, sf_dir).select("id", diagonal.alias("points")), "point", "id", 20.0, 500.0)
+    return found.select("point", quantised(F.col("distance"), 1e3).alias("distance"))
+
+
+@lens(f"""WITH c AS (SELECT vec_id AS row, unnest(range(64)) AS col, unnest(embedding) AS e FROM embeddings), i AS (SELECT e > 0 AS valid, e > 0.1 AS candidate FROM c WHERE (col + 0.5) * 10 > 40.3 AND (row + 0.5) * 10 > 20.7 AND ((col + 0.5) * 10 - 40.3) / 800 + ((row + 0.5) * 10 - 20.7) / 600 < 1),
+n AS (SELECT count(*) AS centers, count(*) FILTER (valid) AS valid, count(*) FILTER (candidate) AS candidates FROM i)
+SELECT 240000000 AS geometric, {_Q('240000 * (1 - power(200.3 / 800, 2))')} AS delivered, centers, (SELECT count(*) * 64 FROM embeddings) - centers AS outside, valid, centers - valid AS delivered_but_invalid, candidates,
+{_Q('candidates / valid', '1e6')} AS candidates_of_valid, {_Q('candidates * 100 / 240000', '1e6')} AS candidates_of_geometric FROM n""")
+def b_scope_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle that reaches beyond the raster's right edge: its area, what is delivered of it, and its pixels."""
+    c = classes(spark, sf_dir).select("row", "col", (F.col("class") > 0).alias("valid"), (F.col("class") == 2).alias("candidate"))
+    height = table(spark, sf_dir, "embeddings").count()
+    out = accounting.scope_accounting(c, [(40.3, 20.7), (840.3, 20.7), (40.3, 620.7)], 10.0, 64, height)
+    return out.select(*[quantised(F.col(n), 1e3).alias(n) for n in ("geometric", "delivered")], "centers", "outside", "valid", "delivered_but_invalid", "candidates", *[quantised(F.col(n), 1e6).alias(n) for n in ("candidates_of_valid", "candidates_of_geometric")])
