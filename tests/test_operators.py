@@ -201,11 +201,21 @@ def test_quarantined_twice(spark):
         sampling.partition_eligible(spark.range(3), q, "id")
 
 
-def test_features_know_their_inputs():
-    with pytest.raises(ValueError, match="unknown"):
-        raster.features(["nope"], [])
-    with pytest.raises(ValueError, match="no such"):
-        raster.features(["s2_ndwi_change"], ["pre_green"])
+def test_feature_plans_are_strict():
+    """Roles are expanded in order, derived features come last, and nothing is guessed."""
+    bound = {"sentinel1_before": {"vv": "a", "vh": "b"}, "sentinel1_after": {"vv": "c", "vh": "d"}, "sentinel2_before": {"green": "e", "nir": "f"}, "sentinel2_after": {"green": "g", "nir": "h"}}
+    plan = raster.feature_plan(["s2_ndwi_change", "s1_change_db", "s2_ndwi_post", "s2_ndwi_pre", "s1_change_db"], bound, ["vh", "vv"], decibels=False)
+    assert [(f.name, f.transform, f.inputs) for f in plan] == [
+        ("s1_vh_change_db", "log_ratio_db", ("d", "b")), ("s1_vv_change_db", "log_ratio_db", ("c", "a")), ("s2_ndwi_pre", "normalized_difference", ("e", "f")), ("s2_ndwi_post", "normalized_difference", ("g", "h")),
+        ("s2_ndwi_change", "derived_difference", ("s2_ndwi_post", "s2_ndwi_pre")),
+    ]
+    assert [f.transform for f in raster.feature_plan(["s1_change_db", "s1_co_cross_ratio_db_pre"], bound, ["vv"], decibels=True)] == ["difference", "cross_pol_difference_db"]
+    for enabled, more, what in (
+        ([], {}, "no feature"), (["nope"], {}, "unknown"), (["s1_change_db"], {"decibels": True}, "polarisation roles"), (["s1_change_db"], {"polarisations": ["vv"]}, "decibels"), (["s2_reflectance_pre"], {}, "band roles"),
+        (["s2_reflectance_pre"], {"bands": ["red"]}, "not bound"), (["s2_ndwi_change", "s2_ndwi_pre"], {}, "isn't enabled"), (["s2_reflectance_pre"], {"bands": ["nir", "nir"]}, "one name"),
+    ):
+        with pytest.raises(ValueError, match=what):
+            raster.feature_plan(enabled, bound, **more)
     assert len(raster.TEMPLATES) == 19
 
 

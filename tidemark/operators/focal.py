@@ -3,9 +3,13 @@ whole raster column; NULL is an invalid pixel and missing pixels count as absent
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.raster import Feature, feature_columns
+
 
 def _blocks(pixels: DataFrame, halo: int, rows: int) -> DataFrame:
     """Each pixel in its block and, near an edge, in the neighbouring one; `home` marks the former."""
@@ -57,6 +61,19 @@ def horn_slope(pixels: DataFrame, resolution: float, rows: int = 1024) -> DataFr
     return _neighbours(pixels, rows).select("row", "col", F.when(c("vzz").isNotNull(), slope).alias("slope"))
 
 
+def feature_stack(pixels: DataFrame, plan: Sequence[Feature], resolution: float) -> DataFrame:
+    """row, col and the features of a plan, in its order, from pixels (row, col and the plan's input columns).
+
+    A feature is NULL wherever one of its inputs is, and nothing is clipped to a feature's span. Slopes are taken from
+    blocks of rows; all other features are Columns of the same pixel, so that only the inputs that are named are read."""
+    out = pixels
+    for f in plan:
+        if f.transform == "slope_horn_degrees":
+            slope = horn_slope(pixels.select("row", "col", F.col(f.inputs[0]).alias("value")), resolution)
+            out = out.join(slope.select("row", "col", F.col("slope").alias(f.name)), ["row", "col"])
+    return out.select("row", "col", *[c.alias(n) for n, c in feature_columns(plan).items()])
+
+
 def central_slope(pixels: DataFrame, resolution: float, rows: int = 1024) -> DataFrame:
     """Slope in degrees by central differences, one-sided beside pixels that are absent: another kernel than
     horn_slope(). An invalid pixel that a difference needs makes the slope NULL."""

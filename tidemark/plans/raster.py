@@ -65,11 +65,33 @@ def r_norm_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes(spark, sf_dir).select("row", "col", R.quantised(R.normalized_difference(F.abs("post"), F.abs("pre"))).alias("nd"))
 
 
-@lens(f"{_DUAL} SELECT row, col, {_Q('dvv')} AS s1_change_db, {_Q('CASE WHEN pre_vv > 0 AND pre_vh > 0 THEN 10 * log10(pre_vv / pre_vh) END')} AS s1_co_cross_ratio_db_pre, {_Q('CASE WHEN post_vv > 0 AND post_vh > 0 THEN 10 * log10(post_vv / post_vh) END')} AS s1_co_cross_ratio_db_post FROM g")
+_RADAR = {"sentinel1_before": {"vv": "pre_vv", "vh": "pre_vh"}, "sentinel1_after": {"vv": "post_vv", "vh": "post_vh"}}
+_STACKED = {"s1_vv_pre": "CASE WHEN pre_vv > 0 THEN pre_vv END", "s1_vh_pre": "CASE WHEN pre_vh > 0 THEN pre_vh END", "s1_vv_change_db": "dvv", "s1_vh_change_db": "dvh", "s1_vv_vh_ratio_db_pre": "CASE WHEN pre_vv > 0 AND pre_vh > 0 THEN 10 * log10(pre_vv / pre_vh) END", "s1_vv_vh_ratio_db_post": "CASE WHEN post_vv > 0 AND post_vh > 0 THEN 10 * log10(post_vv / post_vh) END"}
+
+
+def radar_stack(spark: SparkSession, sf_dir: str, decibels: bool) -> DataFrame:
+    """Radar templates over both polarisations, from linear power or from its decibels."""
+    plan = R.feature_plan(["s1_change_db", "s1_backscatter_pre", "s1_co_cross_ratio_db_pre", "s1_co_cross_ratio_db_post"], _RADAR, ["vv", "vh"], decibels=decibels)
+    given = {c: R.to_db(F.col(c)) if decibels else F.when(F.col(c) > 0, F.col(c)) for roles in _RADAR.values() for c in roles.values()}
+    return focal.feature_stack(dual(spark, sf_dir).withColumns(given), plan, 10.0)
+
+
+@lens(f"{_DUAL} SELECT row, col, " + ", ".join(f"{_Q(x)} AS {n}" for n, x in _STACKED.items()) + " FROM g")
 def r_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = dual(spark, sf_dir)
-    names = ["s1_change_db", "s1_co_cross_ratio_db_pre", "s1_co_cross_ratio_db_post"]
-    return d.select("row", "col", *[R.quantised(c).alias(n) for n, c in R.features(names, d.columns).items()])
+    """Templates of linear power."""
+    stack = radar_stack(spark, sf_dir, False)
+    return stack.select("row", "col", *[R.quantised(F.col(c)).alias(c) for c in stack.columns[2:]])
+
+
+_IN_DB = _STACKED | {c: f"CASE WHEN {p} > 0 THEN 10 * log10({p}) END" for c, p in (("s1_vv_pre", "pre_vv"), ("s1_vh_pre", "pre_vh"))}
+
+
+@lens(f"{_DUAL} SELECT row, col, " + ", ".join(f"CAST(floor(({x}) * 1e3 + 0.5001) AS BIGINT) AS {n}" for n, x in _IN_DB.items()) + " FROM g")
+def r_features_db(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same templates where backscatter comes in decibels: differences, with the same meaning as ratios of power.
+    Rounded off the half, which engines that subtract logarithms reach differently."""
+    stack = radar_stack(spark, sf_dir, True)
+    return stack.select("row", "col", *[F.floor(F.col(c) * 1e3 + 0.5001).cast("bigint").alias(c) for c in stack.columns[2:]])
 
 
 _CASE = "CASE WHEN dvv IS NULL OR dvh IS NULL THEN 255 WHEN dvv <= -3 AND dvh <= -3 THEN 1 ELSE 0 END"
@@ -142,6 +164,12 @@ def r_horn_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focal.horn_slope(grid(spark, sf_dir), 10.0).select("row", "col", R.quantised(F.col("slope")).alias("slope"))
 
 
+@lens(f"""{_GRID}{_HOOD} SELECT row, col, {_Q('vzz')} AS dem_elevation, {_Q(f'CASE WHEN vzz IS NOT NULL THEN {_HORN} END')} AS dem_slope_degrees FROM h""")
+def r_features_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = R.feature_plan(["dem_slope_degrees", "dem_elevation"], {"dem": {"elevation": "value"}})
+    return focal.feature_stack(grid(spark, sf_dir), plan, 10.0).select("row", "col", *[R.quantised(F.col(f.name)).alias(f.name) for f in plan])
+
+
 _THERE = ", ".join(f"count(*) FILTER (n.row = v.row + {r} AND n.col = v.col + {c}) AS {name}" for name, r, c in (("west", 0, -1), ("east", 0, 1), ("up", -1, 0), ("down", 1, 0)))
 _EDGED = f", e AS (SELECT v.row, v.col, {_THERE} FROM v JOIN v n ON n.row BETWEEN v.row - 1 AND v.row + 1 AND n.col BETWEEN v.col - 1 AND v.col + 1 GROUP BY v.row, v.col)"
 _GRADIENT = lambda a, b, before, after: f"CASE WHEN e.{before} * e.{after} = 1 THEN ({b} - {a}) / 20 WHEN e.{after} = 1 THEN ({b} - vzz) / 10 ELSE (vzz - {a}) / 10 END"
