@@ -359,4 +359,4 @@ def test_equals_sql(spark, sf_dir, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in registry.queries()] == list(range(1, 14))
