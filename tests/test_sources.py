@@ -52,7 +52,7 @@ def test_geojson(spark, tmp_path):
     rows = vector.read_geojson(spark, str(path), digest)
     assert rows.count() == 2
     r = vector.snapshot_features(rows, "2024-01-09").withColumn("len", vector.length(vector.line(F.col("coordinates")))).collect()
-    assert [(x["osm_id"], x["name"], x["highway"], x["tags"], x["len"]) for x in r] == [("way/1", "Name", "track", '{"surface":"mud"}', 5.0)]
+    assert [(x["osm_id"], x["name"], x["highway"], x["tags"], x["len"]) for x in r] == [("way/1", "Name", "track", '{"highway": "track", "name": "Nom", "name:en": "Name", "surface": "mud"}', 5.0)]
     with pytest.raises(Exception, match="digest"):
         vector.read_geojson(spark, str(path), "0" * 64).collect()
     vector.write_geojson(rows.select("kind", "coordinates"), str(tmp_path / "out"), "LineString", "coordinates")

@@ -40,6 +40,11 @@ class Plan:
         start = self.split if self.time_known else self.split + dt.timedelta(days=1)
         return start, self.split + dt.timedelta(days=self.after_days)
 
+    @property
+    def extent(self) -> tuple[dt.datetime, dt.datetime]:
+        """What one search over both windows spans."""
+        return min(self.before[0], self.after[0]), max(self.before[1], self.after[1])
+
     def side(self, ts: Column) -> Column:
         """before, after or NULL by half-open windows."""
         within = lambda w: (ts >= instant(w[0])) & (ts < instant(w[1]))
@@ -51,9 +56,9 @@ class Plan:
 
 
 def parse_instant(text: Column, naive_is_utc: bool) -> Column:
-    """An ISO-8601 text as a UTC instant; texts without a zone are NULL unless naive_is_utc."""
+    """An ISO-8601 text as a UTC instant; texts without a zone are NULL unless naive_is_utc; a day is its midnight."""
     zoned = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
-    return F.when(zoned, F.try_to_timestamp(text)).when(F.lit(naive_is_utc), F.try_to_timestamp(F.concat(text, F.lit("Z"))))
+    return F.when(zoned, F.try_to_timestamp(text)).when(F.lit(naive_is_utc), F.try_to_timestamp(F.concat(text, F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), "T00:00:00Z").otherwise("Z"))))
 
 
 def iso(ts: Column) -> Column:

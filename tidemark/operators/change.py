@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from tidemark.operators.focal import boxcar_mean
 from tidemark.operators.graph import components, written
 
 NODATA = 255
+#: Values of the three-class mask and of the mask of candidates, not observed last.
+CLASSES = (0, 1, 2, NODATA)
+CANDIDATES = (0, 1, NODATA)
 
 
 def candidate(vv_change: Column, vh_change: Column, vv_most: float = -3.0, vh_most: float = -3.0) -> Column:
@@ -40,6 +45,32 @@ def classified(pixels: DataFrame, window: int = 1, water: float = -18.0, change:
     return classes.join(flood, ["row", "col"]).select("row", "col", kept.alias("class"))
 
 
+def require_classes(pixels: DataFrame, allowed: Sequence[int]) -> DataFrame:
+    """pixels; a value outside the classes, or none, is an error when its row is read. No pass of its own."""
+    known = F.coalesce(F.col("value").isin(*allowed), F.lit(False))
+    told = F.concat(F.lit("value "), F.coalesce(F.col("value").cast("string"), F.lit("NULL")), F.lit(f" is none of {tuple(allowed)}"))
+    return pixels.withColumn("value", F.when(known, F.col("value")).otherwise(F.raise_error(told).cast("int")))
+
+
+def disagreements(classes: DataFrame, valid: DataFrame) -> DataFrame:
+    """state, n: pixels of a class raster (row, col, value) against a valid mask (row, col, valid 0 or 1). States: agree,
+    unobserved_but_valid, observed_but_invalid, only_in_classes, only_in_mask."""
+    return _compared(classes, valid).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def _compared(classes: DataFrame, valid: DataFrame) -> DataFrame:
+    both = classes.select("row", "col", "value", F.lit(True).alias("l")).join(valid.select("row", "col", "valid", F.lit(True).alias("r")), ["row", "col"], "full")
+    seen, marked = F.col("value") != NODATA, F.col("valid") != 0
+    state = F.when(F.col("r").isNull(), "only_in_classes").when(F.col("l").isNull(), "only_in_mask").when(marked & ~seen, "unobserved_but_valid").when(seen & ~marked, "observed_but_invalid").otherwise("agree")
+    return both.select("row", "col", "value", marked.alias("valid"), state.alias("state"))
+
+
+def agreeing(classes: DataFrame, valid: DataFrame) -> DataFrame:
+    """row, col, value, valid of rasters that agree on every pixel; one that differs is an error when its row is read."""
+    told = F.concat(F.lit("pixel "), F.col("row").cast("string"), F.lit(", "), F.col("col").cast("string"), F.lit(": "), F.col("state"))
+    return _compared(classes, valid).select("row", "col", F.when(F.col("state") == "agree", F.col("value")).otherwise(F.raise_error(told).cast("int")).alias("value"), "valid")
+
+
 def regions(pixels: DataFrame) -> DataFrame:
     """row, col, value, region, size: 8-connected regions of equal value; a region is named by its least pixel."""
     width = pixels.agg(F.coalesce(F.max("col"), F.lit(0)) + 3).first()[0]

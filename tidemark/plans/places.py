@@ -12,6 +12,7 @@ from tidemark.functions import text as T
 from tidemark.functions.raster import quantised
 from tidemark.operators import exposure, rivers
 from tidemark.plans.common import Lens, table
+from tidemark.sources import layers
 
 lens = Lens()
 _Q = lambda x, s="1e4": f"CAST(floor(({x}) * {s} + 0.5) AS BIGINT)"
@@ -185,3 +186,38 @@ def x_polarisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x_url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.nullif(F.regexp_extract("url", "[?&]page=([0-9]+)", 1), F.lit(""))
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), page.cast("int").alias("page"))
+
+
+_H = """WITH h AS (SELECT event_id, coalesce(event_type, '') AS kind, user_id, 'way/' || event_id // 3 AS osm_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d') || 'T00:00:00Z' ELSE '2024-02-01T00:00:00Z' END AS ends,
+CASE event_id % 4 WHEN 1 THEN 'N"' || user_id WHEN 3 THEN '' END AS en, 'n' || user_id AS nm, coalesce(props, '') AS surface FROM events),
+f AS (SELECT *, CAST(event_id % 5 AS VARCHAR) AS osm_version, CASE WHEN en <> '' THEN en ELSE nm END AS name, '{"highway": ' || to_json(kind) || ', "name": ' || to_json(nm) || coalesce(', "name:en": ' || to_json(en), '') || ', "surface": ' || to_json(surface) || '}' AS tags FROM h WHERE ends = '2024-02-01T00:00:00Z'),
+a AS (SELECT 0 AS no, * FROM f WHERE user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY kind, event_id) = 1), b AS (SELECT 1 AS no, * FROM f QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY kind, event_id) = 1),
+roads AS (SELECT * FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY no) = 1),
+hubs AS (SELECT 'a' AS hub_group, * FROM f WHERE kind = 'signup' QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY kind, event_id) = 1 UNION ALL SELECT 'b', * FROM f WHERE kind IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY osm_id ORDER BY kind, event_id) = 1)"""
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of features: three in a row are one feature, half of them replaced before the snapshot."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    ends = F.when(k % 2 == 0, F.date_format("ts", "yyyy-MM-dd'T00:00:00Z'")).otherwise(F.lit("2024-02-01T00:00:00Z"))
+    english = F.when(k % 4 == 1, F.concat(F.lit('N"'), F.col("user_id").cast("string"))).when(k % 4 == 3, "")
+    tags = {"@osmId": F.concat(F.lit("way/"), F.floor(k / 3).cast("string")), "@validTo": ends, "@version": (k % 5).cast("string"), "highway": F.coalesce("event_type", F.lit("")), "name": F.concat(F.lit("n"), F.col("user_id").cast("string")), "name:en": english, "surface": F.coalesce("props", F.lit(""))}
+    kept = F.map_filter(F.create_map(*[x for n, v in tags.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+    return e.select(F.coalesce("event_type", F.lit("")).alias("path"), k.alias("at"), "user_id", kept.alias("properties"), F.lit("Point").alias("kind"), F.format_string("[%d, 0]", k).alias("coordinates"))
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    h = history(spark, sf_dir)
+    kinds = {"a": ["signup"], "b": ["signup", "error"]}
+    return layers.pre_event_layers({"roads_aoi": h.where("user_id % 3 = 0"), "roads_buffer": h}, {g: h.where(F.col("path").isin(k)) for g, k in kinds.items()}, "2024-02-01T00:00:00Z")
+
+
+@lens(f"{_H} SELECT osm_id, name, osm_version, kind AS highway, tags, '[' || event_id || ', 0]' AS coordinates FROM roads")
+def l_united_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads of an area and of its surroundings, valid at the snapshot: the area's row of a road comes first."""
+    return _layers(spark, sf_dir)["roads"].select("osm_id", "name", "osm_version", "highway", "tags", "coordinates")
+
+
+@lens(f"{_H} SELECT 'roads' AS layer, count(*) AS features, 'Point' AS kinds FROM roads UNION ALL SELECT 'hubs', count(*), 'Point' FROM hubs")
+def l_layer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layers.layer_report(_layers(spark, sf_dir)).select("layer", "features", F.array_join("kinds", ",").alias("kinds"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import optical
 from tidemark.functions import raster as R
-from tidemark.operators import change, focal, graph, outline, resample, stats
+from tidemark.operators import change, focal, graph, outline, resample, stats, tensors
 from tidemark.plans.common import Lens, table
 from tidemark.sources import raster as files
 
@@ -291,3 +291,43 @@ def r_feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r_block_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = [F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("pre", "post")]
     return stats.block_coverage(planes(spark, sf_dir).select("row", "col", *lit), ["pre", "post"], 16)
+
+
+_T = _DUAL + """, l AS (SELECT row, col, row // 16 AS sample, pre_vv, pre_vh, post_vv, post_vh, CASE WHEN least(pre_vv, pre_vh, post_vv, post_vh) > 0 THEN (row * 7 + col) % 3 ELSE 3 END AS target FROM d)"""
+
+
+def _planes_of_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample (tiles of 16 rows), row, col, role, polarisation, value: a row per channel and pixel."""
+    channels = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(p).alias("polarisation"), F.col(f"{r}_{p}").alias("value")) for r, p in tensors.CHANNELS])
+    tiles = dual(spark, sf_dir).select(F.floor(F.col("row") / 16).alias("sample"), "row", "col", F.explode(channels).alias("x"))
+    return tiles.select("sample", "row", "col", "x.*")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels in order, and the target: pixels with a value at or below zero are ignored, others have a made label."""
+    stack = tensors.channel_stack(_planes_of_tiles(spark, sf_dir))
+    valid = F.least(*[F.col(f"{r}_{p}") for r, p in tensors.CHANNELS]) > 0
+    return stack.withColumn("target", tensors.target((F.col("row") * 7 + F.col("col")) % 3, valid))
+
+
+@lens(f"{_T} SELECT sample, row, col, " + ", ".join(f"{_Q(f'{r}_{p}')} AS {r}_{p}" for r, p in tensors.CHANNELS) + ", target FROM l")
+def r_channel_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples(spark, sf_dir).select("sample", "row", "col", *[R.quantised(F.col(f"{r}_{p}")).alias(f"{r}_{p}") for r, p in tensors.CHANNELS], "target")
+
+
+@lens(f"""{_T}, b AS (SELECT *, strpos('0123456789abcdef', sha256('epoch-1:' || sample)[1]) - 1 AS h FROM l),
+f AS (SELECT *, CASE WHEN h % 2 = 1 THEN 31 - col ELSE col END AS c, CASE WHEN h // 2 % 2 = 1 THEN 15 - row % 16 ELSE row % 16 END AS r, h // 4 AS t FROM b)
+SELECT sample, CASE t WHEN 0 THEN r WHEN 1 THEN 31 - c WHEN 2 THEN 15 - r ELSE c END AS row, CASE t WHEN 0 THEN c WHEN 1 THEN r WHEN 2 THEN 31 - c ELSE 15 - r END AS col, {_Q("pre_vv")} AS pre_vv, {_Q("post_vh")} AS post_vh, target FROM f""")
+def r_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of 16 x 32 pixels, each turned by its own draw; channels and target move alike."""
+    tiles = samples(spark, sf_dir).withColumn("row", F.col("row") % 16)
+    moved = tensors.augmented(tiles, "sample", F.lit(16), F.lit(32), "epoch-1")
+    return moved.select("sample", "row", "col", R.quantised(F.col("pre_vv")).alias("pre_vv"), R.quantised(F.col("post_vh")).alias("post_vh"), "target")
+
+
+@lens(f"{_DUAL}, k AS (SELECT row, col, {_CASE} AS c, pre_vv > 0 AND post_vv > 0 AS v FROM g) SELECT CASE WHEN v AND c = 255 THEN 'unobserved_but_valid' WHEN c <> 255 AND NOT v THEN 'observed_but_invalid' ELSE 'agree' END AS state, count(*) AS n FROM k GROUP BY 1")
+def r_mask_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate mask against a valid mask that knows of the first channel only."""
+    classes = change.require_classes(r_change_candidates(spark, sf_dir).withColumnRenamed("candidate", "value"), change.CANDIDATES)
+    valid = dual(spark, sf_dir).select("row", "col", ((F.col("pre_vv") > 0) & (F.col("post_vv") > 0)).cast("int").alias("valid"))
+    return change.disagreements(classes, valid)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemark.operators import change
 from tidemark.sources import tiff
 
-META = "path string, width int, height int, bands int, bits int, format int, compression int, predictor int, planar int, tiled boolean, blocks int, masked boolean, a double, e double, c double, f double, epsg int, nodata double, names array<string>"
+META = "path string, width int, height int, bands int, bits int, format int, compression int, predictor int, planar int, tiled boolean, blocks int, masked boolean, a double, e double, c double, f double, epsg int, nodata double, names array<string>, tags string"
 PIXELS = "path string, row bigint, col bigint, band int, value double"
+#: Fixed values of the candidate stage's files: who made it, and what its values mean.
+CANDIDATE_STAGE = "m6.3-rtc-change-candidates-0.2.0"
+CANDIDATE_VALUES = "0=not_candidate,1=darkening_candidate,255=not_observed"
 _PUSH = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -41,7 +45,7 @@ class Grid:
     nodata: float | None = None
 
 
-def _where(path: str) -> tuple[fs.FileSystem, str]:
+def located(path: str) -> tuple[fs.FileSystem, str]:
     path = path.replace("file:///", "/") if path.startswith("file:///") else path.removeprefix("file:")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
@@ -78,7 +82,7 @@ class _Reader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[_Part]:
-        at, place = _where(self.path)
+        at, place = located(self.path)
         info = at.get_file_info(place)
         files = [info] if info.type == fs.FileType.File else [x for x in at.get_file_info(fs.FileSelector(place, recursive=True)) if x.type == fs.FileType.File and x.extension.lower() in ("tif", "tiff")]
         head = self.path[: -len(place)] if self.path.endswith(place) else ""
@@ -94,7 +98,7 @@ class _Reader(DataSourceReader):
         return all(a <= self.high[k] and z >= self.low[k] for k, (a, z) in spans.items())
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
-        system, place = _where(partition.path)
+        system, place = located(partition.path)
         with system.open_input_file(place) as file:
             fetch = lambda at, n: file.read_at(n, at)
             try:
@@ -104,7 +108,7 @@ class _Reader(DataSourceReader):
             about = tiff.geometry(image.tags, partition.path)
             if self.meta:
                 get = image.get
-                row = {"path": partition.path, "width": get(tiff.WIDTH), "height": get(tiff.HEIGHT), "bands": image.bands, "bits": get(tiff.BITS, 1), "format": get(tiff.FORMAT, 1), "compression": get(tiff.COMPRESSION, 1), "predictor": get(tiff.PREDICTOR, 1), "planar": get(tiff.PLANAR, 1), "tiled": image.tiled, "blocks": sum(1 for _ in image.blocks()), "masked": mask is not None, **about, "names": tiff.names(image.tags)}
+                row = {"path": partition.path, "width": get(tiff.WIDTH), "height": get(tiff.HEIGHT), "bands": image.bands, "bits": get(tiff.BITS, 1), "format": get(tiff.FORMAT, 1), "compression": get(tiff.COMPRESSION, 1), "predictor": get(tiff.PREDICTOR, 1), "planar": get(tiff.PLANAR, 1), "tiled": image.tiled, "blocks": sum(1 for _ in image.blocks()), "masked": mask is not None, **about, "names": tiff.names(image.tags), "tags": json.dumps(tiff.labels(image.tags))}
                 yield pa.RecordBatch.from_pylist([row], schema=_arrow(META))
                 return
             for block in image.blocks():
@@ -159,14 +163,15 @@ class _Writer(DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.grid, self.bands, self.kind = options["path"], Grid(**json.loads(options["grid"])), json.loads(options["bands"]), options["kind"]
+        self.tags = json.loads(options["tags"])
         self.high, self.predictor, self.overwrite, self.job = int(options["rows"]), int(options["predictor"]), overwrite, uuid.uuid4().hex
-        system, place = _where(self.path)
+        system, place = located(self.path)
         if not overwrite and system.get_file_info(place).type != fs.FileType.NotFound:
             raise ValueError(f"{self.path} is there already")
 
     @property
     def folder(self) -> str:
-        return f"{_where(self.path)[1]}.tmp-{self.job}"
+        return f"{located(self.path)[1]}.tmp-{self.job}"
 
     def _strip(self, no: int) -> tuple[np.ndarray, np.ndarray]:
         rows = min(self.high, self.grid.height - no * self.high)
@@ -180,7 +185,7 @@ class _Writer(DataSourceArrowWriter):
         return tiff.encode_strip(values.astype(self.kind), self.predictor)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        system, _ = _where(self.path)
+        system, _ = located(self.path)
         system.create_dir(self.folder, recursive=True)
         name, strips, at = uuid.uuid4().hex, [], 0
         no, values, seen = -1, None, None
@@ -214,7 +219,7 @@ class _Writer(DataSourceArrowWriter):
         return _Written(name, strips)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        system, place = _where(self.path)
+        system, place = located(self.path)
         try:
             found = {no: (m.name, at, n) for m in messages if m for no, at, n in m.strips}
             if len(found) < sum(len(m.strips) for m in messages if m):
@@ -222,7 +227,7 @@ class _Writer(DataSourceArrowWriter):
             count = -(-self.grid.height // self.high)
             blank = {no: self._encoded(no, *self._strip(no)) for no in range(count) if no not in found}
             sizes = [found[no][2] if no in found else len(blank[no]) for no in range(count)]
-            head, _ = tiff.header(self.grid.width, self.grid.height, self.kind, self.high, sizes, asdict(self.grid), self.bands, self.predictor)
+            head, _ = tiff.header(self.grid.width, self.grid.height, self.kind, self.high, sizes, asdict(self.grid), self.bands, self.predictor, self.tags)
             files: dict[str, pa.NativeFile] = {}
             system.create_dir(self.folder, recursive=True)
             with system.open_output_stream(f"{self.folder}/whole") as out:
@@ -242,7 +247,7 @@ class _Writer(DataSourceArrowWriter):
             self.abort(messages)
 
     def abort(self, messages: list[_Written | None]) -> None:
-        system, _ = _where(self.path)
+        system, _ = located(self.path)
         if system.get_file_info(self.folder).type != fs.FileType.NotFound:
             system.delete_dir(self.folder)
 
@@ -306,18 +311,51 @@ def same_grid(a: DataFrame, b: DataFrame, tolerance: float = 1e-6) -> bool:
     return all(x[n] == y[n] for n in ("epsg", "width", "height")) and all(abs(x[n] - y[n]) <= tolerance for n in ("a", "e", "c", "f"))
 
 
-def require_raster(meta: DataFrame, bands: int | None = None, epsg: int | None = None, names: list[str] | None = None, metric: bool = False) -> DataFrame:
-    """meta; a file with fewer bands, another system, other band names, or (metric) a system in degrees or pixels that
+def require_raster(meta: DataFrame, bands: int | None = None, epsg: int | None = None, names: list[str] | None = None, metric: bool = False, one_byte: bool = False, nodata: float | None = None, tags: dict[str, str] | None = None, needed: Sequence[str] = ()) -> DataFrame:
+    """meta; a file with fewer bands, another system, other band names, more than a band of one byte (one_byte), another
+    nodata value than the one given (none is right), another value of a tag (no such tag is right unless needed), or (metric) a system in degrees or pixels that
     aren't square is an error when its row is read."""
     wrong = F.lit(None).cast("string")
     checks = [("fewer bands", F.col("bands") >= bands) if bands else None, ("another system", F.col("epsg") == epsg) if epsg else None, ("other band names", F.col("names") == F.array(*map(F.lit, names))) if names else None]
     checks += [("a system in degrees", ~F.col("epsg").between(4000, 4999)), ("pixels that aren't square", F.abs(F.col("a") + F.col("e")) <= 1e-9 * F.col("a"))] if metric else []
+    checks += [("not one band of one byte", (F.col("bands") == 1) & (F.col("bits") == 8) & (F.col("format") == 1))] if one_byte else []
+    checks += [("another nodata value", F.coalesce(F.col("nodata") == nodata, F.lit(True)))] if nodata is not None else []
+    for name, value in (tags or {}).items():
+        found = F.from_json("tags", "map<string,string>")[name]
+        checks.append((f"another {name}", found.isNotNull() & (found == value) if name in needed else F.coalesce(found == value, F.lit(True))))
     for what, holds in filter(None, checks):
         wrong = F.when(~F.coalesce(holds, F.lit(False)), what).otherwise(wrong)
     return meta.withColumn("path", F.when(wrong.isNull(), F.col("path")).otherwise(F.raise_error(F.concat("path", F.lit(" has "), wrong))))
 
 
-def write_pixels(pixels: DataFrame, path: str, grid: Grid, bands: list[str], kind: str = "f4", rows_per_strip: int = 64, predictor: int = 1, overwrite: bool = False) -> None:
+def _checked(spark: SparkSession, path: str, fill: int, **guards: object) -> DataFrame:
+    """path, row, col, value of a class raster that keeps its guards; nodata is the class `fill` again."""
+    meta = require_raster(read_metadata(spark, path), one_byte=True, **guards)
+    meta.select("path").collect()  # guards hold before any pixel is read; one row per file
+    return read_pixels(spark, path).select("path", "row", "col", F.coalesce("value", F.lit(fill)).cast("int").alias("value"))
+
+
+def read_class_mask(spark: SparkSession, path: str, allowed: Sequence[int] = change.CLASSES) -> DataFrame:
+    """path, row, col, value of a raster of classes: one band of one byte, in metres, north-up, nodata the last class if
+    it names one; a value outside the classes is an error when its row is read."""
+    return change.require_classes(_checked(spark, path, allowed[-1], metric=True, nodata=float(allowed[-1])), allowed)
+
+
+def read_candidate_mask(spark: SparkSession, path: str, valid_path: str | None = None, stage: str = CANDIDATE_STAGE, tolerance: float = 0.0) -> DataFrame:
+    """row, col, value, valid of a raster of change candidates, made by the stage named in its tags, with the meaning of
+    its values there, if it names one. Valid is what isn't unobserved; with the stage's own valid mask given, the grids
+    must agree to the tolerance, and a pixel that is unobserved in one raster only is an error when its row is read."""
+    rows = _checked(spark, path, change.NODATA, metric=True, nodata=float(change.NODATA), tags={"artifact_stage": stage, "semantic_values": CANDIDATE_VALUES}, needed=("artifact_stage",))
+    rows = change.require_classes(rows, change.CANDIDATES).select("row", "col", "value")
+    if valid_path is None:
+        return rows.withColumn("valid", F.col("value") != change.NODATA)
+    if not same_grid(read_metadata(spark, path), read_metadata(spark, valid_path), tolerance):
+        raise ValueError(f"{path} and {valid_path} are on different grids")
+    valid = change.require_classes(_checked(spark, valid_path, 0), (0, 1)).select("row", "col", F.col("value").alias("valid"))
+    return change.agreeing(rows, valid)
+
+
+def write_pixels(pixels: DataFrame, path: str, grid: Grid, bands: list[str], kind: str = "f4", rows_per_strip: int = 64, predictor: int = 1, overwrite: bool = False, tags: dict[str, str] | None = None) -> None:
     """Write row, col and a column per band as one deflated file. Strips are made by as many tasks as there are, in one
     shuffle by strip; no task holds more than a strip. NULL and missing pixels become nodata; without a nodata value
     they are an error, as are two values of a pixel, pixels outside the grid, and a file that is there unless overwrite."""
@@ -327,7 +365,7 @@ def write_pixels(pixels: DataFrame, path: str, grid: Grid, bands: list[str], kin
     _register(spark)
     dealt = pixels.select(F.col("row").cast("bigint"), F.col("col").cast("bigint"), *[F.col(b).cast("double") for b in bands]).withColumn("strip", F.floor(F.col("row") / rows_per_strip))
     dealt = dealt.repartition("strip").sortWithinPartitions("strip").drop("strip")
-    options = {"grid": json.dumps(asdict(grid)), "bands": json.dumps(bands), "kind": kind, "rows": rows_per_strip, "predictor": predictor}
+    options = {"grid": json.dumps(asdict(grid)), "bands": json.dumps(bands), "kind": kind, "rows": rows_per_strip, "predictor": predictor, "tags": json.dumps(tags or {})}
     dealt.write.format("tiled_raster").mode("overwrite" if overwrite else "append").options(**options).save(path)
 
 
@@ -339,7 +377,7 @@ def write_artifact(pixels: DataFrame, folder: str, stem: str, grid: Grid, bands:
     missing = [k for k in ("source_ids", "operations", "version") if not provenance.get(k)]
     if missing:
         raise ValueError(f"provenance lacks {missing}")
-    system, place = _where(folder)
+    system, place = located(folder)
     final, staged = f"{place}/{stem}", f"{place}/.{stem}-{uuid.uuid4().hex}"
     if system.get_file_info(final).type != fs.FileType.NotFound:
         raise ValueError(f"{final} is there already")

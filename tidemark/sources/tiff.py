@@ -173,6 +173,14 @@ def names(tags: dict[int, tuple]) -> list[str | None]:
     return out
 
 
+def labels(tags: dict[int, tuple]) -> dict[str, str]:
+    """What the file says of itself by name, bands and domains apart."""
+    import xml.etree.ElementTree as ET
+
+    text = b"".join(tags.get(ABOUT, ())).rstrip(b"\0")
+    return {item.get("name", ""): item.text or "" for item in (ET.fromstring(text) if text else []) if item.get("sample") is None and item.get("domain") is None}
+
+
 def encode_strip(values: np.ndarray, predictor: int) -> bytes:
     """A deflated strip, rows x cols x bands."""
     values = np.ascontiguousarray(values.astype("<" + values.dtype.str[1:]))
@@ -182,12 +190,12 @@ def encode_strip(values: np.ndarray, predictor: int) -> bytes:
     return zlib.compress(values.tobytes(), 6)
 
 
-def header(width: int, height: int, kind: str, high: int, sizes: list[int], grid: dict, bands: list[str], predictor: int) -> tuple[bytes, int]:
+def header(width: int, height: int, kind: str, high: int, sizes: list[int], grid: dict, bands: list[str], predictor: int, tags: dict[str, str] | None = None) -> tuple[bytes, int]:
     """All that stands before the strips of a file of such strips, each `high` rows; and the whole file's size."""
-    from xml.sax.saxutils import escape
+    from xml.sax.saxutils import escape, quoteattr
 
     form = {"u": 1, "i": 2, "f": 3}[kind[0]]
-    about = "<GDALMetadata>" + "".join(f'<Item name="DESCRIPTION" sample="{i}" role="description">{escape(b)}</Item>' for i, b in enumerate(bands)) + "</GDALMetadata>"
+    about = "<GDALMetadata>" + "".join(f'<Item name="DESCRIPTION" sample="{i}" role="description">{escape(b)}</Item>' for i, b in enumerate(bands)) + "".join(f"<Item name={quoteattr(k)}>{escape(v)}</Item>" for k, v in (tags or {}).items()) + "</GDALMetadata>"
     model = (1, 3072) if grid["epsg"] != 4326 else (2, 2048)
     keys = (1, 1, 0, 3, 1024, 0, 1, model[0], 1025, 0, 1, 1, model[1], 0, 1, grid["epsg"])
     fields = {
