@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,15 +62,47 @@ def _vector(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"word_length": F.log1p(share("word_chars", "n_words")), "symbol_share": F.log1p(100 * share("n_symbols", "word_chars")), "line_repeats": F.sqrt(share("n_dup_lines", "n_lines")), "word_repeats": F.sqrt(share("n_repeat_words", "n_words"))})
 
 
-def _same_group(a: str, b: str) -> Column:
-    return F.col(f"{a}.lang").eqNullSafe(F.col(f"{b}.lang")) & F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+GROUP = ("lang", "source")
+
+
+def chi2_cdf(x: float, p: int) -> float:
+    """P(X <= x) of a chi-squared variable with p degrees of freedom, by the series of the incomplete gamma function."""
+    half, term, total, k = p / 2, (x / 2) ** (p / 2) * math.exp(-x / 2) / math.gamma(p / 2 + 1), 0.0, 1
+    while term > 1e-18 * total and term > 0:
+        total, term, k = total + term, term * (x / 2) / (half + k), k + 1
+    return min(1.0, total)
+
+
+def chi2_quantile(share: float, p: int) -> float:
+    """The x below which the share of a chi-squared variable lies, by bisection."""
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_cdf(mid, p) < share else (low, mid)
+    return high
+
+
+def consistency(share: float, p: int) -> float:
+    """What the covariance of the nearest share of normal rows is multiplied by to be the covariance of all."""
+    return 1.0 if share >= 1 else share / chi2_cdf(chi2_quantile(share, p), p + 2)
+
 
+def _on(a: str, b: str, keys: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
 
-def _estimates(rows: DataFrame, floor: float) -> DataFrame:
-    """Mean m_i and the inverse Cholesky factor w_ij of the covariance (plus floor on its diagonal) per group."""
+
+def _moments(rows: DataFrame, keys: Sequence[str], names: Sequence[str] = VECTOR) -> DataFrame:
+    """n, means m_i and covariances c_ij (j <= i) per key, in one aggregation."""
+    p = len(names)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(names)], *[F.avg(F.col(names[i]) * F.col(names[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)])
+    return sums.select(*keys, "n", *[f"m{i}" for i in range(p)], *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+
+
+def _factors(moments: DataFrame, keys: Sequence[str], floor: float, factor: float) -> DataFrame:
+    """keys, n, m_i, the inverse Cholesky factor w_ij of factor * covariance + floor on the diagonal, and logdet, the
+    logarithm of that matrix's determinant."""
     p = len(VECTOR)
-    sums = rows.groupBy("lang", "source").agg(F.count("*").cast("double").alias("n"), *[F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)], *[F.avg(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}{j}") for i in range(p) for j in range(i + 1)])
-    out = sums.select("lang", "source", "n", *[f"m{i}" for i in range(p)], *[(F.col(f"s{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}") + (floor if i == j else 0)).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
+    out = moments.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * factor + (floor if i == j else 0.0) for i in range(p) for j in range(i + 1)})
     for i in range(p):
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}")
@@ -82,11 +118,13 @@ def _estimates(rows: DataFrame, floor: float) -> DataFrame:
                 for k in range(j, i):
                     dot = dot + F.col(f"l{i}{k}") * F.col(f"w{k}{j}")
                 out = out.withColumn(f"w{i}{j}", -dot / F.col(f"l{i}{i}"))
-    return out.select("lang", "source", *[f"m{i}" for i in range(p)], *[f"w{i}{j}" for i in range(p) for j in range(i + 1)])
+    logdet = 2 * reduce(lambda x, y: x + y, [F.log(F.col(f"l{i}{i}")) for i in range(p)])
+    return out.select(*keys, "n", *[f"m{i}" for i in range(p)], *[f"w{i}{j}" for i in range(p) for j in range(i + 1)], logdet.alias("logdet"))
 
 
-def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
-    """rows with d2, the squared Mahalanobis distance to their group's estimate (null without one)."""
+def _distance(rows: DataFrame, estimates: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """rows with d2, the squared Mahalanobis distance to their group's estimate (null without one), and more columns of
+    the estimate; a row per estimate of its group."""
     p = len(VECTOR)
     squares = F.lit(0.0)
     for i in range(p):
@@ -94,29 +132,79 @@ def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         for j in range(i + 1):
             z = z + F.col(f"e.w{i}{j}") * (F.col(f"r.{VECTOR[j]}") - F.col(f"e.m{j}"))
         squares = squares + z * z
-    joined = rows.alias("r").join(estimates.alias("e"), _same_group("r", "e"), "left")
-    return joined.select("r.*", squares.alias("d2"))
-
+    joined = rows.alias("r").join(estimates.alias("e"), _on("r", "e", GROUP), "left")
+    return joined.select("r.*", squares.alias("d2"), *[f"e.{c}" for c in more])
 
-def robust_outliers(stats: DataFrame, use: Column, share: float = 0.75, steps: int = 3, cutoff: float = 40.0, floor: float = 0.02) -> DataFrame:
-    """stats with d2 and inlier: the minimum-covariance-determinant estimate per (lang, source) over rows where use holds.
 
-    The start is each group's median and scaled quartile range; each concentration step keeps the share of rows
-    nearest to the estimate and takes their mean and covariance, which never raises the determinant. Cutoff is on
-    the squared distance; floor keeps a statistic that hardly varies from rejecting small deviations. A row whose
-    group has no usable row is an inlier."""
-    rows = _vector(stats)
-    fitted = rows.where(use).select("lang", "source", *VECTOR)
-    quart = fitted.groupBy("lang", "source").agg(*[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)])
-    spread = lambda i: 1 / F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + floor)
+def _starts(fitted: DataFrame, floor: float, factor: float) -> DataFrame:
+    """Four estimates per group to start from, told apart by `start`: medians and scaled quartile ranges alone (0); mean
+    and covariance (1); covariance of hyperbolic tangents of standardised rows (2); of their directions (3)."""
+    p = len(VECTOR)
+    pairs_ = [(i, j) for i in range(p) for j in range(i + 1)]
+    quart = fitted.groupBy(*GROUP).agg(F.count("*").alias("n"), *[F.percentile_approx(v, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, v in enumerate(VECTOR)])
+    spread = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
+    scales = written(quart.select(*GROUP, "n", *[F.col(f"q{i}")[1].alias(f"o{i}") for i in range(p)], *[spread(i).alias(f"r{i}") for i in range(p)], *[F.sqrt(spread(i) * spread(i) + floor).alias(f"u{i}") for i in range(p)]))
+    z = fitted.alias("f").join(scales.alias("s"), _on("f", "s", GROUP)).select("f.lang", "f.source", *[((F.col(f"f.{v}") - F.col(f"s.o{i}")) / F.col(f"s.u{i}")).alias(f"z{i}") for i, v in enumerate(VECTOR)])
+    norm = F.sqrt(reduce(lambda x, y: x + y, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)]))
+    forms = {1: lambda i: F.col(f"z{i}"), 2: lambda i: F.tanh(F.col(f"z{i}")), 3: lambda i: F.when(norm > 0, F.col(f"z{i}") / norm).otherwise(0.0)}
+    shaped = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), *[f(i).alias(f"y{i}") for i in range(p)]) for k, f in forms.items()])).alias("x")
+    moments = _moments(z.select(*GROUP, shaped).select(*GROUP, "x.*"), (*GROUP, "start"), [f"y{i}" for i in range(p)])
+    back = moments.alias("m").join(scales.alias("s"), _on("m", "s", GROUP)).select(
+        "m.lang", "m.source", "m.start", "m.n",
+        *[(F.col(f"s.o{i}") + F.when(F.col("m.start") == 1, F.col(f"s.u{i}") * F.col(f"m.m{i}")).otherwise(0.0)).alias(f"m{i}") for i in range(p)],
+        *[(F.col(f"m.c{i}{j}") * F.col(f"s.u{i}") * F.col(f"s.u{j}")).alias(f"c{i}{j}") for i, j in pairs_],
+    )
+    plain = scales.select(*GROUP, F.lit(0).alias("start"), "n", *[F.col(f"o{i}").alias(f"m{i}") for i in range(p)], *[(F.col(f"r{i}") * F.col(f"r{i}") if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs_])
+    return written(_factors(back.unionByName(plain), (*GROUP, "start"), floor, factor))
+
+
+def _concentrated(fitted: DataFrame, estimates: DataFrame, share: float, floor: float, factor: float) -> DataFrame:
+    """Each estimate made anew from the share of its group's rows that are nearest to it."""
+    keys = (*GROUP, "start")
+    near = _distance(fitted, estimates, ["start"])
+    limit = near.groupBy(*keys).agg(F.percentile_approx("d2", share, 1000).alias("limit"))
+    inner = near.alias("n").join(limit.alias("l"), _on("n", "l", keys)).where("d2 <= limit").select("n.*")
+    return written(_factors(_moments(inner, keys), keys, floor, factor))
+
+
+def determinant_estimates(fitted: DataFrame, share: float = 0.75, most: int = 8, floor: float = 0.02) -> DataFrame:
+    """lang, source, start, n, m_i, w_ij, logdet: the minimum-covariance-determinant estimate per group of rows with
+    VECTOR's columns.
+
+    Four starts are concentrated twice; of each group's, the one of the least determinant goes on until no group's
+    determinant falls, `most` steps at most. A concentration step takes the share of rows nearest to an estimate and their
+    mean and covariance, made consistent with normal rows, plus floor on its diagonal, and never raises that matrix's
+    determinant (but for rows that tie at the limit, which are all taken, and for limits of large groups, which are
+    percentiles within a thousandth). Equal determinants go to the first start."""
+    factor = consistency(share, len(VECTOR))
+    estimates = _starts(fitted, floor, factor)
+    for _ in range(2):
+        estimates = _concentrated(fitted, estimates, share, floor, factor)
+    kept = [c for c in estimates.columns if c not in GROUP]
+    best = written(estimates.groupBy(*GROUP).agg(F.min_by(F.struct(*kept), F.struct(F.round("logdet", 9), "start")).alias("b")).select(*GROUP, "b.*"))
+    for _ in range(most):
+        closer = _concentrated(fitted, best, share, floor, factor)
+        gain = closer.alias("c").join(best.alias("b"), _on("c", "b", GROUP)).agg(F.max(F.col("b.logdet") - F.col("c.logdet"))).first()[0]
+        best = closer
+        if gain is None or gain < 1e-6:
+            break
+    return best
+
+
+def robust_outliers(stats: DataFrame, use: Column, share: float = 0.75, rate: float = 1e-7, inside: float = 0.975, most: int = 8, floor: float = 0.02) -> DataFrame:
+    """stats with d2 and inlier, by the minimum-covariance-determinant estimate per (lang, source) over rows where use holds.
+
+    The estimate is reweighted: rows within the `inside` quantile of the chi-squared distribution give mean and
+    covariance once more. A row is an outlier beyond that distribution's quantile 1 - rate, so of normal rows `rate` are
+    rejected; floor keeps a statistic that hardly varies from rejecting small deviations. A row whose group has no
+    usable row is an inlier."""
     p = len(VECTOR)
-    estimates = written(quart.select("lang", "source", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(p)], *[(spread(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i in range(p) for j in range(i + 1)]))
-    for _ in range(steps):
-        near = _distance(fitted, estimates)
-        limit = near.groupBy("lang", "source").agg(F.percentile_approx("d2", share, 1000).alias("limit"))
-        inner = near.alias("n").join(limit.alias("l"), _same_group("n", "l")).where("d2 <= limit").select("n.*")
-        estimates = written(_estimates(inner, floor))
-    return _distance(rows, estimates).withColumn("inlier", F.coalesce(F.col("d2") <= cutoff, F.lit(True))).drop(*VECTOR)
+    rows = _vector(stats)
+    fitted = rows.where(use).select(*GROUP, *VECTOR)
+    first = determinant_estimates(fitted, share, most, floor)
+    near = _distance(fitted, first).where(F.col("d2") <= chi2_quantile(inside, p))
+    last = written(_factors(_moments(near, GROUP), GROUP, floor, consistency(inside, p)))
+    return _distance(rows, last).withColumn("inlier", F.coalesce(F.col("d2") <= chi2_quantile(1 - rate, p), F.lit(True))).drop(*VECTOR)
 
 
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
