@@ -63,3 +63,13 @@ def test_labels_equal_single_runs_and_routes_add_up(spark, merge):
         way = sorted(legs.get(k, []))
         assert [x[0] for x in way] == list(range(len(way))) and (not way) == (previous is None)
         assert all(a[2] == b[1] for a, b in zip(way, way[1:], strict=False)) and sum(shortest[k[0], u, v] for _, u, v in way) == distance
+
+
+def test_components_keep_lone_nodes_and_are_ranked(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(9)], "node bigint")
+    left = spark.createDataFrame([(0, 1, 500.0), (0, 1, 400.0), (2, 3, 900.0), (3, 4, 0.0), (5, 5, 7.0)], "u bigint, v bigint, length double")
+    labels = graph.scenario_components(nodes, left)
+    assert {r["node"]: r["component"] for r in labels.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 5, 6: 6, 7: 7, 8: 8}
+    assert [tuple(r) for r in graph.component_roads(labels, left, 4).collect()] == [(2, 3, 0.9), (0, 2, 0.9), (5, 1, 0.007), (6, 1, 0.0)]
+    assert graph.component_roads(labels, left).count() == 6
+    assert graph.component_roads(graph.scenario_components(nodes.limit(0), left.limit(0)), left.limit(0), 5).count() == 0

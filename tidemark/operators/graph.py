@@ -66,6 +66,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def scenario_components(nodes: DataFrame, open_edges: DataFrame) -> DataFrame:
+    """node, component of all nodes (node), of which those without an open edge (u, v) are components of their own. An
+    edge to a node that is not among them is an error of the caller and leaves that node out."""
+    labels = components(open_edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    return nodes.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def component_roads(labels: DataFrame, open_edges: DataFrame, top: int | None = None) -> DataFrame:
+    """component, nodes, road_km of each component, lengths of its open edges (u, v, length in metres) to three places;
+    with top, those of most road, then most nodes, then least name. No window: each task keeps its own top rows."""
+    sizes = labels.groupBy("component").agg(F.count("*").alias("nodes"))
+    roads = open_edges.groupBy(F.col("u").alias("node")).agg(F.sum("length").alias("metres")).join(labels, "node").groupBy("component").agg(F.sum("metres").alias("metres"))
+    out = sizes.join(roads, "component", "left").select("component", "nodes", F.round(F.coalesce("metres", F.lit(0.0)) / 1000, 3).alias("road_km"))
+    return out if top is None else out.orderBy(F.desc("road_km"), F.desc("nodes"), "component").limit(top)
+
+
 def component_ranks(labels: DataFrame) -> DataFrame:
     """component, size and rank, largest first, ties by least node. The window is over one row per component."""
     from pyspark.sql import Window

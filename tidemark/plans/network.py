@@ -102,6 +102,19 @@ def n_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(sizes, "component").select("node", "component", "size")
 
 
+@lens(f"""{_P.replace('WITH', 'WITH RECURSIVE', 1)}, g AS (SELECT o_custkey AS u, suppkey + 1099511627776 AS v, length FROM p JOIN orders ON orderkey = o_orderkey), o AS (SELECT * FROM g WHERE length <= 1), n AS (SELECT u AS node FROM g UNION SELECT v FROM g),
+w AS (SELECT DISTINCT u AS a, v AS b FROM o UNION SELECT v, u FROM o), r AS (SELECT node, node AS reach FROM n UNION SELECT w.b, r.reach FROM r JOIN w ON r.node = w.a), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node),
+k AS (SELECT component, count(*) AS nodes FROM c GROUP BY 1), m AS (SELECT component, sum(length) AS metres FROM o JOIN c ON node = u GROUP BY 1)
+SELECT component, nodes, CAST(round(coalesce(metres, 0)) AS BIGINT) AS road_m FROM k LEFT JOIN m USING (component)""")
+def n_scenario_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes where only the shortest pieces are open: those left alone are components of one."""
+    every = edges(spark, sf_dir)
+    left = every.where("length <= 1")
+    nodes = every.select(F.col("u").alias("node")).union(every.select("v"))
+    out = graph.component_roads(graph.scenario_components(nodes, left), left)
+    return out.select("component", "nodes", F.round(F.col("road_km") * 1000).cast("bigint").alias("road_m"))
+
+
 @lens(f"""{_P}, h AS (SELECT coalesce(p_type, 'unrecorded') AS highway, length FROM p LEFT JOIN part ON way = p_partkey AND p_partkey % 4 <> 0 WHERE {_CLOSED})
 SELECT highway, {_Q('sum(length) / 1000')} AS closed_km, count(*) AS pieces FROM h GROUP BY highway""")
 def n_closed_km(spark: SparkSession, sf_dir: str) -> DataFrame:
