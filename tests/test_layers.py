@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import change, tensors
+from tidemark.functions import temporal
+from tidemark.functions import text as T
+from tidemark.operators import change, exposure, tensors
 from tidemark.sources import layers, raster, vector
 
 GRID = raster.Grid(3, 2, 32645, 10.0, -10.0, 300000.0, 3100000.0, 255.0)
@@ -163,3 +165,26 @@ def test_draws_are_of_a_sample_and_differ(spark):
     assert "Exchange" not in tensors.augmented(cells, "sample", F.lit(4), F.lit(4), "seed")._jdf.queryExecution().executedPlan().toString()
     still = tensors.augmented(cells, "sample", F.lit(4), F.lit(4), "seed", False, False, False)
     assert still.exceptAll(cells).isEmpty()
+
+
+def test_processing_levels(spark):
+    levels = ["L2A", " level2a ", "S2MSI1C", "Level-1C", "L3", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(levels)], "i int, level string").orderBy("i")
+    assert [r[0] for r in rows.select(T.processing_level(F.col("level"))).collect()] == ["L2A", "L2A", "L1C", "L1C", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+
+
+def test_snapshots_are_before_the_event(spark):
+    at = lambda latest, requested=None: spark.range(1).select(temporal.iso(temporal.resolved_snapshot(F.lit("2024-01-10").cast("date"), F.lit(latest).cast("timestamp"), requested and F.lit(requested).cast("timestamp")))).first()[0]
+    assert at("2024-03-01") == "2024-01-09T00:00:00Z"
+    assert at("2024-01-05") == "2024-01-05T00:00:00Z"
+    assert at("2024-03-01", "2024-01-09 23:59:59") == "2024-01-09T23:59:59Z"
+    with pytest.raises(Exception, match="not before the event day"):
+        at("2024-03-01", "2024-01-10")
+    with pytest.raises(Exception, match="later than the latest"):
+        at("2024-01-05", "2024-01-06")
+
+
+def test_pieces_outside_the_grid_stay_open(spark):
+    rows = spark.createDataFrame([(True,), (False,), (None,)], "outside boolean")
+    closed = exposure.removed(F.lit(20.0), F.lit(15.0), F.lit(0.0), 10.0, True, F.col("outside"))
+    assert [r[0] for r in rows.select(closed).collect()] == [False, True, True]

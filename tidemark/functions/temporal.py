@@ -73,3 +73,13 @@ def days_apart(a: Column, b: Column) -> Column:
 def snapshot(event_day: Column, latest: Column) -> Column:
     """The day before the event, or the latest there is, if that is earlier."""
     return F.least(F.date_sub(event_day, 1), latest)
+
+
+def resolved_snapshot(event_day: Column, latest: Column, requested: Column | None = None) -> Column:
+    """The instant whose features are taken: midnight before the day before the event, capped at the latest there is; or
+    the requested one, where there is one. One later than the latest, or not before the event day, is an error."""
+    start = event_day.cast("date").cast("timestamp")
+    usual = F.least(start - F.expr("INTERVAL 1 DAY"), latest)
+    taken = usual if requested is None else F.coalesce(requested, usual)
+    fails = lambda why: F.raise_error(F.concat(F.lit("snapshot "), iso(taken), F.lit(f" is {why}"))).cast("timestamp")
+    return F.when(taken > latest, fails("later than the latest there is")).when(taken >= start, fails("not before the event day")).otherwise(taken)

@@ -42,9 +42,10 @@ def platform_unit(name: Column) -> Column:
 
 
 def processing_level(level: Column) -> Column:
-    """Known synonyms of L1C and L2A; others as they are, upper case."""
+    """L1C or L2A by their known synonyms, whatever the case and the blanks around; anything else, NULL and blank texts
+    too, is UNKNOWN."""
     norm = F.upper(F.trim(level))
-    return F.when(norm.isin("L2A", "S2MSI2A", "LEVEL-2A"), "L2A").when(norm.isin("L1C", "S2MSI1C", "LEVEL-1C"), "L1C").otherwise(norm)
+    return F.when(norm.isin("L2A", "S2MSI2A", "LEVEL-2A", "LEVEL2A"), "L2A").when(norm.isin("L1C", "S2MSI1C", "LEVEL-1C", "LEVEL1C"), "L1C").otherwise("UNKNOWN")
 
 
 def polarisation_verdict(reported: Column, required: list[str]) -> Column:

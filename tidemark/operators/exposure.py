@@ -23,11 +23,13 @@ def not_candidate(length: Column, candidate: Column, unobserved: Column, outside
     return F.greatest(F.lit(0.0), length - candidate - unobserved - outside)
 
 
-def removed(length: Column, flooded: Column, unknown: Column, threshold: float, block_unknown: bool) -> Column:
-    """Whether a piece closes: flooded (or, if pessimistic, unknown) for the threshold or its whole length."""
+def removed(length: Column, flooded: Column, unknown: Column, threshold: float, block_unknown: bool, outside: Column | None = None) -> Column:
+    """Whether a piece closes: flooded (or, if pessimistic, unknown) for the threshold or its whole length; never, if it
+    is known to lie outside the grid, where nothing was looked at."""
     enough = F.least(F.lit(threshold), length) - EPS
     hit = (flooded >= enough) | (unknown >= enough) if block_unknown else flooded >= enough
-    return (length > 0) & hit
+    closed = (length > 0) & hit
+    return closed if outside is None else closed & ~F.coalesce(outside, F.lit(False))
 
 
 def closure_label(closed: Column, closed_pessimistic: Column) -> Column:

@@ -174,7 +174,7 @@ def x_platform_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lens("""WITH e AS (SELECT event_id, CASE user_id % 5 WHEN 0 THEN 'vv&VH' WHEN 1 THEN ' VV ' WHEN 2 THEN '' WHEN 3 THEN NULL ELSE 'VH&vh& vv' END AS pol, CASE event_id % 4 WHEN 0 THEN ' s2msi2a' WHEN 1 THEN 'Level-1C' WHEN 2 THEN 'L2A' ELSE 'other' END AS lev FROM events)
-SELECT event_id, CASE WHEN pol IS NULL OR trim(pol) = '' THEN 'unverifiable' WHEN list_has_all(list_transform(string_split(pol, '&'), lambda x: upper(trim(x))), ['VV', 'VH']) THEN 'match' ELSE 'mismatch' END AS verdict, CASE WHEN upper(trim(lev)) IN ('L2A', 'S2MSI2A', 'LEVEL-2A') THEN 'L2A' WHEN upper(trim(lev)) IN ('L1C', 'S2MSI1C', 'LEVEL-1C') THEN 'L1C' ELSE upper(trim(lev)) END AS level FROM e""")
+SELECT event_id, CASE WHEN pol IS NULL OR trim(pol) = '' THEN 'unverifiable' WHEN list_has_all(list_transform(string_split(pol, '&'), lambda x: upper(trim(x))), ['VV', 'VH']) THEN 'match' ELSE 'mismatch' END AS verdict, CASE WHEN upper(trim(lev)) IN ('L2A', 'S2MSI2A', 'LEVEL-2A', 'LEVEL2A') THEN 'L2A' WHEN upper(trim(lev)) IN ('L1C', 'S2MSI1C', 'LEVEL-1C', 'LEVEL1C') THEN 'L1C' ELSE 'UNKNOWN' END AS level FROM e""")
 def x_polarisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     pol = F.element_at(F.array(*[F.lit(x) for x in ("vv&VH", " VV ", "", None, "VH&vh& vv")]), (F.col("user_id") % 5 + 1).cast("int"))
