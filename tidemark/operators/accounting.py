@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.exposure import cells_inside
+from tidemark.operators.graph import exploded
 from tidemark.operators.overlay import literal_ring, overlay_areas
 
 
@@ -23,7 +24,7 @@ def scope_accounting(pixels: DataFrame, aoi: Sequence[tuple[float, float]], pixe
     rings = spark.range(1).select(F.lit(0).alias("k"), F.inline(F.array(*[F.struct(F.lit(n).alias("layer"), F.lit(n).alias("poly"), literal_ring(r).alias("points")) for n, r in (("aoi", aoi), ("window", window))])))
     areas = overlay_areas(rings, ["k"], ["aoi", "window"], {"geometric": lambda d, _: d("aoi") > 0, "delivered": lambda d, _: (d("aoi") > 0) & (d("window") > 0)})
     inside = cells_inside(rings.where("layer = 'aoi'"), "k", pixel).where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
-    seen = inside.join(pixels.select("row", "col", "valid", "candidate"), ["row", "col"], "left")
+    seen = inside.join(exploded(pixels.select("row", "col", "valid", "candidate")), ["row", "col"], "left")
     tally = seen.agg(F.count("*").alias("centers"), F.count_if(F.col("valid")).alias("valid"), F.count_if(F.col("valid") & F.col("candidate")).alias("candidates")).withColumn("k", F.lit(0))
     share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     both = areas.join(tally, "k").withColumn("delivered", F.least("delivered", "geometric"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import exploded
+
 EPS = 1e-6
 #: Road status by priority, the first that any part of a way has.
 PRIORITY = ("CANDIDATE_EXPOSED", "NOT_OBSERVED", "NOT_CANDIDATE", "OUTSIDE_GRID")
@@ -63,7 +65,7 @@ def sensitivity(pieces: DataFrame, thresholds: list[float]) -> DataFrame:
 def sample_points(points: DataFrame, classes: DataFrame, pixel: float, outside: int = -1) -> DataFrame:
     """points (x, y, ...) with the class of the pixel under each; outside the grid: -1."""
     at = points.withColumns({"row": F.floor(F.col("y") / pixel).cast("bigint"), "col": F.floor(F.col("x") / pixel).cast("bigint")})
-    return at.join(classes.select("row", "col", "class"), ["row", "col"], "left").withColumn("class", F.coalesce("class", F.lit(outside)))
+    return at.join(exploded(classes.select("row", "col", "class")), ["row", "col"], "left").withColumn("class", F.coalesce("class", F.lit(outside)))
 
 
 def measure_lines(lines: DataFrame, classes: DataFrame, key: str, pixel: float, step: float) -> DataFrame:
@@ -80,7 +82,7 @@ def measure_boxes(boxes: DataFrame, classes: DataFrame, key: str, pixel: float)
     """key, class, pixels: pixels that a rectangle (x0, y0, x1, y1) touches, counted by class; outside the grid none."""
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / pixel).cast("bigint"), F.floor(F.col(b) / pixel).cast("bigint"))
     at = boxes.select(key, F.explode(cells("y0", "y1")).alias("row"), "x0", "x1").select(key, "row", F.explode(cells("x0", "x1")).alias("col"))
-    return at.join(classes, ["row", "col"]).groupBy(key, "class").agg(F.count("*").alias("pixels"))
+    return at.join(exploded(classes), ["row", "col"]).groupBy(key, "class").agg(F.count("*").alias("pixels"))
 
 
 def _edges(rings: DataFrame, key: str) -> DataFrame:
@@ -132,4 +134,4 @@ def cells_touched(rings: DataFrame, key: str, pixel: float) -> DataFrame:
 def measure_rings(rings: DataFrame, classes: DataFrame, key: str, pixel: float, all_touched: bool = True) -> DataFrame:
     """key, class, pixels: pixels of a polygon counted by class; a polygon outside the grid has no row."""
     cells = (cells_touched if all_touched else cells_inside)(rings, key, pixel)
-    return cells.join(classes.select("row", "col", "class"), ["row", "col"]).groupBy(key, "class").agg(F.count("*").alias("pixels"))
+    return cells.join(exploded(classes.select("row", "col", "class")), ["row", "col"]).groupBy(key, "class").agg(F.count("*").alias("pixels"))
