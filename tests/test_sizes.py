@@ -4,8 +4,10 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.operators import resample
 
 
 def plan(df):
@@ -14,8 +16,23 @@ def plan(df):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("name", ["b_polygon_touched", "b_polygon_centres", "b_raster_rect_counts", "b_line_measure", "b_point_class"])
+@pytest.mark.parametrize("name", ["b_polygon_touched", "b_polygon_centres", "b_raster_rect_counts", "b_line_measure", "b_point_class", "r_bilinear_strict", "r_nearest_warp", "r_warp_turned"])
 def test_exploded_rows_are_not_broadcast(spark, sf_dir, name):
     """Their tables look small to Spark, however many rows they have: a broadcast takes all of them through the driver."""
     plans = plan(entry.queries()[name](spark, sf_dir)).replace("BroadcastNestedLoopJoin", "")
     assert "SortMergeJoin" in plans and "BroadcastHashJoin" not in plans
+
+
+def test_targets_outside_of_the_source_are_spread(spark):
+    """Most of a turned grid may lie outside; without a key, its pixels would all be joined by one task."""
+    px = spark.range(64).select(F.lit(0).cast("bigint").alias("row"), F.col("id").alias("col"), F.col("id").cast("double").alias("value"))
+    source, target = resample.Affine(64, 1, 32645, 10.0, 0.0, 0.0, 0.0, 10.0, 0.0), resample.Affine(64, 40, 32645, 10.0, 0.0, 0.0, 0.0, 10.0, 0.0)
+    expected = {(r, c): float(c) if r == 0 else None for r in range(40) for c in range(64)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = resample.warp_nearest(px, source, target).withColumn("task", F.spark_partition_id()).collect()
+        assert {(r["row"], r["col"]): r["value"] for r in met} == expected
+        assert len({r["task"] for r in met if r["row"] > 0}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {(r["row"], r["col"]): r["value"] for r in resample.warp_bilinear(px, source, target).collect()} == expected
