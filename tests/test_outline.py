@@ -107,3 +107,25 @@ def test_outline_of_nothing_and_one_long_snake(spark):
     snake = [[1 if r % 2 == 0 or c == (0 if r % 4 == 1 else 39) else 0 for c in range(40)] for r in range(40)]
     per = {r["value"]: r for r in outline.class_summary(outline.outlines(table(spark, snake))).collect()}
     assert (per[1]["outer"], per[1]["holes"], per[1]["area"]) == (1, 0, sum(map(sum, snake)))
+
+
+def test_edges_are_joined_up_only_across_blocks(spark, monkeypatch):
+    """Rounds see only chains of edges that leave their block, and block sizes change no corner, ring or area."""
+    rng = random.Random(11)
+    grid = [[rng.choice((None, "a", "a", "b", "c")) if 5 < r < 16 else "a" if c % 4 or r == 20 else "b" for c in range(13)] for r in range(21)]
+    px = table(spark, grid, "string").select((F.col("row") - 4).alias("row"), (F.col("col") - 7).alias("col"), "value")
+    seen, real = [], outline._joined
+    monkeypatch.setattr(outline, "_joined", lambda chains: seen.append(chains.count()) or real(chains))
+    out = {}
+    for block in (1, 3, 7, 512):
+        monkeypatch.setattr(outline, "BLOCK", block)
+        out[block] = sorted(tuple(r) for r in outline.outlines(px).collect())
+    assert out[1] == out[3] == out[7] == out[512] and len({r[1] for r in out[512]}) > 20
+    assert seen[3] < seen[2] < seen[1] < seen[0]
+    places = {}
+    for _, ring, position, x, y, _ in out[3]:
+        places.setdefault(ring, []).append((position, x, y))
+    for ring in places.values():
+        ring.sort()
+        for (p, x, y), (q, u, v) in zip(ring, ring[1:]):
+            assert abs(x - u) + abs(y - v) == q - p and (x == u or y == v)

@@ -2,44 +2,131 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.graph import written
 
-#: Steps of the directions east, north, west, south; a left turn is the next direction.
+#: Steps (x, y) of the directions east, north, west, south; a left turn is the next direction.
 _STEP = ((1, 0), (0, 1), (-1, 0), (0, -1))
-
-
-def _by_direction(values: tuple[int, ...]) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), F.col("dir") + 1)
-
-
-def boundary(pixels: DataFrame) -> DataFrame:
-    """value, edge, dir, x, y and next of the unit edges around regions of equal value, with the region on the left.
-
-    Each pixel has four edges; two that lie on the same place with the same value cancel out. At a place where pixels
-    meet at a corner only, an edge goes on around its own pixel (to the left first), so that regions are 4-connected.
-    Edges are numbered by where they begin and their direction."""
-    low = pixels.agg(F.coalesce(F.min("row"), F.lit(0)), F.coalesce(F.min("col"), F.lit(0)), F.coalesce(F.max("col"), F.lit(0))).first()
-    width = low[2] - low[1] + 2
-    side = lambda d, dx, dy, upright, sx, sy: F.struct(F.lit(d).alias("dir"), (F.col("col") + dx).alias("x"), (F.col("row") + dy).alias("y"), F.lit(upright).alias("upright"), (F.col("col") + sx).alias("sx"), (F.col("row") + sy).alias("sy"))
-    sides = F.array(side(0, 0, 0, False, 0, 0), side(1, 1, 0, True, 1, 0), side(2, 1, 1, False, 0, 1), side(3, 0, 1, True, 0, 0))
-    four = pixels.where("value is not null").select("value", F.explode(sides).alias("s")).select("value", "s.*")
-    alone = four.groupBy("value", "upright", "sx", "sy").agg(F.count("*").alias("n"), F.first("dir").alias("dir"), F.first("x").alias("x"), F.first("y").alias("y")).where("n = 1")
-    edge = ((F.col("y") - low[0]) * width + (F.col("x") - low[1])) * 4 + F.col("dir")
-    edges = alone.select("value", edge.cast("long").alias("edge"), "dir", "x", "y")
-    place = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
-    ends = F.array(F.struct(place(_by_direction(tuple(s[0] for s in _STEP)), _by_direction(tuple(s[1] for s in _STEP))).alias("at"), F.lit(True).alias("comes")), F.struct(place(0, 0).alias("at"), F.lit(False).alias("comes")))
-    met = edges.select("value", "edge", "dir", "x", "y", F.explode(ends).alias("k"))
-    own = F.struct("edge", "dir", "x", "y")
-    met = met.groupBy("value", "k.at").agg(F.collect_list(F.when(F.col("k.comes"), own)).alias("comes"), F.collect_list(F.when(~F.col("k.comes"), own)).alias("goes"))  # two of each at most
-
-    def after(e: Column) -> Column:
-        ranked = F.transform("goes", lambda g: F.struct(F.pmod(e["dir"] - g["dir"] + F.lit(1), F.lit(4)).alias("turn"), g["edge"].alias("edge")))
-        return F.struct(e["edge"].alias("edge"), e["dir"].alias("dir"), e["x"].alias("x"), e["y"].alias("y"), F.array_min(ranked)["edge"].alias("next"))
-
-    return met.select("value", F.inline(F.transform("comes", after)))
+#: Where the edges of a pixel begin, by direction.
+_BEGIN = ((0, 0), (1, 0), (1, 1), (0, 1))
+#: Rows and columns of the blocks in which edges are followed.
+BLOCK = 512
+_TRACED = ("chain", "position", "x", "y", "next", "lowest", "edges", "area")
+
+
+def _boundary(block: pd.DataFrame, low_row: int, low_col: int, width: int) -> tuple[np.ndarray, ...]:
+    """pixel, edge, next, dir, before, x, y of the unit edges around the block's own pixels, by edge, with the pixel on the left.
+
+    A pixel has an edge towards each neighbour of another value. Where its end is reached, an edge turns left if the
+    pixel ahead has another value, else goes on if the one to the right of that has, else turns right; so pixels that meet
+    at a corner only are apart, and regions 4-connected. Before an edge is what leads to it by that rule. Edges are numbered
+    by where they begin and their direction."""
+    row, col = block["row"].to_numpy(np.int64) - low_row, block["col"].to_numpy(np.int64) - low_col
+    code, own = pd.factorize(block["value"])[0], np.flatnonzero(block["home"].to_numpy(bool))
+    key = (row + 1) * (width + 2) + col + 1
+    sorting = np.argsort(key)
+    key, by_key = key[sorting], code[sorting]
+    r, c, v = row[own], col[own], code[own]
+
+    def same(dx: int, dy: int) -> np.ndarray:
+        sought = (r + dy + 1) * (width + 2) + c + dx + 1
+        at = np.minimum(np.searchsorted(key, sought), len(key) - 1)
+        return (key[at] == sought) & (by_key[at] == v)
+
+    around = {(dx, dy): same(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
+    parts = []
+    for d, (dx, dy) in enumerate(_STEP):
+        (rx, ry), (x, y) = _STEP[d - 1], _BEGIN[d]
+        turn = lambda on, across: np.where(~on, 1, np.where(across, -1, 0))
+        to = (d + turn(around[dx, dy], around[dx + rx, dy + ry])) % 4
+        before = (d - turn(around[-dx, -dy], around[rx - dx, ry - dy])) % 4
+        here = ((r + y) * width + c + x) * 4 + d
+        there = ((r + y + dy) * width + c + x + dx) * 4 + to
+        mine = ~around[rx, ry]
+        parts.append([z[mine] for z in (own, here, there, np.full(len(r), d), before, c + x + low_col, r + y + low_row)])
+    found = [np.concatenate(z) for z in zip(*parts, strict=True)]
+    order = np.argsort(found[1])
+    return tuple(z[order] for z in found)
+
+
+def _chained(edge: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per edge: the last one of its chain, how many follow up to that, and whether the chain is a ring. A chain ends where
+    the next edge isn't among the (sorted) edges, and a ring before its least edge. Pointers are followed by doubling."""
+    n = len(edge)
+    at = np.minimum(np.searchsorted(edge, to), n - 1)
+    ahead = np.where(edge[at] == to, at, -1)
+    least, jump, live, moved = np.arange(n), ahead.copy(), np.flatnonzero(ahead >= 0), True
+    while moved:
+        lower, after = np.minimum(least[live], least[jump[live]]), jump[jump[live]]
+        moved = bool((lower < least[live]).any() or (after < 0).any())
+        least[live], jump[live] = lower, after
+        live = live[after >= 0]
+    ring = jump >= 0
+    ends = (ahead < 0) | (ring & (ahead == least))
+    last, left, jump = np.where(ends, np.arange(n), ahead), (~ends).astype(np.int64), np.where(ends, -1, ahead)
+    live = np.flatnonzero(~ends)
+    while len(live):
+        there = jump[live]
+        more, end, after = left[there], last[there], jump[there]
+        left[live], last[live], jump[live] = left[live] + more, end, after
+        live = live[after >= 0]
+    return last, left, ring
+
+
+def _traced_block(low_row: int, low_col: int, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For a block with its halo: corners (next is NULL; lowest, edges and area are NULL unless their ring lies within the
+    block) and chains that leave it (position: the place of their lowest edge). A chain is named by its first edge."""
+
+    def traced(block: pd.DataFrame) -> pd.DataFrame:
+        pixel, edge, to, direction, before, x, y = _boundary(block, low_row, low_col, width)
+        n = len(edge)
+        last, left, ring = _chained(edge, to) if n else (np.arange(0), np.arange(0), np.zeros(0, bool))
+        edges, area, first = np.bincount(last, minlength=n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        np.add.at(area, last, np.where(direction == 1, x, np.where(direction == 3, -x, 0)))
+        position = edges[last] - 1 - left
+        first[last[position == 0]] = edge[position == 0]
+        lowest, place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        lowest[last[::-1]], place[last[::-1]] = edge[::-1], position[::-1]  # edges are sorted: the least is set last
+        value = block["value"].to_numpy()
+        c, e = np.flatnonzero(direction != before), np.flatnonzero((left == 0) & ~ring)
+        within = lambda z: pd.array(z[last[c]], "Int64").copy()
+        corners = {"value": value[pixel[c]], "chain": first[last[c]], "position": position[c], "x": x[c], "y": y[c], "next": pd.array([pd.NA] * len(c), "Int64")}
+        for name, z in (("lowest", lowest), ("edges", edges), ("area", area)):
+            corners[name] = within(z)
+            corners[name][~ring[c]] = pd.NA
+        chains = {"value": value[pixel[e]], "chain": first[e], "position": place[e], "x": x[e], "y": y[e], "next": pd.array(to[e], "Int64"), "lowest": pd.array(lowest[e], "Int64"), "edges": pd.array(edges[e], "Int64"), "area": pd.array(area[e], "Int64")}
+        return pd.concat([pd.DataFrame(corners), pd.DataFrame(chains)], ignore_index=True)
+
+    return traced
+
+
+def _joined(chains: DataFrame) -> DataFrame:
+    """chain, ring, edges, area, shift of chains (chain, next, lowest, place, edges, area) that make up rings: shift is what
+    to add to a place on the chain for its place on the ring, modulo the edges of the ring.
+
+    Pointers are doubled: each round doubles the stretch over which a chain knows the least edge, and then the edges up
+    to the ring's last chain, so rounds grow with the log of the most chains of a ring."""
+    known = written(chains.select("chain", "next", F.col("lowest").alias("ring"), F.lit(0).alias("same")))
+    while not known.where("same = 0").isEmpty():
+        ahead = known.select(F.col("chain").alias("next"), F.col("next").alias("after"), F.col("ring").alias("other"))
+        known = written(known.join(ahead, "next").select("chain", F.col("after").alias("next"), F.least("ring", "other").alias("ring"), (F.col("other") >= F.col("ring")).cast("int").alias("same")))
+    named = chains.join(known.select("chain", "ring"), "chain")
+    whole = named.groupBy("ring").agg(F.sum("edges").alias("all"), F.sum("area").alias("sum"), F.max(F.when(F.col("lowest") == F.col("ring"), F.col("chain"))).alias("first"), F.max(F.when(F.col("lowest") == F.col("ring"), F.col("place"))).alias("place"))
+    named = written(named.drop("place").join(whole, "ring"))
+    # cut before the chain of the least edge: `next` is NULL at the last chain, and `left` counts the edges up to its end
+    rest = written(named.select("chain", F.when(F.col("next") != F.col("first"), F.col("next")).alias("next"), F.col("edges").alias("left")))
+    while not rest.where("next is not null").isEmpty():
+        ahead = rest.select(F.col("chain").alias("next"), F.col("next").alias("after"), F.col("left").alias("more"))
+        rest = written(rest.join(ahead, "next", "left").select("chain", F.col("after").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+    placed = named.join(rest.select("chain", "left"), "chain")
+    return placed.select("chain", "ring", F.col("all").alias("edges"), F.col("sum").alias("area"), (F.col("all") - F.col("left") - F.col("place")).alias("shift"))
 
 
 def outlines(pixels: DataFrame) -> DataFrame:
@@ -47,27 +134,22 @@ def outlines(pixels: DataFrame) -> DataFrame:
 
     pixels: row, col, value; NULL values have no outline; a pixel is a square of side 1 from (col, row). Outer rings turn
     left and have the positive area that they enclose, holes a negative one; a ring is named by its least edge.
-    Following edges is done by pointer doubling: each round doubles the stretch over which an edge knows the least one,
-    and then its distance from the ring's last edge, so rounds grow with the log of the longest ring. A repeated pixel
-    is an error of the caller; an empty raster has no rings."""
-    edges = written(boundary(pixels))
-    known = written(edges.select("edge", "next", F.least("edge", "next").alias("ring"), F.lit(1).alias("same")))
-    while True:
-        ahead = known.select(F.col("edge").alias("next"), F.col("next").alias("after"), F.col("ring").alias("other"))
-        known = written(known.join(ahead, "next").select("edge", F.col("after").alias("next"), F.least("ring", "other").alias("ring"), (F.col("other") >= F.col("ring")).cast("int").alias("same")))
-        if known.where("same = 0").isEmpty():
-            break
-    named = written(edges.join(known.select("edge", "ring"), "edge"))
-    # cut before the first edge: `next` is NULL at the last one, and `left` counts the edges up to it
-    rest = written(named.select("edge", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("ring"), 1).otherwise(0).cast("long").alias("left")))
-    while not rest.where("next is not null").isEmpty():
-        ahead = rest.select(F.col("edge").alias("next"), F.col("next").alias("after"), F.col("left").alias("more"))
-        rest = written(rest.join(ahead, "next", "left").select("edge", F.col("after").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
-    placed = named.join(rest.select("edge", "left"), "edge")
-    turns = named.select(F.col("next").alias("edge"), F.col("dir").alias("before"))
-    size = named.groupBy("ring").agg(F.count("*").alias("edges"), F.sum(F.when(F.col("dir") == 1, F.col("x")).when(F.col("dir") == 3, -F.col("x")).otherwise(0)).alias("area"))
-    corners = placed.join(turns, "edge").where("dir <> before").join(size, "ring")
-    return corners.select("value", "ring", (F.col("edges") - 1 - F.col("left")).alias("position"), "x", "y", "area")
+    Edges are followed within blocks of pixels first; only the chains that leave their block are then joined up in rounds,
+    so that what these shuffle grows with the edges of blocks. A repeated pixel is an error of the caller; an empty raster
+    has no rings."""
+    low = pixels.agg(F.coalesce(F.min("row"), F.lit(0)), F.coalesce(F.min("col"), F.lit(0)), F.coalesce(F.max("col"), F.lit(0))).first()
+    blocks = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / BLOCK), F.floor((F.col(c) + 1) / BLOCK)))
+    near = pixels.where("value is not null").select("row", "col", "value", blocks("row").alias("by")).withColumn("bx", blocks("col"))
+    near = near.withColumn("home", (F.col("by") == F.floor(F.col("row") / BLOCK)) & (F.col("bx") == F.floor(F.col("col") / BLOCK)))
+    made = StructType([pixels.schema["value"], *[StructField(c, LongType()) for c in _TRACED]])
+    traced = written(near.groupBy("by", "bx").applyInPandas(_traced_block(low[0], low[1], low[2] - low[1] + 2), made))
+    chains = traced.where("next is not null").select("chain", "next", "lowest", F.col("position").alias("place"), "edges", "area")
+    corners = traced.where("next is null")
+    across = corners.where("edges is null").drop("edges", "area").join(_joined(chains), "chain")
+    place = F.pmod(F.col("position") + F.col("shift"), F.col("edges"))
+    at = (F.col("x").cast(pixels.schema["col"].dataType).alias("x"), F.col("y").cast(pixels.schema["row"].dataType).alias("y"), "area")
+    inside = corners.where("edges is not null").select("value", F.col("chain").alias("ring"), "position", *at)
+    return inside.unionByName(across.select("value", "ring", place.alias("position"), *at))
 
 
 def rings(corners: DataFrame) -> DataFrame:
