@@ -34,16 +34,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key")
     with scope() as keep:
         sets = jaccard.similar_sets(docs.select(key, F.col("text")), "key").distinct()
-        rows = docs.select(key, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).groupBy("key", "id", "hash").agg(F.count("*").alias("n"))
+        rows = docs.select(key, F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).distinct()
         wordless = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
         group = [F.when(~wordless, F.col("component_id")).alias("component"), F.when(wordless, F.col("id")).alias("of"), F.when(wordless, F.col("hash")).alias("blank")]
-        rows = written(sets).join(rows, "key").select(*group, F.struct(F.col("id").isNull(), "id", "hash", "key", "n").alias("order"))
-        first = keep(rows.groupBy("component", "of", "blank").agg(F.min("order").alias("order")).select("order.key", "order.n"))
+        rows = written(sets).join(rows, "key").select(*group, F.struct(F.col("id").isNull(), "id", "hash", "key").alias("order"))
+        first = keep(rows.groupBy("component", "of", "blank").agg(F.min("order").alias("order")).select("order.key"))
     names = [F.col(f"doc.`{c}`") for c in docs.columns]
     packed = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    alone = packed.join(first.where("n = 1").select("key"), "key", "left_semi")
-    repeated = packed.join(first.where("n > 1").select("key"), "key", "left_semi").dropDuplicates(["key"])
-    return alone.unionByName(repeated).select(*names)
+    # equal rows lie side by side after the join by key, so the documents are shuffled once
+    return packed.join(first.select("key"), "key", "left_semi").dropDuplicates(["key"]).select(*names)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
