@@ -11,7 +11,9 @@ shingles last and is by hash else, so that passages which many documents share m
 3. A second scan takes the prefix shingles. Frequent ones know the key of their group (the least set found with them)
    and are never gathered. Others are dealt by low bits of their hashes, one packed row per such range and batch; there,
    sets with a common shingle and near enough sizes form a group, named by its least set. Near copies of one text
-   have one group for most of their shingles, so there are far fewer rows than shingles.
+   have one group for most of their shingles, so there are far fewer rows than shingles. The first shingle that two
+   linked sets have in common is among the first n - ceil(2 * threshold / (1 + threshold) * n) + 1 of the one that is
+   not larger, so sets that have a shingle further back are in a group only behind such a set.
 4. Groups are cut into tiles by size band; a set is also a visitor of the next band's tile, as linked sizes differ by
    4/3 at most. Each set is compared, exactly, with the centre of the tiles it shares most. That joins near copies
    of one text without pairing all of them. Large tiles have further rounds among the sets left over.
@@ -75,6 +77,12 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def leading(n: np.ndarray, percent: int) -> np.ndarray:
+    """Among how many first shingles of a set of n is the first one in common with a set it links with and is no larger
+    than: of two sets, no smaller than n each, that link, at least 2 * threshold / (1 + threshold) * n are in both."""
+    return n + (-2 * percent * n // (100 + percent)) + 1
+
+
 def band(n: int, percent: int) -> int:
     """Bands such that linked sets are in the same or neighbouring ones: each spans a factor of 100 / percent."""
     at, limit = 0, 1.0
@@ -174,13 +182,14 @@ def _counted(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], ranges: int) -> DataFrame:
     """Packed rows of the prefix shingles of every set, once per set and batch: range, ready, and arrays of sets (sig,
-    n, how many of the values are theirs) and of values, which are keys of groups where ready, or else the 32 bits of
-    each shingle above those of the range: shingles that agree in them by chance only make groups larger."""
+    n, how many of the values are theirs) and of values, which are keys of groups where ready, or else 31 bits of each
+    shingle above those of the range, and as the lowest bit whether it is a leading() one: shingles that agree in them by
+    chance only make groups larger. Sizes and counts are small numbers and are compressed."""
     low, bits = np.uint64(ranges - 1), np.uint64(ranges.bit_length() - 1)
     names, kinds = ["range", "ready", "sigs", "sizes", "counts", "values"], [pa.int64(), pa.bool_()] + [pa.binary()] * 4
 
     def packed(at: int, ready: bool, sig: np.ndarray, size: np.ndarray, counts: np.ndarray, values: np.ndarray) -> tuple:
-        return at, ready, sig.tobytes(), size.tobytes(), counts.astype(np.int32).tobytes(), values.tobytes()
+        return at, ready, sig.tobytes(), *(zstandard.compress(x.astype(np.int32).tobytes(), 1) for x in (size, counts)), values.tobytes()
 
     def dealt(sigs: list[int], sets: list[np.ndarray], turn: int) -> list[tuple]:
         sig, size = np.array(sigs, dtype=np.int64), np.array([len(s) for s in sets], dtype=np.int64)
@@ -199,16 +208,17 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
             key, who = frequent[1][place[sure]], owner[sure]
             one, counts = _counted(key, who)
             out.append(packed(turn, True, sig[who[one]], size[who[one]], counts, key[one]))
-        tokens, owner = tokens[keep], owner[keep]
+        tokens, owner, lead = tokens[keep], owner[keep], (rank <= leading(size, percent)[owner])[keep]
         # by low bits: the prefix holds a set's least hashes, so high bits would fill the first ranges only
         at = (tokens & low).astype(np.int64)
         order = np.argsort(at, kind="stable")
-        tokens, owner, at = tokens[order], owner[order], at[order]
+        tokens, owner, at, lead = tokens[order], owner[order], at[order], lead[order]
+        values = ((tokens >> bits).astype(np.uint32) & ~np.uint32(1)) | lead.astype(np.uint32)
         cuts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))).tolist() if len(at) else []
         for i, z in zip(cuts, [*cuts[1:], len(at)], strict=True):
             who = owner[i:z]
             new = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
-            out.append(packed(int(at[i]), False, sig[who[new]], size[who[new]], np.diff(np.append(new, z - i)), (tokens[i:z] >> bits).astype(np.uint32)))
+            out.append(packed(int(at[i]), False, sig[who[new]], size[who[new]], np.diff(np.append(new, z - i)), values[i:z]))
         return out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,15 +245,22 @@ def _prefixes(rows: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
 
 
 def _groups(prefixes: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """key, sig, n and tokens (the shingles) of sets that have a prefix shingle in common with others of a near size."""
+    """key, sig, n and tokens (the shingles) of sets that have a prefix shingle in common with others of a near size, of
+    which one that is not larger has it as a leading() one, or is such a one."""
 
     def common(t: np.ndarray, sig: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((sig, n, t))
-        t, sig, n = t[order], sig[order], n[order]
+        t, lead = t >> np.uint32(1), (t & np.uint32(1)).astype(bool)
+        # of equal sizes, sets with a leading shingle are first: all that stand before them are smaller
+        order = np.lexsort((sig, ~lead, n, t))
+        t, sig, n, lead = t[order], sig[order], n[order], lead[order]
         new = np.concatenate(([True], (t[1:] != t[:-1]) | (sig[1:] != sig[:-1])))
-        t, sig, n = t[new], sig[new], n[new]
-        near = np.concatenate(([False], (t[1:] == t[:-1]) & (percent * n[1:] <= 100 * n[:-1])))
-        stay = near | np.append(near[1:], False)
+        t, sig, n, lead = t[new], sig[new], n[new], lead[new]
+        # the last set with a leading shingle up to each place, if it has the same shingle and is near in size
+        last = np.maximum.accumulate(np.where(lead, np.arange(len(t)), 0))
+        met = lead[last] & (t[last] == t) & (percent * n <= 100 * n[last])
+        t, sig, n = t[met], sig[met], n[met]
+        near = np.concatenate(([False], (t[1:] == t[:-1]) & (percent * n[1:] <= 100 * n[:-1])))[: len(t)]
+        stay = near | np.append(near[1:], False)[: len(t)]
         sig, n, begins = sig[stay], n[stay], np.flatnonzero(~near[stay])
         if not len(sig):
             return sig, sig, n, n
@@ -264,7 +281,9 @@ def _groups(prefixes: DataFrame, ranges: int, percent: int) -> DataFrame:
 
         for batch in batches:
             for where, ready, *raw in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                sig, n, counts, values = (np.frombuffer(x, dtype=k) for x, k in zip(raw, (np.int64, np.int64, np.int32, np.int64 if ready else np.uint32), strict=True))
+                raw[1:3] = map(zstandard.decompress, raw[1:3])
+                sig, n, counts, values = (np.frombuffer(x, dtype=k) for x, k in zip(raw, (np.int64, np.int32, np.int32, np.int64 if ready else np.uint32), strict=True))
+                n = n.astype(np.int64)
                 if ready:
                     yield batch_of((values, sig, n, counts.astype(np.int64)))
                     continue
@@ -632,6 +651,14 @@ def _within(nodes: DataFrame, comps: DataFrame, n: int, percent: int, pairs: boo
     return mapped(texts.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j"), scan, f"{names[0]} long, {names[1]} long")
 
 
+def _nodes(rows: DataFrame, each: DataFrame, groups: DataFrame) -> DataFrame:
+    """sig, n, z (the packed text) and map of each set in a group, from the row with the least rid. Rows of one rid are
+    copies of it and have one set, so they are told apart where the join by rid has them: texts are shuffled once."""
+    distinct = each.where("n > 0").groupBy("sig", "n", "map").agg(F.min("rid").alias("rid"))
+    wanted = distinct.join(groups.select("sig").distinct(), "sig", "left_semi")
+    return packed_texts(rows.select("rid", "text")).join(wanted, "rid").dropDuplicates(["rid"]).select("sig", "n", "z", "map")
+
+
 def _joined(docs: DataFrame, id_col: str, n: int, percent: int, least_frequent: int, most_frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """id, n, sig and comp of every document; the nodes; and the components (node, comp) of two or more nodes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(id_col, "text").alias("rid"), "text")
@@ -641,9 +668,7 @@ def _joined(docs: DataFrame, id_col: str, n: int, percent: int, least_frequent:
     shingles = each.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - percent) // 100
     ranges = 1 << max(3, (shingles // RANGE).bit_length())
     groups = written(_groups(_prefixes(rows, n, percent, frequent, ranges), ranges, percent))
-    distinct = each.where("n > 0").groupBy("sig", "n", "map").agg(F.min("rid").alias("rid"))
-    wanted = distinct.join(groups.select("sig").distinct(), "sig", "left_semi")
-    nodes = written(packed_texts(rows.select("rid", "text")).join(wanted, "rid").dropDuplicates(["sig"]).select("sig", "n", "z", "map"))
+    nodes = written(_nodes(rows, each, groups))
     comps = _links(groups, nodes, n, percent)
     labelled = each.join(comps.withColumnRenamed("node", "sig"), "sig", "left").select("id", "n", "sig", F.coalesce("comp", "sig").alias("comp"))
     return written(labelled), nodes, comps
