@@ -55,7 +55,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: repeated rows count one by one, a null source is one more source, and
-    rows without words are taken like the smallest documents of their source."""
+    rows without words are expected as often as the words of their source on average."""
     mixed = mixing.mix_sources(docs).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 

@@ -221,6 +221,29 @@ def test_mixing_samples(spark):
     got.unpersist()
 
 
+def test_mixing_counts_words_off(spark):
+    """A source misses its target by a document of 1 / COUNTED of its words at most, though hardly any document is rounded."""
+    rng = random.Random(5)
+    docs = [(i, "w " * int(rng.paretovariate(1.1) * 3), f"s{i % 3}") for i in range(3000)]
+    got = mixing.mix_digest(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()
+    over = [r for r in got if r["size"] * mixing.COUNTED > r["source_size"]]
+    assert 200 < len(over) < 1000 and sum(r["size"] * mixing.LARGE > r["source_size"] for r in over) < 0.1 * len(over)
+    for target, size in {(r["target"], r["source_size"]) for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["target"] == target) - target) * mixing.COUNTED <= size
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    for r in mixing.mix_digest(docs).join(docs, "doc_id").groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 0.005 * r["target"]
+
+
+def test_mixing_without_words(spark):
+    """Documents without words go by their source's mean, whether or not others are left below 1 / COUNTED."""
+    docs = [(i, "w " * (i % 7 + 20) if i < 60 else None, "ab"[i % 2]) for i in range(1060)]
+    docs += [(2000, "w", "a")]
+    got = mixing.mix_sources(spark.createDataFrame(docs, "doc_id bigint, text string, source string"))
+    for r in got.where("size = 0").groupBy("row.source").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.first(F.col("target") / F.col("source_size")).alias("mean")).collect():
+        assert r["n"] == 500 and abs(r["copies"] - r["n"] * r["mean"]) <= 1
+
+
 def test_pieces_equal_the_library(spark, sf_dir, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_PATH)
     extra = spark.createDataFrame([(900 + i, t) for i, t in enumerate(["  lead", "trail ", "\n\n", "<s> </s> <0x41>", "▁ x", "aaaa aaaaa", "日本語テキスト🙂", "ﬁ ½ Å", "\x00 z"])], "doc_id bigint, text string")
